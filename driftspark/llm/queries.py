@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftspark.llm import minhash
+from driftspark.llm import chat, decontam, license_scan, minhash, mixing, sharding, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +15,33 @@ def op1_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup}
-ORACLES: dict[str, str] = {}
+def op2_sharding(spark, sf_dir):
+    rows = sharding.shard(table(spark, sf_dir, "documents"))
+    return rows.selectExpr("doc_id", "size", "text_crc32", "'rows' as law", "shard", "slot", "cast(null as int) as grown_shard")
+
+
+def op3_benchmark_decontamination(spark, sf_dir):
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+def op5_chat_formatting(spark, sf_dir):
+    clash = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", clash), (-1, 1, "assistant", clash)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.format_chats(rows))
+
+
+def op6_source_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_license_scan(spark, sf_dir):
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_sharding, op3_benchmark_decontamination, op5_chat_formatting, op6_source_mixing, op7_license_scan, op8_url_filter)}
+ORACLES = {"op5_chat_formatting": chat.SQL, "op6_source_mixing": mixing.SQL}
