@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftspark.llm.common import save
+
 #: Documents' windows start at every STRIDE-th word and the benchmark's at every word, so that a run of WINDOW + STRIDE - 1
 #: equal template words always meets.
 WINDOW, STRIDE = 8, 4
@@ -46,11 +48,18 @@ def windows(words, length: int, stride: int):
     return F.when(F.size(words) >= length, every).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
 
 
-def _slots(words, slot_values):
-    """The value of each word's slot; null for plain words and where text and template disagree on the number of slots."""
-    at = F.filter(F.transform(words, lambda w, i: F.when(w.startswith("§"), i).otherwise(F.lit(-1))), lambda i: i >= 0)
-    value = lambda i: F.when(F.array_position(at, i) > 0, F.try_element_at(slot_values, F.array_position(at, i).cast("int")))
-    return F.when(F.size(at) == F.size(slot_values), F.transform(words, lambda w, i: value(i))).otherwise(F.transform(words, lambda w: F.lit(None).cast("string")))
+def _slot(w):
+    return w.startswith("§")
+
+
+def _places(words):
+    """Places, from 0, of the slots in an array column."""
+    return F.filter(F.transform(words, lambda w, i: F.when(_slot(w), i).otherwise(F.lit(-1))), lambda i: i >= 0)
+
+
+def _bound(value, body):
+    """body(value) with value evaluated once: expressions inside a lambda are evaluated for every element, a variable isn't."""
+    return F.transform(F.array(value), body)[0]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: int = STRIDE, coverage: float = COVERAGE, least_words: int = LEAST_WORDS, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -63,8 +72,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, st
     """
     doc = docs.select("doc_id", F.col("text").cast("string"), F.xxhash64("text").alias("text_hash"))
     item = benchmark.select("item_id", F.col("text").cast("string")).distinct()
-    item = item.select("item_id", template(F.col("text")).alias("item"), values(F.col("text")).alias("values")).where(F.size("item") > 0)
-    item = item.select("item_id", "item", F.size("item").alias("item_words"), _slots(F.col("item"), F.col("values")).alias("item_slots"), F.xxhash64("item").alias("item_key"))
+    item = item.select("item_id", template(F.col("text")).alias("item"), values(F.col("text")).alias("item_values")).where(F.size("item") > 0)
+    item = save(item.select("*", F.size("item").alias("item_words"), _places(F.col("item")).alias("item_at"), F.xxhash64("item", "item_values").alias("item_key")), "benchmark")
     whole = window + stride - 1
     short = [r[0] for r in item.where(F.col("item_words") < whole).select("item_words").distinct().collect()]  # fewer than ``whole`` numbers
     words = doc.select("doc_id", "text_hash", template(F.col("text")).alias("words"))
@@ -79,23 +88,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, st
     met = words.select("doc_id", "text_hash", F.explode(every).alias("w")).select("doc_id", "text_hash", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"))
     offsets = met.join(sought, "h").select("doc_id", "text_hash", "item_id", "item_key", (F.col("pos") - F.col("item_pos")).alias("offset")).distinct()
 
-    near = offsets.join(doc.distinct(), (offsets["doc_id"].eqNullSafe(doc["doc_id"])) & (offsets["text_hash"] == doc["text_hash"])).drop(doc["doc_id"], doc["text_hash"])
-    near = near.withColumn("words", template(F.col("text"))).withColumn("slots", _slots(F.col("words"), values(F.col("text")))).drop("text")
-    near = near.join(item, ["item_id", "item_key"])
-    at = lambda a, i: F.get(a, i)
-    here = F.filter(F.transform("item", lambda w, j: F.struct(
-        j.alias("j"), w.alias("w"), at(F.col("item_slots"), j).alias("a"), F.when(F.col("offset") + j >= 0, at(F.col("slots"), F.col("offset") + j)).alias("b"),
-        F.coalesce((F.col("offset") + j >= 0) & (at(F.col("words"), F.greatest(F.col("offset") + j, F.lit(0))) == w), F.lit(False)).alias("same"),
-    )), lambda x: x["same"])
-    laid = near.select("doc_id", "text_hash", "item_id", "item_key", "item_words", here.alias("m"))
-    found = laid.groupBy("doc_id", "text_hash", "item_id", "item_key", "item_words").agg(F.flatten(F.collect_set("m")).alias("m"))  # an item's offsets in one document
-    slot = F.filter("m", lambda x: x["w"].startswith("§"))
-    pairs = F.array_distinct(F.transform(F.filter(slot, lambda x: x["a"].isNotNull() & x["b"].isNotNull()), lambda x: F.struct(x["w"], x["a"], x["b"])))
-    left, right = F.array_distinct(F.transform(pairs, lambda x: F.struct(x["w"], x["a"]))), F.array_distinct(F.transform(pairs, lambda x: F.struct(x["w"], x["b"])))
-    found = found.withColumn("pairs", pairs).withColumn("consistent", (F.size(left) == F.size(pairs)) & (F.size(right) == F.size(pairs)))
-    places = lambda keep: F.size(F.array_distinct(F.transform(F.filter("m", keep), lambda x: x["j"])))
-    found = found.withColumn("matched_words", F.when(F.col("consistent"), places(lambda x: F.lit(True))).otherwise(places(lambda x: ~x["w"].startswith("§"))))
-    found = found.withColumn("coverage", F.col("matched_words") / F.col("item_words")).withColumn("verbatim", F.forall("pairs", lambda x: x["a"] == x["b"]))
+    offsets = save(offsets, "offsets")
+    near = offsets.join(doc, offsets["doc_id"].eqNullSafe(doc["doc_id"]) & (offsets["text_hash"] == doc["text_hash"])).drop(doc["doc_id"], doc["text_hash"])
+    near = near.join(item.select("item_id", "item_key", "item_words"), ["item_id", "item_key"])
+    low = F.greatest(F.col("offset"), F.lit(0))
+
+    def cut(x):  # the stretch of the document that lies on the item, and the values of its slots
+        n = F.greatest(F.least(F.col("item_words") + F.col("offset"), F.size(x["words"])) - low, F.lit(0))
+        known = F.size(F.filter(x["words"], _slot)) == F.size(x["values"])
+        first = F.size(F.filter(F.slice(x["words"], 1, low), _slot))
+        return F.struct(F.slice(x["words"], low + 1, n).alias("seg"), F.when(known, F.slice(x["values"], first + 1, n)).alias("seg_values"))
+
+    near = near.select("doc_id", "text_hash", "item_id", "item_key", "offset", _bound(F.struct(template(F.col("text")).alias("words"), values(F.col("text")).alias("values")), cut).alias("c"))
+    near = save(near.select("doc_id", "text_hash", "item_id", "item_key", "offset", "c.*").distinct(), "stretches").join(item, ["item_id", "item_key"])
+    shift = F.least(F.col("offset"), F.lit(0))  # item place + shift is the stretch's place
+    agree = F.transform("item", lambda w, j: F.when(j + shift >= 0, F.coalesce(F.get("seg", j + shift) == w, F.lit(False))).otherwise(F.lit(False)))
+    near = near.select("doc_id", "text_hash", "item_id", "item_key", "item_words", "offset", "item", "item_at", "item_values", "seg_values", _places(F.col("seg")).alias("seg_at"), agree.alias("agree"))
+    plain = F.filter(F.transform("agree", lambda x, j: F.when(x & ~_slot(F.get("item", j)), j).otherwise(F.lit(-1))), lambda j: j >= 0)
+    value = lambda all_, k: F.try_element_at(all_, F.when(k > 0, k.cast("int")))
+    filled = F.filter(F.transform("item_at", lambda j, k: F.struct(
+        j.alias("j"), F.get("item", j).alias("w"), F.get("agree", j).alias("on"), F.get("item_values", k).alias("a"), value(F.col("seg_values"), F.array_position("seg_at", j + shift)).alias("b"),
+    )), lambda x: x["on"] & x["a"].isNotNull() & x["b"].isNotNull())
+    laid = near.select("doc_id", "text_hash", "item_id", "item_key", "item_words", plain.alias("plain"), F.transform(filled, lambda x: F.struct(x["j"], x["w"], x["a"], x["b"])).alias("filled"))
+    found = laid.groupBy("doc_id", "text_hash", "item_id", "item_key", "item_words").agg(F.array_distinct(F.flatten(F.collect_set("plain"))).alias("plain"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"))
+    found = save(found, "laid")  # an item's offsets in one document: a few short rows
+    pairs = F.array_distinct(F.transform("filled", lambda x: F.struct(x["w"], x["a"], x["b"])))
+    left, right = F.array_distinct(F.transform("filled", lambda x: F.struct(x["w"], x["a"]))), F.array_distinct(F.transform("filled", lambda x: F.struct(x["w"], x["b"])))
+    one_to_one = (F.size(left) == F.size(pairs)) & (F.size(right) == F.size(pairs))
+    slots = F.when(one_to_one, F.size(F.array_distinct(F.transform("filled", lambda x: x["j"])))).otherwise(F.lit(0))
+    found = found.withColumn("matched_words", F.size("plain") + slots).withColumn("coverage", F.col("matched_words") / F.col("item_words"))
+    found = found.withColumn("verbatim", F.forall("filled", lambda x: x["a"] == x["b"]))
     kept = found.where((F.col("coverage") >= coverage) & (F.col("matched_words") >= F.least(F.lit(least_words), F.col("item_words"))))
     return kept.select("doc_id", "text_hash", "item_id", "matched_words", "item_words", "coverage", "verbatim")
 
