@@ -215,3 +215,12 @@ def near_duplicates(docs: DataFrame, similarity_pct: int = 75, bands: int = BAND
     reach = reach.select("k1", "k2", F.coalesce("last", "component").alias("reached"))
     out = sig.join(reach, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("reached", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def deduplicated(docs: DataFrame, **how) -> DataFrame:
+    """The documents, with all their columns, without those that have an earlier near copy; of repeated rows of one doc_id one
+    stays. Rows with a null doc_id stay."""
+    away = near_duplicates(docs, **how).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("component_id").alias("_least")).where("_least <> _id").select("_id")
+    rows = docs.join(away, docs["doc_id"] == away["_id"], "left_anti")
+    seen = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return rows if not seen else rows.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.where("doc_id is null"))
