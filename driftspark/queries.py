@@ -1,10 +1,475 @@
-"""The registered queries and their DuckDB SQL."""
+"""The registered queries and their DuckDB SQL. Floats are rounded on both sides, as sums differ in their last bits."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftspark.functions import scalars as S
+from driftspark.operators import descent, geofence, kinematics, priors, profiles, scoring, tables
+from driftspark.operators.flights import fold_frames
+from driftspark.plans.views import duckdb, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *views: str):
+    """Registers a function of (spark, sf_dir, view getter) under its name, with its oracle."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark, lambda name: view(spark, sf_dir, name))
+        if sql is not None:
+            ORACLES[f.__name__] = duckdb(sql, *views) if views else sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))  # + 0: no negative zero
+
+
+def r6(*names: str) -> str:
+    return ", ".join(f"round({n}, 6) as {n}" for n in names)
+
+
+# SQL pieces that several oracles share
+HAVERSINE = "2 * 6371.0::double * asin(least(1.0::double, sqrt(pow(sin(radians({y2} - {y1}) / 2), 2) + cos(radians({y1})) * cos(radians({y2})) * pow(sin(radians({x2} - {x1}) / 2), 2))))"
+hav = lambda y1, x1, y2, x2: HAVERSINE.format(y1=y1, x1=x1, y2=y2, x2=x2)
+WRAP = lambda x: f"((({x}) + 180) - 360 * floor((({x}) + 180) / 360) - 180)"
+SEGS = f""", s0 as (select *, lag(t) over w as pt, lag(lat) over w as plat, lag(lon) over w as plon, lag(alt) over w as palt from frames_v window w as (partition by serial order by t)),
+s1 as (select *, case when t > pt then t - pt end as dt, (palt + alt) / 2 as alt_mid, case when t > pt then (alt - palt) / (t - pt) end as srate,
+  case when t > pt then 6371000.0::double * radians(lat - plat) / (t - pt) end as v, case when t > pt then 6371000.0::double * cos(radians((plat + lat) / 2)) * radians({WRAP("lon - plon")}) / (t - pt) end as u from s0),
+segs as (select *, sqrt(u * u + v * v) as speed, (plat + lat) / 2 as lat_mid, {WRAP(f"plon + {WRAP('lon - plon')} / 2")} as lon_mid, (pt + t) / 2 as t_mid from s1),
+rates as (select *, coalesce(case when count(*) over w >= 3 and max(t) over w - min(t) over w >= 4 then regr_slope(alt, t) over w end, srate) as vrate
+  from segs window w as (partition by serial order by t range between 25 preceding and current row))"""
+BURSTS = """, b0 as (select *, max(alt) over w as top, first_value(alt) over w as first_alt from rates window w as (partition by serial order by t)),
+b1 as (select *, sum(case when alt < top - 300 and vrate < 0 then 1 else 0 end) over (partition by serial order by t rows between 2 preceding and current row) as run from b0),
+b2 as (select *, row_number() over (partition by serial order by t) as rn from b1 where run = 3 and top >= 1000),
+bursts as (select serial, t as burst_t, case when top - first_alt >= 500 then top end as burst_alt from b2 where rn = 1)"""
+RHO = "case when pressure > 0 and temp + 273.15 > 0 then pressure * 100 / (287.05::double * (temp + 273.15::double)) end"
+BINS = f""", bins as (select serial, floor(alt_mid / 150)::bigint as bin_idx, (floor(alt_mid / 150) + 0.5::double) * 150 as alt, avg(u) as u, avg(v) as v, avg({RHO}) as rho, count(*) as n, avg(lat_mid) as lat, avg(lon_mid) as lon, avg(t_mid) as t
+  from segs where dt >= 0.5 and speed <= 200 and abs(srate) <= 90 group by serial, floor(alt_mid / 150))"""
+
+
+def rates_of(v):
+    return kinematics.rated(v("frames_v"))
+
+
+# -- kinematics and profiles
+
+
+@query(f"""{SEGS}{BURSTS}{BINS}, p as (select serial, count(*) as n_bins, sum(u * n) / sum(n) as mean_u, sum(v * n) / sum(n) as mean_v from bins group by serial)
+select f.serial, n_frames, p.n_bins, {r6('burst_t', 'burst_alt', 'mean_u', 'mean_v')} from (select serial, count(*) as n_frames from frames_v group by serial) f
+left join bursts b on f.serial = b.serial left join p on f.serial = p.serial""", "frames_v")
+def flight_summary(spark, v):
+    """Flight, burst, bins, mean wind."""
+    rates = rates_of(v)
+    b = profiles.wind_profile(v("frames_v")).groupBy("serial").agg(F.count("*").alias("n_bins"), (F.sum(F.col("u") * F.col("n")) / F.sum("n")).alias("mean_u"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean_v"))
+    n = rates.groupBy("serial").agg(F.count("*").alias("n_frames"))
+    return rounded(n.join(kinematics.burst_events(rates), "serial", "left").join(b, "serial", "left").select("serial", "n_frames", "n_bins", "burst_t", "burst_alt", "mean_u", "mean_v"))
+
+
+@query(f"{SEGS} select serial, frame, {r6('dt', 'alt_mid', 'u', 'v', 'speed', 'lat_mid', 'lon_mid', 't_mid')}, round(srate, 6) as vrate from segs where dt is not null", "frames_v")
+def segment_kinematics(spark, v):
+    return rounded(kinematics.segments(v("frames_v")).where("seg is not null").select("serial", "frame", "seg.*"))
+
+
+@query(f"{SEGS} select serial, frame, round(vrate, 6) + 0 as vrate from rates", "frames_v")
+def vertical_rate(spark, v):
+    return rounded(rates_of(v).select("serial", "frame", "vrate"))
+
+
+@query(f"{SEGS}{BURSTS} select serial, burst_t, round(burst_alt, 6) as burst_alt from bursts", "frames_v")
+def burst_events(spark, v):
+    return rounded(kinematics.burst_events(rates_of(v)))
+
+
+@query(f"""{SEGS}, f0 as (select *, coalesce(alt >= 12000 and abs(vrate) < 1, false) as slow from rates), f1 as (select *, sum(case when slow then 0 else 1 end) over (partition by serial order by t) as island from f0),
+f2 as (select *, min(t) over (partition by serial, island) as since from f1 where slow)
+select serial, min(t) as float_t, round(arg_min(alt, t), 6) as float_alt from f2 where t - since >= 300 group by serial""", "frames_v")
+def float_events(spark, v):
+    return rounded(kinematics.float_events(rates_of(v)))
+
+
+@query("""select serial, min(t) as first_t, case when arg_min(alt, t) <= 1500 then round(arg_min(lat, t), 6) end as launch_lat, case when arg_min(alt, t) <= 1500 then round(arg_min(lon, t), 6) end as launch_lon
+from frames_v group by serial""", "frames_v")
+def launch_site(spark, v):
+    return rounded(kinematics.launch_site(v("frames_v")))
+
+
+@query(f"""{SEGS}{BURSTS}, a as (select r.serial, r.vrate, row_number() over (partition by r.serial order by r.vrate) - 1 as i, count(*) over (partition by r.serial) as n
+  from rates r left join bursts b on r.serial = b.serial where r.vrate > 0 and (b.burst_t is null or r.t < b.burst_t))
+select serial, case when max(n) >= 5 then round(max(vrate) filter (i = n // 2), 6) end as ascent_rate from a group by serial""", "frames_v")
+def ascent_rate(spark, v):
+    r = rates_of(v)
+    return rounded(kinematics.ascent_rate(r, kinematics.burst_events(r)))
+
+
+@query(f"{SEGS}{BINS} select serial, bin_idx, alt, n, {r6('u', 'v', 'rho')}, round(t, 3) as t, round(lat, 9) as lat, round(lon, 9) as lon from bins", "frames_v")
+def wind_profile(spark, v):
+    out = profiles.wind_profile(v("frames_v"))
+    exact = [F.round("t", 3).alias("t"), F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon")]  # means of round numbers: away from halves
+    return out.select("serial", "bin_idx", "alt", "n", *(F.round(c, 6).alias(c) for c in ("u", "v", "rho")), *exact)
+
+
+@query(f"{SEGS} select serial, count(*) as n, round(avg(speed), 6) as mean_speed from segs where dt >= 0.5 and speed <= 200 and abs(srate) <= 90 group by serial", "frames_v")
+def plausible_segments(spark, v):
+    s = kinematics.segments(v("frames_v")).where(kinematics.plausible())
+    return rounded(s.groupBy("serial").agg(F.count("*").alias("n"), F.avg("seg.speed").alias("mean_speed")))
+
+
+@query(f"""{SEGS}{BINS}, r as (select serial, min(bin_idx) * 150.0::double as lo, (max(bin_idx) + 1) * 150.0::double as hi, count(*) as n_bins from bins group by serial)
+select serial, lo, hi, n_bins, round(greatest(0, least(1, (least(20000, hi) - greatest(1000, lo)) / 19000)), 6) as cover from r""", "frames_v")
+def column_cover(spark, v):
+    return rounded(profiles.column_cover(profiles.wind_profile(v("frames_v")), F.lit(20_000.0), F.lit(1000.0)))
+
+
+@query(f"""{SEGS}{BINS}, g as (select *, du - avg(du) over p as ru, dv - avg(dv) over p as rv from (select *, u - 5 as du, v - 2 as dv from bins) window p as (partition by serial)),
+h as (select *, lead(ru) over w as nu, lead(rv) over w as nv, lead(alt) over w - alt as step from g window w as (partition by serial order by alt)),
+i as (select serial, count(*) as n_bins, avg(du) as bias_u, avg(dv) as bias_v, sqrt(sum(ru * ru + rv * rv) / (2 * count(*))) as sigma, sum(ru * nu + rv * nv) as num, sum(ru * ru + rv * rv) filter (nu is not null) as den,
+  list_sort(list(step) filter (step is not null)) as steps from h group by serial),
+j as (select *, num / den as lag1, steps[len(steps) // 2 + 1] as step from i)
+select serial, n_bins, {r6('bias_u', 'bias_v', 'sigma')}, round(sqrt((bias_u * bias_u + bias_v * bias_v) / 2), 6) as bias_pc,
+  round(case when n_bins >= 3 and sigma > 1e-6 and den > 0 and lag1 > 0.05 and lag1 < 0.995 and step > 0 then least(6000, greatest(200, -step / ln(lag1))) else 1500 end, 4) as corr_len from j where n_bins >= 8""", "frames_v")
+def wind_residual_stats(spark, v):
+    """Against a constant model wind of (5, 2) m/s."""
+    pairs = profiles.wind_profile(v("frames_v")).withColumn("mu", F.lit(5.0)).withColumn("mv", F.lit(2.0))
+    out = profiles.residual_stats(pairs)
+    return rounded(out.drop("corr_len")).join(out.select("serial", F.round("corr_len", 4).alias("corr_len")), "serial")
+
+
+AROUND = """, a0 as (select q.serial, q.alt, b.alt as balt, b.bin_idx, b.u, b.v from pts q left join bins b on q.serial = b.serial),
+near as (select serial, alt, arg_min(bin_idx, abs(balt - alt) * 1e6 + bin_idx * 1e-3) as near_idx from a0 group by serial, alt),
+lohi as (select serial, alt, max(struct_pack(balt, bin_idx, u, v)) filter (balt <= alt) as lo, min(struct_pack(balt, bin_idx, u, v)) filter (balt > alt) as hi from a0 group by serial, alt)"""
+PTS = ", pts as (select distinct serial, (100 + 733 * i)::double as alt from frames_v, range(0, 45) t(i))"
+
+
+def altitudes(v):
+    """Points every 733 m of every flight."""
+    return v("frames_v").select("serial").distinct().withColumn("alt", F.explode(F.transform(F.sequence(F.lit(0), F.lit(44)), lambda i: (100 + 733 * i).cast("double"))))
+
+
+@query(f"{SEGS}{BINS}{PTS}{AROUND} select serial, alt, near_idx from near", "frames_v")
+def bin_near(spark, v):
+    return profiles.bin_near(altitudes(v), profiles.wind_profile(v("frames_v"))).select("serial", "alt", F.col("near.bin_idx").alias("near_idx"))
+
+
+@query(f"""{SEGS}{BINS}{PTS}{AROUND} select serial, alt,
+  round(case when lo is null then hi.u when hi is null then lo.u else lo.u + (alt - lo.balt) / (hi.balt - lo.balt) * (hi.u - lo.u) end, 6) as u,
+  round(case when lo is null then hi.v when hi is null then lo.v else lo.v + (alt - lo.balt) / (hi.balt - lo.balt) * (hi.v - lo.v) end, 6) as v,
+  (lo is null and floor(alt / 150) < hi.bin_idx) or (hi is null and floor(alt / 150) > lo.bin_idx) or coalesce(hi.balt - lo.balt > 600, false) as hole from lohi""", "frames_v")
+def wind_at_altitude(spark, v):
+    return rounded(profiles.wind_at(altitudes(v), profiles.wind_profile(v("frames_v"))))
+
+
+def _std_sql(h: str) -> str:
+    layers = S._bases()
+    out = "case "
+    for k, (base, t, lapse, p) in enumerate(layers):
+        top = layers[k + 1][0] if k + 1 < len(layers) else S.TOP_M
+        temp = f"({t!r}::double + {lapse!r}::double * ({h} - {base!r}::double))"
+        pressure = f"{p!r}::double * exp({-S.G0!r}::double * ({h} - {base!r}::double) / {S.R_D * t!r}::double)" if lapse == 0 else f"{p!r}::double * pow({temp} / {t!r}::double, {-S.G0 / (S.R_D * lapse)!r}::double)"
+        out += f"when {h} <= {top!r} then {pressure} / ({S.R_D!r}::double * {temp}) "
+    return out + "end"
+
+
+STD = lambda a: _std_sql(f"greatest(0.0::double, least({a}, {S.TOP_M!r}::double))")
+
+
+@query(f"""{SEGS}{BINS}{PTS}, a0 as (select q.serial, q.alt, b.alt as balt, b.rho from pts q left join (select * from bins where rho > 0) b on q.serial = b.serial),
+lohi as (select serial, alt, max(struct_pack(balt, rho)) filter (balt <= alt) as lo, min(struct_pack(balt, rho)) filter (balt > alt) as hi from a0 group by serial, alt)
+select serial, alt, round(case when lo is null and hi is null then {STD('alt')} when lo is null then {STD('alt')} * hi.rho / {STD('hi.balt')} when hi is null then {STD('alt')} * lo.rho / {STD('lo.balt')}
+  else lo.rho * pow(hi.rho / lo.rho, (alt - lo.balt) / (hi.balt - lo.balt)) end, 6) as rho from lohi""", "frames_v")
+def density_at_altitude(spark, v):
+    return rounded(profiles.density_at(altitudes(v), profiles.wind_profile(v("frames_v"))))
+
+
+SAMPLES = f""", samples as (select r.serial, r.t, r.alt, -r.vrate as v_obs, coalesce({RHO}, {STD('r.alt')}) as rho, burst_t, burst_alt from rates r join bursts b on r.serial = b.serial where r.t >= burst_t and r.vrate < 0)"""
+
+
+def samples_of(v):
+    r = rates_of(v).withColumn("rho", F.coalesce(S.measured_density(F.col("pressure"), F.col("temp")), S.std_density(F.col("alt"))))
+    b = kinematics.burst_events(r)
+    return descent.descent_samples(r, b), b
+
+
+@query(f"""{SEGS}{BURSTS}{SAMPLES}, k0 as (select *, count(*) over (partition by serial) as n0 from samples where t - burst_t >= 45 and burst_alt - alt >= 1000),
+k1 as (select *, v_obs * sqrt(rho) as bi, row_number() over (partition by serial order by t desc) as back, count(*) over (partition by serial) as n from k0 where n0 >= 4 and rho > 0 and v_obs > 0),
+k2 as (select serial, quantile_cont(bi, 0.5) filter (back <= 12) as recent, quantile_cont(bi, 0.5) filter (back > 12) as older from k1 group by serial),
+k3 as (select k1.*, recent, n >= 24 and older > 0 and abs(recent - older) / older > 0.25 as changed, sum(case when back > 1 and abs(bi - recent) / recent > 0.125 then 1 else 0 end) over (partition by k1.serial order by back) as stops from k1 join k2 using (serial) where n >= 4),
+k4 as (select * from k3 where not coalesce(changed, false) or stops = 0 or back <= 12),
+k5 as (select *, abs(bi - quantile_cont(bi, 0.5) over (partition by serial)) as dev from k4),
+k6 as (select *, quantile_cont(dev, 0.5) over (partition by serial) as mad from k5),
+k7 as (select *, pow(0.5, (max(t) over (partition by serial) - t) / 120) as w from k6 where dev <= 3.5 * 1.4826 * case when mad = 0 then 1e-9 else mad end),
+k8 as (select *, sum(w * bi) over (partition by serial) / sum(w) over (partition by serial) as raw from k7), k9 as (select *, least(greatest(raw, 2), 30) as b from k8)
+select serial, round(any_value(b), 6) as b, round(sqrt(sum(w * pow(v_obs - b * pow(rho, -0.5), 2)) / sum(w)), 6) as residual, count(*) as n_points, any_value(raw <> b) as clamped from k9 group by serial having count(*) >= 4""", "frames_v")
+def descent_fit(spark, v):
+    s, b = samples_of(v)
+    return rounded(descent.fit_descent(s, b))
+
+
+@query(f"""{SEGS}{BURSTS}{SAMPLES} select serial, round(least(greatest(raw, 2), 30), 6) as b, raw <> least(greatest(raw, 2), 30) as clamped from (select serial, arg_max(v_obs * sqrt(rho), t) as raw from samples group by serial)""", "frames_v")
+def descent_shortcut(spark, v):
+    return rounded(descent.shortcut_descent(samples_of(v)[0]))
+
+
+# -- flights, predictions, landings
+
+
+@query("select serial, predicted_t, source, " + r6("land_lat", "land_lon") + " from (select p.*, rank() over (partition by p.serial order by predicted_t desc) as rk from predictions_v p join flights_v f on p.serial = f.serial where f.state <> 'LANDED') where rk = 1", "predictions_v")
+def latest_predictions_active(spark, v):
+    return rounded(tables.latest_predictions_active(v("flights_v"), v("predictions_v")).select("serial", "predicted_t", "source", "land_lat", "land_lon"))
+
+
+@query("select serial, round(land_lat, 6) as land_lat, round(land_lon, 6) as land_lon from (select p.serial, p.land_lat, p.land_lon, row_number() over (partition by p.serial order by predicted_t desc) as rn from predictions_v p join flights_v f on p.serial = f.serial where state <> 'LANDED') where rn = 1", "predictions_v")
+def latest_paths_active(spark, v):
+    """The latest path of each flight; here the end point of its latest prediction stands for it."""
+    paths = tables.latest_predictions(v("predictions_v")).select("serial", "launch_t", "land_lat", "land_lon")
+    return rounded(tables.latest_paths_active(v("flights_v"), paths).select("serial", "land_lat", "land_lon"))
+
+
+@query("""select serial, count(*) as n, round(arg_min(alt, t), 6) as first_alt, round(arg_max(alt, t), 6) as last_alt from frames_v where cast(substr(serial, 2) as bigint) % 5 < 2 group by serial""", "frames_v")
+def tracks_active(spark, v):
+    t = v("frames_v")
+    state = F.when(F.substring("serial", 2, 20).cast("long") % 5 < 2, F.lit("DESCENT")).otherwise(F.lit("LANDED"))
+    out = tables.tracks_active(t.select("serial").distinct().withColumn("state", state), t)
+    return rounded(out.select("serial", F.size("points").cast("long").alias("n"), F.col("points")[0]["alt"].alias("first_alt"), F.element_at("points", -1)["alt"].alias("last_alt")))
+
+
+@query("select l.serial, landed_t, detected_by, type from (select * from landings_v order by landed_t desc, serial limit 50) l left join flights_v f on l.serial = f.serial", "landings_v")
+def recent_landings(spark, v):
+    return tables.recent_landings(v("landings_v"), v("flights_v"), 50).select("serial", "landed_t", "detected_by", "type")
+
+
+@query("select serial, last_seen_t, state from flights_v where state <> 'LANDED' order by last_seen_t desc, serial limit 40", "flights_v")
+def recent_flights(spark, v):
+    return tables.recent(v("flights_v"), 40, include_landed=False).select("serial", "last_seen_t", "state")
+
+
+@query("select serial, state from flights_v where state <> 'LANDED'", "flights_v")
+def active_flights(spark, v):
+    return tables.active(v("flights_v")).select("serial", "state")
+
+
+@query("""select f.serial, f.state, p.predicted_t, round(p.land_lat, 6) as land_lat, p.source from flights_v f left join (select *, row_number() over (partition by serial order by predicted_t desc) as rn from predictions_v) p on f.serial = p.serial and rn = 1""", "predictions_v")
+def flights_with_prediction(spark, v):
+    return rounded(tables.flights_with_prediction(v("flights_v"), v("predictions_v")).select("serial", "state", "prediction.predicted_t", "prediction.land_lat", "prediction.source"))
+
+
+@query(f"""select p.serial, p.predicted_t, round({hav('p.land_lat', 'p.land_lon', 'coalesce(l.land_lat, q.y)', 'coalesce(l.land_lon, q.x)')}, 6) as to_reference_km from predictions_v p left join landings_v l on p.serial = l.serial
+join (select serial, arg_max(land_lat, predicted_t) as y, arg_max(land_lon, predicted_t) as x from predictions_v group by serial) q on p.serial = q.serial""", "predictions_v", "landings_v")
+def prediction_history(spark, v):
+    return rounded(tables.prediction_history(v("predictions_v"), v("landings_v")).select("serial", "predicted_t", "to_reference_km"))
+
+
+@query("select serial, landed_t, (select count(*) from landings_v) as total from landings_v order by landed_t desc, serial limit 20 offset 40", "landings_v")
+def landings_page(spark, v):
+    return tables.page(v("landings_v"), [F.desc("landed_t"), "serial"], 20, 40).select("serial", "landed_t", "total")
+
+
+INBOUND = f", inbound as (select id as subscriber_id, serial, min(predicted_t) as sent_t from (select s.id, p.serial, p.predicted_t from predictions_v p, subscribers_v s where s.active and {hav('s.lat', 's.lon', 'p.land_lat', 'p.land_lon')} <= s.radius_km) group by id, serial)"
+
+
+def inbound_of(v):
+    m = geofence.geofence(v("predictions_v").select("serial", "predicted_t", "land_lat", "land_lon"), v("subscribers_v"))
+    return m.groupBy(F.col("id").alias("subscriber_id"), "serial").agg(F.min("predicted_t").alias("sent_t")).withColumn("alert_type", F.lit("INBOUND"))
+
+
+@query(f"{INBOUND} select a.subscriber_id, a.serial, a.sent_t, units, type from (select * from inbound order by sent_t desc, serial, subscriber_id limit 30 offset 30) a left join subscribers_v s on a.subscriber_id = s.id left join flights_v f on a.serial = f.serial", "predictions_v", "subscribers_v")
+def recent_alerts(spark, v):
+    return tables.recent_alerts(inbound_of(v), v("subscribers_v"), v("flights_v"), 30, 30).select("subscriber_id", "serial", "sent_t", "units", "type")
+
+
+@query(f"{INBOUND} select i.* from inbound i join flights_v f on i.serial = f.serial where state <> 'LANDED'", "predictions_v", "subscribers_v")
+def alerts_after_clear(spark, v):
+    return tables.clear_alerts(inbound_of(v), v("flights_v")).select("subscriber_id", "serial", "sent_t")
+
+
+@query("select p.serial, count(*) as n from predictions_v p join flights_v f on p.serial = f.serial where f.state <> 'LANDED' group by p.serial", "predictions_v")
+def predictions_after_clear(spark, v):
+    return tables.clear_accuracy(v("predictions_v"), v("flights_v")).groupBy("serial").agg(F.count("*").alias("n"))
+
+
+@query("select serial, detected_by from landings_v where detected_by <> 'timeout'", "landings_v")
+def landings_after_retraction(spark, v):
+    land = v("landings_v")
+    none = spark.createDataFrame([], "serial string, alert_type string")
+    return tables.retract_landing(land, none, land.where("detected_by = 'timeout'"))[0].select("serial", "detected_by")
+
+
+@query(f"{INBOUND} select (select count(*) from flights_v where state <> 'LANDED') as active_flights, 1800000000.0::double - (select max(last_seen_t) from flights_v) as last_frame_age_s, (select count(*) from subscribers_v where active) as subscribers, (select count(*) from inbound) as alerts", "predictions_v", "subscribers_v")
+def service_stats(spark, v):
+    return tables.stats(v("flights_v"), v("subscribers_v"), inbound_of(v), 1_800_000_000.0)
+
+
+@query(f"{SEGS}{BURSTS} select f.serial, round(arg_max(lat, f.alt), 6) as lat, round(arg_max(lon, f.alt), 6) as lon, round(any_value(burst_alt), 6) as alt from frames_v f join bursts b on f.serial = b.serial where burst_alt is not null group by f.serial", "frames_v")
+def observed_burst(spark, v):
+    return rounded(tables.track_burst(v("frames_v"), kinematics.burst_events(rates_of(v))))
+
+
+@query("""select 'launch' as kind, count(*) as n from flights_v where state <> 'LANDED' and launch_lat is not null union all select 'flight', count(*) from flights_v where state <> 'LANDED' union all select 'landing', count(*) from landings_v
+union all select 'subscriber', count(*) from subscribers_v where active union all select 'prediction', count(distinct p.serial) from predictions_v p join flights_v f on p.serial = f.serial where state <> 'LANDED'""", "predictions_v", "landings_v", "subscribers_v")
+def map_feature_counts(spark, v):
+    """The map's features, counted by kind; no track of these flights is stored."""
+    none = v("frames_v").where("false")
+    return tables.map_features(v("flights_v"), none, v("predictions_v"), v("landings_v"), v("subscribers_v")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+# -- geofence
+
+
+@query(f"""select s.id, l.serial, round({hav('s.lat', 's.lon', 'l.land_lat', 'l.land_lon')}, 6) as distance_km from landings_v l, subscribers_v s where s.active and {hav('s.lat', 's.lon', 'l.land_lat', 'l.land_lon')} <= s.radius_km""", "landings_v", "subscribers_v")
+def geofence_matches(spark, v):
+    return rounded(geofence.geofence(v("landings_v"), v("subscribers_v")).select("id", "serial", "distance_km"))
+
+
+@query(ORACLES["geofence_matches"])
+def geofence_by_cells(spark, v):
+    return rounded(geofence.geofence_cells(v("landings_v"), v("subscribers_v")).select("id", "serial", "distance_km"))
+
+
+BOX = """, b as (select min(lat - dy) as y0, max(lat + dy) as y1, min(lon - dx) as x0, max(lon + dx) as x1 from (select lat, lon, degrees(radius_km / 6371) as dy, degrees(radius_km / (6371 * greatest(1e-6, cos(radians(lat))))) as dx from subscribers_v where active)),
+roi as (select greatest(-90, y0 - m) as min_lat, least(90, y1 + m) as max_lat, greatest(-180, x0 - k) as min_lon, least(180, x1 + k) as max_lon
+  from (select *, degrees(300.0::double / 6371) as m, degrees(300.0::double / 6371 / greatest(1e-6, cos(radians(least(89.9, greatest(abs(y0), abs(y1))))))) as k from b))"""
+
+
+@query(f"{BOX} select {r6('min_lat', 'max_lat', 'min_lon', 'max_lon')} from roi", "subscribers_v")
+def capture_roi(spark, v):
+    return rounded(geofence.capture_roi(v("subscribers_v")))
+
+
+@query("select serial, count(*) as n from frames_v where (lat between 45 and 50 and lon between -90 and -60) or serial in ('S1', 'S2') group by serial", "frames_v")
+def capture_gate(spark, v):
+    roi = spark.createDataFrame([(45.0, 50.0, -90.0, -60.0)], "min_lat double, max_lat double, min_lon double, max_lon double")
+    tracked = v("frames_v").where("serial in ('S1', 'S2')")
+    return geofence.capture_gate(v("frames_v"), roi, tracked).groupBy("serial").agg(F.count("*").alias("n"))
+
+
+@query("select serial from flights_v where state <> 'LANDED' and not (last_lat between 45 and 50 and last_lon between -90 and -60)", "flights_v")
+def flights_outside_roi(spark, v):
+    roi = spark.createDataFrame([(45.0, 50.0, -90.0, -60.0)], "min_lat double, max_lat double, min_lon double, max_lon double")
+    return geofence.outside_roi(v("flights_v"), roi).select("serial")
+
+
+@query("select id, topic from subscribers_v where active and trim(topic) <> ''", "subscribers_v")
+def notifiable_subscribers(spark, v):
+    return geofence.notifiable(v("subscribers_v")).select("id", "topic")
+
+
+@query(f"""{INBOUND}, who as (select * from subscribers_v where active and trim(topic) <> ''), near as (select l.serial, s.id from landings_v l, who s where {hav('s.lat', 's.lon', 'l.land_lat', 'l.land_lon')} <= s.radius_km
+union select l.serial, i.subscriber_id from inbound i join landings_v l on i.serial = l.serial join who on who.id = i.subscriber_id)
+select n.serial, n.id, round({hav('s.lat', 's.lon', 'l.land_lat', 'l.land_lon')}, 6) as distance_km from near n join landings_v l on n.serial = l.serial join who s on n.id = s.id""", "predictions_v", "landings_v", "subscribers_v")
+def landed_audience(spark, v):
+    return rounded(geofence.landed_audience(v("landings_v"), v("subscribers_v"), inbound_of(v)))
+
+
+# -- scoring
+
+
+SCORES = f""", sc0 as (select p.*, l.landed_t, {hav('p.land_lat', 'p.land_lon', 'l.land_lat', 'l.land_lon')} as error_km, coalesce(alt_at_pred, 0) as a from predictions_v p join landings_v l on p.serial = l.serial and p.launch_t = l.launch_t),
+late as (select serial from sc0 group by serial having max(predicted_t) - max(landed_t) > 900),
+sc as (select *, error_km <= uncertainty_radius_km as inside, error_km / uncertainty_radius_km as ratio, case when a >= 0 and a < 2000 then '0-2km' when a < 5000 then '2-5km' when a < 10000 then '5-10km' when a < 20000 then '10-20km' else '20-99km' end as bucket
+  from sc0 where serial not in (select serial from late))"""
+
+
+def scores_of(v):
+    return scoring.drop_suspect(scoring.score(v("landings_v"), v("predictions_v")))
+
+
+@query(f"{SCORES} select serial, predicted_t, bucket, inside, round(error_km, 6) as error_km from sc", "predictions_v", "landings_v")
+def prediction_scores(spark, v):
+    return rounded(scores_of(v).select("serial", "predicted_t", "bucket", "inside", "error_km"))
+
+
+@query(f"{SCORES} select count(*) as n_flights, sum(n)::bigint as n_predictions, round(avg(final), 6) as mean_final_error_km, round(sum(i) / sum(n), 6) as inside_rate from (select serial, arg_max(error_km, predicted_t) as final, count(*) as n, count(*) filter (inside) as i from sc group by serial)", "predictions_v", "landings_v")
+def accuracy(spark, v):
+    return rounded(scoring.accuracy(scores_of(v)))
+
+
+@query(f"{SCORES} select b.bucket, count(sc.serial) as n, round(avg(error_km), 6) as mean_error_km from (values ('0-2km'), ('2-5km'), ('5-10km'), ('10-20km'), ('20-99km')) b(bucket) left join sc on sc.bucket = b.bucket group by b.bucket", "predictions_v", "landings_v")
+def accuracy_by_bucket(spark, v):
+    return rounded(scoring.accuracy_by_bucket(scores_of(v)))
+
+
+@query(f"""{SCORES}, cal as (select 'all' as kind, 'all' as name, * from sc union all select 'bucket', bucket, * from sc union all select 'source', source, * from sc)
+select kind, name, count(*) as n, round(avg(case when ratio <= 1 then 1 else 0 end), 6) as cover, round(quantile_cont(ratio, 0.68), 6) as r_scale from cal group by kind, name""", "predictions_v", "landings_v")
+def calibration(spark, v):
+    return rounded(scoring.calibration(scores_of(v)))
+
+
+@query(f"{SCORES} select s.scale::double as scale, round(avg(case when ratio <= s.scale then 1 else 0 end), 6) as cover from sc, (values (0.5), (1.0), (1.5), (2.0)) s(scale) group by s.scale", "predictions_v", "landings_v")
+def reliability(spark, v):
+    return rounded(scoring.reliability(scores_of(v)))
+
+
+@query(f"{SCORES} select source as mode, count(*) as n_flights, round(avg(final), 6) as mean_final_error_km, round(sum(i) / sum(n), 6) as inside_rate from (select source, serial, arg_max(error_km, predicted_t) as final, count(*) as n, count(*) filter (inside) as i from sc group by source, serial) group by source", "predictions_v", "landings_v")
+def ablation(spark, v):
+    """The predictions' source stands for the mode."""
+    return rounded(scoring.ablation(scores_of(v).withColumn("mode", F.col("source")))[0])
+
+
+@query(f"{SCORES} select serial, round(arg_max(error_km, predicted_t) filter (source = 'gfs'), 6) as gfs, round(arg_max(error_km, predicted_t) filter (source = 'measured'), 6) as measured from sc group by serial", "predictions_v", "landings_v")
+def ablation_matrix(spark, v):
+    return rounded(scoring.ablation(scores_of(v).withColumn("mode", F.col("source")))[1].select("serial", "gfs", "measured"))
+
+
+@query(f"{SCORES} select serial, round(arg_max(error_km, predicted_t), 6) as final_error_km from sc group by serial", "predictions_v", "landings_v")
+def flights_by_error(spark, v):
+    """Flights from the smallest final error, those without one last."""
+    out = scores_of(v).groupBy("serial").agg(F.max_by("error_km", "predicted_t").alias("final_error_km"))
+    return rounded(out).orderBy(F.col("final_error_km").asc_nulls_last())
+
+
+@query("select serial from flights_v where max_alt - last_alt >= 1000", "flights_v")
+def truth_guard(spark, v):
+    return scoring.truth_ok(v("flights_v")).select("serial")
+
+
+# -- priors
+
+
+@query("""select point_id, n, site_burst_alt from (select point_id, count(*) as n, round(list_sort(list(burst_alt))[count(*) // 2 + 1], 6) as site_burst_alt
+from (select s.id as point_id, f.burst_alt, row_number() over (partition by s.id order by cast(floor(launch_t / 86400) as bigint) desc, last_seen_t desc, serial) as rn
+  from subscribers_v s join flights_v f on f.launch_lat between s.lat - 0.5 - 0.5 and s.lat - 0.5 + 0.5 and f.launch_lon between s.lon - 0.5 - 0.5 and s.lon - 0.5 + 0.5
+  where burst_alt is not null and upper(f.type) like case s.id % 4 when 0 then 'RS41%' when 1 then 'DFM09%' when 2 then 'M20%' else 'RS92%' end) where rn <= 60 group by point_id) where n >= 3""", "flights_v", "subscribers_v")
+def site_burst_prior(spark, v):
+    kind = F.element_at(F.array(*map(F.lit, ("RS41-SGP", "DFM09", "M20", "rs92"))), (F.col("id") % 4 + 1).cast("int"))
+    points = v("subscribers_v").select(F.col("id").alias("point_id"), (F.col("lat") - 0.5).alias("lat"), (F.col("lon") - 0.5).alias("lon"), kind.alias("type"))
+    return rounded(priors.site_burst_prior(v("flights_v").withColumn("launch_day", F.floor(F.col("launch_t") / 86_400)), points))
+
+
+@query("""select family, count(*) as n, round(list_sort(list(descent_b))[count(*) // 2 + 1], 6) as prior_b from (select upper(split_part(type, '-', 1)) as family, descent_b,
+row_number() over (partition by upper(split_part(type, '-', 1)) order by cast(floor(launch_t / 86400) as bigint) desc, last_seen_t desc, serial) as rn from flights_v where descent_b is not null) where rn <= 60 group by family having count(*) >= 3""", "flights_v")
+def family_b_prior(spark, v):
+    return rounded(priors.family_b_prior(v("flights_v").withColumn("launch_day", F.floor(F.col("launch_t") / 86_400))))
+
+
+# -- the fold
+
+
+@query()
+def flight_events(spark, v):
+    """Events of the sequential rules over all frames."""
+    e = fold_frames(v("frames_v"), until=2e9).where("kind not in ('TRACK', 'ORIGIN')")
+    return rounded(e.select("serial", "launch_t", "kind", "t", "state", "alt", "burst_alt", "b", "detected_by"))
+
+
+@query(f"{SEGS}{BURSTS} select serial, burst_t, round(burst_alt, 6) as burst_alt from bursts", "frames_v")
+def fold_bursts(spark, v):
+    """The fold's bursts agree with the windows' on flights without reverts."""
+    return rounded(fold_frames(v("frames_v")).where("kind = 'BURST'").select("serial", "burst_t", "burst_alt"))
+
+
+@query()
+def thinned_track(spark, v):
+    return rounded(fold_frames(v("frames_v")).where("kind = 'TRACK'").select("serial", "t", "lat", "lon", "alt"))
+
+
+@query()
+def prediction_origins(spark, v):
+    """What a prediction may know at each cadence point of a descent."""
+    return rounded(fold_frames(v("frames_v")).where("kind = 'ORIGIN'").select("serial", "t", "lat", "lon", "alt", "b", "residual", "n_points", "burst_alt", "ascent_rate", F.size("bins").alias("n_bins")))
