@@ -77,33 +77,33 @@ def _around(points: DataFrame, bins: DataFrame, columns, key, keep=None) -> Data
     b = b.select(*key, F.col("alt"), F.struct("alt", *columns).alias("bin"), F.lit(None).cast(points.select(F.struct("*")).schema[0].dataType).alias("point"))
     q = points.select(*key, "alt", F.lit(None).cast(b.schema["bin"].dataType).alias("bin"), F.struct("*").alias("point"))
     w = W.partitionBy(*key).orderBy("alt", F.col("bin").isNull())
-    both = q.unionByName(b).withColumn("lo", F.last("bin", True).over(w)).withColumn("hi", F.first("bin", True).over(w.rowsBetween(1, W.unboundedFollowing)))
-    return both.where("point is not null").select("point.*", "lo", "hi")
+    both = q.unionByName(b).withColumn("bin_lo", F.last("bin", True).over(w)).withColumn("bin_hi", F.first("bin", True).over(w.rowsBetween(1, W.unboundedFollowing)))
+    return both.where("point is not null").select("point.*", "bin_lo", "bin_hi")
 
 
 def bin_near(points: DataFrame, bins: DataFrame, key=KEY) -> DataFrame:
     """Adds near: the bin closest in altitude, the lower of two."""
     out = _around(points, bins, ["bin_idx", "u", "v", "lat", "lon", "t"], key)
-    lower = F.col("hi").isNull() | (F.col("alt") - F.col("lo.alt") <= F.col("hi.alt") - F.col("alt"))
-    return out.withColumn("near", F.when(F.col("lo").isNotNull() & lower, F.col("lo")).otherwise(F.col("hi"))).drop("lo", "hi")
+    lower = F.col("bin_hi").isNull() | (F.col("alt") - F.col("bin_lo.alt") <= F.col("bin_hi.alt") - F.col("alt"))
+    return out.withColumn("near", F.when(F.col("bin_lo").isNotNull() & lower, F.col("bin_lo")).otherwise(F.col("bin_hi"))).drop("bin_lo", "bin_hi")
 
 
 def wind_at(points: DataFrame, bins: DataFrame, p: Params = DEFAULTS, key=KEY) -> DataFrame:
     """Adds u, v at alt: between bins linear, outside the column its edge, no column (0, 0). hole tells gaps and outsides,
     where callers that have a model take that instead."""
     out = _around(points, bins, ["bin_idx", "u", "v"], key)
-    w = (F.col("alt") - F.col("lo.alt")) / (F.col("hi.alt") - F.col("lo.alt"))
-    mix = lambda c: F.when(F.col("lo").isNull(), F.col(f"hi.{c}")).when(F.col("hi").isNull(), F.col(f"lo.{c}")).otherwise(F.col(f"lo.{c}") + w * (F.col(f"hi.{c}") - F.col(f"lo.{c}")))
+    w = (F.col("alt") - F.col("bin_lo.alt")) / (F.col("bin_hi.alt") - F.col("bin_lo.alt"))
+    mix = lambda c: F.when(F.col("bin_lo").isNull(), F.col(f"bin_hi.{c}")).when(F.col("bin_hi").isNull(), F.col(f"bin_lo.{c}")).otherwise(F.col(f"bin_lo.{c}") + w * (F.col(f"bin_hi.{c}") - F.col(f"bin_lo.{c}")))
     idx = F.floor(F.col("alt") / p.bin_m)
-    outside = F.coalesce(F.col("lo").isNull() & (idx < F.col("hi.bin_idx")), F.lit(False)) | F.coalesce(F.col("hi").isNull() & (idx > F.col("lo.bin_idx")), F.lit(False))
-    hole = outside | F.coalesce(F.col("hi.alt") - F.col("lo.alt") > p.gap_m, F.lit(False)) | (F.col("lo").isNull() & F.col("hi").isNull())
-    return out.withColumn("u", F.coalesce(mix("u"), F.lit(0.0))).withColumn("v", F.coalesce(mix("v"), F.lit(0.0))).withColumn("hole", hole).drop("lo", "hi")
+    outside = F.coalesce(F.col("bin_lo").isNull() & (idx < F.col("bin_hi.bin_idx")), F.lit(False)) | F.coalesce(F.col("bin_hi").isNull() & (idx > F.col("bin_lo.bin_idx")), F.lit(False))
+    hole = outside | F.coalesce(F.col("bin_hi.alt") - F.col("bin_lo.alt") > p.gap_m, F.lit(False)) | (F.col("bin_lo").isNull() & F.col("bin_hi").isNull())
+    return out.withColumn("u", F.coalesce(mix("u"), F.lit(0.0))).withColumn("v", F.coalesce(mix("v"), F.lit(0.0))).withColumn("hole", hole).drop("bin_lo", "bin_hi")
 
 
 def density_at(points: DataFrame, bins: DataFrame, key=KEY) -> DataFrame:
     """Adds rho at alt: log-linear between measured bins, outside them the standard atmosphere scaled to the edge."""
     out = _around(points, bins, ["rho"], key, F.col("rho") > 0)
     scaled = lambda e: S.std_density(F.col("alt")) * F.col(f"{e}.rho") / S.std_density(F.col(f"{e}.alt"))
-    inside = F.col("lo.rho") * F.pow(F.col("hi.rho") / F.col("lo.rho"), (F.col("alt") - F.col("lo.alt")) / (F.col("hi.alt") - F.col("lo.alt")))
-    rho = F.when(F.col("lo").isNull() & F.col("hi").isNull(), S.std_density(F.col("alt"))).when(F.col("lo").isNull(), scaled("hi")).when(F.col("hi").isNull(), scaled("lo")).otherwise(inside)
-    return out.withColumn("rho", rho).drop("lo", "hi")
+    inside = F.col("bin_lo.rho") * F.pow(F.col("bin_hi.rho") / F.col("bin_lo.rho"), (F.col("alt") - F.col("bin_lo.alt")) / (F.col("bin_hi.alt") - F.col("bin_lo.alt")))
+    rho = F.when(F.col("bin_lo").isNull() & F.col("bin_hi").isNull(), S.std_density(F.col("alt"))).when(F.col("bin_lo").isNull(), scaled("bin_hi")).when(F.col("bin_hi").isNull(), scaled("bin_lo")).otherwise(inside)
+    return out.withColumn("rho", rho).drop("bin_lo", "bin_hi")

@@ -111,5 +111,5 @@ def blended_wind(points: DataFrame, bins: DataFrame, p: Params = DEFAULTS, key=(
 
 def _with_near(points: DataFrame, bins: DataFrame, key) -> DataFrame:
     out = profiles._around(points, bins, ["bin_idx", "u", "v", "lat", "lon", "t", "bmu", "bmv"], key)
-    lower = F.col("hi").isNull() | (F.col("alt") - F.col("lo.alt") <= F.col("hi.alt") - F.col("alt"))
-    return out.withColumn("near", F.when(F.col("lo").isNotNull() & lower, F.col("lo")).otherwise(F.col("hi"))).drop("lo", "hi")
+    lower = F.col("bin_hi").isNull() | (F.col("alt") - F.col("bin_lo.alt") <= F.col("bin_hi.alt") - F.col("alt"))
+    return out.withColumn("near", F.when(F.col("bin_lo").isNotNull() & lower, F.col("bin_lo")).otherwise(F.col("bin_hi"))).drop("bin_lo", "bin_hi")

@@ -12,8 +12,9 @@ from driftspark.params import DEFAULTS, Params
 
 
 def origins_of(events: DataFrame, every_s: float = 0.0) -> DataFrame:
-    """ORIGIN rows with an id, thinned to one for each ``every_s`` seconds since launch."""
-    o = events.where("kind = 'ORIGIN' and b is not null").withColumn("origin_id", F.concat_ws("|", "serial", F.col("launch_t").cast("long"), F.col("t").cast("long"))).withColumn("ground", F.lit(0.0))
+    """ORIGIN rows with an id, thinned to one for each ``every_s`` seconds since launch. They are kept, as a landing reads them
+    several times and the fold behind them is Python; what an executor loses is folded again."""
+    o = events.where("kind = 'ORIGIN' and b is not null").persist().withColumn("origin_id", F.concat_ws("|", "serial", F.col("launch_t").cast("long"), F.col("t").cast("long"))).withColumn("ground", F.lit(0.0))
     if every_s <= 0:
         return o
     w = W.partitionBy("serial", "launch_t", F.floor((F.col("t") - F.col("launch_t")) / every_s)).orderBy("t")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspark.functions import scalars as S
-from driftspark.operators import descent, geofence, kinematics, priors, profiles, scoring, tables
+from driftspark.operators import alerts, descent, geofence, kinematics, landing, planning, priors, profiles, scoring, tables, terrain, winds
 from driftspark.operators.flights import fold_frames
+from driftspark.params import DEFAULTS
+from driftspark.plans import backtest
 from driftspark.plans.views import duckdb, view
+from driftspark.sources import grids, telemetry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -473,3 +477,285 @@ def thinned_track(spark, v):
 def prediction_origins(spark, v):
     """What a prediction may know at each cadence point of a descent."""
     return rounded(fold_frames(v("frames_v")).where("kind = 'ORIGIN'").select("serial", "t", "lat", "lon", "alt", "b", "residual", "n_points", "burst_alt", "ascent_rate", F.size("bins").alias("n_bins")))
+
+
+# -- sources
+
+
+def raw_v(v):
+    """The frames as JSON texts: some numbers quoted, some fields bad, every seventh frame twice."""
+    f = v("frames_v")
+    text = lambda c: F.when(F.col("frame") % 3 == 0, F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"'))).otherwise(F.col(c).cast("string"))
+    lat = F.when(F.col("frame") % 97 == 0, F.lit("95")).otherwise(text("lat"))
+    serial = F.when(F.col("frame") % 101 == 0, F.lit(" ")).otherwise(F.col("serial"))
+    at = F.date_format(F.timestamp_seconds("t"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    value = F.concat(F.lit('{"serial":"'), serial, F.lit('","frame":'), F.col("frame").cast("string"), F.lit(',"datetime":"'), at, F.lit('","lat":'), lat, F.lit(',"lon":'), text("lon"), F.lit(',"alt":'), text("alt"),
+                     F.lit(',"vel_v":'), F.when(F.col("frame") % 5 == 0, F.lit('"-9999"')).otherwise(F.lit("1.5")), F.lit(',"type":"'), F.col("type"), F.lit('"}'))
+    return f.withColumn("value", value).withColumn("value", F.explode(F.when(F.col("frame") % 7 == 0, F.array("value", "value")).otherwise(F.array("value")))).select("value")
+
+
+@query("""select serial, frame, t, type, round(lat, 6) as lat, round(lon, 6) as lon, round(alt, 6) as alt, case when frame % 5 <> 0 then 1.5::double end as vel_v from frames_v, range(0, 2) r(i)
+where frame % 97 <> 0 and frame % 101 <> 0 and (i = 0 or frame % 7 = 0)""", "frames_v")
+def normalized_frames(spark, v):
+    frames, _ = telemetry.normalize_frames(raw_v(v))
+    return rounded(frames.select("serial", "frame", "t", "type", "lat", "lon", "alt", "vel_v"))
+
+
+@query("select case when frame % 101 = 0 then 'serial' else 'latitude' end as reason, count(*) as n from frames_v, range(0, 2) r(i) where (frame % 97 = 0 or frame % 101 = 0) and (i = 0 or frame % 7 = 0) group by 1", "frames_v")
+def rejected_frames(spark, v):
+    return telemetry.normalize_frames(raw_v(v))[1].groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("""select serial, lat, recovered from (select 'S' || (o_custkey % 300) as serial, o_totalprice as lat, o_orderkey % 3 > 0 as recovered, row_number() over (partition by o_custkey % 300 order by epoch(o_orderdate), o_totalprice, o_orderkey) as rn from orders where o_orderkey % 3 > 0)
+where rn = 1 and serial in (select serial from frames_v) and cast(substr(serial, 2) as int) % 10 <> 0""", "frames_v")
+def corpus_from_reports(spark, v):
+    """Orders stand for recovery reports, suppliers' flights for the archive; every tenth is in the corpus already."""
+    reports = v("orders").select(F.concat(F.lit("S"), F.col("o_custkey") % 300).alias("serial"), F.unix_timestamp("o_orderdate").alias("reported_t"), F.col("o_totalprice").alias("lat"), F.col("o_orderkey").alias("lon"), (F.col("o_orderkey") % 3 > 0).alias("recovered"))
+    have = v("frames_v").select("serial").distinct().where(F.substring("serial", 2, 20).cast("int") % 10 == 0)
+    return telemetry.build_corpus(reports, v("frames_v"), have, recovered_only=True).select("serial", "lat", "recovered")
+
+
+@query("""select serial, count(*) as n, count(distinct t) as n_times from (select serial, t, frame from frames_v where frame < 100 union all select f.serial, f.t, f.frame from frames_v f where frame >= 80 and t > (select max(t) from frames_v h where h.serial = f.serial and h.frame < 100)) group by serial""", "frames_v")
+def merged_history(spark, v):
+    f = v("frames_v")
+    return tables.merge_history(f.where("frame < 100").unionByName(f.where("frame < 50")), f.where("frame >= 80")).groupBy("serial").agg(F.count("*").alias("n"), F.countDistinct("t").alias("n_times"))
+
+
+# -- grids and planning
+
+
+INVENTORY = ", inv as (select distinct 1704067200.0::double + (c_custkey % 400) * 86400 + (c_custkey % 4) * 21600 as cycle_t, (c_custkey * 7 % 24)::int as fxx from customer), inventory as (select *, cycle_t + fxx * 3600 as valid_t from inv)"
+
+
+def paths_v(v):
+    day = F.date_format(F.timestamp_seconds(1704067200 + (F.col("c_custkey") % 400) * 86400), "yyyyMMdd")
+    name = F.format_string("/archive/20200101/gfs/%s/subset_%d__gfs.t%02dz.pgrb2.0p25.f%03d", day, F.col("c_custkey"), (F.col("c_custkey") % 4) * 6, F.col("c_custkey") * 7 % 24)
+    path = F.when(F.col("c_custkey") % 13 == 5, F.concat(name, F.lit(".idx"))).otherwise(name)
+    return v("customer").select("c_custkey", path.alias("path"))
+
+
+def inventory_v(v):
+    return grids.grid_inventory(paths_v(v).withColumn("path", F.regexp_replace("path", r"\.idx$", ""))).select("cycle_t", "fxx", "valid_t").distinct()
+
+
+@query("select cycle_t, fxx, cycle_t + fxx * 3600 as valid_t, count(*) as n from (select 1704067200.0::double + (c_custkey % 400) * 86400 + (c_custkey % 4) * 21600 as cycle_t, (c_custkey * 7 % 24)::int as fxx from customer where c_custkey % 13 <> 5) group by cycle_t, fxx")
+def grid_inventory(spark, v):
+    return grids.grid_inventory(paths_v(v)).groupBy("cycle_t", "fxx", "valid_t").agg(F.count("*").alias("n"))
+
+
+@query(f"{INVENTORY} select cycle_t, fxx from inventory where cycle_t < 1715000000", "flights_v")
+def expired_cycles(spark, v):
+    return grids.expired_cycles(inventory_v(v), 1_715_000_000.0 + 48 * 3600, 48).select("cycle_t", "fxx")
+
+
+@query(f"{INVENTORY}, pts as (select serial, predicted_t, (select max(cycle_t) from inventory i where i.cycle_t <= p.predicted_t - 14400) as cycle_t from predictions_v p) select serial, predicted_t, cycle_t from pts", "predictions_v")
+def cycle_pick(spark, v):
+    """The newest cycle published at each prediction."""
+    return planning.pick_cycle(v("predictions_v").withColumn("t", F.col("predicted_t")), inventory_v(v)).select("serial", "predicted_t", "cycle_t")
+
+
+@query(f"""{INVENTORY}, pts as (select serial, predicted_t as t, (select max(cycle_t) from inventory i where i.cycle_t <= p.predicted_t - 14400) as cycle_t from predictions_v p),
+b as (select serial, t, coalesce(max(valid_t) filter (valid_t <= t), min(valid_t)) as lo_t, coalesce(min(valid_t) filter (valid_t >= t), max(valid_t)) as hi_t from pts join inventory using (cycle_t) group by serial, t)
+select serial, t, lo_t, hi_t, round(case when hi_t > lo_t then greatest(0, least(1, (t - lo_t) / (hi_t - lo_t))) else 0 end, 6) as w from b""", "predictions_v")
+def cycle_bracket(spark, v):
+    p = planning.pick_cycle(v("predictions_v").withColumn("t", F.col("predicted_t")), inventory_v(v))
+    return rounded(planning.bracket(p.where("cycle_t is not null"), inventory_v(v)).select("serial", "t", "lo_t", "hi_t", "w"))
+
+
+EXTENT = ", ext as (select serial, min(t) as t_lo, max(t) as t_hi, min(lat) as min_lat, max(lat) as max_lat, min(lon) as min_lon, max(lon) as max_lon from frames_v group by serial)"
+
+
+@query(f"{EXTENT} select serial, t_lo, t_hi, {r6('min_lat', 'max_lat', 'min_lon', 'max_lon')} from ext", "frames_v")
+def flight_extents(spark, v):
+    return rounded(planning.flight_extent(v("frames_v")))
+
+
+PLAN = f"""{EXTENT}, c as (select *, floor((t_lo - 14400) / 21600) * 21600 as cycle_t from ext), d as (select *, least(ceil((t_hi + 7200 - cycle_t) / 3600), 120)::int as hi, greatest(0, floor((t_lo - cycle_t) / 3600))::int as lo0 from c),
+plan as (select cycle_t, min(least(lo0, hi)) as lo, max(hi) as hi, count(*) as n_flights from d group by cycle_t)"""
+
+
+@query(f"{PLAN} select * from plan", "frames_v")
+def cycle_plan(spark, v):
+    none = spark.createDataFrame([], "cycle_t double, fxx int")
+    return planning.plan_cycles(planning.flight_extent(v("frames_v")), none)[0].select("cycle_t", "lo", "hi", "n_flights")
+
+
+@query(f"{PLAN}, need as (select cycle_t, unnest(range(lo, hi + 1))::int as fxx from plan) select * from need where fxx % 2 = 1", "frames_v")
+def cycles_missing(spark, v):
+    none = spark.createDataFrame([], "cycle_t double, fxx int")
+    extents = planning.flight_extent(v("frames_v"))
+    need = planning.plan_cycles(extents, none)[1]
+    return planning.plan_cycles(extents, need.where("fxx % 2 = 0"))[1].select("cycle_t", "fxx")
+
+
+TILE = lambda y, x: f"(case when {y} >= 0 then 'N' else 'S' end || lpad(abs({y})::int::varchar, 2, '0') || '_00_' || case when {x} >= 0 then 'E' else 'W' end || lpad(abs({x})::int::varchar, 3, '0') || '_00')"
+
+
+@query(f"{EXTENT}, y as (select serial, unnest(range(floor(min_lat)::int, floor(max_lat)::int + 1)) as ty, floor(min_lon)::int as x0, floor(max_lon)::int as x1 from ext), x as (select serial, ty, unnest(range(x0, x1 + 1)) as tx from y) select serial, {TILE('ty', 'tx')} as tile from x", "frames_v")
+def terrain_tiles(spark, v):
+    return terrain.tiles_for_bbox(planning.flight_extent(v("frames_v"))).select("serial", "tile")
+
+
+@query(f"{EXTENT}, y as (select unnest(range(floor(min_lat)::int, floor(max_lat)::int + 1)) as ty, floor(min_lon)::int as x0, floor(max_lon)::int as x1 from ext), x as (select ty, unnest(range(x0, x1 + 1)) as tx from y) select distinct {TILE('ty', 'tx')} as tile from x where ty % 2 = 1 and tx % 3 <> 0", "frames_v")
+def terrain_missing(spark, v):
+    """Tiles needed, without those at even latitudes (there) and at longitudes divisible by 3 (known not to exist)."""
+    need = terrain.tiles_for_bbox(planning.flight_extent(v("frames_v"))).select("tile", "ty", "tx").distinct()
+    return planning.missing(need.select("tile"), need.where("ty % 2 = 0").select("tile"), need.where("tx % 3 = 0").select("tile"), ["tile"])
+
+
+CELLS = ", cells as (select 'g' as file_id, (1000 - 90 * floor(alt / 3000))::double as level, (floor(lat) - 40)::bigint as iy, (floor(lon) + 100)::bigint as ix, avg(alt) as gh, avg(lat) / 7 as u, avg(lon) / 13 as v from frames_v where alt < 30000 group by all)"
+
+
+def cells_v(v):
+    """A coarse grid from the frames' own positions: means on one-degree cells and eight levels."""
+    level = (1000 - 90 * F.floor(F.col("alt") / 3000)).cast("double")
+    f = v("frames_v").where("alt < 30000").withColumn("level", level).withColumn("iy", (F.floor("lat") - 40).cast("long")).withColumn("ix", (F.floor("lon") + 100).cast("long"))
+    return f.groupBy(F.lit("g").alias("file_id"), "level", "iy", "ix").agg(F.avg("alt").alias("gh"), (F.avg("lat") / 7).alias("u"), (F.avg("lon") / 13).alias("v"), F.lit(None).cast("double").alias("t"))
+
+
+def axes_v(spark):
+    return spark.createDataFrame([("g", 40.0, 1.0, 21, -100.0, 1.0, 61)], "file_id string, lat0 double, dlat double, ny int, lon0 double, dlon double, nx int")
+
+
+CORNERS = """, q as (select serial as point_id, least(greatest(last_lat - 40, 0), 20) as fy, least((last_lon + 100) - 360 * floor((last_lon + 100) / 360), 60) as fx from flights_v),
+q1 as (select point_id, fy - floor(fy) as wy, fx - floor(fx) as wx, floor(fy)::bigint as y, floor(fx)::bigint as x from q),
+corners as (select * from (select point_id, least(y + dy, 20) as iy, least(x + dx, 60) as ix, (case dy when 1 then wy else 1 - wy end) * (case dx when 1 then wx else 1 - wx end) as w from q1, range(0, 2) a(dy), range(0, 2) b(dx)) where w > 0)"""
+
+
+@query(f"{CORNERS} select point_id, count(*) as n, round(sum(w), 8) as w, round(sum(w * iy), 8) as y, round(sum(w * ix), 8) as x from corners group by point_id", "flights_v")
+def grid_corners(spark, v):
+    points = v("flights_v").select(F.col("serial").alias("point_id"), F.lit("g").alias("file_id"), F.col("last_lat").alias("lat"), F.col("last_lon").alias("lon"))
+    c = winds.grid_corners(points, axes_v(spark))
+    return rounded(c.groupBy("point_id").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("iy")).alias("y"), F.sum(F.col("w") * F.col("ix")).alias("x")), 8)
+
+
+@query(f"{CORNERS}{CELLS} select point_id, level, round(sum(w * gh) / sum(w), 6) as gh, round(sum(w * u) / sum(w), 6) as u, round(sum(w * v) / sum(w), 6) as v from corners join cells using (iy, ix) group by point_id, level", "flights_v", "frames_v")
+def model_columns(spark, v):
+    points = v("flights_v").select(F.col("serial").alias("point_id"), F.lit("g").alias("file_id"), F.col("last_lat").alias("lat"), F.col("last_lon").alias("lon"))
+    return rounded(winds.column_at(points, cells_v(v), axes_v(spark)).select("point_id", "level", "gh", "u", "v"))
+
+
+@query(f"{CORNERS}{CELLS}, col as (select point_id, level, sum(w * gh) / sum(w) as gh, sum(w * u) / sum(w) as u from corners join cells using (iy, ix) group by point_id, level) select point_id, floor(gh / 150)::bigint as bin_idx, count(*) as n, round(avg(u), 6) as u from col group by point_id, floor(gh / 150)", "flights_v", "frames_v")
+def model_bins(spark, v):
+    points = v("flights_v").select(F.col("serial").alias("point_id"), F.lit("g").alias("file_id"), F.col("last_lat").alias("lat"), F.col("last_lon").alias("lon"))
+    return rounded(winds.bins_from_levels(winds.column_at(points, cells_v(v), axes_v(spark))).select("point_id", "bin_idx", "n", "u"))
+
+
+@query()
+def model_wind_at_points(spark, v):
+    """Model wind at each landing's last altitude; one file serves as both hours."""
+    points = v("landings_v").select(F.col("serial").alias("point_id"), F.col("land_lat").alias("lat"), F.col("land_lon").alias("lon"), F.col("land_alt").alias("alt"), F.lit("g").alias("lo_file"), F.lit("g").alias("hi_file"), F.lit(0.25).alias("w"))
+    return rounded(winds.model_wind(points, cells_v(v), axes_v(spark)).select("point_id", "mu", "mv"))
+
+
+@query(f"{CELLS} select iy, ix, level, round(gh, 6) as gh, round(u, 6) as u, round(v, 6) as v, null::double as t from cells where ix % 2 = 0", "frames_v")
+def assembled_grid(spark, v):
+    """u everywhere, v on even columns, temperature not everywhere, so nowhere."""
+    g = cells_v(v)
+    part = lambda c: g.select(*winds.CELL, F.col(c).alias("value"))
+    out = winds.assemble_grid(part("u"), part("v").where("ix % 2 = 0"), part("gh"), part("gh").where("ix % 4 = 0"))
+    return rounded(out.select("iy", "ix", "level", "gh", "u", "v", "t"))
+
+
+@query(f"{CELLS} select s.id as centre_id, count(*) as n from cells c, subscribers_v s where abs((c.iy + 40) - s.lat) <= 2 and (c.ix - 100) - (s.lon - 2) - 360 * floor(((c.ix - 100) - (s.lon - 2)) / 360) <= 4 group by s.id", "frames_v", "subscribers_v")
+def wind_windows(spark, v):
+    g = cells_v(v).withColumn("lat", F.col("iy") + 40.0).withColumn("lon", F.col("ix") - 100.0)
+    c = v("subscribers_v").select(F.col("id").alias("centre_id"), "lat", "lon")
+    return grids.wind_window(g, c, 2.0).groupBy("centre_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def ground_heights(spark, v):
+    """Ground at each landing, on terrain cells from the customers' positions (four a degree)."""
+    f = v("flights_v").where("launch_lat is not null")
+    cells = f.select(S.tile_name(F.col("launch_lat"), F.col("launch_lon")).alias("tile"), F.lit(4).alias("res"), F.floor((F.col("launch_lat") - F.floor("launch_lat")) * 4).alias("row"), F.floor((F.col("launch_lon") - F.floor("launch_lon")) * 4).alias("col"), F.col("last_alt").alias("elev"))
+    cells = cells.groupBy("tile", "res", "row", "col").agg(F.avg("elev").alias("elev"))
+    points = v("landings_v").select(F.col("serial").alias("point_id"), F.col("land_lat").alias("lat"), F.col("land_lon").alias("lon"))
+    return rounded(terrain.ground_at(points, cells).select("point_id", "ground"))
+
+
+@query()
+def blended_winds(spark, v):
+    """Measured winds blended with a model wind of (5, 2) m/s."""
+    q = altitudes(v).join(v("frames_v").groupBy("serial").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.max("t").alias("t")), "serial")
+    q = q.withColumn("ground", F.lit(0.0)).withColumn("mu", F.lit(5.0)).withColumn("mv", F.lit(2.0))
+    return rounded(winds.blended_wind(q, profiles.wind_profile(v("frames_v"))).select("serial", "alt", "wu", "wv"))
+
+
+@query()
+def bias_corrected_winds(spark, v):
+    q = altitudes(v).join(v("frames_v").groupBy("serial").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.max("t").alias("t")), "serial")
+    q = q.withColumn("ground", F.lit(0.0)).withColumn("mu", F.lit(5.0)).withColumn("mv", F.lit(2.0))
+    bins = profiles.wind_profile(v("frames_v")).withColumn("bmu", F.lit(4.0)).withColumn("bmv", F.lit(2.0))
+    return rounded(winds.blended_wind(q, bins, bias=True).select("serial", "alt", "wu", "wv"))
+
+
+# -- landing estimates, backtest, alerts
+
+
+@query()
+def landing_predictions(spark, v):
+    """A landing for every minute of every descent, from what was known then."""
+    o = backtest.origins_of(fold_frames(v("frames_v")), 60)
+    return rounded(landing.predict(o).select("serial", "predicted_t", "land_lat", "land_lon", "land_t", "uncertainty_radius_km", "alt_at_pred"))
+
+
+@query()
+def member_predictions(spark, v):
+    """The same with members: mean points and radii."""
+    o = backtest.origins_of(fold_frames(v("frames_v")), 300)
+    return rounded(landing.predict(o, members=40).select("serial", "predicted_t", "land_lat", "land_lon", "land_t", "uncertainty_radius_km"))
+
+
+@query()
+def preburst_predictions(spark, v):
+    """Landings of flights still rising, from their column below and the default descent."""
+    f = v("frames_v").where("frame <= 400")
+    bins = profiles.wind_profile(f).withColumnRenamed("serial", "origin_id")
+    last = f.groupBy("serial").agg(F.max_by(F.struct("t", "lat", "lon", "alt"), "t").alias("x"), F.min("t").alias("launch_t"), F.first("type").alias("type")).select("serial", "launch_t", "type", "x.*")
+    o = last.withColumn("origin_id", F.col("serial")).withColumn("ascent_rate", F.lit(5.0)).withColumn("burst_timer", F.lit(None).cast("double")).withColumn("ground", F.lit(0.0))
+    return rounded(landing.preburst(o, bins, p=dataclasses.replace(DEFAULTS, preburst_min_cover=0.5)).select("serial", "predicted_t", "land_lat", "land_lon", "land_t"))
+
+
+def truth_of(v):
+    """The frames' last fix, of flights that came down."""
+    return backtest.last_fix(v("frames_v")).where("truth_alt < 1000")
+
+
+@query()
+def backtest_scores(spark, v):
+    return rounded(backtest.backtest(v("frames_v"), truth_of(v)).select("serial", "predicted_t", "bucket", "error_km", "inside"))
+
+
+@query()
+def backtest_ablation(spark, v):
+    """With and without the refresh of bins on descent."""
+    s = backtest.ablate(v("frames_v"), truth_of(v), {"refresh": DEFAULTS, "no refresh": dataclasses.replace(DEFAULTS, refresh_cap=10**9)}, every_s=300)
+    return rounded(scoring.ablation(s)[0])
+
+
+@query()
+def alert_lifecycle(spark, v):
+    """All alerts of all predictions."""
+    return rounded(alerts.alert_lifecycle(alerts.matches(v("predictions_v"), v("subscribers_v"))))
+
+
+@query(f"""select subscriber_id, serial, count(*) as n, min(t) as sent_t from (select s.id as subscriber_id, p.serial, p.predicted_t as t from predictions_v p, subscribers_v s where s.active and trim(s.topic) <> '' and {hav('s.lat', 's.lon', 'p.land_lat', 'p.land_lon')} <= s.radius_km) group by all""", "predictions_v", "subscribers_v")
+def inbound_alerts(spark, v):
+    """Each audience's first alert, and how many predictions lay inside."""
+    m = alerts.matches(v("predictions_v"), v("subscribers_v"))
+    first = alerts.alert_lifecycle(m).where("alert_type = 'INBOUND'").select("subscriber_id", "serial", "sent_t")
+    return m.groupBy("subscriber_id", "serial").agg(F.count("*").alias("n")).join(first, ["subscriber_id", "serial"])
+
+
+@query()
+def alert_texts(spark, v):
+    a = alerts.alert_lifecycle(alerts.matches(v("predictions_v"), v("subscribers_v")))
+    return alerts.alert_text(a, v("subscribers_v")).select("subscriber_id", "serial", "alert_type", "title", "text", "url")
+
+
+@query("""select user_id::varchar as serial, count(*) as n, count(*) filter (gap > 21600 or gap is null) as n_flights from (select user_id, epoch(ts) - lag(epoch(ts)) over (partition by user_id order by ts) as gap from events) group by user_id""")
+def flights_by_gap(spark, v):
+    """Serials parted into flights by silence of six hours, over the event stream."""
+    e = v("events").select(F.col("user_id").cast("string").alias("serial"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    return kinematics.assign_flights(e).groupBy("serial").agg(F.count("*").alias("n"), F.countDistinct("flight").alias("n_flights"))
