@@ -32,14 +32,23 @@ SLACK = 0.12
 
 
 def normalised(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, e: unit vector in doubles, or null where nothing can be compared)."""
-    e = F.transform("embedding", lambda x: x.cast("double"))
-    fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    biggest = F.array_max(F.transform(e, F.abs))
-    scaled = F.transform(e, lambda x: x / biggest)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    ok = F.col("label").isNotNull() & (F.size(e) > 0) & fine & (biggest > 0)
-    return vectors.select(F.col("vec_id").cast("long"), F.col("label"), F.when(F.coalesce(ok, F.lit(False)), F.transform(scaled, lambda x: x / norm)).alias("e"))
+    """(vec_id, label with the vector's length, e: unit vector in doubles; both null where nothing can be compared)."""
+
+    def run(batches):
+        for b in batches:
+            out, labels = [], []
+            for e, label in zip(b["embedding"], b["label"]):
+                x = None if e is None or pd.isna(label) else np.array(e, dtype=float)  # null components become nan
+                if x is None or not len(x) or not np.isfinite(x).all() or not x.any():
+                    out.append(None)
+                else:
+                    x = x / np.abs(x).max()
+                    out.append(x / np.sqrt((x * x).sum()))
+                labels.append(None if out[-1] is None else f"{label}|{len(x)}")
+            yield pd.DataFrame({"vec_id": b["vec_id"], "label": labels, "e": out})
+
+    slim = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>"))
+    return slim.mapInPandas(run, "vec_id long, label string, e array<double>")
 
 
 def fit_centres(sample: pd.DataFrame, sizes: dict, shard: int, rounds: int = 8) -> dict:
@@ -173,7 +182,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int =
     """
     spark = vectors.sparkSession
     small_batches(spark, 1024)
-    rows = save(normalised(vectors).withColumn("label", F.concat_ws("|", F.col("label").cast("string"), F.size("e").cast("string"))), "vectors")
+    rows = save(normalised(vectors), "vectors")
     content = F.xxhash64("e")
     content2 = F.md5(F.array_join(F.transform("e", lambda x: x.cast("string")), ",").cast("binary"))
     keyed = save(rows.where("e is not null").select("vec_id", "label", "e", content.alias("k1"), content2.alias("k2")), "vector-keys")
