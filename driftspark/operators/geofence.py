@@ -54,12 +54,17 @@ def _circles(subscribers: DataFrame) -> DataFrame:
 def geofence_cells(points: DataFrame, subscribers: DataFrame, deg: float = 1.0) -> DataFrame:
     """Radius join by cells: a circle lies in all cells of its box, a point in one, and the join is on the cell. Longitudes wrap;
     circles that reach a pole take the whole ring of cells."""
-    c = _circles(subscribers).withColumn("b", S.circle_box(F.col("s_lat"), F.col("s_lon"), F.col("radius_km")))
+    angle = F.col("radius_km") / S.EARTH_KM
+    top, low = F.col("s_lat") + F.degrees(angle), F.col("s_lat") - F.degrees(angle)
+    # how far east a circle reaches: at its widest, which is not at its centre's latitude
+    wide = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(angle) / F.greatest(F.lit(1e-9), F.cos(F.radians("s_lat"))))))
     n = int(round(360 / deg))
-    polar = (F.col("b.max_lat") >= 90) | (F.col("b.min_lat") <= -90) | (F.col("b.max_lon") - F.col("b.min_lon") >= 360)
-    cy = F.sequence(F.floor(F.col("b.min_lat") / deg), F.floor(F.col("b.max_lat") / deg))
-    cx = F.when(polar, F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).otherwise(F.transform(F.sequence(F.floor((F.col("b.min_lon") + 180) / deg), F.floor((F.col("b.max_lon") + 180) / deg)), lambda x: F.pmod(x, F.lit(n))))
-    c = c.withColumn("cy", F.explode(cy)).withColumn("cx", F.explode(F.array_distinct(cx))).drop("b")
+    polar = (top >= 90) | (low <= -90) | (wide >= 180)
+    cy = F.sequence(F.floor(low / deg), F.floor(top / deg))
+    ring = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    cx = F.when(polar, ring).otherwise(F.transform(F.sequence(F.floor((F.col("s_lon") - wide + 180) / deg), F.floor((F.col("s_lon") + wide + 180) / deg)), lambda x: F.pmod(x, F.lit(n))))
+    c = _circles(subscribers)
+    c = c.withColumn("cy", F.explode(cy)).withColumn("cx", F.explode(F.array_distinct(cx)))
     q = points.withColumn("cy", F.floor(F.col("land_lat") / deg)).withColumn("cx", F.pmod(F.floor((F.col("land_lon") + 180) / deg), F.lit(n)))
     return _match(q.join(c, ["cy", "cx"]).drop("cy", "cx"))
 
