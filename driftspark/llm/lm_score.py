@@ -1,80 +1,196 @@
 """Stupid-backoff language-model scores, relationally.
 
-N-grams of hashed words are counted over all documents in tables partitioned by hash. Each document's n-grams are joined to the
-table of the highest order; what the table lacks (n-grams seen fewer than ``min_count`` times) backs off to the next order at
-``backoff`` of the score, down to single words. A document's score is the sum of the logarithms.
+1. The documents are packed into batches, rows of some hundred documents with a number, in the shared folder.
+2. Each batch gives its distinct n-grams of every order, as sorted hashes with how often they occur, cut by hash range into
+   partitions; in each partition the batches' counts are added up (the count table) and joined back to the batches' n-grams.
+3. Each batch receives the counts of its n-grams, joins them to its positions and sums the scores of each document.
+
+An n-gram counts as seen if it occurs ``min_count`` times in all documents together; else the next order is asked at ``backoff``
+of the score, down to single words. A frequent n-gram is one entry per batch, so no partition grows with its occurrences.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import WORD
+from driftspark.llm.common import save, small_batches
 
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
+#: Bytes of text in a batch, about, and n-grams in a partition of the count tables.
+BATCH_BYTES, PARTITION_GRAMS = 3_000_000, 1_500_000
 
+_SEED = np.uint64(0x9E3779B97F4A7C15)
 
-def positions(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(doc_id, g: array of the word's hash n-grams, the longest first, that end at the word; m: how often in the document).
 
-    g[0] is the hash of the last ``order`` words, g[-1] of the word alone; at a text's start shorter ones stand in for the
-    longer, as null.
-    """
-    words = F.filter(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    gram = lambda i, n: F.when(i + 1 >= n, F.xxhash64(F.slice("w", i - n + 2, n)))
-    each = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(*(gram(i, n).alias(f"g{n}") for n in range(order, 0, -1)), *(F.when(i + 1 >= n, F.xxhash64(F.slice("w", i - n + 2, n - 1))).alias(f"c{n}") for n in range(order, 1, -1))))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words.alias("w")).where(F.size("w") > 0)
-    return rows.select("doc_id", "text_hash", F.explode(each).alias("p")).select("doc_id", "text_hash", "p.*")
-
-
-def counts(places: DataFrame, order: int, min_count: int) -> list[DataFrame]:
-    """For each order n from the highest to 2: (gn, log of its share of its context), for n-grams seen min_count times; then (g1,
-    log share) of single words. Counts are summed up in each task before they are shuffled by hash."""
-    total = places.select(F.count("*").alias("total"))
-    out = []
-    for n in range(order, 1, -1):
-        gram = places.where(f"g{n} is not null").groupBy(f"g{n}", f"c{n}").agg(F.count("*").alias("k")).where(F.col("k") >= min_count)
-        context = places.where(f"g{n - 1} is not null").groupBy(F.col(f"g{n - 1}").alias(f"c{n}")).agg(F.count("*").alias("kc"))
-        out.append(gram.join(context, f"c{n}").select(f"g{n}", F.log(F.col("k") / F.col("kc")).alias("s")))
-    word = places.groupBy("g1").agg(F.count("*").alias("k")).join(F.broadcast(total))  # one number
-    return [*out, word.select("g1", F.log(F.col("k") / F.col("total")).alias("s"))]
-
-
-def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
+def _squeeze(x: np.ndarray) -> bytes:
+    """Rising integers as differences, byte planes apart, compressed."""
+    d = np.diff(x, prepend=x.dtype.type(0))
+    return zstandard.ZstdCompressor(level=1).compress(d.view(np.uint8).reshape(len(d), x.dtype.itemsize).T.tobytes())
+
+
+def _expand(b: bytes, n: int, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b, max_output_size=n * np.dtype(kind).itemsize), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, n).T).view(kind).ravel(), dtype=kind)
+
+
+def _flat(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.astype(np.uint32).tobytes())
+
+
+def _unflat(b: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b, max_output_size=4 * n), np.uint32)
+
+
+def words_of(text: str) -> list[bytes]:
+    return text.lower().encode("utf-8", "surrogatepass").split()
+
+
+def _grams(texts: list[str], order: int):
+    """Words of each text, and for n = 1 .. order the hashes of the n-grams that end at each word (of all texts in a row), with
+    which words have n - 1 words before them in their text."""
+    words = [words_of(t) for t in texts]
+    lengths = np.array([len(w) for w in words], np.int64)
+    h = np.fromiter((xxhash.xxh3_64_intdigest(x) for w in words for x in w), np.uint64, int(lengths.sum()))
+    at = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out, g = [], h
+    for n in range(1, order + 1):
+        if n > 1:
+            g = np.concatenate([g[:1], g[:-1]])  # the n-gram of the word before
+            g = (g ^ (g >> np.uint64(31))) * _SEED + h
+            g ^= g >> np.uint64(29)
+        out.append((g, at >= n - 1))
+    return lengths, out
+
+
+def _pack(docs: DataFrame, batch_bytes: int) -> DataFrame:
+    """(batch, doc_ids, lengths in bytes, texts: one compressed string): batches in the order of the scan."""
+
+    def run(batches):
+        part, k, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def row():
+            raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+            body = zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
+            return pa.record_batch([pa.array([part << 32 | k]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(r) for r in raw]], pa.list_(pa.int64())), pa.array([body], pa.binary())], names=["batch", "doc_ids", "lengths", "texts"])
+
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+                t = t.as_py() or ""
+                ids.append(i)
+                texts.append(t)
+                size += len(t)
+                if size >= batch_bytes:
+                    yield row()
+                    k, ids, texts, size = k + 1, [], [], 0
+        if ids:
+            yield row()
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "batch long, doc_ids array<long>, lengths array<long>, texts binary")
+
+
+def _texts(row) -> list[str]:
+    total = int(sum(row["lengths"]))
+    raw = zstandard.ZstdDecompressor().decompress(row["texts"], max_output_size=max(total, 1)) if total else b""
+    ends = np.cumsum(row["lengths"])
+    return [raw[e - n : e].decode("utf-8", "surrogatepass") for e, n in zip(ends, row["lengths"])]
+
+
+def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT, batch_bytes: int = BATCH_BYTES, partition_grams: int = PARTITION_GRAMS) -> DataFrame:
     """docs (doc_id, text, …) to one row per input row: doc_id, n_words, log_score (natural logarithm, 0 for no words),
     perplexity (null for no words), each order's share of the words (order_1 … order_n).
 
     Words are lower-cased and split at ASCII white space. Null and blank texts have no words. Repeated rows count as often as
-    they occur and each comes back with its own score. Other columns are ignored; an empty table gives no rows.
+    they occur and each comes back with its own score. At a text's start the orders that it is too short for are passed over
+    like n-grams not seen. Other columns are ignored; an empty table gives no rows.
     """
-    places = positions(docs, order)
-    tables = counts(places, order, min_count)
-    key = ["doc_id", "text_hash"]
-    rest = places.groupBy(*key, *(f"g{n}" for n in range(order, 0, -1))).agg(F.count("*").alias("m"))
-    parts, lost = [], 0.0
-    for n, table in zip(range(order, 0, -1), tables):
-        met = rest.join(table, f"g{n}", "left")
-        lower = [f"g{k}" for k in range(n - 1, 0, -1)]
-        parts.append(met.where("s is not null").groupBy(*key).agg(F.sum(F.col("m") * (F.col("s") + F.lit(lost))).alias("s"), F.sum("m").alias("m"), F.lit(n).alias("n")))
-        if n > 1:
-            met = met.where("s is null")
-            lost += math.log(backoff)
-            rest = met.groupBy(*key, *lower).agg(F.sum("m").alias("m"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    # a repeated row's words are all summed under its key, so each of its rows has its part
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
-    times = rows.groupBy(*key).agg(F.count("*").alias("times"))
-    own = every.groupBy(*key).agg(F.sum("s").alias("s"), F.sum("m").alias("m"), *(F.coalesce(F.sum(F.when(F.col("n") == n, F.col("m"))), F.lit(0)).alias(f"m{n}") for n in range(1, order + 1)))
-    out = times.join(own, [times[c].eqNullSafe(own[c]) for c in key], "left").select(times["doc_id"], "times", "s", "m", *(f"m{n}" for n in range(1, order + 1)))
-    out = out.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), "times")), *(F.col(c) for c in ("s", "m", "times")), *(f"m{n}" for n in range(1, order + 1)))
-    n_words = F.coalesce(F.col("m") / F.col("times"), F.lit(0.0)).cast("long")
-    share = [F.round(F.col(f"m{n}") / F.col("m"), 6).alias(f"order_{n}") for n in range(1, order + 1)]
-    return out.select("doc_id", n_words.alias("n_words"), F.round(F.coalesce(F.col("s") / F.col("times"), F.lit(0.0)), 6).alias("log_score"), F.round(F.exp(-F.col("s") / F.col("m")), 4).alias("perplexity"), *share)
+    small_batches(docs.sparkSession)
+    packed = save(_pack(docs, batch_bytes), "lm-batches")
+    small_batches(docs.sparkSession, 4)  # a row is a batch of documents from here on
+    bytes_ = packed.agg(F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
+    parts = max(12, math.ceil(bytes_ / 6 * order / partition_grams))  # a word has six bytes, about
+
+    def give(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                _, grams = _grams(_texts(row), order)
+                for n, (g, whole) in enumerate(grams, 1):
+                    keys, times = np.unique(g[whole], return_counts=True)
+                    cuts = np.searchsorted(keys, np.array([(p << 64) // parts for p in range(1, parts)], np.uint64)) if parts > 1 else []
+                    chunks = [(p, k, t) for p, (k, t) in enumerate(zip(np.split(keys, cuts), np.split(times, cuts))) if len(k)]
+                    yield pa.record_batch(
+                        [pa.array([p for p, _, _ in chunks], pa.int32()), pa.array([n] * len(chunks), pa.int32()), pa.array([row["batch"]] * len(chunks), pa.int64()), pa.array([len(k) for _, k, _ in chunks], pa.int64()),
+                         pa.array([_squeeze(k) for _, k, _ in chunks], pa.binary()), pa.array([_flat(t) for _, _, t in chunks], pa.binary())],
+                        names=["part", "n", "batch", "size", "keys", "times"])
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys = [_expand(k, s, np.uint64) for k, s in zip(pdf["keys"], pdf["size"])]
+        every, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros(len(every), np.int64)
+        np.add.at(total, place, np.concatenate([_unflat(t, s) for t, s in zip(pdf["times"], pdf["size"])]))
+        back = np.split(total[place], np.cumsum(pdf["size"].to_numpy())[:-1])
+        return pd.DataFrame({"batch": pdf["batch"], "n": pdf["n"], "part": pdf["part"], "counts": [_flat(np.minimum(x, 2**32 - 1)) for x in back], "size": pdf["size"]})
+
+    given = packed.select("batch", "lengths", "texts").mapInArrow(give, "part int, n int, batch long, size long, keys binary, times binary")
+    counted = given.groupBy("part", "n").applyInPandas(count, "batch long, n int, part int, counts binary, size long")
+    got = counted.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("n", "part", "size", "counts"))).alias("got"))  # as many as the batch has n-grams
+    got = save(got, "lm-counts")
+
+    total = _total_words(packed)
+
+    def score(batches):
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                lengths, grams = _grams(_texts(row), order)
+                counts = []
+                for n, (g, whole) in enumerate(grams, 1):
+                    keys, place = np.unique(g[whole], return_inverse=True)
+                    mine = [_unflat(x["counts"], x["size"]) for x in row["got"] or [] if x["n"] == n]
+                    c = np.zeros(len(g), np.int64)
+                    c[whole] = np.concatenate(mine)[place] if mine else 0
+                    counts.append(c)
+                s = np.full(len(counts[0]), np.nan)
+                used = np.zeros(len(s), np.int64)
+                for n in range(order, 0, -1):
+                    c = counts[n - 1]
+                    before = np.concatenate([[0], counts[n - 2][:-1]]) if n > 1 else None
+                    ok = (used == 0) & ((c >= min_count) if n > 1 else (c > 0))
+                    s[ok] = np.log(c[ok] / before[ok] if n > 1 else c[ok] / total) + (order - n) * math.log(backoff)
+                    used[ok] = n
+                doc = np.repeat(np.arange(len(lengths)), lengths)
+                sums = np.bincount(doc, s, len(lengths)) if len(s) else np.zeros(len(lengths))
+                share = [np.bincount(doc[used == n], minlength=len(lengths)) for n in range(1, order + 1)]
+                for k, i in enumerate(row["doc_ids"]):
+                    m = int(lengths[k])
+                    out.append((i, m, float(sums[k]), *((float(x[k]) / m if m else None) for x in share)))
+            cols = list(zip(*out)) or [()] * (3 + order)
+            kinds = [pa.int64(), pa.int64(), *[pa.float64()] * (1 + order)]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "n_words", "s", *(f"order_{n}" for n in range(1, order + 1))])
+
+    joined = packed.join(got, "batch", "left").select("doc_ids", "lengths", "texts", "got")
+    shares = ", ".join(f"order_{n} double" for n in range(1, order + 1))
+    out = joined.mapInArrow(score, f"doc_id long, n_words long, s double, {shares}")
+    perplexity = F.when(F.col("n_words") > 0, F.round(F.exp(-F.col("s") / F.col("n_words")), 4))
+    return out.select("doc_id", "n_words", F.round("s", 6).alias("log_score"), perplexity.alias("perplexity"), *(F.round(f"order_{n}", 6).alias(f"order_{n}") for n in range(1, order + 1)))
+
+
+def _total_words(packed: DataFrame) -> int:
+    """Words of all documents: one number."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([sum(len(words_of(t)) for t in _texts(r)) for r in b.to_pylist()], pa.int64())], names=["n"])
+
+    return packed.select("lengths", "texts").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 #: The same scores in DuckDB, for order 3.
