@@ -14,7 +14,9 @@ from driftspark.operators.flights import fold_frames
 from driftspark.params import DEFAULTS
 from driftspark.plans import backtest
 from driftspark.plans.views import duckdb, view
-from driftspark.sources import grids, telemetry
+from driftspark.sources import grids, scratch, telemetry
+from driftspark.streaming import flights as streams
+from driftspark.streaming import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -759,3 +761,50 @@ def flights_by_gap(spark, v):
     """Serials parted into flights by silence of six hours, over the event stream."""
     e = v("events").select(F.col("user_id").cast("string").alias("serial"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
     return kinematics.assign_flights(e).groupBy("serial").agg(F.count("*").alias("n"), F.countDistinct("flight").alias("n_flights"))
+
+
+# -- streams
+
+
+def run_stream(spark, stream: DataFrame, name: str) -> DataFrame:
+    """Runs a stream over all there is, a folder per micro-batch, and reads what it wrote."""
+    out = scratch.new_folder(spark, name)
+    writer = stream.writeStream.foreachBatch(sinks.into(sinks.append, f"{out}/table")).option("checkpointLocation", f"{out}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/table")
+
+
+def event_stream(spark, v) -> DataFrame:
+    """The events table as a stream of frames: users are serials, values stand for altitudes."""
+    e = v("events")
+    first = e.inputFiles()[0]
+    path = first.rsplit("/", 1)[0] if ".parquet/" in first else first[:-1] + "[t]"  # a stream reads folders, or a pattern
+    s = spark.readStream.schema(e.schema).parquet(path)
+    s = s.withColumn("dt", F.col("ts").cast("timestamp")).withColumn("t", F.unix_micros("dt") / 1e6)
+    return s.select(F.col("user_id").cast("string").alias("serial"), F.col("event_id").alias("frame"), "dt", "t", F.lit(45.0).alias("lat"), F.lit(7.0).alias("lon"), F.col("value").alias("alt"), F.lit(None).cast("double").alias("pressure"), F.lit(None).cast("double").alias("temp"))
+
+
+@query("select user_id::varchar as serial, count(distinct event_id) as n from events group by user_id")
+def stream_deduplicated(spark, v):
+    s = event_stream(spark, v)
+    twice = s.withColumn("again", F.explode(F.array(F.lit(1), F.lit(2)))).drop("again")
+    return run_stream(spark, streams.deduplicated(twice), "dedup").groupBy("serial").agg(F.count("*").alias("n"))
+
+
+@query()
+def stream_flight_events(spark, v):
+    """The fold over the event stream, with state per serial."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    e = run_stream(spark, streams.track_stream(event_stream(spark, v)), "tracked")
+    return rounded(e.where("kind not in ('TRACK', 'ORIGIN')").select("serial", "launch_t", "kind", "t", "state", "alt"))
+
+
+@query("select user_id::varchar as serial, count(*) as n, round(max(epoch(ts)), 3) as last_t from events group by user_id")
+def keyed_upsert(spark, v):
+    """The last frame of each serial through the upsert sink, in two batches; the count is a running one."""
+    e = v("events").select(F.col("user_id").cast("string").alias("serial"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    path = scratch.new_folder(spark, "upsert")
+    mid = e.agg(F.expr("percentile_approx(t, 0.5)")).first()[0]
+    for k, part in enumerate((e.where(F.col("t") <= mid), e)):
+        sinks.upsert(part.groupBy("serial").agg(F.count("*").alias("n"), F.max("t").alias("last_t")), path, ["serial"], "n", k)
+    return sinks.read_table(spark, path).select("serial", "n", F.round("last_t", 3).alias("last_t"))
