@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOUR = 3600.0
+# Patterns of file names (cycle hour, forecast hour, day).
+CYCLE_HOUR, FORECAST_HOUR, DAY = r"\.t(\d{2})z\.", r"(?:\.f|wrf(?:prs|sfc|nat)f)(\d{2,3})(?:$|[._])", r"(20\d{6})"
 
 
 def grid_inventory(paths: DataFrame) -> DataFrame:
     """(path) to (path, cycle_t, fxx, valid_t): cycle hour and forecast hour from the file's name, the day from the last date in
     the path; index files and names that don't match are left out."""
     name = F.element_at(F.split("path", "/"), -1)
-    hour = F.regexp_extract(name, r"\.t(\d{2})z\.", 1)
-    fxx = F.regexp_extract(name, r"(?:\.f|wrf(?:prs|sfc|nat)f)(\d{2,3})(?:$|[._])", 1)
-    day = F.element_at(F.regexp_extract_all("path", F.lit(r"(20\d{6})"), F.lit(1)), -1)
-    p = paths.select("path", hour.alias("h"), fxx.alias("f"), F.when(F.size(F.regexp_extract_all("path", F.lit(r"(20\d{6})"), F.lit(1))) > 0, day).alias("d"))
+    hour = F.regexp_extract(name, CYCLE_HOUR, 1)
+    fxx = F.regexp_extract(name, FORECAST_HOUR, 1)
+    days = F.regexp_extract_all("path", F.lit(DAY), F.lit(1))
+    p = paths.select("path", hour.alias("h"), fxx.alias("f"), F.try_element_at(days, F.when(F.size(days) > 0, F.lit(-1))).alias("d"))
     p = p.where("h <> '' and f <> '' and d is not null and not endswith(path, '.idx')")
     p = p.withColumn("day", F.try_to_timestamp("d", F.lit("yyyyMMdd"))).where("day is not null")
     cycle = F.unix_timestamp("day") + F.col("h").cast("int") * HOUR
