@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftspark.sources.scratch import new_folder, shared_dir  # noqa: F401
+
 #: A word of the contracts: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,15 +20,20 @@ def n_words(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset, a local master
-    gets a temporary folder and any other master the warehouse."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.driftspark.scratch", None)
-    if not given:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        given = tempfile.mkdtemp(prefix="spark-driftspark-") if local else spark.conf.get("spark.sql.warehouse.dir")
-        spark.conf.set("spark.driftspark.scratch", given)
-    return given
+def release_memory() -> None:
+    """Gives what a Python worker has freed back to the system; workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of tables that have been written and that nothing refers to any more; it
+    does so when the driver collects its garbage, which else may be much later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 class Saved:
@@ -33,7 +41,7 @@ class Saved:
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/driftspark/{name}-{uuid.uuid4().hex}"
+        self.path = new_folder(self.spark, name)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 

@@ -20,13 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import connected_components, save, small_batches
+from driftspark.llm.common import connected_components, release_memory, save, small_batches
 
 SHINGLE = 5
 #: 40 bands of 5: a pair at Jaccard 0.75 is missed with probability 2e-5, one at 0.8 with 1e-7.
 BANDS, ROWS = 40, 5
 #: A block of pass (b) holds about so many documents, or so many shingles if that is fewer.
-BLOCK_DOCS, BLOCK_SHINGLES = 128, 150_000
+BLOCK_DOCS, BLOCK_SHINGLES = 128, 60_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -109,6 +109,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = S
                 out.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), len(h), band_keys(signature(h, bands * rows), bands, rows)))
             cols = list(zip(*out)) or [()] * 4
             yield pa.record_batch([ids, *(pa.array(cols[i], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))))], names=["doc_id", "k1", "k2", "n_shingles", "bands"])
+        release_memory()
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, k1 long, k2 long, n_shingles long, bands array<long>")
@@ -124,7 +125,7 @@ def _linked(similarity_pct: int, k: int):
         def of(t):
             if t not in kept:
                 kept[t] = shingle_set(t, k)
-                if len(kept) > 32:
+                if len(kept) > 8:
                     kept.popitem(last=False)
             return kept[t]
 
@@ -133,6 +134,8 @@ def _linked(similarity_pct: int, k: int):
             y, x = of(y), shingle_set(x, k)
             both = len(x & y)
             out.append(both > 0 and 100 * both >= similarity_pct * (len(x) + len(y) - both))
+        kept.clear()
+        release_memory()
         return pd.Series(out, dtype=bool)
 
     return linked
@@ -158,6 +161,9 @@ def _block_links(similarity_pct: int, k: int):
             x[doc[here], shingle[here] - at] = 1
             both += x @ x.T
         both = both.astype(np.int64)
+        number.clear()
+        if len(shingle) > 20_000:
+            release_memory()
         comp = pdf["component"].to_numpy()
         i, j = np.nonzero((both > 0) & (100 * both >= similarity_pct * (sizes[:, None] + sizes - both)) & (comp[:, None] < comp))
         return pd.DataFrame({"a": comp[i], "b": comp[j]}, dtype="int64").drop_duplicates()

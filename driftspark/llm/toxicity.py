@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import save, small_batches
+from driftspark.llm.common import release_memory, save, small_batches
 from driftspark.llm.minhash import shingle_hashes
 
 #: Bounds of the fitted model: labelled texts it learns from (by hash, if there are more), candidate features that are counted
@@ -112,10 +112,12 @@ def _counts(df: DataFrame, wanted: set | None) -> DataFrame:
             for t, x in zip(b.column(0), b.column(1).to_pylist()):
                 f = doc_features(t.as_py())
                 (toxic if x else clean).update(f if wanted is None else f & wanted)
-            if len(toxic) + len(clean) > 300_000:
+            if len(toxic) + len(clean) > 100_000:
                 yield of(toxic, clean)
                 toxic, clean = Counter(), Counter()
         yield of(toxic, clean)
+        del toxic, clean
+        release_memory()
 
     def of(toxic, clean):
         names = list(toxic.keys() | clean.keys())
@@ -136,6 +138,7 @@ def _sketched(batches):
     for b in batches:
         least = [int(h.view("int64").min()) if len(h := shingle_hashes(t.as_py().encode().lower().split())) else 0 for t in b.column("text")]
         yield pa.record_batch([b.column("doc_id"), b.column("toxic"), b.column("text"), pa.array(least, pa.int64())], names=["doc_id", "toxic", "text", "sketch"])
+    release_memory()
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_candidates: int = MAX_CANDIDATES, max_features: int = MAX_FEATURES) -> Model:
@@ -215,6 +218,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             got = [model.judge(t.as_py()) for t in b.column(1)]
             segs = [[dict(zip(("first", "last", "score", "expected"), x)) for x in k] for _, k in got]
             yield pa.record_batch([b.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= threshold) for s, _ in got], pa.int32()), pa.array(segs, seg)], names=["doc_id", "score", "predicted", "segments"])
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int, segments array<struct<first:long,last:long,score:double,expected:double>>")
 
@@ -235,5 +239,6 @@ def not_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
         for b in batches:
             keep = pa.array([model.judge(t.as_py())[0] < threshold for t in b.column(at)], pa.bool_())
             yield b.filter(keep)
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)
