@@ -23,10 +23,10 @@ from driftspark.llm.common import connected_components, save, small_batches
 
 THRESHOLD = 0.93
 #: Rows the centres are fitted on (all vectors are then indexed), vectors of a shard about, and the bound at which it is split.
-SAMPLE, SHARD, SHARD_MAX = 20_000, 1_000, 2_000
-DEGREE, ALPHA, BEAM, ENTRIES = 24, 1.2, 48, 8
+SAMPLE, SHARD, SHARD_MAX = 20_000, 2_000, 4_000
+DEGREE, ALPHA, BEAM, ENTRIES = 16, 1.2, 12, 4
 #: Open vectors that a query goes on from at once.
-WIDTH = 6
+WIDTH = 4
 #: How far under the threshold a vector may be for the search to go on from it.
 SLACK = 0.12
 
@@ -100,36 +100,53 @@ def build_graph(ids: np.ndarray, x: np.ndarray, degree: int = DEGREE, alpha: flo
     return [[int(ids[j]) for j in sorted(k)] for k in links]
 
 
-def range_search(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, threshold: float, beam: int = BEAM, slack: float = SLACK) -> list[np.ndarray]:
-    """For each query the places of vectors it reaches with a cosine of at least threshold. adjacency: (n, d), -1 for none."""
-    n = len(x)
+def flat_lists(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Adjacency lists as one array and where each begins."""
+    return np.concatenate([*lists, np.empty(0, np.int64)]).astype(np.int64), np.concatenate([[0], np.cumsum([len(k) for k in lists])]).astype(np.int64)
+
+
+def range_search(x: np.ndarray, graph: tuple[np.ndarray, np.ndarray], queries: np.ndarray, threshold: float, beam: int = BEAM, slack: float = SLACK, own: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each query the places of vectors it reaches with a cosine of at least threshold, by ``graph`` (see ``flat_lists``). own:
+    the query's own place, where it is one of the vectors (else -1), from which it also starts. Single precision, with a
+    margin; the caller verifies."""
+    n, (ends, begin) = len(x), graph
+    x, queries = x.astype(np.float32), queries.astype(np.float32)
+    beam = min(beam, n)
+    width = min(WIDTH, beam)
     centre = int(np.argmax(x @ x.mean(axis=0)))
     entry = np.unique(np.concatenate([[centre], np.linspace(0, n - 1, min(n, ENTRIES)).astype(int)]))
     out = []
     for at in range(0, len(queries), 256):
         q = queries[at : at + 256]
-        m = len(q)
-        rows = np.arange(m)
-        sims = np.full((m, n), -2.0)
-        done = np.zeros((m, n), bool)
+        sims = np.full((len(q), n), -2.0, np.float32)
+        done = np.zeros((len(q), n), bool)
         sims[:, entry] = q @ x[entry].T
-        act = rows
-        while len(act):  # each round, every query goes on from its best open vectors: in its beam, or near the threshold
+        if own is not None:
+            known = np.flatnonzero(own[at : at + 256] >= 0)
+            sims[known, own[at : at + 256][known]] = 1.0
+        act = np.arange(len(q))
+        while len(act):
+            # every query goes on from the best open vectors of its beam; once that is closed, from all open ones near the threshold
             mine = sims[act]
-            floor = -np.partition(-mine, beam - 1, axis=1)[:, beam - 1] if n > beam else np.full(len(act), -2.0)
-            mine[done[act]] = -3.0
-            best = np.argpartition(-mine, min(WIDTH, n) - 1, axis=1)[:, : min(WIDTH, n)]
-            score = np.take_along_axis(mine, best, 1)
-            go = (score > -2) & ((score >= floor[:, None]) | (score >= threshold - slack))
-            i, j = np.nonzero(go)
-            act, r, b = act[go.any(axis=1)], act[i], best[i, j]
+            top = np.argpartition(-mine, beam - 1, axis=1)[:, :beam]
+            score = np.take_along_axis(mine, top, 1)
+            score[done[act[:, None], top]] = -3.0
+            best = np.argpartition(-score, width - 1, axis=1)[:, :width]
+            i, j = np.nonzero(np.take_along_axis(score, best, 1) > -2)
+            r, b = act[i], np.take_along_axis(top, best, 1)[i, j]
+            closed = np.setdiff1d(np.arange(len(act)), i)
+            if len(closed):
+                k, far = np.nonzero((mine[closed] >= threshold - slack) & ~done[act[closed]])
+                r, b = np.concatenate([r, act[closed][k]]), np.concatenate([b, far])
+            act = np.unique(r)
             done[r, b] = True
-            near = adjacency[b]
-            rr, nn = np.repeat(r, near.shape[1]), near.ravel()
-            fresh = (nn >= 0) & (sims[rr, nn] == -2.0)
+            size = begin[b + 1] - begin[b]
+            rr = np.repeat(r, size)
+            nn = ends[np.arange(len(rr)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[b], size)]
+            fresh = sims[rr, nn] == -2.0
             rr, nn = rr[fresh], nn[fresh]
             sims[rr, nn] = np.einsum("ij,ij->i", q[rr], x[nn])
-        out += [np.flatnonzero(s >= threshold - 1e-6) for s in sims]
+        out += [np.flatnonzero(s >= threshold - 1e-4) for s in sims]
     return out
 
 
@@ -142,11 +159,11 @@ def _search(threshold: float, beam: int, slack: float):
         ids, x = base["vec_id"].to_numpy(), np.stack(base["e"].to_numpy())
         lists = [np.searchsorted(ids, np.array(a, np.int64)) if a is not None else np.empty(0, np.int64) for a in base["links"]]
         lists = [k[(k < len(ids)) & (ids[np.minimum(k, len(ids) - 1)] == np.array(a if a is not None else [], np.int64))] for k, a in zip(lists, base["links"])]
-        adjacency = np.full((len(ids), max(1, max(map(len, lists)))), -1, np.int64)
-        for i, k in enumerate(lists):
-            adjacency[i, : len(k)] = k
+        graph = flat_lists(lists)
         own, copies = base["own"].to_numpy(), base["copies"].to_numpy()
         q = np.stack(asked["e"].to_numpy())
+        place = np.searchsorted(ids, asked["vec_id"].to_numpy()).clip(0, len(ids) - 1)
+        place = np.where(ids[place] == asked["vec_id"].to_numpy(), place, -1)
         root = {int(i): int(i) for i in {*ids, *asked["vec_id"]}}
 
         def top(i):
@@ -156,7 +173,7 @@ def _search(threshold: float, beam: int, slack: float):
             return i
 
         counts = []
-        for v, vec, found in zip(asked["vec_id"], q, range_search(x, adjacency, q, threshold, beam, slack)):
+        for v, vec, found in zip(asked["vec_id"], q, range_search(x, graph, q, threshold, beam, slack, place)):
             found = found[own[found] & (ids[found] != v)]
             found = found[(x[found] * vec).sum(axis=1) >= threshold]
             counts.append(int(copies[found].sum()))
