@@ -22,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import save, small_batches
+from driftspark.llm.common import release_memory, release_shuffles, save, small_batches
 
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
 #: Bytes of text in a batch, about, and n-grams in a partition of the count tables.
-BATCH_BYTES, PARTITION_GRAMS = 3_000_000, 1_500_000
+BATCH_BYTES, PARTITION_GRAMS = 6_000_000, 1_500_000
 
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -54,9 +54,9 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").split()
 
 
-def _grams(texts: list[str], order: int):
+def _grams(texts: list[str], order: int, bits: int):
     """Words of each text, and for n = 1 .. order the hashes of the n-grams that end at each word (of all texts in a row), with
-    which words have n - 1 words before them in their text."""
+    which words have n - 1 words before them in their text. The hashes have ``bits`` bits, at the top of 64."""
     words = [words_of(t) for t in texts]
     lengths = np.array([len(w) for w in words], np.int64)
     h = np.fromiter((xxhash.xxh3_64_intdigest(x) for w in words for x in w), np.uint64, int(lengths.sum()))
@@ -68,7 +68,13 @@ def _grams(texts: list[str], order: int):
             g = (g ^ (g >> np.uint64(31))) * _SEED + h
             g ^= g >> np.uint64(29)
         out.append((g, at >= n - 1))
-    return lengths, out
+    low = np.uint64(64 - bits)
+    return lengths, [(g >> low, whole) for g, whole in out]
+
+
+def hash_bits(grams: float) -> int:
+    """Enough bits that of so many different n-grams, by expectation, less than half a pair shares a hash."""
+    return int(min(64, max(40, math.ceil(2 * math.log2(max(grams, 2.0))) + 1)))
 
 
 def _pack(docs: DataFrame, batch_bytes: int) -> DataFrame:
@@ -79,7 +85,7 @@ def _pack(docs: DataFrame, batch_bytes: int) -> DataFrame:
 
         def row():
             raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-            body = zstandard.ZstdCompressor(level=3).compress(b"".join(raw))
+            body = zstandard.ZstdCompressor(level=6).compress(b"".join(raw))
             return pa.record_batch([pa.array([part << 32 | k]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(r) for r in raw]], pa.list_(pa.int64())), pa.array([body], pa.binary())], names=["batch", "doc_ids", "lengths", "texts"])
 
         for b in batches:
@@ -116,20 +122,22 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min
     packed = save(_pack(docs, batch_bytes), "lm-batches")
     small_batches(docs.sparkSession, 4)  # a row is a batch of documents from here on
     bytes_ = packed.agg(F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
+    bits = hash_bits(bytes_ / 6 * order)
     parts = max(12, math.ceil(bytes_ / 6 * order / partition_grams))  # a word has six bytes, about
 
     def give(batches):
         for b in batches:
             for row in b.to_pylist():
-                _, grams = _grams(_texts(row), order)
+                _, grams = _grams(_texts(row), order, bits)
                 for n, (g, whole) in enumerate(grams, 1):
                     keys, times = np.unique(g[whole], return_counts=True)
-                    cuts = np.searchsorted(keys, np.array([(p << 64) // parts for p in range(1, parts)], np.uint64)) if parts > 1 else []
+                    cuts = np.searchsorted(keys, np.array([(p << bits) // parts for p in range(1, parts)], np.uint64)) if parts > 1 else []
                     chunks = [(p, k, t) for p, (k, t) in enumerate(zip(np.split(keys, cuts), np.split(times, cuts))) if len(k)]
                     yield pa.record_batch(
                         [pa.array([p for p, _, _ in chunks], pa.int32()), pa.array([n] * len(chunks), pa.int32()), pa.array([row["batch"]] * len(chunks), pa.int64()), pa.array([len(k) for _, k, _ in chunks], pa.int64()),
                          pa.array([_squeeze(k) for _, k, _ in chunks], pa.binary()), pa.array([_flat(t) for _, _, t in chunks], pa.binary())],
                         names=["part", "n", "batch", "size", "keys", "times"])
+                release_memory()
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = [_expand(k, s, np.uint64) for k, s in zip(pdf["keys"], pdf["size"])]
@@ -143,6 +151,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min
     counted = given.groupBy("part", "n").applyInPandas(count, "batch long, n int, part int, counts binary, size long")
     got = counted.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("n", "part", "size", "counts"))).alias("got"))  # as many as the batch has n-grams
     got = save(got, "lm-counts")
+    del given, counted
+    release_shuffles(docs.sparkSession)  # the n-grams have gone through; the counts that came back are far smaller
 
     total = _total_words(packed)
 
@@ -150,7 +160,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min
         for b in batches:
             out = []
             for row in b.to_pylist():
-                lengths, grams = _grams(_texts(row), order)
+                lengths, grams = _grams(_texts(row), order, bits)
                 counts = []
                 for n, (g, whole) in enumerate(grams, 1):
                     keys, place = np.unique(g[whole], return_inverse=True)
