@@ -2,7 +2,8 @@
 
 Numbers, units after numbers and capitalised words inside a sentence become typed placeholders; windows of the resulting words
 are hashed and joined with those of the benchmark. Each candidate (document, item, offset) is then laid word by word on
-the item: words that agree count, and slots count if their values stand for each other one to one over the whole match.
+the item: words that agree count, and slots count if their values stand for each other one to one over the whole occurrence. Of several
+occurrences in a document, as verbatim and with other values, the best one counts.
 DataFrame functions only.
 """
 
@@ -62,13 +63,42 @@ def _bound(value, body):
     return F.transform(F.array(value), body)[0]
 
 
+def _one_to_one(filled):
+    """If the values of the slots stand for each other one to one."""
+    pairs = lambda *names: F.size(F.array_distinct(F.transform(filled, lambda x: F.struct(*(x[n] for n in names)))))
+    return (pairs("w", "a") == pairs("w", "a", "b")) & (pairs("w", "b") == pairs("w", "a", "b"))
+
+
+def _best(laid):
+    """(matched, verbatim) of the best occurrence. An occurrence is a run of offsets, in order, as long as their slots agree; one
+    pass, and each offset is in one."""
+
+    def scored(best, plain, filled, verbatim):
+        now = F.struct((F.size(plain) + F.size(filled)).alias("matched"), verbatim.alias("verbatim"))
+        return F.struct(F.greatest(best, now).alias("best"), plain.alias("plain"), filled.alias("filled"), verbatim.alias("verbatim"))
+
+    def step(run, x):
+        def joined(c):
+            longer = c["ok"] & run["verbatim"].isNotNull()
+            plain, filled = F.when(longer, F.array_union(run["plain"], x["plain"])).otherwise(x["plain"]), F.when(longer, c["filled"]).otherwise(x["filled"])
+            verbatim = F.when(longer, run["verbatim"] & x["verbatim"]).otherwise(x["verbatim"])
+            return _bound(F.struct(plain.alias("plain"), filled.alias("filled"), verbatim.alias("verbatim")), lambda y: scored(run["best"], y["plain"], y["filled"], y["verbatim"]))
+
+        both = _bound(F.array_union(run["filled"], x["filled"]), lambda u: F.struct(u.alias("filled"), _one_to_one(u).alias("ok")))
+        return _bound(both, joined)
+
+    none = F.struct(F.lit(0).alias("matched"), F.lit(None).cast("boolean").alias("verbatim"))
+    start = F.struct(none.alias("best"), F.slice(F.get(laid, 0)["plain"], 1, 0).alias("plain"), F.slice(F.get(laid, 0)["filled"], 1, 0).alias("filled"), F.lit(None).cast("boolean").alias("verbatim"))
+    return F.aggregate(laid, start, step, lambda run: run["best"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: int = STRIDE, coverage: float = COVERAGE, least_words: int = LEAST_WORDS, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """docs (doc_id, text, …), benchmark (item_id, text, …) to one row per document and item found in it: doc_id, text_hash,
     item_id, matched_words, item_words, coverage, verbatim (all slots have the item's own values).
 
     Null, empty and very short texts match nothing; items without words are left out; items of fewer than window + stride - 1
     words are looked for at every word, as a window of their own length. Repeated rows count once for each distinct (doc_id, text).
-    Several offsets of one item in a document are taken together. Other columns are ignored; empty tables give no rows.
+    Neighbouring offsets of one item in a document are taken together if their slots agree. Other columns are ignored; empty tables give no rows.
     """
     doc = docs.select("doc_id", F.col("text").cast("string"), F.xxhash64("text").alias("text_hash"))
     item = benchmark.select("item_id", F.col("text").cast("string")).distinct()
@@ -109,15 +139,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, st
     filled = F.filter(F.transform("item_at", lambda j, k: F.struct(
         j.alias("j"), F.get("item", j).alias("w"), F.get("agree", j).alias("on"), F.get("item_values", k).alias("a"), value(F.col("seg_values"), F.array_position("seg_at", j + shift)).alias("b"),
     )), lambda x: x["on"] & x["a"].isNotNull() & x["b"].isNotNull())
-    laid = near.select("doc_id", "text_hash", "item_id", "item_key", "item_words", plain.alias("plain"), F.transform(filled, lambda x: F.struct(x["j"], x["w"], x["a"], x["b"])).alias("filled"))
-    found = laid.groupBy("doc_id", "text_hash", "item_id", "item_key", "item_words").agg(F.array_distinct(F.flatten(F.collect_set("plain"))).alias("plain"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"))
+    filled = F.transform(filled, lambda x: F.struct(x["j"], x["w"], x["a"], x["b"]))
+    laid = near.select("doc_id", "text_hash", "item_id", "item_key", "item_words", "offset", plain.alias("plain"), filled.alias("filled"))
+    laid = laid.withColumn("verbatim", F.forall("filled", lambda x: x["a"] == x["b"])).withColumn("filled", F.when(_one_to_one(F.col("filled")), F.col("filled")).otherwise(F.slice("filled", 1, 0)))
+    found = laid.groupBy("doc_id", "text_hash", "item_id", "item_key", "item_words").agg(
+        F.sort_array(F.collect_list(F.struct("offset", "plain", "filled", "verbatim"))).alias("laid"), F.size(F.array_distinct(F.flatten(F.collect_set("plain")))).alias("words"), F.min("verbatim").alias("same")
+    )
     found = save(found, "laid")  # an item's offsets in one document: a few short rows
-    pairs = F.array_distinct(F.transform("filled", lambda x: F.struct(x["w"], x["a"], x["b"])))
-    left, right = F.array_distinct(F.transform("filled", lambda x: F.struct(x["w"], x["a"]))), F.array_distinct(F.transform("filled", lambda x: F.struct(x["w"], x["b"])))
-    one_to_one = (F.size(left) == F.size(pairs)) & (F.size(right) == F.size(pairs))
-    slots = F.when(one_to_one, F.size(F.array_distinct(F.transform("filled", lambda x: x["j"])))).otherwise(F.lit(0))
-    found = found.withColumn("matched_words", F.size("plain") + slots).withColumn("coverage", F.col("matched_words") / F.col("item_words"))
-    found = found.withColumn("verbatim", F.forall("filled", lambda x: x["a"] == x["b"]))
+    found = found.withColumn("best", F.greatest(_best("laid"), F.struct(F.col("words").alias("matched"), F.col("same").alias("verbatim"))))
+    found = found.select("*", F.col("best.matched").alias("matched_words"), F.col("best.verbatim").alias("verbatim")).withColumn("coverage", F.col("matched_words") / F.col("item_words"))
     kept = found.where((F.col("coverage") >= coverage) & (F.col("matched_words") >= F.least(F.lit(least_words), F.col("item_words"))))
     return kept.select("doc_id", "text_hash", "item_id", "matched_words", "item_words", "coverage", "verbatim")
 

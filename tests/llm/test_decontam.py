@@ -49,3 +49,15 @@ def test_empty_tables_and_filter(spark):
     d = spark.createDataFrame([(1, ITEM, "a"), (2, "clean", "b"), (None, None, "c")], DOCS)
     out = decontam.decontaminated(d, spark.createDataFrame([(1, ITEM, 0)], BENCH))
     assert out.columns == d.columns and sorted(map(str, (r.doc_id for r in out.collect()))) == ["2", "None"]
+
+
+def test_several_variants_in_one_document(spark):
+    item, two = "What is the sum of 5 and 7?", "What is the sum of 3 and 4?"
+    docs = [(1, f"{item} {two}"), (2, f"{two} {item}"), (3, f"{two} What is the sum of 9 and 1?"), (4, "What is the sum of 3 and or so")]
+    assert found(spark, docs, [(1, item)]) == [(1, 1, True), (2, 1, True), (3, 1, False)]
+    shop = "Take 5 apples, 3 pears, 2 plums, 9 figs, 4 limes now"
+    other = "Take 1 apples, 8 pears, 6 plums, 7 figs, 2 limes now"
+    wrong = "Take 1 apples, 1 pears, 1 plums, 1 figs, 1 limes now"  # no one-to-one map: 7 of 12 words
+    assert found(spark, [(1, f"{other}. {shop}"), (2, f"{wrong}. {wrong}"), (3, f"{wrong}. {other}")], [(1, shop)]) == [(1, 1, True), (3, 1, False)]
+    # a word put in: the two offsets agree and are taken together
+    assert found(spark, [(1, ITEM.replace("and travels", "and then travels").replace("120", "87"))], coverage=0.9) == [(1, 1, False)]
