@@ -25,21 +25,27 @@ BROADCAST_WINDOWS = 400_000
 # Units that may follow a number.
 UNITS = "kilograms|kilogram|grams|gram|kg|mg|g|kilometers|kilometres|kilometer|km|meters|metres|meter|cm|mm|m|miles|mile|feet|foot|ft|inches|inch|liters|litres|liter|ml|l|hours|hour|h|minutes|minute|min|seconds|second|s|days|day|weeks|week|months|month|years|year|dollars|dollar|euros|euro|cents|cent|percent|degrees|degree"
 NUMBER = r"(?<![\p{L}\p{N}§])\p{N}+(?:[.,:/]\p{N}+)*(?![\p{L}\p{N}])"
-UNIT = rf"(?<=§n )(?:{UNITS})(?![\p{{L}}\p{{N}}])"
+UNIT = rf"(?<=\p{{N}}§ )(?:{UNITS})(?![\p{{L}}\p{{N}}])"
 NAME = r"(?<=[\p{Ll},;] )\p{Lu}\p{L}*(?![\p{L}\p{N}])"
-VALUE = rf"{NUMBER}|(?<=\p{{N}} )(?:{UNITS})(?![\p{{L}}\p{{N}}])|{NAME}"
+#: A slot in a tagged text: §n45§ for a number, §ukm for a unit after it, §pDerby for a name.
+SLOT = r"§(?:n([^§]+)§|[up](\p{L}+))"
+
+
+def tagged(text):
+    """A text column with its slots marked, each with its own value. The source's own § are taken out first, so that every § is ours."""
+    out = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "§", " "), NAME, "§p$0")
+    return F.regexp_replace(F.regexp_replace(out, NUMBER, "§n$0§"), UNIT, "§u$0")
 
 
 def template(text):
     """The words of a text column, lower-cased, with §n, §u and §p for numbers, units and names."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), NAME, "§p")
-    out = F.regexp_replace(F.regexp_replace(out, NUMBER, "§n"), UNIT, "§u")
+    out = F.regexp_replace(tagged(text), r"(§[nup])(?:(?<=n)[^§]+§|\p{L}+)", "$1")
     return F.array_remove(F.split(F.lower(out), r"[^\p{L}\p{N}§]+"), "")
 
 
 def values(text):
-    """What the slots of ``template`` stand for, in their order."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(VALUE), F.lit(0)), F.lower)
+    """What the slots of ``template`` stand for, in their order; one for each, as both are read from the same marks."""
+    return F.transform(F.regexp_extract_all(tagged(text), F.lit(SLOT), F.lit(0)), lambda x: F.lower(F.translate(F.substr(x, F.lit(3)), "§", "")))
 
 
 def windows(words, length: int, stride: int):
@@ -125,9 +131,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, st
 
     def cut(x):  # the stretch of the document that lies on the item, and the values of its slots
         n = F.greatest(F.least(F.col("item_words") + F.col("offset"), F.size(x["words"])) - low, F.lit(0))
-        known = F.size(F.filter(x["words"], _slot)) == F.size(x["values"])
         first = F.size(F.filter(F.slice(x["words"], 1, low), _slot))
-        return F.struct(F.slice(x["words"], low + 1, n).alias("seg"), F.when(known, F.slice(x["values"], first + 1, n)).alias("seg_values"))
+        return F.struct(F.slice(x["words"], low + 1, n).alias("seg"), F.slice(x["values"], first + 1, F.size(F.filter(F.slice(x["words"], low + 1, n), _slot))).alias("seg_values"))
 
     near = near.select("doc_id", "text_hash", "item_id", "item_key", "offset", _bound(F.struct(template(F.col("text")).alias("words"), values(F.col("text")).alias("values")), cut).alias("c"))
     near = save(near.select("doc_id", "text_hash", "item_id", "item_key", "offset", "c.*").distinct(), "stretches").join(item, ["item_id", "item_key"])

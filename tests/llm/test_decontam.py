@@ -61,3 +61,18 @@ def test_several_variants_in_one_document(spark):
     assert found(spark, [(1, f"{other}. {shop}"), (2, f"{wrong}. {wrong}"), (3, f"{wrong}. {other}")], [(1, shop)]) == [(1, 1, True), (3, 1, False)]
     # a word put in: the two offsets agree and are taken together
     assert found(spark, [(1, ITEM.replace("and travels", "and then travels").replace("120", "87"))], coverage=0.9) == [(1, 1, False)]
+
+
+def test_stray_marks_and_units_lose_no_slots(spark):
+    item = "What is the sum of 5 and 7?"
+    docs = [(i, f"{stray}. {item}") for i, stray in enumerate(("see §5 there", "§ 12 § and §Bob", "after v2 days", "an A4 h", "a 5 km B2 m 1,000 ft, Bob", "3§ km", "§n45§ §ukm §pBob"))]
+    assert found(spark, docs, [(1, item)]) == [(i, 1, True) for i in range(len(docs))]
+    assert found(spark, [(1, "§7 v2 days. What is the sum of 1 and 3?")], [(1, item)]) == [(1, 1, False)]
+
+
+def test_one_value_for_each_slot(spark):
+    texts = ["It took 1,000.5 km and 12:30 h to Bob, Ann §5 x §n §", "v2 days A4 h 5 km 7 7/8 9. m, İx and İx 3kg ½ g", ITEM, "", None]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = d.select(decontam.template(d.text).alias("words"), decontam.values(d.text).alias("values")).collect()
+    assert all(sum(w.startswith("§") for w in r.words) == len(r["values"]) for r in rows)
+    assert rows[0].words == "it took §n §u and §n §u to §p §p §n x n".split() and rows[0]["values"] == ["1,000.5", "km", "12:30", "h", "bob", "ann", "5"]
