@@ -1,7 +1,8 @@
 """Benchmark passages in documents, also with other numbers, names or units, by canonical templates.
 
-Numbers, units after numbers and capitalised words inside a sentence become typed placeholders; windows of the resulting words
-are hashed and joined with those of the benchmark. Each candidate (document, item, offset) is then laid word by word on
+Numbers, units after numbers and capitalised words inside a sentence become typed placeholders; pairs of the resulting words,
+next to each other or with one between, are hashed and joined with those of the benchmark. If half of an item's words agree at
+one offset, two of them are that close, so no such offset is missed. Each candidate (document, item, offset) is then laid word by word on
 the item: words that agree count, and slots count if their values stand for each other one to one over the whole occurrence. Of several
 occurrences in a document, as verbatim and with other values, the best one counts.
 DataFrame functions only.
@@ -9,17 +10,16 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftspark.llm.common import save
 
-#: Documents' windows start at every STRIDE-th word and the benchmark's at every word, so that a run of WINDOW + STRIDE - 1
-#: equal template words always meets.
-WINDOW, STRIDE = 8, 4
+#: Offsets at which fewer words of an item agree are no piece of it (unless fewer are enough to find it).
+PIECE = 8
 #: A document is contaminated by an item if so much of the item, and so many words (or all), are found in it.
 COVERAGE, LEAST_WORDS = 0.5, 10
-#: The benchmark's windows are broadcast up to this number (about 20 MB), beyond it joined by a shuffle.
+#: The benchmark's pairs of words are broadcast up to this number (about 20 MB), beyond it joined by a shuffle.
 BROADCAST_WINDOWS = 400_000
 
 # Units that may follow a number.
@@ -48,11 +48,27 @@ def values(text):
     return F.transform(F.regexp_extract_all(tagged(text), F.lit(SLOT), F.lit(0)), lambda x: F.lower(F.translate(F.substr(x, F.lit(3)), "§", "")))
 
 
-def windows(words, length: int, stride: int):
-    """(pos, h) of the windows of an array column."""
-    starts = F.sequence(F.lit(0), F.size(words) - length, F.lit(stride))
-    every = F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(words, i + 1, length), F.lit(length)).alias("h")))
-    return F.when(F.size(words) >= length, every).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
+def pairs(words, single: bool):
+    """(pos, h) of the pairs that each word makes with the next words; with itself too, if there are items of one word."""
+    made = lambda d: F.transform(words, lambda w, i: F.struct(i.alias("pos"), F.xxhash64(w, F.get(words, i + d), F.lit(d)).alias("h")))
+    return F.concat(*(F.slice(made(d), 1, F.greatest(F.size(words) - d, F.lit(0))) for d in ([1, 2] + [0] * single)))
+
+
+def sought_pairs(item: DataFrame) -> DataFrame:
+    """item (item_id, item_key, item, item_words, least) to the pairs to look for: item_id, item_key, need, item_pos, h.
+
+    ``least`` of the words agreeing at one offset make at least least - 1 - (item_words - least) / 2 close pairs, and all words
+    make all pairs; a run of PIECE words has 2 * PIECE - 3. Half of so many pairs, the commonest in the benchmark, are left out,
+    and ``need`` of the others must meet at an offset.
+    """
+    n, m = F.col("item_words"), F.col("least")
+    sure = F.greatest(F.least(F.when(m == n, 2 * n - 3).otherwise(m - 1 - F.floor((n - m) / 2)), F.lit(2 * PIECE - 3)), F.lit(1))
+    spare = F.floor((sure - 1) / 2)
+    own = F.when(n == 1, pairs(F.col("item"), True)).otherwise(pairs(F.col("item"), False))
+    each = item.select("item_id", "item_key", spare.alias("spare"), (sure - spare).alias("need"), F.explode(own).alias("p")).select("*", "p.pos", "p.h")
+    each = each.join(each.groupBy("h").agg(F.count("*").alias("common")), "h")
+    rank = F.row_number().over(Window.partitionBy("item_id", "item_key").orderBy(F.desc("common"), "pos", "h"))
+    return each.withColumn("rank", rank).where(F.col("rank") > F.col("spare")).select("item_id", "item_key", "need", F.col("pos").alias("item_pos"), "h")
 
 
 def _slot(w):
@@ -98,31 +114,28 @@ def _best(laid):
     return F.aggregate(laid, start, step, lambda run: run["best"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stride: int = STRIDE, coverage: float = COVERAGE, least_words: int = LEAST_WORDS, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least_words: int = LEAST_WORDS, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """docs (doc_id, text, …), benchmark (item_id, text, …) to one row per document and item found in it: doc_id, text_hash,
     item_id, matched_words, item_words, coverage, verbatim (all slots have the item's own values).
 
-    Null, empty and very short texts match nothing; items without words are left out; items of fewer than window + stride - 1
-    words are looked for at every word, as a window of their own length. Repeated rows count once for each distinct (doc_id, text).
+    Null, empty and very short texts match nothing; items without words are left out; every offset at which so many words
+    agree is found (for a coverage over a third). Repeated rows count once for each distinct (doc_id, text).
     Neighbouring offsets of one item in a document are taken together if their slots agree. Other columns are ignored; empty tables give no rows.
     """
     doc = docs.select("doc_id", F.col("text").cast("string"), F.xxhash64("text").alias("text_hash"))
     item = benchmark.select("item_id", F.col("text").cast("string")).distinct()
     item = item.select("item_id", template(F.col("text")).alias("item"), values(F.col("text")).alias("item_values")).where(F.size("item") > 0)
-    item = save(item.select("*", F.size("item").alias("item_words"), _places(F.col("item")).alias("item_at"), F.xxhash64("item", "item_values").alias("item_key")), "benchmark")
-    whole = window + stride - 1
-    short = [r[0] for r in item.where(F.col("item_words") < whole).select("item_words").distinct().collect()]  # fewer than ``whole`` numbers
-    words = doc.select("doc_id", "text_hash", template(F.col("text")).alias("words"))
-    every = windows(F.col("words"), window, stride)
-    own = F.when(F.col("item_words") >= whole, windows(F.col("item"), window, 1))
-    for n in short:
-        every = F.concat(every, windows(F.col("words"), n, 1))
-        own = own.when(F.col("item_words") == n, windows(F.col("item"), n, 1))
-    sought = item.select("item_id", "item_key", F.explode(own).alias("w")).select("item_id", "item_key", F.col("w.pos").alias("item_pos"), F.col("w.h").alias("h"))
+    item = item.select("*", F.size("item").alias("item_words"), _places(F.col("item")).alias("item_at"), F.xxhash64("item", "item_values").alias("item_key"))
+    least = F.greatest(F.ceil(F.col("item_words") * coverage).cast("int"), F.least(F.lit(least_words), F.col("item_words")))
+    item = save(item.withColumn("least", least), "benchmark")
+    single = not item.where("item_words = 1").isEmpty()
+    sought = save(sought_pairs(item), "sought")
     if sought.limit(broadcast_windows + 1).count() <= broadcast_windows:
         sought = F.broadcast(sought)
-    met = words.select("doc_id", "text_hash", F.explode(every).alias("w")).select("doc_id", "text_hash", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"))
-    offsets = met.join(sought, "h").select("doc_id", "text_hash", "item_id", "item_key", (F.col("pos") - F.col("item_pos")).alias("offset")).distinct()
+    words = doc.select("doc_id", "text_hash", template(F.col("text")).alias("words"))
+    met = words.select("doc_id", "text_hash", F.explode(pairs(F.col("words"), single)).alias("w")).select("doc_id", "text_hash", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"))
+    met = met.join(sought, "h").groupBy("doc_id", "text_hash", "item_id", "item_key", "need", (F.col("pos") - F.col("item_pos")).alias("offset")).agg(F.count("*").alias("n"))
+    offsets = met.where(F.col("n") >= F.col("need")).select("doc_id", "text_hash", "item_id", "item_key", "offset")
 
     offsets = save(offsets, "offsets")
     near = offsets.join(doc, offsets["doc_id"].eqNullSafe(doc["doc_id"]) & (offsets["text_hash"] == doc["text_hash"])).drop(doc["doc_id"], doc["text_hash"])
@@ -138,7 +151,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, st
     near = save(near.select("doc_id", "text_hash", "item_id", "item_key", "offset", "c.*").distinct(), "stretches").join(item, ["item_id", "item_key"])
     shift = F.least(F.col("offset"), F.lit(0))  # item place + shift is the stretch's place
     agree = F.transform("item", lambda w, j: F.when(j + shift >= 0, F.coalesce(F.get("seg", j + shift) == w, F.lit(False))).otherwise(F.lit(False)))
-    near = near.select("doc_id", "text_hash", "item_id", "item_key", "item_words", "offset", "item", "item_at", "item_values", "seg_values", _places(F.col("seg")).alias("seg_at"), agree.alias("agree"))
+    near = near.select("doc_id", "text_hash", "item_id", "item_key", "item_words", "least", "offset", "item", "item_at", "item_values", "seg_values", _places(F.col("seg")).alias("seg_at"), agree.alias("agree"))
+    near = near.where(F.size(F.filter("agree", lambda x: x)) >= F.least("least", F.lit(PIECE)))
     plain = F.filter(F.transform("agree", lambda x, j: F.when(x & ~_slot(F.get("item", j)), j).otherwise(F.lit(-1))), lambda j: j >= 0)
     value = lambda all_, k: F.try_element_at(all_, F.when(k > 0, k.cast("int")))
     filled = F.filter(F.transform("item_at", lambda j, k: F.struct(

@@ -76,3 +76,33 @@ def test_one_value_for_each_slot(spark):
     rows = d.select(decontam.template(d.text).alias("words"), decontam.values(d.text).alias("values")).collect()
     assert all(sum(w.startswith("§") for w in r.words) == len(r["values"]) for r in rows)
     assert rows[0].words == "it took §n §u and §n §u to §p §p §n x n".split() and rows[0]["values"] == ["1,000.5", "km", "12:30", "h", "bob", "ann", "5"]
+
+
+def test_runs_of_ten_words_at_every_place(spark):
+    words = [f"w{i}" for i in range(20)]
+    docs = [(10 * k + i, " ".join([f"x{j}" for j in range(k)] + words[i : i + 10] + ["y"])) for k in range(5) for i in (0, 3, 10)]
+    assert found(spark, docs, [(1, " ".join(words))]) == sorted(((i, 1, True) for i, _ in docs), key=str)
+
+
+def test_every_agreeing_offset_against_brute_force(spark):
+    import random
+
+    rng, bench, docs, want = random.Random(5), [], [], []
+    for n in (1, 2, 5, 10, 11, 12, 14, 15, 17, 20, 24, 40):
+        item = [f"{'abcde'[rng.randrange(5)]}{rng.randrange(8)}q" for _ in range(n)]
+        bench.append((n, " ".join(item)))
+        for k in range(8):  # at random places, evenly spread, or in the middle only, words are changed
+            least = max(-(-n // 2), min(10, n))
+            bad = {0: set(range(1, n, 2)), 1: {n // 2}}.get(k, set(rng.sample(range(n), min(n, max(0, n - least + rng.randrange(2))))))
+            doc = [f"z{rng.random()}".replace(".", "x") for _ in range(rng.randrange(7))] + [f"other{j}" if j in bad else w for j, w in enumerate(item)]
+            docs.append((1000 * k + n, " ".join(doc)))
+    for i, text in docs:
+        d = text.split()
+        for n, t in bench:
+            item = t.split()
+            best = max(sum(0 <= o + j < len(d) and d[o + j] == w for j, w in enumerate(item)) for o in range(-n, len(d)))
+            if best >= max(n / 2, min(10, n)):
+                want.append((i, n, True))
+    got = found(spark, docs, bench)
+    assert set(want) <= set(got) and len(want) > 50
+    assert found(spark, docs, bench, broadcast_windows=0) == got
