@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import small_batches
+from driftspark.llm.common import pieces
 
 START, END = "<|im_start|>", "<|im_end|>"
 _MARK = re.compile(r"<\|(_*)(im_start|im_end)\|>")
@@ -78,13 +78,11 @@ def format_chats(conversations: DataFrame, train_on: str = "assistant") -> DataF
     conv_id is one conversation. Other columns are ignored; an empty table gives no rows. A conversation is one output
     string, so its turns are gathered in one row.
     """
-    spark = conversations.sparkSession
-    small_batches(spark, 64)
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     whole = conversations.groupBy(F.col("conv_id").cast("long")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, 64):
             formatted, spans, turns = [], [], []
             for row in b.column(1).to_pylist():
                 text, back = format_conversation([(t["role"], t["text"]) for t in row])
@@ -102,7 +100,7 @@ def digests(chats: DataFrame) -> DataFrame:
     """What a formatted conversation holds, read back from the text and its spans alone."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches, 64):
             out = []
             for conv, text, spans in zip(*(b.column(i).to_pylist() for i in range(3))):
                 turns = parse(text)

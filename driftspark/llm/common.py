@@ -29,21 +29,37 @@ def release_memory() -> None:
         trim(0)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of tables that have been written and that nothing refers to any more; it
-    does so when the driver collects its garbage, which else may be much later."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def pieces(batches, rows: int = 256):
+    """Arrow batches cut into short ones. Spark bounds a batch by bytes (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB by
+    default); this bounds how many texts are Python objects at once, without a change to the session."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def tidy_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of this one, in which the shuffle files of a write go as soon as it ends. Tables that are
+    written in between hold what is needed, so none of these files is read again."""
+    tidy = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if tidy.conf.isModifiable(key) and tidy.conf.get(key, None) != value:
+            tidy.conf.set(key, value)
+    for key in ("spark.sql.shuffleDependency.fileCleanup.enabled", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"):
+        tidy.conf.set(key, "true")
+    return tidy
 
 
 class Saved:
-    """A table written once to the shared folder; ``df`` reads it back, so a lost executor loses nothing."""
+    """A table written once to the shared folder; ``df`` reads it back, in ``reader`` if that is given, so a lost executor loses nothing."""
 
-    def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = new_folder(self.spark, name)
+    def __init__(self, df: DataFrame, name: str, reader: SparkSession | None = None):
+        self.spark = reader or df.sparkSession
+        self.path, self.schema = new_folder(self.spark, name), df.schema
         df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        self.df = self.read(self.spark)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
         """Removes the files; only for tables that no later plan reads."""
@@ -55,16 +71,11 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return Saved(df, name).df
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bounds what a Python worker holds at once: Arrow batches of few rows, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a long, b long) links to (node, component), component being the smallest node that can be reached.
 
     Minimum labels spread along the links, and each round also jumps to the label's label, so the number of rounds
-    grows with the logarithm of a chain's length. A hot node is only ever the key of a partial aggregation or the
+    grows with the logarithm of a chain's length; links that need more than ``max_rounds`` raise an error, none is dropped. A hot node is only ever the key of a partial aggregation or the
     skewed side of a join. Null ends and loops are ignored; no links give no rows.
     """
     both = Saved(

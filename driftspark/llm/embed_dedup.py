@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import connected_components, save, small_batches
+from driftspark.llm.common import connected_components, save
 
 THRESHOLD = 0.93
 #: Rows the centres are fitted on (all vectors are then indexed), vectors of a shard about, and the bound at which it is split.
@@ -197,8 +197,6 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int =
     count as linked copies. Rows with a null vec_id come back with n_links 0, null component_id and kept false; repeated
     vec_ids come back each. Other columns are ignored; an empty table gives no rows.
     """
-    spark = vectors.sparkSession
-    small_batches(spark, 1024)
     rows = save(normalised(vectors), "vectors")
     content = F.xxhash64("e")
     content2 = F.md5(F.array_join(F.transform("e", lambda x: x.cast("string")), ",").cast("binary"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import small_batches
+from driftspark.llm.common import pieces
 
 # Public license notices, as their authors ask for them to be put in files.
 TEMPLATES = {
@@ -133,7 +133,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
     scanner = Scanner(templates or TEMPLATES, coverage)
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             ids, rows = b.column(0).to_pylist(), []
             for i, t in zip(ids, b.column(1)):
                 rows += [(i, *x) for x in scanner.scan(t.as_py())]
@@ -141,5 +141,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
             kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "license", "coverage", "first_word", "last_word"])
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, license string, coverage double, first_word long, last_word long")

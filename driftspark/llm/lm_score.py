@@ -1,12 +1,13 @@
-"""Stupid-backoff language-model scores, relationally.
+"""Stupid-backoff language-model scores by joins of n-grams with count tables that are partitioned by hash.
 
-1. The documents are packed into batches, rows of some hundred documents with a number, in the shared folder.
-2. Each batch gives its distinct n-grams of every order, as sorted hashes with how often they occur, cut by hash range into
-   partitions; in each partition the batches' counts are added up (the count table) and joined back to the batches' n-grams.
+1. The documents are packed into batches, rows of some thousand documents with a number, in the shared folder.
+2. One job for each order n: each batch explodes into its distinct n-grams with how often they occur (the map-side combine),
+   which are shuffled to hash buckets; a bucket adds them up to its part of the count table and joins that back to the n-grams.
+   The shuffle files of a job go when it ends, so the disk holds one order at a time.
 3. Each batch receives the counts of its n-grams, joins them to its positions and sums the scores of each document.
 
 An n-gram counts as seen if it occurs ``min_count`` times in all documents together; else the next order is asked at ``backoff``
-of the score, down to single words. A frequent n-gram is one entry per batch, so no partition grows with its occurrences.
+of the score, down to single words. A frequent n-gram is one entry per batch, so no bucket grows with its occurrences.
 """
 
 from __future__ import annotations
@@ -16,193 +17,165 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import release_memory, release_shuffles, save, small_batches
+from driftspark.llm.common import Saved, pieces, release_memory, tidy_session
 
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
-#: Bytes of text in a batch, about, and n-grams in a partition of the count tables.
-BATCH_BYTES, PARTITION_GRAMS = 6_000_000, 1_500_000
+#: Characters of text in a batch, about; n-grams in a bucket of a count table, about, and most buckets.
+BATCH_CHARS, BUCKET_GRAMS, MOST_BUCKETS = 12_000_000, 1_500_000, 20_000
 
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _squeeze(x: np.ndarray) -> bytes:
-    """Rising integers as differences, byte planes apart, compressed."""
-    d = np.diff(x, prepend=x.dtype.type(0))
-    return zstandard.ZstdCompressor(level=1).compress(d.view(np.uint8).reshape(len(d), x.dtype.itemsize).T.tobytes())
-
-
-def _expand(b: bytes, n: int, kind) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b, max_output_size=n * np.dtype(kind).itemsize), np.uint8)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, n).T).view(kind).ravel(), dtype=kind)
-
-
-def _flat(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.astype(np.uint32).tobytes())
-
-
-def _unflat(b: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b, max_output_size=4 * n), np.uint32)
-
-
 def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").split()
 
 
-def _grams(texts: list[str], order: int, bits: int):
-    """Words of each text, and for n = 1 .. order the hashes of the n-grams that end at each word (of all texts in a row), with
-    which words have n - 1 words before them in their text. The hashes have ``bits`` bits, at the top of 64."""
-    words = [words_of(t) for t in texts]
-    lengths = np.array([len(w) for w in words], np.int64)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(x) for w in words for x in w), np.uint64, int(lengths.sum()))
-    at = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out, g = [], h
-    for n in range(1, order + 1):
-        if n > 1:
-            g = np.concatenate([g[:1], g[:-1]])  # the n-gram of the word before
-            g = (g ^ (g >> np.uint64(31))) * _SEED + h
-            g ^= g >> np.uint64(29)
-        out.append((g, at >= n - 1))
-    low = np.uint64(64 - bits)
-    return lengths, [(g >> low, whole) for g, whole in out]
+class Grams:
+    """The words of a batch's texts in a row, and the 64-bit hashes of the n-grams that end at each."""
 
+    def __init__(self, texts: list[str | None]):
+        words = [words_of(t or "") for t in texts]
+        self.lengths = np.array([len(w) for w in words], np.int64)
+        self.words = np.fromiter((xxhash.xxh3_64_intdigest(x) for w in words for x in w), np.uint64, int(self.lengths.sum()))
+        self.place = np.arange(len(self.words)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
 
-def hash_bits(grams: float) -> int:
-    """Enough bits that of so many different n-grams, by expectation, less than half a pair shares a hash."""
-    return int(min(64, max(40, math.ceil(2 * math.log2(max(grams, 2.0))) + 1)))
+    def ending(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the n-grams, and at which words one ends that lies in its text."""
+        g = self.words
+        for _ in range(n - 1):
+            g = np.concatenate([g[:1], g[:-1]])  # the n-gram of the word before
+            g = (g ^ (g >> np.uint64(31))) * _SEED + self.words
+            g ^= g >> np.uint64(29)
+        return g, self.place >= n - 1
 
 
-def _pack(docs: DataFrame, batch_bytes: int) -> DataFrame:
-    """(batch, doc_ids, lengths in bytes, texts: one compressed string): batches in the order of the scan."""
+def _pack(docs: DataFrame, batch_chars: int) -> DataFrame:
+    """(batch, doc_ids, texts): batches in the order of the scan; a text is never split."""
 
     def run(batches):
         part, k, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def row():
-            raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-            body = zstandard.ZstdCompressor(level=6).compress(b"".join(raw))
-            return pa.record_batch([pa.array([part << 32 | k]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(r) for r in raw]], pa.list_(pa.int64())), pa.array([body], pa.binary())], names=["batch", "doc_ids", "lengths", "texts"])
+            return pa.record_batch([pa.array([part << 32 | k]), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string()))], names=["batch", "doc_ids", "texts"])
 
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                t = t.as_py() or ""
+        for b in pieces(batches):
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids.append(i)
                 texts.append(t)
-                size += len(t)
-                if size >= batch_bytes:
+                size += len(t or "")
+                if size >= batch_chars:
                     yield row()
                     k, ids, texts, size = k + 1, [], [], 0
         if ids:
             yield row()
+        release_memory()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "batch long, doc_ids array<long>, lengths array<long>, texts binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "batch long, doc_ids array<long>, texts array<string>")
 
 
-def _texts(row) -> list[str]:
-    total = int(sum(row["lengths"]))
-    raw = zstandard.ZstdDecompressor().decompress(row["texts"], max_output_size=max(total, 1)) if total else b""
-    ends = np.cumsum(row["lengths"])
-    return [raw[e - n : e].decode("utf-8", "surrogatepass") for e, n in zip(ends, row["lengths"])]
+def exploded(packed: DataFrame, n: int, buckets: int) -> DataFrame:
+    """(bucket, batch, words, grams array<long>, times array<int>): the distinct n-grams of each batch, in order of their hash, one
+    row for each bucket of the hash's range that they fall into; words: how many n-grams these are with their repeats."""
 
+    def run(batches):
+        for b in pieces(batches, 1):
+            g, whole = Grams(b.column(1).flatten().to_pylist()).ending(n)
+            keys, times = np.unique(g[whole], return_counts=True)
+            cuts = np.searchsorted(keys, np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64))
+            ends = np.concatenate([[0], cuts, [len(keys)]]).astype(np.int32)
+            some = np.flatnonzero(np.diff(ends))
+            every = np.concatenate([ends[some], [len(keys)]]).astype(np.int32)  # buckets that have n-grams lie one after another
+            sums = np.add.reduceat(times, ends[some]) if len(some) else np.empty(0, np.int64)
+            yield pa.record_batch(
+                [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), b.column(0)[0].as_py(), np.int64)), pa.array(sums.astype(np.int64)), pa.ListArray.from_arrays(pa.array(every), pa.array(keys.view(np.int64))), pa.ListArray.from_arrays(pa.array(every), pa.array(times.astype(np.int32)))],
+                names=["bucket", "batch", "words", "grams", "times"],
+            )
+            del g, whole, keys, times
+            release_memory()
+
+    return packed.select("batch", "texts").mapInArrow(run, "bucket int, batch long, words long, grams array<long>, times array<int>")
+
+
+def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's n-grams of all batches: the bucket's count table is made and joined back to each batch's n-grams."""
+    table, place = np.unique(np.concatenate(pdf["grams"].to_list()), return_inverse=True)
+    total = np.bincount(place, np.concatenate(pdf["times"].to_list()), len(table))  # doubles hold such sums exactly
+    back = np.minimum(total, 2**31 - 1).astype(np.int32)[place]
+    return pd.DataFrame({"batch": pdf["batch"], "bucket": pdf["bucket"], "words": pdf["words"], "counts": np.split(back, np.cumsum([len(g) for g in pdf["grams"]])[:-1])})
+
+
+def _scored(order: int, backoff: float, min_count: int, total: int):
+    """A batch's texts and the counts of its n-grams, by order and bucket, to a row for each document."""
 
-def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT, batch_bytes: int = BATCH_BYTES, partition_grams: int = PARTITION_GRAMS) -> DataFrame:
+    def run(batches):
+        for b in pieces(batches, 1):
+            ids, texts = (b.column(i).flatten() for i in (0, 1))
+            got = b.column(2).flatten()  # by order and bucket; none where no text has words
+            grams, counts = Grams(texts.to_pylist()), []
+            for n in range(1, order + 1):
+                g, whole = grams.ending(n)
+                keys, place = np.unique(g[whole], return_inverse=True)
+                c = np.zeros(len(g), np.int64)
+                c[whole] = got.filter(pc.equal(got.field("n"), n)).field("counts").flatten().to_numpy()[place]
+                counts.append(c)
+                del g, whole, keys, place
+            score, used = np.full(len(grams.words), np.nan), np.zeros(len(grams.words), np.int8)
+            for n in range(order, 0, -1):
+                c = counts[n - 1]
+                before = np.concatenate([[0], counts[n - 2][:-1]]) if n > 1 else None
+                ok = (used == 0) & ((c >= min_count) if n > 1 else (c > 0))
+                score[ok] = np.log(c[ok] / before[ok] if n > 1 else c[ok] / total) + (order - n) * math.log(backoff)
+                used[ok] = n
+            lengths = grams.lengths
+            doc = np.repeat(np.arange(len(lengths)), lengths)
+            share = [np.bincount(doc[used == n], minlength=len(lengths)) for n in range(1, order + 1)]
+            some = lengths > 0
+            cols = [ids, pa.array(lengths), pa.array(np.bincount(doc, score, len(lengths)).astype(float))]
+            cols += [pa.array(np.divide(x, lengths, out=np.zeros(len(x)), where=some), mask=~some) for x in share]
+            yield pa.record_batch(cols, names=["doc_id", "n_words", "s", *(f"order_{n}" for n in range(1, order + 1))])
+            del grams, counts, score, used, doc, share
+            release_memory()
+
+    return run
+
+
+def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT, batch_chars: int = BATCH_CHARS, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
     """docs (doc_id, text, …) to one row per input row: doc_id, n_words, log_score (natural logarithm, 0 for no words),
     perplexity (null for no words), each order's share of the words (order_1 … order_n).
 
     Words are lower-cased and split at ASCII white space. Null and blank texts have no words. Repeated rows count as often as
     they occur and each comes back with its own score. At a text's start the orders that it is too short for are passed over
-    like n-grams not seen. Other columns are ignored; an empty table gives no rows.
+    like n-grams not seen. N-grams are told apart by 64-bit hashes: among 10^13 different ones, one in two million shares its own.
+    Very long texts are read whole, one batch each. Other columns are ignored; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
-    packed = save(_pack(docs, batch_bytes), "lm-batches")
-    small_batches(docs.sparkSession, 4)  # a row is a batch of documents from here on
-    bytes_ = packed.agg(F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
-    bits = hash_bits(bytes_ / 6 * order)
-    parts = max(12, math.ceil(bytes_ / 6 * order / partition_grams))  # a word has six bytes, about
-
-    def give(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                _, grams = _grams(_texts(row), order, bits)
-                for n, (g, whole) in enumerate(grams, 1):
-                    keys, times = np.unique(g[whole], return_counts=True)
-                    cuts = np.searchsorted(keys, np.array([(p << bits) // parts for p in range(1, parts)], np.uint64)) if parts > 1 else []
-                    chunks = [(p, k, t) for p, (k, t) in enumerate(zip(np.split(keys, cuts), np.split(times, cuts))) if len(k)]
-                    yield pa.record_batch(
-                        [pa.array([p for p, _, _ in chunks], pa.int32()), pa.array([n] * len(chunks), pa.int32()), pa.array([row["batch"]] * len(chunks), pa.int64()), pa.array([len(k) for _, k, _ in chunks], pa.int64()),
-                         pa.array([_squeeze(k) for _, k, _ in chunks], pa.binary()), pa.array([_flat(t) for _, _, t in chunks], pa.binary())],
-                        names=["part", "n", "batch", "size", "keys", "times"])
-                release_memory()
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [_expand(k, s, np.uint64) for k, s in zip(pdf["keys"], pdf["size"])]
-        every, place = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.zeros(len(every), np.int64)
-        np.add.at(total, place, np.concatenate([_unflat(t, s) for t, s in zip(pdf["times"], pdf["size"])]))
-        back = np.split(total[place], np.cumsum(pdf["size"].to_numpy())[:-1])
-        return pd.DataFrame({"batch": pdf["batch"], "n": pdf["n"], "part": pdf["part"], "counts": [_flat(np.minimum(x, 2**32 - 1)) for x in back], "size": pdf["size"]})
-
-    given = packed.select("batch", "lengths", "texts").mapInArrow(give, "part int, n int, batch long, size long, keys binary, times binary")
-    counted = given.groupBy("part", "n").applyInPandas(count, "batch long, n int, part int, counts binary, size long")
-    got = counted.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("n", "part", "size", "counts"))).alias("got"))  # as many as the batch has n-grams
-    got = save(got, "lm-counts")
-    del given, counted
-    release_shuffles(docs.sparkSession)  # the n-grams have gone through; the counts that came back are far smaller
-
-    total = _total_words(packed)
-
-    def score(batches):
-        for b in batches:
-            out = []
-            for row in b.to_pylist():
-                lengths, grams = _grams(_texts(row), order, bits)
-                counts = []
-                for n, (g, whole) in enumerate(grams, 1):
-                    keys, place = np.unique(g[whole], return_inverse=True)
-                    mine = [_unflat(x["counts"], x["size"]) for x in row["got"] or [] if x["n"] == n]
-                    c = np.zeros(len(g), np.int64)
-                    c[whole] = np.concatenate(mine)[place] if mine else 0
-                    counts.append(c)
-                s = np.full(len(counts[0]), np.nan)
-                used = np.zeros(len(s), np.int64)
-                for n in range(order, 0, -1):
-                    c = counts[n - 1]
-                    before = np.concatenate([[0], counts[n - 2][:-1]]) if n > 1 else None
-                    ok = (used == 0) & ((c >= min_count) if n > 1 else (c > 0))
-                    s[ok] = np.log(c[ok] / before[ok] if n > 1 else c[ok] / total) + (order - n) * math.log(backoff)
-                    used[ok] = n
-                doc = np.repeat(np.arange(len(lengths)), lengths)
-                sums = np.bincount(doc, s, len(lengths)) if len(s) else np.zeros(len(lengths))
-                share = [np.bincount(doc[used == n], minlength=len(lengths)) for n in range(1, order + 1)]
-                for k, i in enumerate(row["doc_ids"]):
-                    m = int(lengths[k])
-                    out.append((i, m, float(sums[k]), *((float(x[k]) / m if m else None) for x in share)))
-            cols = list(zip(*out)) or [()] * (3 + order)
-            kinds = [pa.int64(), pa.int64(), *[pa.float64()] * (1 + order)]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "n_words", "s", *(f"order_{n}" for n in range(1, order + 1))])
-
-    joined = packed.join(got, "batch", "left").select("doc_ids", "lengths", "texts", "got")
+    spark = docs.sparkSession
+    tidy = tidy_session(spark)
+    packed = Saved(_pack(docs, batch_chars), "lm-batches", tidy).df
+    chars = packed.agg(F.coalesce(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda a, t: a + F.coalesce(F.length(t), F.lit(0)))), F.lit(0))).first()[0]
+    buckets = min(MOST_BUCKETS, max(12, math.ceil(chars / 6 / bucket_grams)))  # a word has six characters, about
+    tables = []
+    for n in range(1, order + 1):
+        grams = exploded(packed, n, buckets).repartition(buckets, "bucket")
+        back = grams.groupBy("bucket").applyInPandas(counted, "batch long, bucket int, words long, counts array<int>")
+        tables.append(Saved(back.withColumn("n", F.lit(n)), f"lm-counts-{n}").df)
+    total = tables[0].agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    got = tables[0]
+    for t in tables[1:]:
+        got = got.unionByName(t)
+    got = got.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("n", "bucket", "counts"))).alias("got"))  # as many as the batch has n-grams
     shares = ", ".join(f"order_{n} double" for n in range(1, order + 1))
-    out = joined.mapInArrow(score, f"doc_id long, n_words long, s double, {shares}")
+    joined = packed.join(got, "batch", "left").select("doc_ids", "texts", "got")
+    out = Saved(joined.mapInArrow(_scored(order, backoff, min_count, total), f"doc_id long, n_words long, s double, {shares}"), "lm-scores").read(spark)
     perplexity = F.when(F.col("n_words") > 0, F.round(F.exp(-F.col("s") / F.col("n_words")), 4))
     return out.select("doc_id", "n_words", F.round("s", 6).alias("log_score"), perplexity.alias("perplexity"), *(F.round(f"order_{n}", 6).alias(f"order_{n}") for n in range(1, order + 1)))
 
 
-def _total_words(packed: DataFrame) -> int:
-    """Words of all documents: one number."""
-
-    def run(batches):
-        for b in batches:
-            yield pa.record_batch([pa.array([sum(len(words_of(t)) for t in _texts(r)) for r in b.to_pylist()], pa.int64())], names=["n"])
-
-    return packed.select("lengths", "texts").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-
 #: The same scores in DuckDB, for order 3.
 SQL = r"""
 with w as (

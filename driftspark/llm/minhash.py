@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import connected_components, release_memory, save, small_batches
+from driftspark.llm.common import connected_components, pieces, release_memory, save
 
 SHINGLE = 5
 #: 40 bands of 5: a pair at Jaccard 0.75 is missed with probability 2e-5, one at 0.8 with 1e-7.
@@ -97,7 +97,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = S
     """(doc_id, k1, k2: hash of the word sequence, n_shingles, bands); texts without words have null keys and bands."""
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             ids, out = b.column(0), []
             for t in b.column(1):
                 w = words_of(t.as_py())
@@ -111,7 +111,6 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = S
             yield pa.record_batch([ids, *(pa.array(cols[i], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))))], names=["doc_id", "k1", "k2", "n_shingles", "bands"])
         release_memory()
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, k1 long, k2 long, n_shingles long, bands array<long>")
 
 

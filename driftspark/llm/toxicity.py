@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import release_memory, save, small_batches
+from driftspark.llm.common import pieces, release_memory, save
 from driftspark.llm.minhash import shingle_hashes
 
 #: Bounds of the fitted model: labelled texts it learns from (by hash, if there are more), candidate features that are counted
@@ -108,7 +108,7 @@ def _counts(df: DataFrame, wanted: set | None) -> DataFrame:
 
     def run(batches):
         toxic, clean = Counter(), Counter()
-        for b in batches:
+        for b in pieces(batches):
             for t, x in zip(b.column(0), b.column(1).to_pylist()):
                 f = doc_features(t.as_py())
                 (toxic if x else clean).update(f if wanted is None else f & wanted)
@@ -135,7 +135,7 @@ def log_odds(toxic: int, clean: int, n_toxic: float, n_clean: float, prior: floa
 
 def _sketched(batches):
     """Adds the smallest shingle hash of each text, so that of a group of near copies few are learned from."""
-    for b in batches:
+    for b in pieces(batches):
         least = [int(h.view("int64").min()) if len(h := shingle_hashes(t.as_py().encode().lower().split())) else 0 for t in b.column("text")]
         yield pa.record_batch([b.column("doc_id"), b.column("toxic"), b.column("text"), pa.array(least, pa.int64())], names=["doc_id", "toxic", "text", "sketch"])
     release_memory()
@@ -144,8 +144,6 @@ def _sketched(batches):
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_candidates: int = MAX_CANDIDATES, max_features: int = MAX_FEATURES) -> Model:
     """A model from labelled texts: docs (doc_id, text), labels (doc_id, toxic). Labels that are null or of missing documents are
     ignored, several of a document count as toxic if one is; without labels of both kinds the model scores every text 0.1."""
-    spark = docs.sparkSession
-    small_batches(spark)
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h")).join(marks, "doc_id")
     chosen = known.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).orderBy("h").limit(max_docs)
@@ -172,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, ma
 
     def background(batches):
         seen, n, best = Counter(), 0, Counter()
-        for b in batches:
+        for b in pieces(batches):
             for t in b.column(0):
                 w = words_of(t.as_py())
                 h = model.hits(w)
@@ -210,11 +208,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     Whole texts are read. Null and empty texts have no segments and the score of a text without hits. Rows stay as they are,
     repeated ones and null doc_ids too; other columns are ignored, an empty table gives no rows. No shuffle.
     """
-    small_batches(docs.sparkSession)
-
     def run(batches):
         seg = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())]))
-        for b in batches:
+        for b in pieces(batches):
             got = [model.judge(t.as_py()) for t in b.column(1)]
             segs = [[dict(zip(("first", "last", "score", "expected"), x)) for x in k] for _, k in got]
             yield pa.record_batch([b.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= threshold) for s, _ in got], pa.int32()), pa.array(segs, seg)], names=["doc_id", "score", "predicted", "segments"])
@@ -230,13 +226,11 @@ def held_out(doc_id):
 
 def not_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with all their columns, that the model doesn't reject."""
-
-    small_batches(docs.sparkSession)
     columns = docs.columns
     at = columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             keep = pa.array([model.judge(t.as_py())[0] < threshold for t in b.column(at)], pa.bool_())
             yield b.filter(keep)
         release_memory()
