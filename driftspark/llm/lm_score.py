@@ -1,6 +1,6 @@
 """Stupid-backoff language-model scores by joins of n-grams with count tables that are partitioned by hash.
 
-1. The documents are packed into batches, rows of some thousand documents with a number, in the shared folder.
+1. The documents are packed into batches, rows of some hundred documents or more with a number, in the shared folder.
 2. One job for each order n: each batch explodes into its distinct n-grams with how often they occur (the map-side combine),
    which are shuffled to hash buckets; a bucket adds them up to its part of the count table and joins that back to the n-grams.
    The shuffle files of a job go when it ends, so the disk holds one order at a time.
@@ -27,7 +27,7 @@ from driftspark.llm.common import Saved, pieces, release_memory, tidy_session
 
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
 #: Characters of text in a batch, about; n-grams in a bucket of a count table, about, and most buckets.
-BATCH_CHARS, BUCKET_GRAMS, MOST_BUCKETS = 12_000_000, 1_500_000, 20_000
+BATCH_CHARS, BUCKET_GRAMS, MOST_BUCKETS = 6_000_000, 1_500_000, 20_000
 
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
