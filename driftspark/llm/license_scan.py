@@ -1,12 +1,16 @@
 """License texts in documents by patience alignment.
 
 Words that are unique both in a stretch of text and in the template are anchors; their longest increasing subsequence is
-kept, and the gaps between are aligned in the same way. What part of the template is aligned is its coverage. Stretches
-are cut around the template's telling words, so a text is read once, whole, and long texts cost what their hits cost.
+kept, and the gaps between are aligned in the same way. What part of the template is aligned is its coverage.
+
+A telling word at place j of the template that stands at place i of the text says that a copy may begin at i - j. Around each
+such beginning a stretch is cut that has a third of the template's length to spare on both sides, so that of copies one after
+another each has a stretch in which at least its middle occurs only once. A text is read once, whole, and costs what its hits cost.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -82,44 +86,54 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def stretches(hits: list[int], length: int, n: int) -> list[tuple[int, int]]:
-    """Cuts of the text around runs of hits no further apart than a template is long."""
-    out, i = [], 0
-    while i < len(hits):
-        j = i
-        while j + 1 < len(hits) and hits[j + 1] - hits[i] < length:
-            j += 1
-        out.append((max(0, hits[i] - length // 2), min(n, hits[j] + 1 + length // 2)))
-        i = j + 1
-    return out
+class Template:
+    """A license's words, where its telling words stand (all words, if none tells), and how many words may be missing."""
+
+    def __init__(self, text: str, coverage: float):
+        self.words = words_of(text)
+        self.coverage = coverage
+        self.missing = len(self.words) - math.ceil(coverage * len(self.words) - 1e-9)
+        self.step, self.spare = max(1, len(self.words) // 6), len(self.words) // 3
+        self.places: dict[str, list[int]] = {}
+        telling = set(self.words) - COMMON or set(self.words)
+        for j, w in enumerate(self.words):
+            if w in telling:
+                self.places.setdefault(w, []).append(j)
+
+    def stretches(self, words: list[str], hits: list[int]) -> list[tuple[int, int]]:
+        """Cuts of the text, one for each ``step`` in which a copy may begin. A cut with too few different telling words is left
+        out: each that is absent is a missing word at least, so it can't reach the coverage."""
+        own = [i for i in hits if words[i] in self.places]
+        out, least = [], max(1, len(self.places) - self.missing)
+        for begin in sorted({(i - j) // self.step * self.step for i in own for j in self.places[words[i]]}):
+            lo, hi = max(0, begin - self.spare), min(len(words), begin + self.step + len(self.words) + self.spare)
+            if len({words[i] for i in own[bisect_left(own, lo) : bisect_left(own, hi)]}) >= least:
+                out.append((lo, hi))
+        return out
+
+    def find(self, words: list[str], hits: list[int]) -> list[tuple[float, int, int]]:
+        """(coverage, first, last place) of the copies. Of finds that share more than half of the shorter one, the best is kept."""
+        best, kept = set(), []
+        for lo, hi in self.stretches(words, hits):
+            pairs = patience(words[lo:hi], self.words)
+            if len(pairs) >= len(self.words) - self.missing:
+                best.add((len(pairs) / len(self.words), lo + pairs[0][0], lo + pairs[-1][0]))
+        for c, i, j in sorted(best, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+            if all(2 * (min(j, j2) - max(i, i2) + 1) <= min(j - i, j2 - i2) + 1 for _, i2, j2 in kept):
+                kept.append((c, i, j))
+        return kept
 
 
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float):
-        self.coverage = coverage
-        self.templates = {name: words_of(t) for name, t in templates.items()}
-        self.telling = {name: frozenset(w) - COMMON for name, w in self.templates.items()}
-        self.any = frozenset().union(*self.telling.values())
+        self.templates = {name: Template(t, coverage) for name, t in templates.items() if words_of(t)}
+        self.any = frozenset(w for t in self.templates.values() for w in t.places)
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(license, coverage, first and last word) of the matches, by place then name; of overlapping ones of a license the best."""
+        """(license, coverage, first and last word) of the matches, by place, then name."""
         words = words_of(text) if text else []
         hits = [i for i, w in enumerate(words) if w in self.any]
-        found = []
-        for name, template in self.templates.items() if hits else ():
-            telling, best = self.telling[name], []
-            own = [i for i in hits if words[i] in telling]
-            if len({words[i] for i in own}) < self.coverage * len(telling) - 1:
-                continue
-            for lo, hi in stretches(own, len(template) + len(template) // 2, len(words)):
-                pairs = patience(words[lo:hi], template)
-                if len(pairs) >= self.coverage * len(template):
-                    best.append((len(pairs) / len(template), lo + pairs[0][0], lo + pairs[-1][0]))
-            taken: list = []
-            for c, i, j in sorted(best, key=lambda x: (-x[0], x[1])):
-                if all(j < i2 or i > j2 for _, i2, j2 in taken):
-                    taken.append((c, i, j))
-            found += [(name, c, i, j) for c, i, j in taken]
+        found = [(name, *x) for name, t in self.templates.items() for x in t.find(words, hits)] if hits else []
         return sorted(found, key=lambda x: (x[2], x[0]))
 
 
@@ -128,7 +142,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
     the text, from 0).
 
     Null and empty texts have none. A repeated row gives its rows again. A license that occurs several times is found each
-    time. Other columns are ignored; an empty table gives no rows. No shuffle.
+    time, also in copies one after another; different licenses may overlap. Very long texts are read whole. Other columns are ignored; an empty table gives no rows. No shuffle.
     """
     scanner = Scanner(templates or TEMPLATES, coverage)
 

@@ -1,3 +1,4 @@
+import math
 import random
 
 from driftspark.llm import license_scan as ls
@@ -46,5 +47,64 @@ def test_every_template_is_found_whole():
         assert found[name] == 1.0
 
 
+def brute_copies(text, template, coverage):
+    """By all windows up to twice the template: the most finds that don't overlap, each a shortest window that reaches the coverage."""
+    words, t = ls.words_of(text), ls.words_of(template)
+    least, ends = math.ceil(coverage * len(t) - 1e-9), []
+    for a in range(len(words)):
+        for b in range(a + least, min(len(words), a + 2 * len(t)) + 1):
+            if words[a] == t[0] or words[a] in t:
+                pairs = ls.patience(words[a:b], t)
+                if len(pairs) >= least:
+                    ends.append((b, a))
+                    break
+    n, at = 0, 0
+    for b, a in sorted(ends):
+        if a >= at:
+            n, at = n + 1, b
+    return n
+
+
+def test_copies_one_after_another():
+    s = ls.Scanner(ls.TEMPLATES, ls.COVERAGE)
+    for name, t in ls.TEMPLATES.items():
+        for n in (1, 2, 3, 7):
+            for gap in ("", " ", " and so ", " license software file redistribution "):
+                found = [x for x in s.scan("The license says: " + gap.join([t + " "] * n) + " software.") if x[0] == name]
+                assert len(found) == n, (name, n, gap, found)
+                assert all(a[3] < b[2] for a, b in zip(found, found[1:]))
+
+
+def test_coverage_just_over_and_under_against_brute_force():
+    rnd = random.Random(3)
+    for name in ("MIT-notice", "BSD-notice", "CC-BY-4.0-notice", "ISC", "GPL-3.0", "MIT"):
+        t = ls.TEMPLATES[name]
+        w = ls.words_of(t)
+        for over in (True, False):
+            for copies in (1, 2, 3):
+                texts = []
+                for _ in range(copies):
+                    gone = len(w) - math.ceil(ls.COVERAGE * len(w) - 1e-9) + (not over)
+                    bad = set(rnd.sample(range(1, len(w) - 1), gone))
+                    texts.append(" ".join(f"x{k}y" if k in bad else x for k, x in enumerate(w)))
+                text = "so be it " + " then ".join(texts) + " as it was"
+                mine = [x for x in ls.Scanner({name: t}, ls.COVERAGE).scan(text)]
+                # patience may align less than was left where few words are unique, so the truth is what it says of whole copies
+                want = sum(len(ls.patience(ls.words_of(x), w)) >= ls.COVERAGE * len(w) for x in texts)
+                assert len(mine) >= want and (over or len(mine) == 0), (name, over, copies, mine, want)
+                if len(w) < 40 and copies == 1:  # a window over two damaged copies may take words from both
+                    assert bool(mine) == bool(brute_copies(text, t, ls.COVERAGE)), (name, over, copies)
+
+
+def test_overlaps_ties_and_a_long_text(spark):
+    noise = " ".join(f"w{i}" for i in range(60_000))
+    both = ls.TEMPLATES["Apache-2.0"]  # its first words are the notice of the same license
+    rows = [(1, f"{noise} {both} {noise} {ls.TEMPLATES['ISC']} {ls.TEMPLATES['ISC']}"), (2, ls.TEMPLATES["GPL-3.0"])]
+    got = sorted((r.doc_id, r.license, r.first_word) for r in ls.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    n = len(ls.words_of(ls.TEMPLATES["ISC"]))
+    first = 120_000 + len(ls.words_of(both))
+    assert got == [(1, "Apache-2.0", 60_000), (1, "Apache-2.0-notice", 60_000), (1, "ISC", first), (1, "ISC", first + n), (2, "GPL-3.0", 0)]
+
+
 def test_empty(spark):
     assert ls.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
