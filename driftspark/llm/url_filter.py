@@ -1,8 +1,12 @@
 """URL verdicts: given rules on host and path first, else association rules mined from labelled URLs.
 
 Spark's FP-growth finds combinations of URL tokens (host labels, domains, path segments, query keys) that often occur in
-blocked pages. Rules that imply "block" are pruned by support, confidence and lift. A rule is filed under its rarest token (an
-inverted index), so a URL meets only rules that share that token, and one containment test decides. DataFrame functions only.
+blocked pages. Rules that imply "block" are pruned by support, confidence and lift. A rule is filed under its rarest item (an
+inverted index), so a URL meets only rules that share that item, and one containment test decides. DataFrame functions only.
+
+What would only multiply the rules is taken out first, without any loss to the verdicts: tokens too rare for a rule; tokens that
+stand in every URL; tokens that always occur together become one item, which a URL has if it has any of them; an item that is a
+rule by itself needs no combinations.
 """
 
 from __future__ import annotations
@@ -11,6 +15,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftspark.llm.common import save
+
 #: (verdict, host, path): a rule fits its host and all subdomains if the path starts with its path; the longest wins.
 GIVEN = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.005, 0.6, 1.5
@@ -35,36 +41,66 @@ def tokens(url):
     return F.when(url.isNull(), F.array().cast("array<string>")).otherwise(every)
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
-    """(url, blocked boolean) to (rarest token, antecedent array<string>, confidence, support). No rows, no rules."""
-    items = labelled.select(F.when(F.col("blocked"), F.array_append(tokens(F.col("url")), F.lit(BLOCK))).otherwise(tokens(F.col("url"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.where((F.col("consequent")[0] == BLOCK) & (F.col("lift") >= min_lift))
-    alone = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    filed = rules.withColumn("token", F.explode("antecedent")).join(alone, "token")
-    return filed.groupBy("antecedent", "confidence", "support").agg(F.min(F.struct("freq", "token"))["token"].alias("token"))
+def items_of(labelled: DataFrame, min_support: float = MIN_SUPPORT) -> tuple[DataFrame, int]:
+    """(url, blocked boolean) to (token, item, freq, bad) and the number of rows. freq: rows with the item, bad: blocked ones. The
+    item of tokens that stand in the same URLs, told by their number and two hashes of these URLs, is the least of them."""
+    urls = labelled.groupBy("url").agg(F.count("*").alias("n"), F.count_if("blocked").alias("bad"))
+    each = urls.withColumn("token", F.explode(tokens(F.col("url"))))
+    mark = lambda seed: F.bit_xor(F.xxhash64("url", F.lit(seed)))
+    stats = each.groupBy("token").agg(F.sum("n").alias("freq"), F.sum("bad").alias("bad"), mark(1).alias("x"), mark(2).alias("y"))
+    n = labelled.count()
+    stats = stats.where((F.col("bad") >= min_support * n) & (F.col("freq") < n))
+    least = stats.groupBy("freq", "x", "y").agg(F.min("token").alias("item"))
+    return stats.join(least, ["freq", "x", "y"]).select("token", "item", "freq", "bad"), n
+
+
+def as_items(urls: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows' columns with the items of their url; rows without items are left out. A url's items are as many as its tokens."""
+    named = urls.select("url").distinct().withColumn("token", F.explode(tokens(F.col("url")))).join(items.select("token", "item"), "token")
+    return urls.join(named.groupBy("url").agg(F.collect_set("item").alias("items")), "url")
+
+
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> tuple[DataFrame, DataFrame]:
+    """(url, blocked boolean) to the items and the rules (rarest item, antecedent array<string>, confidence, support). No rows, no rules."""
+    labelled = labelled.where("url is not null")
+    items, n = items_of(labelled, min_support)
+    items = save(items, "url-items")
+    blocked = labelled.where("blocked").count()
+    alone = items.select("item", "freq", "bad").distinct()
+    confidence = F.col("bad") / F.col("freq")
+    single = (confidence >= min_confidence) & (confidence >= min_lift * blocked / max(n, 1))
+    rules = alone.where(single).select(F.array("item").alias("antecedent"), confidence.alias("confidence"), (F.col("bad") / max(n, 1)).alias("support"), "item")
+    left = items.join(alone.where(~single).select("item"), "item")
+    rows = as_items(labelled, left).select(F.when(F.col("blocked"), F.array_append("items", F.lit(BLOCK))).otherwise(F.col("items")).alias("items"))
+    # support counts all labelled rows, also those without items
+    kept = rows.count()
+    if kept:
+        model = FPGrowth(itemsCol="items", minSupport=min(1.0, min_support * n / kept), minConfidence=min_confidence).fit(rows)
+        mined = model.associationRules.where((F.col("consequent")[0] == BLOCK) & (F.col("confidence") >= min_lift * blocked / n)).withColumn("support", F.col("support") * kept / n)
+        filed = mined.withColumn("item", F.explode("antecedent")).join(alone, "item").groupBy("antecedent", "confidence", "support").agg(F.min(F.struct("freq", "item"))["item"].alias("item"))
+        rules = rules.unionByName(filed)
+    return items, save(rules, "url-rules")
 
 
-def blocked_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def blocked_urls(urls: DataFrame, items: DataFrame, rules: DataFrame) -> DataFrame:
     """The distinct urls that some rule implies, with the best rule's confidence."""
-    distinct = urls.select("url").where("url is not null").distinct().withColumn("tokens", tokens(F.col("url")))
-    met = distinct.withColumn("token", F.explode("tokens")).join(rules, "token")
-    return met.where(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
+    met = as_items(urls.select("url").where("url is not null").distinct(), items).withColumn("item", F.explode("items")).join(rules, "item")
+    return met.where(F.size(F.array_except("antecedent", "items")) == 0).groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, given=GIVEN, **how) -> DataFrame:
     """pages (page_id, url, …), labels (doc_id = page_id, quality, toxic) to page_id, host, path, rule, verdict, confidence.
 
     A labelled page is blocked if its quality is 0 or it is toxic; several labels of an id count as blocked if one is, null
-    labels as not. verdict is the given rule's, else "block" if a mined rule fits, else "allow". Null or odd urls have empty host
-    and path, and only mined rules can fit them. Repeated rows stay; an empty table gives no rows. Other columns are ignored.
+    labels as not. confidence is the best rule's of those not made longer than need be. verdict is the given rule's, else "block" if a mined rule fits, else "allow". Null or odd urls have empty host
+    and path, and only mined rules can fit them. Repeated rows stay; an empty table gives no rows. Very long urls are read whole. Other columns are ignored.
     """
     bad = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
     marks = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(bad).alias("blocked"))
     slim = pages.select("page_id", F.col("url").cast("string"))
-    rules = mine_rules(slim.join(marks, "page_id").select("url", "blocked"), **how)
+    items, rules = mine_rules(slim.join(marks, "page_id").select("url", "blocked"), **how)
     host, path = host_and_path(F.col("url"))
-    mined = blocked_urls(slim, rules)
+    mined = blocked_urls(slim, items, rules)
     out = slim.withColumn("host", host).withColumn("path", path)
     fits = lambda h, p: ((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith(p)
     ranked = sorted(given, key=lambda x: -len(x[1] + x[2]))

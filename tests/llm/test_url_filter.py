@@ -1,3 +1,4 @@
+import time
 from itertools import combinations
 
 from pyspark.sql import functions as F
@@ -40,5 +41,29 @@ def test_mined_rules_against_brute_force(spark):
     assert len(got) == len(rows) and {r.page_id for r in got if r.verdict == "block"} == want and 900 in want
 
 
+def test_thirty_tokens_of_one_shape(spark):
+    """Tokens that always occur together are one item: 2 ** 30 rules aren't listed; a url with any of them is met, as by the subsets."""
+    tail = "/".join(f"p{chr(97 + k)}" for k in range(26))
+    shape = f"http://a.b.spam.test/{tail}"
+    rows = [(i, f"{shape}?k{i}=1" if i % 3 == 0 else f"http://ok.test/{i % 5}/x{i}", "", 0) for i in range(120)] + [(1000, "http://other.test/ph", "", 0), (1001, "http://other.test/none", "", 0), (1002, "http://x.test/" + "y" * 200_000, "", 0)]
+    labels = [(i, 0 if i % 3 == 0 else 1, 0) for i in range(90)]
+    began = time.time()
+    got = {r.page_id: r for r in uf.judge(spark.createDataFrame(rows, PAGES), spark.createDataFrame(labels, LABELS), given=(), min_support=0.05).collect()}
+    assert time.time() - began < 60
+    assert all((got[i].verdict == "block") == (i % 3 == 0) and (got[i].confidence or 1) == 1 for i in range(120))
+    assert [got[i].verdict for i in (1000, 1001, 1002)] == ["block", "allow", "allow"]
+
+
+def test_rules_of_two_items_decide_most_verdicts(spark):
+    rows, labels = [], []
+    for i in range(400):
+        host, path = ("win", "lot", "news")[i % 3], ("deal", "text")[i // 3 % 2]
+        rows.append((i, f"http://{host}.test/{path}/{i}", "", 0))
+        labels.append((i, int(not (host == "win" and path == "deal" or host == "lot" and path == "text")), 0))
+    pages, marks = spark.createDataFrame(rows, PAGES), spark.createDataFrame(labels[:300], LABELS)
+    got = {r.page_id: r.verdict for r in uf.judge(pages, marks, given=()).collect()}
+    assert all((got[i] == "block") == (q == 0) for i, q, _ in labels)
+
+
 def test_empty(spark):
     assert uf.judge(spark.createDataFrame([], PAGES), spark.createDataFrame([], LABELS)).count() == 0
