@@ -1,9 +1,10 @@
 """Benchmark passages in documents, also with other numbers, names or units, by canonical templates.
 
 Numbers, units after numbers and capitalised words inside a sentence become typed placeholders; pairs of the resulting words,
-next to each other or with one between, are hashed and joined with those of the benchmark. If half of an item's words agree at
-one offset, two of them are that close, so no such offset is missed. Each candidate (document, item, offset) is then laid word by word on
-the item: words that agree count, and slots count if their values stand for each other one to one over the whole occurrence. Of several
+next to each other or with one between, are hashed and joined with those of the benchmark. Two slots side by side would meet
+everywhere, so such a pair is hashed with its values. If half of an item's words agree at one offset, so many of them are that
+close that no such offset is missed. A document's candidate offsets are then cut from its words in one go and laid word by word on
+the items: words that agree count, and slots count if their values stand for each other one to one over the whole occurrence. Of several
 occurrences in a document, as verbatim and with other values, the best one counts.
 DataFrame functions only.
 """
@@ -27,45 +28,64 @@ UNITS = "kilograms|kilogram|grams|gram|kg|mg|g|kilometers|kilometres|kilometer|k
 NUMBER = r"(?<![\p{L}\p{N}§])\p{N}+(?:[.,:/]\p{N}+)*(?![\p{L}\p{N}])"
 UNIT = rf"(?<=\p{{N}}§ )(?:{UNITS})(?![\p{{L}}\p{{N}}])"
 NAME = r"(?<=[\p{Ll},;] )\p{Lu}\p{L}*(?![\p{L}\p{N}])"
-#: A slot in a tagged text: §n45§ for a number, §ukm for a unit after it, §pDerby for a name.
-SLOT = r"§(?:n([^§]+)§|[up](\p{L}+))"
+#: A token of a tagged text: §n45§ for a number, §ukm for a unit after it, §pDerby for a name, or a word.
+TOKEN = r"§n[^§]+|§[up]\p{L}+|[\p{L}\p{N}]+"
 
 
-def tagged(text):
-    """A text column with its slots marked, each with its own value. The source's own § are taken out first, so that every § is ours."""
+def tokens(text):
+    """The lower-cased words of a text column, the slots marked by their kind, each with its own value: §n45, §ukm, §pderby. The
+    source's own § are taken out first, so that every § is ours."""
     out = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "§", " "), NAME, "§p$0")
-    return F.regexp_replace(F.regexp_replace(out, NUMBER, "§n$0§"), UNIT, "§u$0")
+    out = F.regexp_replace(F.regexp_replace(out, NUMBER, "§n$0§"), UNIT, "§u$0")
+    return F.transform(F.regexp_extract_all(out, F.lit(TOKEN), F.lit(0)), F.lower)
 
 
-def template(text):
-    """The words of a text column, lower-cased, with §n, §u and §p for numbers, units and names."""
-    out = F.regexp_replace(tagged(text), r"(§[nup])(?:(?<=n)[^§]+§|\p{L}+)", "$1")
-    return F.array_remove(F.split(F.lower(out), r"[^\p{L}\p{N}§]+"), "")
+def template(tokens):
+    """The words of an array of tokens: §n, §u and §p stand for numbers, units and names."""
+    return F.transform(tokens, _word)
 
 
-def values(text):
-    """What the slots of ``template`` stand for, in their order; one for each, as both are read from the same marks."""
-    return F.transform(F.regexp_extract_all(tagged(text), F.lit(SLOT), F.lit(0)), lambda x: F.lower(F.translate(F.substr(x, F.lit(3)), "§", "")))
+def values(tokens):
+    """What the slots of an array of tokens stand for, in their order."""
+    return F.transform(F.filter(tokens, _slot), lambda x: F.substr(x, F.lit(3)))
 
 
-def pairs(words, single: bool):
-    """(pos, h) of the pairs that each word makes with the next words; with itself too, if there are items of one word."""
-    made = lambda d: F.transform(words, lambda w, i: F.struct(i.alias("pos"), F.xxhash64(w, F.get(words, i + d), F.lit(d)).alias("h")))
-    return F.concat(*(F.slice(made(d), 1, F.greatest(F.size(words) - d, F.lit(0))) for d in ([1, 2] + [0] * single)))
+def _word(t):
+    return F.when(_slot(t), F.substring(t, 1, 2)).otherwise(t)
+
+
+def pairs(tokens, single: bool):
+    """(pos, h, slots) of the pairs that each word makes with the next words; with itself too, if there are items of one word. slots:
+    the pair is of slots alone, and their values are part of its hash."""
+
+    def made(d):
+        def one(t, i):
+            other = F.get(tokens, i + d)
+            both = _slot(t) & _slot(other)
+            h = F.when(both, F.xxhash64(t, other, F.lit(d))).otherwise(F.xxhash64(_word(t), _word(other), F.lit(d)))
+            return F.struct(i.alias("pos"), h.alias("h"), both.alias("slots"))
+
+        return F.slice(F.transform(tokens, one), 1, F.greatest(F.size(tokens) - d, F.lit(0)))
+
+    return F.concat(*(made(d) for d in ([1, 2] + [0] * single)))
 
 
 def sought_pairs(item: DataFrame) -> DataFrame:
-    """item (item_id, item_key, item, item_words, least) to the pairs to look for: item_id, item_key, need, item_pos, h.
+    """item (item_id, item_key, item_tokens, item_words, least) to the pairs to look for: item_id, item_key, need, item_pos, h.
 
     ``least`` of the words agreeing at one offset make at least least - 1 - (item_words - least) / 2 close pairs, and all words
-    make all pairs; a run of PIECE words has 2 * PIECE - 3. Half of so many pairs, the commonest in the benchmark, are left out,
-    and ``need`` of the others must meet at an offset.
+    make all pairs; a run of PIECE words has 2 * PIECE - 3. Pairs of slots alone are left out and taken off this number. Where
+    none would be left, as in a list of numbers, which any other list would fit, the slots are sought with their values. Half of
+    so many pairs, the commonest in the benchmark, are left out, and ``need`` of the others must meet at an offset.
     """
     n, m = F.col("item_words"), F.col("least")
     sure = F.greatest(F.least(F.when(m == n, 2 * n - 3).otherwise(m - 1 - F.floor((n - m) / 2)), F.lit(2 * PIECE - 3)), F.lit(1))
-    spare = F.floor((sure - 1) / 2)
-    own = F.when(n == 1, pairs(F.col("item"), True)).otherwise(pairs(F.col("item"), False))
-    each = item.select("item_id", "item_key", spare.alias("spare"), (sure - spare).alias("need"), F.explode(own).alias("p")).select("*", "p.pos", "p.h")
+    own = F.when(n == 1, pairs(F.col("item_tokens"), True)).otherwise(pairs(F.col("item_tokens"), False))
+    each = item.select("item_id", "item_key", sure.alias("sure"), own.alias("own")).withColumn("slots", F.size(F.filter("own", lambda p: p["slots"])))
+    each = each.withColumn("typed", F.col("sure") > F.col("slots")).withColumn("sure", F.when(F.col("typed"), F.col("sure") - F.col("slots")).otherwise(F.col("sure")))
+    each = each.withColumn("spare", F.floor((F.col("sure") - 1) / 2))
+    each = each.select("item_id", "item_key", "spare", (F.col("sure") - F.col("spare")).alias("need"), F.explode(F.filter("own", lambda p: ~F.col("typed") | ~p["slots"])).alias("p"))
+    each = each.select("item_id", "item_key", "spare", "need", "p.pos", "p.h")
     each = each.join(each.groupBy("h").agg(F.count("*").alias("common")), "h")
     rank = F.row_number().over(Window.partitionBy("item_id", "item_key").orderBy(F.desc("common"), "pos", "h"))
     return each.withColumn("rank", rank).where(F.col("rank") > F.col("spare")).select("item_id", "item_key", "need", F.col("pos").alias("item_pos"), "h")
@@ -119,12 +139,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     item_id, matched_words, item_words, coverage, verbatim (all slots have the item's own values).
 
     Null, empty and very short texts match nothing; items without words are left out; every offset at which so many words
-    agree is found (for a coverage over a third). Repeated rows count once for each distinct (doc_id, text).
+    agree is found (for a coverage over a third; of items that are mostly slots side by side, only where the values agree
+    too). Very long texts and texts of numbers alone are read like others. Repeated rows count once for each distinct (doc_id, text).
     Neighbouring offsets of one item in a document are taken together if their slots agree. Other columns are ignored; empty tables give no rows.
     """
     doc = docs.select("doc_id", F.col("text").cast("string"), F.xxhash64("text").alias("text_hash"))
     item = benchmark.select("item_id", F.col("text").cast("string")).distinct()
-    item = item.select("item_id", template(F.col("text")).alias("item"), values(F.col("text")).alias("item_values")).where(F.size("item") > 0)
+    item = item.select("item_id", tokens(F.col("text")).alias("item_tokens")).where(F.size("item_tokens") > 0)
+    item = item.select("*", template(F.col("item_tokens")).alias("item"), values(F.col("item_tokens")).alias("item_values"))
     item = item.select("*", F.size("item").alias("item_words"), _places(F.col("item")).alias("item_at"), F.xxhash64("item", "item_values").alias("item_key"))
     least = F.greatest(F.ceil(F.col("item_words") * coverage).cast("int"), F.least(F.lit(least_words), F.col("item_words")))
     item = save(item.withColumn("least", least), "benchmark")
@@ -132,23 +154,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     sought = save(sought_pairs(item), "sought")
     if sought.limit(broadcast_windows + 1).count() <= broadcast_windows:
         sought = F.broadcast(sought)
-    words = doc.select("doc_id", "text_hash", template(F.col("text")).alias("words"))
-    met = words.select("doc_id", "text_hash", F.explode(pairs(F.col("words"), single)).alias("w")).select("doc_id", "text_hash", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"))
+    words = doc.select("doc_id", "text_hash", _bound(tokens(F.col("text")), lambda t: pairs(t, single)).alias("pairs"))
+    met = words.select("doc_id", "text_hash", F.explode("pairs").alias("w")).select("doc_id", "text_hash", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"))
     met = met.join(sought, "h").groupBy("doc_id", "text_hash", "item_id", "item_key", "need", (F.col("pos") - F.col("item_pos")).alias("offset")).agg(F.count("*").alias("n"))
-    offsets = met.where(F.col("n") >= F.col("need")).select("doc_id", "text_hash", "item_id", "item_key", "offset")
-
-    offsets = save(offsets, "offsets")
-    near = offsets.join(doc, offsets["doc_id"].eqNullSafe(doc["doc_id"]) & (offsets["text_hash"] == doc["text_hash"])).drop(doc["doc_id"], doc["text_hash"])
-    near = near.join(item.select("item_id", "item_key", "item_words"), ["item_id", "item_key"])
-    low = F.greatest(F.col("offset"), F.lit(0))
-
-    def cut(x):  # the stretch of the document that lies on the item, and the values of its slots
-        n = F.greatest(F.least(F.col("item_words") + F.col("offset"), F.size(x["words"])) - low, F.lit(0))
-        first = F.size(F.filter(F.slice(x["words"], 1, low), _slot))
-        return F.struct(F.slice(x["words"], low + 1, n).alias("seg"), F.slice(x["values"], first + 1, F.size(F.filter(F.slice(x["words"], low + 1, n), _slot))).alias("seg_values"))
-
-    near = near.select("doc_id", "text_hash", "item_id", "item_key", "offset", _bound(F.struct(template(F.col("text")).alias("words"), values(F.col("text")).alias("values")), cut).alias("c"))
-    near = save(near.select("doc_id", "text_hash", "item_id", "item_key", "offset", "c.*").distinct(), "stretches").join(item, ["item_id", "item_key"])
+    offsets = met.where(F.col("n") >= F.col("need")).join(item.select("item_id", "item_key", "item_words"), ["item_id", "item_key"])
+    # a document's offsets are no more than its words for each item
+    offsets = save(offsets.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_id", "item_key", "item_words", "offset")).alias("offsets")), "offsets")
+    near = offsets.join(doc.distinct(), offsets["doc_id"].eqNullSafe(doc["doc_id"]) & (offsets["text_hash"] == doc["text_hash"])).drop(doc["doc_id"], doc["text_hash"])
+
+    def cut(t):  # the stretch of the document that lies on the item
+        low = lambda o: F.greatest(o["offset"], F.lit(0))
+        size = lambda o: F.greatest(F.least(o["item_words"] + o["offset"], F.size(t)) - low(o), F.lit(0))
+        return F.transform("offsets", lambda o: F.struct(o["item_id"], o["item_key"], o["offset"], F.slice(t, low(o) + 1, size(o)).alias("seg")))
+
+    near = near.select("doc_id", "text_hash", F.explode(_bound(tokens(F.col("text")), cut)).alias("c")).select("doc_id", "text_hash", "c.*")
+    near = save(near, "stretches").join(item, ["item_id", "item_key"])
+    near = near.withColumn("seg_values", values(F.col("seg"))).withColumn("seg", template(F.col("seg")))
     shift = F.least(F.col("offset"), F.lit(0))  # item place + shift is the stretch's place
     agree = F.transform("item", lambda w, j: F.when(j + shift >= 0, F.coalesce(F.get("seg", j + shift) == w, F.lit(False))).otherwise(F.lit(False)))
     near = near.select("doc_id", "text_hash", "item_id", "item_key", "item_words", "least", "offset", "item", "item_at", "item_values", "seg_values", _places(F.col("seg")).alias("seg_at"), agree.alias("agree"))

@@ -1,3 +1,8 @@
+import random
+import time
+
+from pyspark.sql import functions as F
+
 from driftspark.llm import decontam
 
 BENCH = "item_id long, text string, words int"
@@ -72,12 +77,23 @@ def test_stray_marks_and_units_lose_no_slots(spark):
 
 def test_one_value_for_each_slot(spark):
     texts = ["It took 1,000.5 km and 12:30 h to Bob, Ann §5 x §n §", "v2 days A4 h 5 km 7 7/8 9. m, İx and İx 3kg ½ g", ITEM, "", None]
-    d = spark.createDataFrame([(t,) for t in texts], "text string")
-    rows = d.select(decontam.template(d.text).alias("words"), decontam.values(d.text).alias("values")).collect()
+    d = spark.createDataFrame([(t,) for t in texts], "text string").select(decontam.tokens(F.col("text")).alias("t"))
+    rows = d.select(decontam.template(d.t).alias("words"), decontam.values(d.t).alias("values")).collect()
     assert all(sum(w.startswith("§") for w in r.words) == len(r["values"]) for r in rows)
     assert rows[0].words == "it took §n §u and §n §u to §p §p §n x n".split() and rows[0]["values"] == ["1,000.5", "km", "12:30", "h", "bob", "ann", "5"]
 
 
+def test_texts_and_items_of_numbers(spark):
+    """Any list of numbers fits a list of numbers, so the values must agree there; in sentences the template is enough."""
+    rng = random.Random(8)
+    numbers = [str(rng.randrange(10_000, 99_999)) for _ in range(100_000)]
+    listed, asked = " ".join(numbers[500:560]), "Add 12 34 56 to the first heap of stones and then tell me how many there are"
+    docs = [(1, " ".join(numbers)), (2, " ".join(reversed(numbers))), (3, "so " + asked.replace("34", "99") + " " + " ".join(numbers[:50_000]))]
+    began = time.time()
+    assert found(spark, docs, [(1, listed), (2, asked)]) == [(1, 1, True), (3, 1, True), (3, 2, False)]
+    assert time.time() - began < 60
+
+
 def test_runs_of_ten_words_at_every_place(spark):
     words = [f"w{i}" for i in range(20)]
     docs = [(10 * k + i, " ".join([f"x{j}" for j in range(k)] + words[i : i + 10] + ["y"])) for k in range(5) for i in (0, 3, 10)]
@@ -85,8 +101,6 @@ def test_runs_of_ten_words_at_every_place(spark):
 
 
 def test_every_agreeing_offset_against_brute_force(spark):
-    import random
-
     rng, bench, docs, want = random.Random(5), [], [], []
     for n in (1, 2, 5, 10, 11, 12, 14, 15, 17, 20, 24, 40):
         item = [f"{'abcde'[rng.randrange(5)]}{rng.randrange(8)}q" for _ in range(n)]
