@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 from driftspark.llm.common import pieces, release_memory, save
 from driftspark.llm.minhash import shingle_hashes
 
-#: Bounds of the fitted model: labelled texts it learns from (by hash, if there are more), candidate features that are counted
-#: in clean texts, and features kept, so that what is sent to the tasks is a few MB at any input size.
-MAX_TRAIN_DOCS, MAX_CANDIDATES, MAX_FEATURES = 200_000, 200_000, 20_000
+#: Labelled texts that the model learns from, by hash if there are more. This alone bounds the model, and so what is sent to the tasks.
+MAX_TRAIN_DOCS = 200_000
 PREFIXES = (4, 5, 6)
 #: PRIOR: weight of the prior, as a share of the texts learned from.
 PRIOR, MIN_DOCS, MIN_Z, MIN_SCORE = 0.05, 4, 3.5, 3.0
@@ -103,15 +102,14 @@ def segments(hits: list[tuple[int, float]], cost: float = WORD_COST) -> list[tup
     return [(i, j, r - l) for i, j, l, r in out]
 
 
-def _counts(df: DataFrame, wanted: set | None) -> DataFrame:
-    """(feature, toxic, clean): in how many texts, and under feature null the numbers of texts; counted up by task first."""
+def _counts(df: DataFrame) -> DataFrame:
+    """(feature, toxic, clean): in how many texts; counted up by task first."""
 
     def run(batches):
         toxic, clean = Counter(), Counter()
         for b in pieces(batches):
             for t, x in zip(b.column(0), b.column(1).to_pylist()):
-                f = doc_features(t.as_py())
-                (toxic if x else clean).update(f if wanted is None else f & wanted)
+                (toxic if x else clean).update(doc_features(t.as_py()))
             if len(toxic) + len(clean) > 100_000:
                 yield of(toxic, clean)
                 toxic, clean = Counter(), Counter()
@@ -126,43 +124,43 @@ def _counts(df: DataFrame, wanted: set | None) -> DataFrame:
     return df.select("text", "toxic").mapInArrow(run, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def log_odds(toxic: int, clean: int, n_toxic: float, n_clean: float, prior: float = PRIOR) -> tuple[float, float]:
-    """Log-odds ratio with a Dirichlet prior spread like the feature's use overall, and its standard deviation."""
+def log_odds(toxic, clean, n_toxic: float, n_clean: float, prior: float = PRIOR):
+    """Columns: the log-odds ratio with a Dirichlet prior spread like the feature's use overall, and its standard deviation."""
     a, a0 = prior * (toxic + clean), prior * (n_toxic + n_clean)
-    d = math.log((toxic + a) / (n_toxic + a0 - toxic - a)) - math.log((clean + a) / (n_clean + a0 - clean - a))
-    return d, math.sqrt(1 / (toxic + a) + 1 / (clean + a))
+    d = F.log((toxic + a) / (n_toxic + a0 - toxic - a)) - F.log((clean + a) / (n_clean + a0 - clean - a))
+    return d, F.sqrt(1 / (toxic + a) + 1 / (clean + a))
 
 
 def _sketched(batches):
     """Adds the smallest shingle hash of each text, so that of a group of near copies few are learned from."""
     for b in pieces(batches):
-        least = [int(h.view("int64").min()) if len(h := shingle_hashes(t.as_py().encode().lower().split())) else 0 for t in b.column("text")]
-        yield pa.record_batch([b.column("doc_id"), b.column("toxic"), b.column("text"), pa.array(least, pa.int64())], names=["doc_id", "toxic", "text", "sketch"])
+        least = [int(h.view("int64").min()) if len(h := shingle_hashes(t.as_py().encode("utf-8", "surrogatepass").lower().split())) else 0 for t in b.column("text")]
+        yield pa.record_batch([*b.columns, pa.array(least, pa.int64())], names=[*b.schema.names, "sketch"])
     release_memory()
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_candidates: int = MAX_CANDIDATES, max_features: int = MAX_FEATURES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Model:
     """A model from labelled texts: docs (doc_id, text), labels (doc_id, toxic). Labels that are null or of missing documents are
-    ignored, several of a document count as toxic if one is; without labels of both kinds the model scores every text 0.1."""
+    ignored, several of a document count as toxic if one is; without labels of both kinds the model scores every text 0.1. Equal
+    texts count once and, of texts with an equal sketch and label, that of the least doc_id; so reruns learn the same."""
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    known = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h")).join(marks, "doc_id")
+    hashed = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("h"))
+    known = hashed.select("doc_id", "h").join(marks, "doc_id")
     chosen = known.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).orderBy("h").limit(max_docs)
-    chosen = save(chosen.select("doc_id", "toxic"), "toxic-train")  # at most max_docs short rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_sketched, "doc_id long, toxic int, text string, sketch long")
-    texts = save(texts.dropDuplicates(["toxic", "sketch"]), "toxic-texts")
+    chosen = save(chosen, "toxic-train")  # at most max_docs short rows
+    texts = hashed.join(F.broadcast(chosen), ["doc_id", "h"]).select("doc_id", "toxic", "text", "h")
+    texts = save(texts.mapInArrow(_sketched, "doc_id long, toxic int, text string, h long, sketch long"), "toxic-sketches")
+    first = texts.groupBy("toxic", "sketch").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("first.*")
+    texts = save(texts.join(F.broadcast(first), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]), "toxic-texts")  # what is dropped here is equal
     n_docs = {r[0]: r[1] for r in texts.groupBy("toxic").count().collect()}
     if not n_docs.get(0) or not n_docs.get(1):
         return Model()
-    first = _counts(texts.where("toxic = 1"), None).where(F.col("toxic") >= MIN_DOCS)
-    candidates = {r[0] for r in first.orderBy(F.desc("toxic"), "feature").limit(max_candidates).select("feature").collect()}
-    rows = _counts(texts, candidates).collect()
     n_toxic, n_clean = (float(n_docs[x]) * 1000 for x in (1, 0))  # as if each text had as many features
-    scored = []
-    for f, t, c in rows:
-        d, sd = log_odds(t, c, n_toxic, n_clean)
-        if t >= MIN_DOCS and d / sd >= MIN_Z and d - 1.96 * sd >= MIN_SCORE:
-            scored.append((d - 1.96 * sd, f))
-    model = Model(scores={f: round(s, 3) for s, f in sorted(scored, key=lambda x: (-x[0], x[1]))[:max_features]}, prior=n_docs[1] / (n_docs[0] + n_docs[1]))
+    d, sd = log_odds(F.col("toxic"), F.col("clean"), n_toxic, n_clean)
+    scored = _counts(texts).where(F.col("toxic") >= MIN_DOCS).select("feature", d.alias("d"), sd.alias("sd"))
+    scored = scored.where((F.col("d") / F.col("sd") >= MIN_Z) & (F.col("d") - 1.96 * F.col("sd") >= MIN_SCORE))
+    kept = scored.select("feature", F.round(F.col("d") - 1.96 * F.col("sd"), 3)).collect()  # telling features of at most max_docs texts
+    model = Model(scores=dict(sorted(map(tuple, kept))), prior=n_docs[1] / (n_docs[0] + n_docs[1]))
     if not model.scores:
         return model
     # the background: how often clean training texts have which score, and their best segments

@@ -66,6 +66,19 @@ def test_deduplicated_keeps_columns_and_one_of_each(spark):
     assert sorted(x for x in got if x is not None) == sorted(kept) and got.count(None) == 1
 
 
+def test_different_texts_of_one_id_are_kept(spark):
+    rows = [(1, "a b c d e f g"), (1, "h i j k l m n"), (1, "a b c d e f g"), (2, "A b c d e f g"), (3, None), (3, ""), (None, "h i j k l m n"), (None, None), (4, "x y z"), (4, "x y z")]
+    df = spark.createDataFrame([(i, t, f"c{k}", k) for k, (i, t) in enumerate(rows)], DOCS)
+    key = lambda d: sorted(map(tuple, d.collect()), key=str)
+    got = key(minhash.deduplicated(df))
+    assert got == key(minhash.deduplicated(df.repartition(5)))
+    texts = [((t or "").lower(), i is None) for i, t, _, _ in got]
+    assert sorted(texts) == sorted([("a b c d e f g", False), ("h i j k l m n", False), ("", False), ("", False), ("h i j k l m n", True), ("", True), ("x y z", False)])
+    same = spark.createDataFrame([(4, "x y z", f"c{k}", k) for k in range(3)] + [(5, "q", "c", 1)], DOCS)
+    assert [(i, t) for i, t, _, _ in key(minhash.deduplicated(same))] == [(4, "x y z"), (5, "q")]
+    assert minhash.deduplicated(df.where("false")).count() == 0
+
+
 def test_long_text(spark):
     text = " ".join(f"w{i}" for i in range(30_000))
     got = minhash.near_duplicates(spark.createDataFrame([(1, text, "", 0), (2, text + " end", "", 0)], DOCS)).collect()
