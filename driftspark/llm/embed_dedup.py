@@ -4,8 +4,9 @@
    is that of its nearest centre, and it also lies in the next nearest, so shards overlap. Shards over the bound are split by hash.
 2. In each shard a graph is built (nearest neighbours, robust pruning); a vector's adjacency lists from all its shards are united.
 3. Range-expanding greedy search runs in each shard: from the medoid and a few entry points a beam walks to the query's
-   neighbourhood, then spreads over the graph as long as it meets vectors near the threshold. A query visits every shard whose
-   cell can hold a vector within the threshold (the distance to the cells' boundary decides), so shards lose nothing.
+   neighbourhood, then spreads over the graph as long as it meets vectors near the threshold. Of the shards whose cells can hold a
+   vector within the threshold (the distance to the cells' boundary decides) a query visits the nearest few, so its work doesn't
+   grow with the number of shards.
 4. Every pair found is verified by its cosine in double precision. A found vector counts only in its own shard, so counts
    add up. ``audit_recall`` compares with brute force.
 """
@@ -23,8 +24,10 @@ from driftspark.llm.common import connected_components, save
 
 THRESHOLD = 0.93
 #: Rows the centres are fitted on (all vectors are then indexed), vectors of a shard about, and the bound at which it is split.
-SAMPLE, SHARD, SHARD_MAX = 20_000, 2_000, 4_000
+SAMPLE, SHARD, SHARD_MAX = 20_000, 1_000, 4_000
 DEGREE, ALPHA, BEAM, ENTRIES = 16, 1.2, 12, 4
+#: Shards that a query visits; rows of the sample for each centre, at least.
+PROBES, ROWS_A_CENTRE = 3, 8
 #: Open vectors that a query goes on from at once.
 WIDTH = 4
 #: How far under the threshold a vector may be for the search to go on from it.
@@ -52,11 +55,11 @@ def normalised(vectors: DataFrame) -> DataFrame:
 
 
 def fit_centres(sample: pd.DataFrame, sizes: dict, shard: int, rounds: int = 8) -> dict:
-    """label to centres, by k-means on the sample; one for each ``shard`` vectors of the label."""
+    """label to centres, by k-means on the sample; one for each ``shard`` vectors of the label, as far as the sample has enough rows."""
     out = {}
     for label, rows in sample.groupby("label"):
         x = np.stack(rows["e"].to_numpy())
-        k = max(1, min(len(x), math.ceil(sizes[label] / shard)))
+        k = max(1, min(len(x) // ROWS_A_CENTRE, math.ceil(sizes[label] / shard)))
         c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
         for _ in range(rounds if k > 1 else 1):
             own = np.argmax(x @ c.T - (c * c).sum(axis=1) / 2, axis=1)
@@ -189,7 +192,7 @@ def _search(threshold: float, beam: int, slack: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, shard: int = SHARD, shard_max: int = SHARD_MAX, beam: int = BEAM, slack: float = SLACK) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, shard: int = SHARD, shard_max: int = SHARD_MAX, beam: int = BEAM, slack: float = SLACK, probes: int = PROBES) -> DataFrame:
     """vectors (vec_id long, embedding array, label, …) to one row per input row: vec_id, n_links, component_id, kept.
 
     Vectors are linked if their labels are equal and not null and their cosine is at least threshold. Null, empty or zero
@@ -211,7 +214,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int =
     fitted = fit_centres(part.select("label", "e", "h").orderBy("h", "label").limit(sample).toPandas(), sizes, shard) if total else {}
 
     def assign(batches):
-        """Own shard, overlap shard, and the shards whose cells reach to within the threshold."""
+        """Own shard, overlap shard, and the nearest shards whose cells reach to within the threshold."""
         reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
         for b in batches:
             out = []
@@ -227,10 +230,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int =
                 apart = np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(axis=2), 1e-30)) if len(c) <= 2000 else None
                 for r in range(len(x)):
                     gap = apart[own[r]] if apart is not None else np.sqrt(np.maximum(((c - c[own[r]]) ** 2).sum(axis=1), 1e-30))
-                    visit = np.flatnonzero((score[r, own[r]] - score[r]) / gap <= reach)
+                    close = order[r, :probes]
+                    visit = {int(s) for s in close if s == own[r] or (score[r, own[r]] - score[r, s]) / gap[s] <= reach}
                     near = set(order[r, :2].tolist())
-                    for s in near | set(visit.tolist()):
-                        out.append((g["vec_id"].iat[r], label, int(s), s == own[r], s in near, True if s in visit else s == own[r], g["copies"].iat[r], g["e"].iat[r]))
+                    for s in near | visit:
+                        out.append((g["vec_id"].iat[r], label, int(s), s == own[r], s in near, s in visit, g["copies"].iat[r], g["e"].iat[r]))
             yield pd.DataFrame(out, columns=["vec_id", "label", "shard", "own", "indexed", "asked", "copies", "e"])
 
     spread = nodes.mapInPandas(assign, "vec_id long, label string, shard int, own boolean, indexed boolean, asked boolean, copies long, e array<double>")
