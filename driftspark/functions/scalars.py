@@ -64,7 +64,8 @@ def bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
 
 
 def compass16(bearing: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, COMPASS)), (F.floor(bearing / 22.5 + 0.5) % 16 + 1).cast("int"))
+    point = F.element_at(F.array(*map(F.lit, COMPASS)), (F.floor(bearing / 22.5 + 0.5) % 16 + 1).cast("int"))
+    return F.when(bearing.isNotNull(), point)
 
 
 def circle_box(lat: Column, lon: Column, radius_km: Column) -> Column:

@@ -168,6 +168,22 @@ class Fold:
         wait = {DESCENT: p.landed_silence_s, ASCENT: p.ascent_silence_s}.get(f.state, p.stale_s)
         return f.last[0] + wait + 1
 
+    def quiet(self, until: float, ground: float | None = 0.0) -> list:
+        """All that silence from the last frame until then means, judged step by step at the times when it changes something, so
+        that it does not matter how late it is judged. The flight is forgotten if it has been silent for too long."""
+        p, rows = self.p, []
+        if self.f is None or self.f.last is None:
+            return rows
+        last = self.f.last[0]
+        for wait in sorted({p.landed_silence_s, p.descent_silence_s, p.ascent_silence_s, p.stale_s}):
+            if self.f is None or last + wait + 1 >= until:
+                break
+            got, forget = self.silence(last + wait + 1, ground or 0.0)
+            rows += got
+            if forget:
+                self.f = None
+        return rows
+
     def frame(self, x: tuple, ground: float = 0.0) -> list:
         """x: t, lat, lon, alt, pressure, temp."""
         p, out = self.p, []
@@ -324,29 +340,11 @@ def fold_frames(frames: DataFrame, p: Params = DEFAULTS, until: float | None = N
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         fold, rows, now = Fold(str(pdf["serial"].iloc[0]), p), [], None
         for x, ground in frames_of(pdf.sort_values("t", kind="stable")):
-            while (due := fold.next_silence()) is not None and due < x[0]:
-                got, forget = fold.silence(due, ground)
-                rows += got
-                if forget:
-                    fold.f = None
-                elif not got:
-                    later = [fold.f.last[0] + s + 1 for s in (p.descent_silence_s, p.stale_s) if fold.f.last[0] + s + 1 > due and fold.f.last[0] + s + 1 < x[0]]
-                    if not later:
-                        break
-                    got, forget = fold.silence(later[0], ground)
-                    rows += got
-                    if forget:
-                        fold.f = None
-                    elif not got:
-                        break
-                elif fold.f.state == LANDED and fold.next_silence() >= x[0]:
-                    break
+            rows += fold.quiet(x[0], ground)
             rows += fold.frame(x, ground)
             now = ground
         if until is not None:
-            for step in (p.landed_silence_s, p.descent_silence_s, p.ascent_silence_s, p.stale_s):
-                if fold.f is not None and fold.f.last and fold.f.last[0] + step + 1 <= until:
-                    rows += fold.silence(fold.f.last[0] + step + 1, now)[0]
+            rows += fold.quiet(until, now)
         return as_rows(rows)
 
     columns = ["serial", *FRAME] + (["ground"] if "ground" in frames.columns else [])

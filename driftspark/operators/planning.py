@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftspark.functions import scalars as S
 from driftspark.params import DEFAULTS, Params
 from driftspark.sources.grids import HOUR
 
-#: Cycles are broadcast up to this number (a run every hour for 11 years).
-BROADCAST_CYCLES = 100_000
+DAY = 86_400
 
 
 def pick_cycle(points: DataFrame, inventory: DataFrame, latency_h: float = DEFAULTS.latency_h) -> DataFrame:
-    """points (t, …) with cycle_t, the newest cycle published by then; null if there is none, never a later one. The cycles
-    become one sorted array that every task searches; the array is bounded by the cycles' number."""
-    cycles = inventory.select("cycle_t").distinct()
-    n = cycles.limit(BROADCAST_CYCLES + 1).count()
-    if n > BROADCAST_CYCLES:
-        raise ValueError(f"over {BROADCAST_CYCLES} cycles; restrict the inventory")
-    listed = cycles.agg(F.sort_array(F.collect_list("cycle_t")).alias("cycles"))
+    """points (t, …) with cycle_t, the newest cycle published by then; null if there is none, never a later one. The cycles are
+    joined by the day: a row for each day of the calendar has that day's cycles and the newest one before."""
+    day = lambda t: F.floor(t / DAY)
+    cycles = inventory.select("cycle_t").where("cycle_t is not null").distinct().groupBy(day(F.col("cycle_t")).alias("day")).agg(F.sort_array(F.collect_list("cycle_t")).alias("cycles"))
+    first, last = cycles.agg(F.min("day"), F.max("day")).first()
+    calendar = inventory.sparkSession.range(first or 0, (last if last is not None else -1) + 1).withColumnRenamed("id", "day").join(cycles, "day", "left")
+    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # a row a day: a century has 36,525
+    calendar = calendar.select("day", "cycles", F.max(F.element_at("cycles", -1)).over(before).alias("before"))
+    cut = F.col("t") - latency_h * HOUR
+    out = points.withColumn("day", F.least(day(cut), F.lit(last))).join(calendar, "day", "left")
     past = F.filter("cycles", lambda c: c <= F.col("t") - latency_h * HOUR)
-    return points.join(F.broadcast(listed)).withColumn("cycle_t", F.try_element_at(past, F.when(F.size(past) > 0, F.size(past)))).drop("cycles")
+    return out.withColumn("cycle_t", F.coalesce(F.try_element_at(past, F.when(F.size(past) > 0, F.size(past))), "before")).drop("day", "cycles", "before")
 
 
 def bracket(points: DataFrame, inventory: DataFrame) -> DataFrame:

@@ -35,6 +35,8 @@ def site_burst_prior(flights: DataFrame, points: DataFrame, p: Params = DEFAULTS
 def family_b_prior(flights: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     """(family, prior_b, n): newest fitted constants of the types that begin with the family."""
     f = flights.where("descent_b is not null")
-    families = flights.select(S.family(F.col("type")).alias("family")).where("family is not null").distinct()  # a handful of types
-    kinds = f.select("type").distinct().join(F.broadcast(families), S.prefix_match(F.col("type"), F.col("family"))) if families.limit(10_001).count() <= 10_000 else f.select("type", S.family(F.col("type")).alias("family")).distinct()
+    families = flights.select(S.family(F.col("type")).alias("family")).where("family is not null").distinct()
+    kind = F.upper("type")
+    beginnings = F.transform(F.sequence(F.lit(1), F.length(kind)), lambda n: F.substring(kind, F.lit(1), n))
+    kinds = f.where("type <> ''").select("type").distinct().withColumn("family", F.explode(beginnings)).join(families, "family")
     return _newest(f.join(kinds, "type"), ["family"], "descent_b", "prior_b", p)

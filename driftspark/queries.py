@@ -666,7 +666,14 @@ def wind_windows(spark, v):
     return grids.wind_window(g, c, 2.0).groupBy("centre_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""
+, cells as (select floor(launch_lat) as ty, floor(launch_lon) as tx, floor((launch_lat - floor(launch_lat)) * 4) as cy, floor((launch_lon - floor(launch_lon)) * 4) as cx, avg(last_alt) as elev from flights_v where launch_lat is not null group by all),
+q as (select serial, ty, tx, greatest(0.0::double, least((land_lat - ty) * 4 - 0.5::double, 3.0::double)) as fy, greatest(0.0::double, least((land_lon - tx) * 4 - 0.5::double, 3.0::double)) as fx
+  from landings_v join (select distinct ty, tx from cells) on ty = floor(land_lat) and tx = floor(land_lon)),
+four as (select serial, ty, tx, least(floor(fy) + dy, 3) as cy, least(floor(fx) + dx, 3) as cx, (case dy when 1 then fy - floor(fy) else 1 - fy + floor(fy) end) * (case dx when 1 then fx - floor(fx) else 1 - fx + floor(fx) end) as w
+  from q, (values (0, 0), (0, 1), (1, 0), (1, 1)) d(dy, dx)),
+h as (select serial, sum(w * elev) / sum(w) as ground from four join cells using (ty, tx, cy, cx) where w > 0 group by serial)
+select l.serial as point_id, coalesce(round(ground, 6), 0.0::double) as ground from landings_v l left join h on l.serial = h.serial""", "landings_v")
 def ground_heights(spark, v):
     """Ground at each landing, on terrain cells from the customers' positions (four a degree)."""
     f = v("flights_v").where("launch_lat is not null")
@@ -694,6 +701,10 @@ def bias_corrected_winds(spark, v):
 
 # -- landing estimates, backtest, alerts
 
+TOLD = f""", circles as (select * from subscribers_v where active and trim(topic) <> ''),
+told as (select s.id, l.serial from circles s, landings_v l where {hav('s.lat', 's.lon', 'l.land_lat', 'l.land_lon')} <= s.radius_km
+  union select s.id, p.serial from circles s, predictions_v p join landings_v l on p.serial = l.serial where {hav('s.lat', 's.lon', 'p.land_lat', 'p.land_lon')} <= s.radius_km)"""
+
 
 @query()
 def landing_predictions(spark, v):
@@ -736,10 +747,21 @@ def backtest_ablation(spark, v):
     return rounded(scoring.ablation(s)[0])
 
 
+def all_alerts(v) -> DataFrame:
+    found = alerts.matches(v("predictions_v"), v("subscribers_v"))
+    return alerts.alert_lifecycle(alerts.with_landings(found, alerts.landing_matches(v("landings_v"), found, v("subscribers_v"))))
+
+
 @query()
 def alert_lifecycle(spark, v):
-    """All alerts of all predictions."""
-    return rounded(alerts.alert_lifecycle(alerts.matches(v("predictions_v"), v("subscribers_v"))))
+    """All alerts of all predictions and landings."""
+    return rounded(all_alerts(v))
+
+
+@query(f"""{TOLD} select w.id as subscriber_id, w.serial, landed_t as sent_t, round({hav('s.lat', 's.lon', 'l.land_lat', 'l.land_lon')}, 6) as distance_km from told w join circles s on w.id = s.id join landings_v l on w.serial = l.serial""", "predictions_v", "landings_v", "subscribers_v")
+def landed_alerts(spark, v):
+    """LANDED, once for each circle that holds the landing or had a prediction inside."""
+    return rounded(all_alerts(v).where("alert_type = 'LANDED'").select("subscriber_id", "serial", "sent_t", "distance_km"))
 
 
 @query(f"""select subscriber_id, serial, count(*) as n, min(t) as sent_t from (select s.id as subscriber_id, p.serial, p.predicted_t as t from predictions_v p, subscribers_v s where s.active and trim(s.topic) <> '' and {hav('s.lat', 's.lon', 'p.land_lat', 'p.land_lon')} <= s.radius_km) group by all""", "predictions_v", "subscribers_v")
@@ -752,8 +774,7 @@ def inbound_alerts(spark, v):
 
 @query()
 def alert_texts(spark, v):
-    a = alerts.alert_lifecycle(alerts.matches(v("predictions_v"), v("subscribers_v")))
-    return alerts.alert_text(a, v("subscribers_v")).select("subscriber_id", "serial", "alert_type", "title", "text", "url")
+    return alerts.alert_text(all_alerts(v), v("subscribers_v")).select("subscriber_id", "serial", "alert_type", "title", "text", "url")
 
 
 @query("""select user_id::varchar as serial, count(*) as n, count(*) filter (gap > 21600 or gap is null) as n_flights from (select user_id, epoch(ts) - lag(epoch(ts)) over (partition by user_id order by ts) as gap from events) group by user_id""")
@@ -763,6 +784,107 @@ def flights_by_gap(spark, v):
     return kinematics.assign_flights(e).groupBy("serial").agg(F.count("*").alias("n"), F.countDistinct("flight").alias("n_flights"))
 
 
+# -- scalar functions over whole tables
+
+BEARING = "degrees(atan2(sin(d) * cos(p2), cos(p1) * sin(p2) - sin(p1) * cos(p2) * cos(d)))"
+
+
+@query(f"""select serial, round(b, 6) as bearing, ['{"', '".join(S.COMPASS)}'][(floor(b / 22.5 + 0.5)::int % 16) + 1] as way from (select serial, b - 360 * floor(b / 360) as b from (select serial, {BEARING} as b
+from (select serial, radians(launch_lat) as p1, radians(last_lat) as p2, radians(last_lon - launch_lon) as d from flights_v)))""", "flights_v")
+def bearings(spark, v):
+    """From launch to last fix."""
+    b = S.bearing_deg(*map(F.col, ("launch_lat", "launch_lon", "last_lat", "last_lon")))
+    return rounded(v("flights_v").select("serial", b.alias("bearing"), S.compass16(b).alias("way")))
+
+
+@query(f"""select serial, frame, round(case when pa >= 22632 then {S.T0_K / 0.0065!r}::double * (1 - pow(pa / 101325.0::double, {S.R_D * 0.0065 / S.G0!r}::double)) else 11000 + {S.R_D * 216.65 / S.G0!r}::double * ln(22632.0::double / pa) end, 6) as pressure_alt,
+case when rho is not null then round(9 / sqrt(rho), 6) end as speed from (select *, pressure * 100 as pa, {RHO} as rho from frames_v) where pressure > 0""", "frames_v")
+def pressure_altitudes(spark, v):
+    """The height that a frame's pressure stands for, and the fall at that density with a constant of 9."""
+    f = v("frames_v").where("pressure > 0")
+    rho = S.measured_density(F.col("pressure"), F.col("temp"))
+    return rounded(f.select("serial", "frame", S.pressure_to_alt(F.col("pressure") * 100).alias("pressure_alt"), F.when(rho.isNotNull(), S.terminal_speed(F.lit(9.0), rho)).alias("speed")))
+
+
+@query(f"""select serial, predicted_t, round({DEFAULTS.base_radius_km}::double + greatest(0, land_t - predicted_t) / 3600 * ({DEFAULTS.per_hour_measured_km}::double * m + {DEFAULTS.per_hour_extrapolated_km}::double * (1 - m)) + uncertainty_radius_km * {DEFAULTS.residual_km_per_mps}::double, 2) as radius_km
+from (select *, least(1.0::double, greatest(0.0::double, coalesce(alt_at_pred, 0) / 20000)) as m from predictions_v)""", "predictions_v")
+def heuristic_radii(spark, v):
+    radius = S.heuristic_radius_km(F.col("land_t") - F.col("predicted_t"), F.coalesce("alt_at_pred", F.lit(0.0)) / 20_000, F.col("uncertainty_radius_km"))
+    return rounded(v("predictions_v").select("serial", "predicted_t", radius.alias("radius_km")))
+
+
+@query(f"""select serial, round(greatest(coalesce(case when timer > 0 and descent_b > 0 and last_alt + descent_b * timer <= {S.MAX_BURST} then last_alt + descent_b * timer end, case when burst_alt > 5000 and burst_alt <= {S.MAX_BURST} then burst_alt end,
+{", ".join(f"case when upper(type) like '{k}%' then {x}::double end" for k, x in S.TYPE_BURST.items())}, {S.DEFAULT_BURST}::double), last_alt + 100), 6) as burst from (select *, max_alt / 10 - 2300 as timer from flights_v)""", "flights_v")
+def burst_estimates(spark, v):
+    f = v("flights_v").withColumn("timer", F.col("max_alt") / 10 - 2300)
+    return rounded(f.select("serial", S.burst_estimate(*map(F.col, ("last_alt", "descent_b", "timer", "type", "burst_alt"))).alias("burst")))
+
+
+@query(f"""select serial, predicted_t, round(exp(-(uncertainty_radius_km / {DEFAULTS.blend_km}::double + greatest(0, predicted_t - launch_t - 5000) / {DEFAULTS.blend_age_s}::double)), 6) as blend,
+round(case when alt_at_pred <= 7000 then 1 when alt_at_pred >= 10000 then 0 else (10000 - alt_at_pred) / 3000 end, 6) as seam from predictions_v""", "predictions_v")
+def blend_weights(spark, v):
+    blend = S.blend_weight(F.col("uncertainty_radius_km"), F.col("predicted_t") - F.col("launch_t") - 5000)
+    return rounded(v("predictions_v").select("serial", "predicted_t", blend.alias("blend"), S.seam_weight(F.col("alt_at_pred"), 10_000, 3000).alias("seam")))
+
+
+@query("""select id, case units when 'imperial' then printf('%.1f mi', km * 0.621371::double) else printf('%.1f km', km) end as dist, case units when 'imperial' then printf('%.0f ft', m * 3.28084::double) else printf('%.0f m', m) end as height
+from (select *, floor(radius_km * 10) / 10 as km, floor(radius_km * 100) as m from subscribers_v)""", "subscribers_v")
+def alert_units(spark, v):
+    s = v("subscribers_v").withColumn("km", F.floor(F.col("radius_km") * 10) / 10).withColumn("m", F.floor(F.col("radius_km") * 100).cast("double"))
+    return s.select("id", S.fmt_dist(F.col("km"), F.col("units")).alias("dist"), S.fmt_alt(F.col("m"), F.col("units")).alias("height"))
+
+
+def _conic_sql() -> str:
+    import math
+
+    tan = lambda deg: math.tan(math.pi / 4 + math.radians(deg) / 2)
+    n = math.sin(math.radians(38.5))
+    scale = 6_371_229.0 * math.cos(math.radians(38.5)) * tan(38.5) ** n / n
+    r = lambda lat: f"({scale!r}::double / pow(tan(pi() / 4 + radians({lat}) / 2), {n!r}::double))"
+    turn = lambda lon: f"({n!r}::double * ((radians({lon} - 262.5) + pi()) - 2 * pi() * floor((radians({lon} - 262.5) + pi()) / (2 * pi())) - pi()))"
+    y0, x0 = f"{r('21.138123::double')} * cos({turn('237.280472::double')})", f"{r('21.138123::double')} * sin({turn('237.280472::double')})"
+    return f"select serial, round({y0} - {r('last_lat')} * cos({turn('last_lon')}), 3) as y, round({r('last_lat')} * sin({turn('last_lon')}) - {x0}, 3) as x from flights_v"
+
+
+@query(_conic_sql(), "flights_v")
+def conic_grid(spark, v):
+    """Last fixes on the conic grid, in metres."""
+    y, x = S.lcc_project(F.col("last_lat"), F.col("last_lon"))
+    return rounded(v("flights_v").select("serial", y.alias("y"), x.alias("x")), 3)
+
+
+@query(f"""select f.serial, round(least(greatest(coalesce(({DEFAULTS.prior_strength} * prior_b + n_points * b) / ({DEFAULTS.prior_strength} + n_points), b), 2), 30), 6) as b_shrunk
+from (select serial, type, descent_b as b, length(serial) * 3 as n_points from flights_v where descent_b is not null) f left join (select type, avg(descent_b) as prior_b from flights_v where type <> 'M20' group by type) p on f.type = p.type""", "flights_v")
+def shrunk_fits(spark, v):
+    """Fitted constants drawn towards the mean of their type; one type has no prior."""
+    f = v("flights_v").where("descent_b is not null")
+    prior = f.where("type <> 'M20'").groupBy("type").agg(F.avg("descent_b").alias("prior_b"))
+    fits = f.select("serial", "type", F.col("descent_b").alias("b"), (F.length("serial") * 3).alias("n_points"))
+    return rounded(descent.shrink_b(fits, prior, ["type"]).select("serial", "b_shrunk"))
+
+
+@query(f"{SEGS}{BINS} select serial, bin_idx, round(case when alt < 6000 then u else u + 1 end, 6) as u from bins", "frames_v")
+def merged_columns(spark, v):
+    """One model's bins below 6 km, another's above."""
+    b = profiles.wind_profile(v("frames_v"))
+    return rounded(winds.merge_columns(b, b.withColumn("u", F.col("u") + 1), 6000.0).select("serial", "bin_idx", "u"))
+
+
+@query("select 1800000000.0::double - max(t) as age_s, 1800000000.0::double - max(t) <= 120 as fresh from frames_v", "frames_v")
+def frame_freshness(spark, v):
+    return sinks.freshness(v("frames_v"), 1_800_000_000.0)
+
+
+@query("select user_id::varchar as serial, case when user_id % 2 = 0 then 1 else 2 end::bigint as n from events group by user_id")
+def keyed_insert_ignore(spark, v):
+    """Serials through the sink that keeps what is there: half of them come with the first batch, all with the second."""
+    e = v("events").select(F.col("user_id").cast("string").alias("serial"), "user_id").distinct()
+    path = scratch.new_folder(spark, "insert-ignore")
+    for k, part in enumerate((e.where("user_id % 2 = 0"), e), 1):
+        sinks.insert_ignore(part.select("serial", F.lit(k).cast("long").alias("n")), path, ["serial"], k)
+    return sinks.read_table(spark, path)
+
+
 # -- streams
 
 

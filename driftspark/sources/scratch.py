@@ -9,11 +9,13 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where that is unset, a temporary folder for a local master and the warehouse for others."""
+    """spark.checkpoint.dir; only where that is unset and the master is local, a temporary folder. On a cluster it must be set, as
+    executors don't see each other's folders."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.driftspark.scratch", None)
     if not given:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        given = tempfile.mkdtemp(prefix="spark-driftspark-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        given = tempfile.mkdtemp(prefix="spark-driftspark-")
         spark.conf.set("spark.driftspark.scratch", given)
     return given
 

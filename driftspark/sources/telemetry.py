@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from driftspark.functions import scalars as S
 
+# The names of the wire format, parted by how they are read.
 TEXT = ("serial", "type", "subtype", "manufacturer", "software_name", "uploader_callsign")
 NUMBERS = ("lat", "lon", "alt", "vel_v", "vel_h", "heading", "temp", "humidity", "pressure", "sats", "batt", "burst_timer", "frequency")
 #: The only fields that are read from a raw frame; all as strings, as numbers come quoted and unquoted.
@@ -18,27 +19,29 @@ RAW = T.StructType([T.StructField(c, T.StringType()) for c in FIELDS])
 
 def typed(raw: DataFrame) -> DataFrame:
     """Raw string fields to typed ones, with reject_reason (null: accepted)."""
-    out = raw.select(
-        *(S.clean_str(F.col(c)).alias(c) for c in TEXT), S.to_long(F.col("frame")).alias("frame"), S.to_ts(F.col("datetime")).alias("dt"),
-        *(S.to_double(F.col(c)).alias(c) for c in NUMBERS), typed_reason().alias("reject_reason"),
-    )
-    out = out.withColumn("lon", S.wrap_lon(F.col("lon")))
+    fields = [*(S.clean_str(F.col(c)).alias(c) for c in TEXT), S.to_long(F.col("frame")).alias("frame"), S.to_ts(F.col("datetime")).alias("dt"), *(S.to_double(F.col(c)).alias(c) for c in NUMBERS)]
+    out = raw.select(*_once(F.struct(*fields))).withColumn("reject_reason", typed_reason()).withColumn("lon", S.wrap_lon(F.col("lon")))
     return out.withColumn("t", F.unix_micros("dt") / 1e6)
 
 
 def normalize_frames(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """raw (value string of JSON, …) to (frames, rejects), batch or stream; rejects keep the value and the reason."""
-    parsed = raw.select("value", F.from_json("value", RAW).alias("j")).select("value", "j.*")
+    parsed = raw.select("value", *_once(F.from_json("value", RAW)))
     frames = typed(parsed).where("reject_reason is null").drop("reject_reason")
-    return frames, parsed.select("value", typed_reason().alias("reason")).where("reason is not null")
+    needed = F.struct(S.clean_str(F.col("serial")).alias("serial"), *(S.to_double(F.col(c)).alias(c) for c in ("lat", "lon", "alt")), S.to_ts(F.col("datetime")).alias("dt"))
+    return frames, parsed.select("value", *_once(needed)).select("value", typed_reason().alias("reason")).where("reason is not null")
+
+
+def _once(struct):
+    """The fields of a struct that is made once a row: a generator's output is not put back into what reads it, as a column's is."""
+    return (F.inline(F.array(struct)),)
 
 
 def typed_reason():
-    """The reject reason as one Column over raw string fields."""
-    lat = S.to_double(F.col("lat"))
-    missing = lat.isNull() | S.to_double(F.col("lon")).isNull() | S.to_double(F.col("alt")).isNull()
-    reason = F.when(S.clean_str(F.col("serial")).isNull(), F.lit("serial")).when(missing, F.lit("position"))
-    return reason.when(~lat.between(-90, 90), F.lit("latitude")).when(S.to_ts(F.col("datetime")).isNull(), F.lit("datetime"))
+    """The reject reason as one Column over typed fields."""
+    missing = F.col("lat").isNull() | F.col("lon").isNull() | F.col("alt").isNull()
+    reason = F.when(F.col("serial").isNull(), F.lit("serial")).when(missing, F.lit("position"))
+    return reason.when(~F.col("lat").between(-90, 90), F.lit("latitude")).when(F.col("dt").isNull(), F.lit("datetime"))
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:

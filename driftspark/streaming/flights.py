@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from driftspark.functions import scalars as S
-from driftspark.operators.alerts import ALERT, Alerts
+from driftspark.operators.alerts import ALERT, Alerts, tell
 from driftspark.operators.flights import FRAME, ROW, Fold, as_rows
 from driftspark.params import DEFAULTS, Params
 
@@ -57,10 +57,7 @@ class Tracker(StatefulProcessor):
             x = tuple(held.pop(0))
             if released is not None and x[0] <= released:
                 continue  # older than what has gone on
-            got, forget = fold.silence(x[0]) if fold.f is not None else ([], False)
-            rows += got
-            if forget:
-                fold.f = None
+            rows += fold.quiet(x[0])
             rows += fold.frame(x)
             released = x[0]
         return rows, released
@@ -87,10 +84,7 @@ class Tracker(StatefulProcessor):
         now = expiredTimerInfo.getExpiryTimeInMs() / 1000
         out, released = self.release(held, released, fold, now - self.p.reorder_hold_s + 1e-6)
         if fold.f is not None and not held:
-            got, forget = fold.silence(now)
-            out += got
-            if forget:
-                fold.f = None
+            out += fold.quiet(now + 1e-3)
         self.keep(held, seen, released, fold)
         if fold.f is not None and not held and fold.next_silence() <= now:  # what silence means next
             for step in sorted((self.p.descent_silence_s, self.p.ascent_silence_s, self.p.stale_s)):
@@ -112,7 +106,7 @@ def track_stream(frames: DataFrame, p: Params = DEFAULTS, watermark: str = "10 s
 
 
 class Alerter(StatefulProcessor):
-    """One subscriber and flight, over matches of predictions."""
+    """One subscriber and flight, over matches of predictions and, with column landed, of landings."""
 
     def __init__(self, p: Params = DEFAULTS):
         self.p = p
@@ -122,11 +116,8 @@ class Alerter(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         got = self.state.get()
-        alerts, out = pickle.loads(got[0]) if got else Alerts(), []
-        for x in pd.concat(list(rows)).sort_values("t").itertuples():
-            kind = alerts.prediction(x.t, x.land_lat, x.land_lon, self.p)
-            if kind:
-                out.append((*key, kind, x.t, x.distance_km, x.land_lat, x.land_lon))
+        alerts = pickle.loads(got[0]) if got else Alerts()
+        out = tell(alerts, pd.concat(list(rows), ignore_index=True), key, self.p)
         self.state.update((pickle.dumps(alerts),))
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in ALERT.split(", ")])
