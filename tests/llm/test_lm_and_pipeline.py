@@ -67,3 +67,58 @@ def test_pipeline(spark, small):
     assert before.columns == [*docs.columns, "shard", "slot"] and all(a >= 1 for _, _, a in sizes)
     labels = duckdb.sql(f"select doc_id from '{small}/labels.parquet' where toxic = 1").fetchall()
     assert sizes[0][2] <= sizes[0][1] and len(labels) > 0 and sizes[1][2] < sizes[1][1] and sizes[4][1] == sizes[4][2]
+
+
+def test_no_operator_changes_the_session(spark):
+    from driftspark.llm import embed_dedup
+
+    before = dict(spark.conf.getAll)
+    docs = spark.createDataFrame([(1, "a b c a b c", ""), (2, "a b c", "")], DOCS)
+    scores = lm_score.lm_scores(docs)
+    embed_dedup.near_vectors(spark.createDataFrame([(1, [1.0, 2.0], 1)], "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r.doc_id, r.n_words) for r in scores.collect()) == [(1, 6), (2, 3)]
+    assert dict(spark.conf.getAll) == before
+
+
+def test_a_very_long_text(spark):
+    text = " ".join(f"w{i % 900}" for i in range(300_000))
+    rows = [(1, text), (2, "w1 w2 w3")]
+    got = lm_score.lm_scores(spark.createDataFrame([(i, t, "") for i, t in rows], DOCS), batch_chars=1000).collect()
+    assert sorted((r.doc_id, r.n_words) for r in got) == [(1, 300_000), (2, 3)] and next(r.order_3 for r in got if r.doc_id == 1) > 0.999
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, h string, shard string, component_id long, offsets string"
+
+
+def pipeline_on(spark, folder, rows):
+    import corpus_pipeline
+
+    rest = ("en", "s", 0, "h", "x", 7, "o")
+    spark.createDataFrame([(i, t, rest[0], *((None, *rest[2:]) if i == 7 else rest[1:])) for i, t in rows], ODD).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog near the old river bank today"), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    before, kept = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        before = common.save(stage(spark, before, folder), name)
+        kept.append(before)
+    final = corpus_pipeline.run(spark, folder)
+    assert final.columns == [c for c in ODD.replace(",", "").split()[::2] if c != "shard"] + ["shard", "slot"]
+    assert sorted(map(str, final.select("doc_id", "text").collect())) == sorted(map(str, kept[-1].select("doc_id", "text").collect()))
+    return kept
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    long = " ".join(f"word{i}" for i in range(100_000))
+    leak = "so the quick brown fox jumps over the lazy dog near the old river bank today then"
+    rows = [(1, "one two three four five six"), (1, "seven eight nine ten eleven twelve"), (2, "ONE two three four five six"), (3, None), (3, None), (4, ""), (5, long), (6, leak), (7, "some other words that stand alone here"), (None, "no id but text"), (None, None)]
+    kept = pipeline_on(spark, str(tmp_path), rows)
+    texts = lambda df: sorted(((r.doc_id, (r.text or "")[:9].lower()) for r in df.collect()), key=str)
+    assert texts(kept[0]) == sorted(((i, (t or "")[:9].lower()) for i, t in rows), key=str)
+    once = texts(kept[1])
+    assert sum(t == "one two t" for _, t in once) == 1 and (1, "seven eig") in once and (3, "") in once and len(once) == len(rows) - 2
+    assert texts(kept[2]) == [x for x in once if x[0] != 6]
+    assert kept[3].count() > 0 and kept[3].columns == kept[2].columns
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    assert [df.count() for df in pipeline_on(spark, str(tmp_path), [])] == [0] * 5
