@@ -1,11 +1,17 @@
-"""A training corpus from ``documents``: five stages, each written as Parquet and read again as the next one's input."""
+"""A training corpus from ``documents``: five stages, each written as Parquet and read again as the next one's input.
+
+Null, empty and very long texts, null doc_ids, repeated rows and different texts under one doc_id go through as each stage states;
+an empty table stays empty. Other columns are carried along whatever their names; only the last stage's shard and slot replace
+columns so called. Intermediate tables are removed once the next one is written.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftspark.llm import decontam, minhash, mixing, sharding, toxicity
-from driftspark.llm.common import save
+from driftspark.llm.common import Saved
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' columns, their shard and their slot in it."""
-    return sharding.shard(docs).select("doc.*", "shard", "slot")
+    own = [F.col("doc").getField(c).alias(c) for c in docs.columns if c not in ("shard", "slot")]
+    return sharding.shard(docs).select(*own, "shard", "slot")
 
 
 STAGES = [
@@ -44,9 +51,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        now = Saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            before.drop()
+        docs, before = now.df, now
     return docs
 
 
