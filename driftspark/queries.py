@@ -806,10 +806,11 @@ def pressure_altitudes(spark, v):
     return rounded(f.select("serial", "frame", S.pressure_to_alt(F.col("pressure") * 100).alias("pressure_alt"), F.when(rho.isNotNull(), S.terminal_speed(F.lit(9.0), rho)).alias("speed")))
 
 
-@query(f"""select serial, predicted_t, round({DEFAULTS.base_radius_km}::double + greatest(0, land_t - predicted_t) / 3600 * ({DEFAULTS.per_hour_measured_km}::double * m + {DEFAULTS.per_hour_extrapolated_km}::double * (1 - m)) + uncertainty_radius_km * {DEFAULTS.residual_km_per_mps}::double, 2) as radius_km
+@query(f"""select serial, predicted_t, round({DEFAULTS.base_radius_km}::double + greatest(0, land_t - predicted_t) / 3600 * ({DEFAULTS.per_hour_measured_km}::double * m + {DEFAULTS.per_hour_extrapolated_km}::double * (1 - m)) + uncertainty_radius_km / 7 * {DEFAULTS.residual_km_per_mps}::double, 2) as radius_km
 from (select *, least(1.0::double, greatest(0.0::double, coalesce(alt_at_pred, 0) / 20000)) as m from predictions_v)""", "predictions_v")
 def heuristic_radii(spark, v):
-    radius = S.heuristic_radius_km(F.col("land_t") - F.col("predicted_t"), F.coalesce("alt_at_pred", F.lit(0.0)) / 20_000, F.col("uncertainty_radius_km"))
+    """Radii of two decimals; the residuals are sevenths, so that no sum lies on a half, where decimal and binary rounding part."""
+    radius = S.heuristic_radius_km(F.col("land_t") - F.col("predicted_t"), F.coalesce("alt_at_pred", F.lit(0.0)) / 20_000, F.col("uncertainty_radius_km") / 7)
     return rounded(v("predictions_v").select("serial", "predicted_t", radius.alias("radius_km")))
 
 
