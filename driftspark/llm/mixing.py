@@ -21,7 +21,7 @@ WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MOST = 2
 SEED = "mix-1"
-#: Hash buckets of a size class; more where the input has over a million rows for each.
+#: Hash buckets of a size class, of which a source has some hundred; a larger table may be given more.
 BUCKETS = 64
 
 
