@@ -22,6 +22,7 @@ ROW = (
     "b double, residual double, n_points long, launch_lat double, launch_lon double, ascent_rate double, detected_by string, bins array<struct<bin_idx:long,u:double,v:double,rho:double,n:long,lat:double,lon:double,t:double>>"
 )
 NAMES = [c.split()[0] for c in ROW.split(", bins")[0].split(", ")] + ["bins"]
+EVENTS = ("NEW_FLIGHT", "BURST", "FLOAT", "LANDED", "EXPIRED", "RESUMED", "REFINED")
 FRAME = ["t", "lat", "lon", "alt", "pressure", "temp"]
 
 
@@ -105,10 +106,11 @@ class Flight:
 
 class Fold:
     """The flight of one serial. ``frame`` and ``silence`` return event rows. ground: height of the ground, a number here, as
-    terrain is joined to the frames beforehand as column ground."""
+    terrain is joined to the frames beforehand as column ground. kinds: the rows that are wanted, None: all."""
 
-    def __init__(self, serial: str, p: Params = DEFAULTS, flight: Flight | None = None):
+    def __init__(self, serial: str, p: Params = DEFAULTS, flight: Flight | None = None, kinds: frozenset | None = None):
         self.serial, self.p, self.f = serial, p, flight
+        self.origins, self.track = kinds is None or "ORIGIN" in kinds, kinds is None or "TRACK" in kinds
 
     def row(self, kind: str, t: float, by: str | None = None, bins: bool = False, at=None):
         f = self.f
@@ -312,11 +314,11 @@ class Fold:
                     f.state, f.landed_alt = LANDED, x[3]
                     self.close_fit()
                     out.append(self.row("LANDED", x[0], "telemetry"))
-        if f.state == DESCENT and (f.origin_t is None or x[0] - f.origin_t >= p.cadence_s or out and out[-1][2] == "BURST"):
+        if self.origins and f.state == DESCENT and (f.origin_t is None or x[0] - f.origin_t >= p.cadence_s or out and out[-1][2] == "BURST"):
             f.origin_t = x[0]
             out.append(self.row("ORIGIN", x[0], bins=True))
         k = f.kept
-        if k is None or km(k[1], k[2], x[1], x[2]) * 1000 >= p.track_move_m or abs(x[3] - k[3]) >= p.track_alt_m or x[0] - k[0] >= p.track_interval_s:
+        if self.track and (k is None or km(k[1], k[2], x[1], x[2]) * 1000 >= p.track_move_m or abs(x[3] - k[3]) >= p.track_alt_m or x[0] - k[0] >= p.track_interval_s):
             f.kept = x[:4]
             out.append(self.row("TRACK", x[0]))
 
@@ -333,19 +335,21 @@ def frames_of(pdf: pd.DataFrame):
     return zip(zip(*cols), ground)
 
 
-def fold_frames(frames: DataFrame, p: Params = DEFAULTS, until: float | None = None) -> DataFrame:
-    """frames (serial, t, lat, lon, alt, pressure, temp[, ground]) to event rows. Silence is judged between frames as a stream
-    would, and after the last one until ``until``, if given. One group per serial: a serial has at most some ten thousand frames."""
+def fold_frames(frames: DataFrame, p: Params = DEFAULTS, until: float | None = None, kinds=None) -> DataFrame:
+    """frames (serial, t, lat, lon, alt, pressure, temp[, ground]) to event rows, of all kinds or those named: ORIGIN and TRACK rows
+    are then not even made. Silence is judged between frames as a stream would, and after the last one until ``until``, if given.
+    One group per serial: a serial has at most some ten thousand frames."""
+    wanted = None if kinds is None else frozenset(kinds)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fold, rows, now = Fold(str(pdf["serial"].iloc[0]), p), [], None
+        fold, rows, now = Fold(str(pdf["serial"].iloc[0]), p, kinds=wanted), [], None
         for x, ground in frames_of(pdf.sort_values("t", kind="stable")):
             rows += fold.quiet(x[0], ground)
             rows += fold.frame(x, ground)
             now = ground
         if until is not None:
             rows += fold.quiet(until, now)
-        return as_rows(rows)
+        return as_rows(rows if wanted is None else [r for r in rows if r[2] in wanted])
 
     columns = ["serial", *FRAME] + (["ground"] if "ground" in frames.columns else [])
     return frames.select(*columns).groupBy("serial").applyInPandas(run, ROW)

@@ -1,106 +1,179 @@
-"""Landing estimates as layered drift sums: altitude layers, wind and dwell time in each, running sums down (or up) the column."""
+"""Landing estimates as layered drift sums: altitude layers, wind and dwell time in each, running sums down (or up) the column.
+
+An origin's measured column is one array in its row (some hundred bins at most), its layers another. Values at altitudes and
+the sums over layers are array functions, so an estimate moves no rows between tasks.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftspark.functions import scalars as S
-from driftspark.operators import profiles
 from driftspark.params import DEFAULTS, Params
 
-ID = ("origin_id",)
 DEG = 180.0 / math.pi / (S.EARTH_KM * 1000)  # degrees of latitude a metre
+BIN = "struct<bin_idx:bigint,u:double,v:double,rho:double>"
+LEG = "array<struct<k:bigint,lo:double,hi:double,lat:double,off:double,s:double,to_lat:double,to_off:double,to_s:double>>"
+
+
+def bound(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are made once a row: what reads a generator's output doesn't repeat its expression."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
-def origin_bins(origins: DataFrame) -> DataFrame:
-    """The bins that each origin row carries, as a long table keyed by origin."""
-    b = origins.select("origin_id", F.explode("bins").alias("b")).select("origin_id", "b.*")
-    return b.withColumn("alt", (F.col("bin_idx") + 0.5) * DEFAULTS.bin_m)
+def with_column(origins: DataFrame, bins: DataFrame | None, keep: list) -> DataFrame:
+    """origin_id, the kept columns and ``bins``, the sorted column of each origin: its own, or that of a long table
+    (origin_id, bin_idx, u, v, rho)."""
+    cell = lambda b: F.struct(b["bin_idx"].cast("bigint").alias("bin_idx"), b["u"].alias("u"), b["v"].alias("v"), b["rho"].alias("rho"))
+    if bins is None:
+        own = origins.select("origin_id", *keep, F.array_sort(F.transform("bins", cell)).alias("bins"))
+    else:
+        each = bins.groupBy("origin_id").agg(F.array_sort(F.collect_list(F.struct(F.col("bin_idx").cast("bigint").alias("bin_idx"), "u", "v", "rho"))).alias("bins"))
+        own = origins.select("origin_id", *keep).join(each, "origin_id", "left")
+    return own.withColumn("bins", F.coalesce("bins", F.array().cast(f"array<{BIN}>")))
+
+
+def _places(cells: Column) -> Column:
+    """For each index from the first bin on, where the last bin at or below it is."""
+    width = lambda x, i: F.coalesce(F.get(cells, i + 1)["bin_idx"] - x["bin_idx"], F.lit(1)).cast("int")
+    return F.flatten(F.transform(cells, lambda x, i: F.array_repeat(i, width(x, i))))
+
+
+def _below(cells: Column, places: Column, j: Column) -> Column:
+    """Position of the last bin whose middle is at or below that of bin j; -1: none."""
+    at = j - F.get(cells, F.lit(0))["bin_idx"]
+    return F.when(F.size(cells) == 0, F.lit(-1)).when(at < 0, F.lit(-1)).otherwise(F.coalesce(F.get(places, at.cast("int")), F.size(cells) - 1))
+
+
+def with_layers(df: DataFrame, low: Column, high: Column, layer_m: float, down: bool, p: Params = DEFAULTS) -> DataFrame:
+    """Adds ``layers`` between low and high in order of passage: k from sea level, lo, hi, mid, h, and u, v, rho at the middle:
+    between bins linear (rho: log-linear), outside the column its edge (rho: the standard atmosphere scaled to it), without one
+    no wind and the standard atmosphere."""
+    df = bound(df, air=F.filter("bins", lambda b: b["rho"] > 0))
+    df = bound(df, at_bin=_places(F.col("bins")), at_air=_places(F.col("air")))
+    steps = F.when(high > low, F.sequence(F.floor(low / layer_m), F.ceil(high / layer_m) - 1)).otherwise(F.array().cast("array<bigint>"))
+    lo, hi = lambda k: F.greatest(k * layer_m, low), lambda k: F.least((k + 1) * layer_m, high)
+    cut = lambda k: F.struct(k.alias("k"), lo(k).alias("lo"), hi(k).alias("hi"), ((lo(k) + hi(k)) / 2).alias("mid"))
+
+    def around(x):
+        j = F.floor(x["mid"] / p.bin_m - 0.5)
+        i, a = _below(F.col("bins"), F.col("at_bin"), j), _below(F.col("air"), F.col("at_air"), j)
+        near = (F.get("bins", i).alias("b0"), F.get("bins", i + 1).alias("b1"), F.get("air", a).alias("a0"), F.get("air", a + 1).alias("a1"))
+        return F.struct(*(x[c].alias(c) for c in ("k", "lo", "hi", "mid")), *near)
+
+    def valued(x):
+        middle = lambda b: (b["bin_idx"] + 0.5) * p.bin_m
+        share = lambda lower, upper: (x["mid"] - middle(lower)) / (middle(upper) - middle(lower))
+        wind = lambda c: F.coalesce(x["b0"][c] + share(x["b0"], x["b1"]) * (x["b1"][c] - x["b0"][c]), x["b0"][c], x["b1"][c], F.lit(0.0))
+        edge = lambda b: S.std_density(x["mid"]) * b["rho"] / S.std_density(middle(b))
+        inside = x["a0"]["rho"] * F.pow(x["a1"]["rho"] / x["a0"]["rho"], share(x["a0"], x["a1"]))
+        return F.struct(
+            *(x[c].alias(c) for c in ("k", "lo", "hi", "mid")), (x["hi"] - x["lo"]).alias("h"), wind("u").alias("u"), wind("v").alias("v"),
+            F.coalesce(inside, edge(x["a0"]), edge(x["a1"]), S.std_density(x["mid"])).alias("rho"),
+        )
+
+    order = F.reverse(steps) if down else steps
+    return bound(df.drop("layers"), layers=F.transform(F.transform(F.transform(order, cut), around), valued)).drop("air", "at_bin", "at_air")
+
+
+def with_wind(df: DataFrame, wind: Callable[[DataFrame], DataFrame], legs: DataFrame | None = None) -> DataFrame:
+    """Layers with u and v as ``wind`` makes them of rows (origin_id, t, ground, k, lat, lon, alt, at, u, v): at the origin's place
+    and time, or, with the legs of a first pass, where and when that pass met the layer. This takes a row for each layer."""
+    rows = df.select("origin_id", "t", "ground", F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), F.explode("layers").alias("x"))
+    if legs is not None:
+        met = legs.select("origin_id", F.explode("legs").alias("g")).select("origin_id", F.col("g.k").alias("gk"), "g")
+        rows = rows.join(met.withColumnRenamed("origin_id", "gid"), (F.col("origin_id") == F.col("gid")) & (F.col("x.k") == F.col("gk")), "left").drop("gid", "gk")
+        lat, lon, at = F.coalesce("g.lat", "lat0"), S.wrap_lon(F.col("lon0") + F.coalesce("g.off", F.lit(0.0))), F.col("t") + F.coalesce("g.s", F.lit(0.0))
+    else:
+        lat, lon, at = F.col("lat0"), F.col("lon0"), F.col("t")
+    rows = wind(rows.select("origin_id", "t", "ground", "x", F.col("x.k").alias("k"), F.col("x.mid").alias("alt"), lat.alias("lat"), lon.alias("lon"), at.alias("at"), "x.u", "x.v"))
+    new = F.struct(F.col("x.k").alias("k"), "x.lo", "x.hi", "x.mid", "x.h", "u", "v", "x.rho")
+    each = rows.groupBy("origin_id").agg(F.reverse(F.array_sort(F.collect_list(new))).alias("layers"))
+    return df.drop("layers").join(each, "origin_id", "left").withColumn("layers", F.coalesce("layers", F.array().cast(each.schema["layers"].dataType)))
+
 
+def with_legs(df: DataFrame, secs: Callable[[Column], Column]) -> DataFrame:
+    """Adds ``legs``: where the payload enters and leaves each layer. Latitudes add up first, then longitudes with the cosine."""
+    start = F.struct(F.col("lat").alias("lat"), F.lit(0.0).alias("off"), F.lit(0.0).alias("s"), F.array().cast(LEG).alias("legs"))
 
-def layers(origins: DataFrame, low: Column, high: Column, layer_m: float) -> DataFrame:
-    """A row per layer between low and high: k from the bottom, lo, hi, alt (its middle), h."""
-    k = F.explode(F.when(high > low, F.sequence(F.floor(low / layer_m), F.ceil(high / layer_m) - 1)).otherwise(F.array().cast("array<bigint>")))
-    out = origins.withColumn("k", k)
-    out = out.withColumn("lo", F.greatest(F.col("k") * layer_m, low)).withColumn("hi", F.least((F.col("k") + 1) * layer_m, high))
-    return out.withColumn("h", F.col("hi") - F.col("lo")).withColumn("mid", (F.col("hi") + F.col("lo")) / 2)
+    def step(x):
+        return F.struct(*(x[c].alias(c) for c in ("k", "lo", "hi")), secs(x).alias("secs"), (x["v"] * secs(x) * DEG).alias("north"), (x["u"] * secs(x) * DEG).alias("east"))
 
+    def leave(a, x):
+        to_lat, to_off, to_s = a["lat"] + x["north"], a["off"] + x["east"] / F.cos(F.radians(a["lat"] + x["north"] / 2)), a["s"] + x["secs"]
+        leg = F.struct(x["k"].alias("k"), x["lo"].alias("lo"), x["hi"].alias("hi"), a["lat"].alias("lat"), a["off"].alias("off"), a["s"].alias("s"), to_lat.alias("to_lat"), to_off.alias("to_off"), to_s.alias("to_s"))
+        return F.struct(to_lat.alias("lat"), to_off.alias("off"), to_s.alias("s"), F.concat(a["legs"], F.array(leg)).alias("legs"))
 
-def with_air(rows: DataFrame, bins: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """Layers with u, v and rho at their middles, from the origin's own column."""
-    q = rows.withColumnRenamed("alt", "alt0").withColumn("alt", F.col("mid"))
-    q = profiles.density_at(profiles.wind_at(q, bins, p, ID).drop("hole"), bins, ID)
-    return q.drop("alt").withColumnRenamed("alt0", "alt")
+    return bound(df, legs=F.aggregate(F.transform("layers", step), start, leave)["legs"])
 
 
-def drift(rows: DataFrame, down: bool = True) -> DataFrame:
-    """Layers (lat, lon, u, v, secs) with where the payload leaves each: latitudes add up first, then longitudes with the cosine."""
-    w = W.partitionBy(*ID).orderBy(F.desc("k") if down else F.asc("k"))
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    out = rows.withColumn("end_s", F.sum("secs").over(upto)).withColumn("end_lat", F.col("lat") + F.sum(F.col("v") * F.col("secs")).over(upto) * DEG)
-    start = F.coalesce(F.lag("end_lat").over(w), F.col("lat"))
-    east = F.col("u") * F.col("secs") * DEG / F.cos(F.radians((start + F.col("end_lat")) / 2))
-    out = out.withColumn("east", east).withColumn("off", F.sum("east").over(upto))
-    return out.withColumn("end_lon", S.wrap_lon(F.col("lon") + F.col("off"))).drop("east", "off")
+#: What a landing carries along of its origin, if it is there.
+CARRIED = ("serial", "launch_t", "residual", "n_points")
 
 
-def land(origins: DataFrame, bins: DataFrame | None = None, terrain: DataFrame | None = None, layer_m: float = 150.0, p: Params = DEFAULTS, wind=None) -> DataFrame:
+def land(origins: DataFrame, bins: DataFrame | None = None, terrain: DataFrame | None = None, layer_m: float = 150.0, p: Params = DEFAULTS, wind: Callable[[DataFrame], DataFrame] | None = None, passes: int = 2) -> DataFrame:
     """origins (origin_id, t, lat, lon, alt, b, ground, bins …) to one row each: land_lat, land_lon, land_t, sim_s, measured, path.
 
     The descent ends at the ground, interpolated in the layer that crosses it; an origin at or below ground lands where it is.
-    ground is a column of the origins, or comes from terrain cells for layers under 9 km (it must lie above the column
-    ground). wind changes the layers' u and v (model or blend) before the sums.
+    ground is a column of the origins, or comes from terrain cells for layers under 9 km (it must lie above the column ground).
+    wind replaces u and v of the layers (see ``with_wind``): by the origin's place, then, in later passes, by the places of the
+    pass before.
     """
-    bins = origin_bins(origins) if bins is None else bins
-    slim = origins.select("origin_id", "t", "lat", "lon", "alt", "b", F.coalesce("ground", F.lit(0.0)).alias("ground"))
-    rows = with_air(layers(slim, F.col("ground"), F.col("alt"), layer_m), bins, p)
-    if wind is not None:
-        rows = wind(rows)
-    rows = drift(rows.withColumn("secs", F.col("h") / S.terminal_speed(F.col("b"), F.col("rho"))))
-    if terrain is not None:
-        from driftspark.operators.terrain import ground_at
-
-        low = rows.where("lo < 9000").select(F.concat_ws("|", "origin_id", "k").alias("point_id"), F.col("end_lat").alias("lat"), F.col("end_lon").alias("lon"))
-        g = ground_at(low, terrain).select("point_id", F.col("ground").alias("under"))
-        rows = rows.withColumn("point_id", F.concat_ws("|", "origin_id", "k")).join(g, "point_id", "left").withColumn("under", F.greatest(F.coalesce("under", F.col("ground")), F.col("ground"))).drop("point_id")
+    keep = ["t", "lat", "lon", "alt", "b", F.coalesce("ground", F.lit(0.0)).alias("ground"), *(c for c in CARRIED if c in origins.columns)]
+    df = with_layers(with_column(origins, bins, keep), F.col("ground"), F.col("alt"), layer_m, True, p)
+    secs = lambda x: x["h"] / S.terminal_speed(F.col("b"), x["rho"])
+    if wind is None:
+        df = with_legs(df, secs)
     else:
-        rows = rows.withColumn("under", F.col("ground"))
-    w = W.partitionBy(*ID).orderBy(F.desc("k"))
-    rows = rows.withColumn("s_lat", F.coalesce(F.lag("end_lat").over(w), F.col("lat"))).withColumn("s_lon", F.coalesce(F.lag("end_lon").over(w), F.col("lon"))).withColumn("s_s", F.coalesce(F.lag("end_s").over(w), F.lit(0.0)))
-    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("hi") - F.col("under")) / F.col("h")))
-    rows = rows.withColumn("part", part)
-    hit = F.struct(
-        (F.col("s_lat") + F.col("part") * (F.col("end_lat") - F.col("s_lat"))).alias("lat"),
-        S.wrap_lon(F.col("s_lon") + F.col("part") * S.lon_delta(F.col("end_lon"), F.col("s_lon"))).alias("lon"),
-        (F.col("s_s") + F.col("part") * (F.col("end_s") - F.col("s_s"))).alias("s"),
-    )
-    crossed = F.col("lo") <= F.col("under")
-    cover = bins.groupBy(*ID).agg((F.min("bin_idx") * p.bin_m).alias("c_lo"), ((F.max("bin_idx") + 1) * p.bin_m).alias("c_hi"))
-    ends = rows.groupBy(*ID).agg(
-        F.max_by(F.when(crossed, hit), F.when(crossed, F.col("k"))).alias("hit"),
-        F.transform(F.reverse(F.sort_array(F.collect_list(F.when(F.col("k") % 3 == 0, F.struct("k", "end_lat", "end_lon", "lo"))))), lambda x: F.struct(x["end_lat"].alias("lat"), x["end_lon"].alias("lon"), x["lo"].alias("alt"))).alias("path"),
-    )
-    out = slim.join(ends, list(ID), "left").join(cover, list(ID), "left")
-    measured = (F.least("alt", "c_hi") - F.greatest("ground", "c_lo")) / (F.col("alt") - F.col("ground"))
-    here = F.array(F.struct(F.col("lat"), F.col("lon"), F.col("alt")))
-    return out.select(
-        "origin_id", "t", "lat", "lon", "alt", "b", F.coalesce("hit.lat", "lat").alias("land_lat"), F.coalesce("hit.lon", "lon").alias("land_lon"),
-        (F.col("t") + F.coalesce("hit.s", F.lit(0.0))).alias("land_t"), F.coalesce("hit.s", F.lit(0.0)).alias("sim_s"),
-        F.coalesce(F.when(F.col("alt") > F.col("ground"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), measured))), F.lit(0.0)).alias("measured"), F.concat(here, F.coalesce("path", F.array().cast("array<struct<lat:double,lon:double,alt:double>>"))).alias("path"),
+        first = None
+        for _ in range(passes):
+            first = with_legs(with_wind(df, wind, first), secs)
+        df = first
+    if terrain is None:
+        df = df.withColumn("hit", F.get(F.filter("legs", lambda g: g["lo"] <= F.col("ground")), F.lit(0))).withColumn("under", F.col("ground"))
+    else:
+        df = df.join(_first_below(df, terrain), "origin_id", "left").withColumn("under", F.coalesce("under", "ground"))
+    hit, part = F.col("hit"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("hit.hi") - F.col("under")) / (F.col("hit.hi") - F.col("hit.lo"))))
+    between = lambda c: hit[c] + part * (hit[f"to_{c}"] - hit[c])
+    first_bin, last_bin = F.get("bins", F.lit(0))["bin_idx"], F.get("bins", F.size("bins") - 1)["bin_idx"]
+    measured = (F.least(F.col("alt"), (last_bin + 1) * p.bin_m) - F.greatest(F.col("ground"), first_bin * p.bin_m)) / (F.col("alt") - F.col("ground"))
+    here = F.array(F.struct("lat", "lon", "alt"))
+    path = F.transform(F.filter("legs", lambda g: g["k"] % 3 == 0), lambda g: F.struct(g["to_lat"].alias("lat"), S.wrap_lon(F.col("lon") + g["to_off"]).alias("lon"), g["lo"].alias("alt")))
+    known = F.when((F.col("alt") > F.col("ground")) & (F.size("bins") > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), measured)))
+    return df.select(
+        "origin_id", *(c for c in CARRIED if c in origins.columns), "t", "lat", "lon", "alt", "b", F.coalesce(between("lat"), "lat").alias("land_lat"),
+        S.wrap_lon(F.col("lon") + F.coalesce(between("off"), F.lit(0.0))).alias("land_lon"), (F.col("t") + F.coalesce(between("s"), F.lit(0.0))).alias("land_t"),
+        F.coalesce(between("s"), F.lit(0.0)).alias("sim_s"), F.coalesce(known, F.lit(0.0)).alias("measured"), F.concat(here, path).alias("path"),
     )
 
 
-def rise(origins: DataFrame, bins: DataFrame | None = None, layer_m: float = 150.0, p: Params = DEFAULTS) -> DataFrame:
-    """origins (origin_id, t, lat, lon, alt, ascent_rate, burst …) to the point and time of the burst at constant rate."""
-    bins = origin_bins(origins) if bins is None else bins
-    slim = origins.select("origin_id", "t", "lat", "lon", "alt", F.greatest("ascent_rate", F.lit(0.1)).alias("rate"), "burst")
-    rows = with_air(layers(slim, F.col("alt"), F.col("burst"), layer_m), bins, p).withColumn("secs", F.col("h") / F.col("rate"))
-    top = drift(rows, down=False).groupBy(*ID).agg(F.max_by(F.struct("end_lat", "end_lon", "end_s"), "k").alias("e"))
-    return slim.join(top, list(ID), "left").select("origin_id", (F.col("t") + F.coalesce("e.end_s", F.lit(0.0))).alias("t"), F.coalesce("e.end_lat", "lat").alias("lat"), F.coalesce("e.end_lon", "lon").alias("lon"), F.greatest("alt", "burst").alias("alt"))
+def _first_below(df: DataFrame, terrain: DataFrame) -> DataFrame:
+    """(origin_id, hit, under): the first leg that ends below the terrain under it, or below the origin's ground."""
+    from driftspark.operators.terrain import ground_at
+
+    rows = df.select("origin_id", "ground", "lon", F.explode("legs").alias("g")).withColumn("point_id", F.concat_ws("|", "origin_id", "g.k"))
+    low = rows.where("g.lo < 9000").select("point_id", F.col("g.to_lat").alias("lat"), S.wrap_lon(F.col("lon") + F.col("g.to_off")).alias("lon"))
+    g = ground_at(low, terrain).select("point_id", F.col("ground").alias("under"))
+    rows = rows.join(g, "point_id", "left").withColumn("under", F.greatest(F.coalesce("under", "ground"), F.col("ground")))
+    crossed = rows.where(F.col("g.lo") <= F.col("under"))
+    return crossed.groupBy("origin_id").agg(F.max_by(F.struct("g", "under"), "g.k").alias("x")).select("origin_id", F.col("x.g").alias("hit"), F.col("x.under").alias("under"))
+
+
+def rise(origins: DataFrame, bins: DataFrame | None = None, layer_m: float = 150.0, p: Params = DEFAULTS, keep: tuple = ()) -> DataFrame:
+    """origins (origin_id, t, lat, lon, alt, ascent_rate, burst …) to the point and time of the burst at constant rate, with bins
+    and the kept columns."""
+    rate = F.greatest("ascent_rate", F.lit(0.1)).alias("rate")
+    df = with_layers(with_column(origins, bins, ["t", "lat", "lon", "alt", rate, "burst", *keep]), F.col("alt"), F.col("burst"), layer_m, False, p)
+    top = F.get("legs", F.size("legs") - 1)
+    df = with_legs(df, lambda x: x["h"] / F.col("rate")).withColumn("top", top)
+    return df.select(
+        "origin_id", *keep, "bins", (F.col("t") + F.coalesce("top.to_s", F.lit(0.0))).alias("t"), F.coalesce("top.to_lat", "lat").alias("lat"),
+        S.wrap_lon(F.col("lon") + F.coalesce("top.to_off", F.lit(0.0))).alias("lon"), F.greatest("alt", "burst").alias("alt"),
+    )
 
 
 def _uniform(*what) -> Column:
@@ -114,12 +187,10 @@ def normal(*what) -> Column:
 
 def member_landings(origins: DataFrame, bins: DataFrame | None = None, members: int = DEFAULTS.members, layer_m: float = 300.0, seed: int = 7, b_sigma: Column | None = None, p: Params = DEFAULTS) -> DataFrame:
     """(origin_id, member, lat, lon, s): landings under perturbed ballistic constant, wind bias and noise that is correlated over
-    layers. The layers are one array in the origin's row; members are made and folded beside it, without a shuffle."""
-    bins = origin_bins(origins) if bins is None else bins
-    slim = origins.select("origin_id", "lat", "lon", "alt", "b", F.coalesce("ground", F.lit(0.0)).alias("ground"), F.coalesce(b_sigma if b_sigma is not None else F.lit(None), F.lit(p.b_sigma_fit)).alias("b_sigma"))
-    air = with_air(layers(slim, F.col("ground"), F.col("alt"), layer_m), bins, p)
-    stacked = air.groupBy("origin_id").agg(F.reverse(F.sort_array(F.collect_list(F.struct("k", "h", "u", "v", "rho")))).alias("layers"))
-    m = slim.join(stacked, "origin_id").withColumn("member", F.explode(F.sequence(F.lit(1), F.lit(members))))
+    layers. Members are made and folded beside the origin's layers, without a shuffle."""
+    sigma = F.coalesce(b_sigma if b_sigma is not None else F.lit(None), F.lit(p.b_sigma_fit)).alias("b_sigma")
+    slim = with_column(origins, bins, ["lat", "lon", "alt", "b", F.coalesce("ground", F.lit(0.0)).alias("ground"), sigma])
+    m = with_layers(slim, F.col("ground"), F.col("alt"), layer_m, True, p).withColumn("member", F.explode(F.sequence(F.lit(1), F.lit(members))))
     draw = lambda what: normal(F.lit(seed), F.col("origin_id"), F.col("member"), F.lit(what))
     m = m.withColumn("mb", F.col("b") * F.exp(F.col("b_sigma") * draw("b"))).withColumn("bu", p.bias_sigma_mps * draw("u")).withColumn("bv", p.bias_sigma_mps * draw("v"))
     keep = math.exp(-layer_m / p.corr_len_m)
@@ -148,9 +219,11 @@ def summarise_members(landings: DataFrame, members: int = DEFAULTS.members, p: P
     return out.where(F.col("n") >= max(3, members // 4))
 
 
-def predict(origins: DataFrame, members: int = 0, p: Params = DEFAULTS, bins: DataFrame | None = None) -> DataFrame:
-    """Final prediction rows: the members' mean and quantile where there are members, else the point and the heuristic radius."""
-    point = land(origins, bins, p=p).join(origins.select("origin_id", "serial", "launch_t", F.coalesce("residual", F.lit(0.0)).alias("residual"), F.coalesce("n_points", F.lit(1)).alias("n_points")), "origin_id")
+def predict(origins: DataFrame, members: int = 0, p: Params = DEFAULTS, bins: DataFrame | None = None, wind=None, source: str = "measured") -> DataFrame:
+    """Final prediction rows: the members' mean and quantile where there are members, else the point and the heuristic radius.
+    wind and its name as source, if the layers' winds are not the measured column's (see ``land``); members take the column's."""
+    filled = origins.withColumns({"residual": F.coalesce("residual", F.lit(0.0)), "n_points": F.coalesce("n_points", F.lit(1))})
+    point = land(filled, bins, p=p, wind=wind)
     radius = S.heuristic_radius_km(F.col("sim_s"), F.col("measured"), F.col("residual"), p)
     if members:
         sigma = F.when(F.coalesce("n_points", F.lit(1)) > 1, F.lit(p.b_sigma_fit)).otherwise(F.lit(p.b_sigma_shortcut))
@@ -160,17 +233,23 @@ def predict(origins: DataFrame, members: int = 0, p: Params = DEFAULTS, bins: Da
         lat, lon, eta = F.coalesce("mean_lat", "land_lat"), F.coalesce("mean_lon", "land_lon"), F.coalesce(F.col("t") + F.col("eta_s"), "land_t")
     else:
         lat, lon, eta = F.col("land_lat"), F.col("land_lon"), F.col("land_t")
-    return point.select("origin_id", "serial", "launch_t", F.col("t").alias("predicted_t"), lat.alias("land_lat"), lon.alias("land_lon"), eta.alias("land_t"), F.lit("measured").alias("source"), radius.alias("uncertainty_radius_km"), F.col("alt").alias("alt_at_pred"), "sim_s")
+    return point.select(
+        "origin_id", "serial", "launch_t", F.col("t").alias("predicted_t"), lat.alias("land_lat"), lon.alias("land_lon"), eta.alias("land_t"), F.lit(source).alias("source"),
+        radius.alias("uncertainty_radius_km"), F.col("alt").alias("alt_at_pred"), "sim_s",
+    )
 
 
-def preburst(flights: DataFrame, bins: DataFrame, site: DataFrame | None = None, prior_b: DataFrame | None = None, p: Params = DEFAULTS) -> DataFrame:
-    """flights in ASCENT or FLOAT (origin_id, serial, launch_t, type, t, lat, lon, alt, ascent_rate, burst_timer, ground) and their
-    bins: up to the estimated burst, down with the family's prior or the default; only where the column ahead is known."""
+def preburst(flights: DataFrame, bins: DataFrame | None = None, site: DataFrame | None = None, prior_b: DataFrame | None = None, p: Params = DEFAULTS, wind=None, source: str = "measured") -> DataFrame:
+    """flights in ASCENT or FLOAT (origin_id, serial, launch_t, type, t, lat, lon, alt, ascent_rate, burst_timer, ground[, bins]) and
+    their bins: up to the estimated burst, down with the family's prior or the default; only where the column ahead is known,
+    by the measured bins or a model's wind."""
     f = flights.withColumn("family", S.family(F.col("type")))
     f = f.join(site.select("origin_id", "site_burst_alt"), "origin_id", "left") if site is not None else f.withColumn("site_burst_alt", F.lit(None).cast("double"))
     f = f.join(prior_b.select("family", "prior_b"), "family", "left") if prior_b is not None else f.withColumn("prior_b", F.lit(None).cast("double"))
     f = f.withColumn("burst", S.burst_estimate(F.col("alt"), F.col("ascent_rate"), F.col("burst_timer"), F.col("type"), F.col("site_burst_alt")))
-    top = rise(f, bins, p=p).join(f.select("origin_id", "serial", "launch_t", "ground", F.coalesce("prior_b", F.lit(p.default_b)).alias("b"), F.lit(0.0).alias("residual"), F.lit(1).alias("n_points")), "origin_id")
-    cover = profiles.column_cover(bins, F.lit(0.0), F.lit(0.0), p, ID).select("origin_id", F.col("lo").alias("c_lo"), F.col("hi").alias("c_hi"))
-    known = top.join(cover, "origin_id").where((F.least("alt", "c_hi") - F.greatest("ground", "c_lo")) / (F.col("alt") - F.col("ground")) >= p.preburst_min_cover).drop("c_lo", "c_hi")
-    return predict(known, p=p, bins=bins)
+    f = f.withColumn("b", F.coalesce("prior_b", F.lit(p.default_b)))
+    top = rise(f, bins, p=p, keep=("serial", "launch_t", "ground", "b")).withColumn("residual", F.lit(0.0)).withColumn("n_points", F.lit(1))
+    lo, hi = F.get("bins", F.lit(0))["bin_idx"] * p.bin_m, (F.get("bins", F.size("bins") - 1)["bin_idx"] + 1) * p.bin_m
+    cover = (F.least(F.col("alt"), hi) - F.greatest(F.col("ground"), lo)) / (F.col("alt") - F.col("ground"))
+    known = top if wind is not None else top.where((F.size("bins") > 0) & (cover >= p.preburst_min_cover))
+    return predict(known, p=p, wind=wind, source=source)

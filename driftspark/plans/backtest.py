@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftspark.operators import landing, scoring
@@ -11,14 +12,11 @@ from driftspark.operators.flights import fold_frames
 from driftspark.params import DEFAULTS, Params
 
 
-def origins_of(events: DataFrame, every_s: float = 0.0) -> DataFrame:
-    """ORIGIN rows with an id, thinned to one for each ``every_s`` seconds since launch. They are kept, as a landing reads them
-    several times and the fold behind them is Python; what an executor loses is folded again."""
-    o = events.where("kind = 'ORIGIN' and b is not null").persist().withColumn("origin_id", F.concat_ws("|", "serial", F.col("launch_t").cast("long"), F.col("t").cast("long"))).withColumn("ground", F.lit(0.0))
-    if every_s <= 0:
-        return o
-    w = W.partitionBy("serial", "launch_t", F.floor((F.col("t") - F.col("launch_t")) / every_s)).orderBy("t")
-    return o.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+def origins(frames: DataFrame, every_s: float = 0.0, p: Params = DEFAULTS) -> DataFrame:
+    """What a prediction may know, for each ``every_s`` seconds of each descent (0: each cadence of the parameters), with an id."""
+    paced = dataclasses.replace(p, cadence_s=max(p.cadence_s, every_s))
+    o = fold_frames(frames, paced, kinds=("ORIGIN",)).where("b is not null")
+    return o.withColumn("origin_id", F.concat_ws("|", "serial", F.col("launch_t").cast("long"), F.col("t").cast("long"))).withColumn("ground", F.lit(0.0))
 
 
 def last_fix(frames: DataFrame) -> DataFrame:
@@ -27,7 +25,7 @@ def last_fix(frames: DataFrame) -> DataFrame:
 
 def backtest(frames: DataFrame, truth: DataFrame, every_s: float = 60.0, members: int = 0, p: Params = DEFAULTS) -> DataFrame:
     """Scores of all predictions (see ``scoring``), each made with what was known at its time."""
-    predictions = landing.predict(origins_of(fold_frames(frames, p), every_s), members, p)
+    predictions = landing.predict(origins(frames, every_s, p), members, p)
     lands = predictions.select("serial", "launch_t").distinct().join(truth, "serial").select("serial", "launch_t", F.col("truth_lat").alias("land_lat"), F.col("truth_lon").alias("land_lon"), F.lit(None).cast("double").alias("landed_t"))
     return scoring.score(lands, predictions)
 

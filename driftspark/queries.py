@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from driftspark.functions import scalars as S
 from driftspark.operators import alerts, descent, geofence, kinematics, landing, planning, priors, profiles, scoring, tables, terrain, winds
-from driftspark.operators.flights import fold_frames
+from driftspark.operators.flights import EVENTS, fold_frames
 from driftspark.params import DEFAULTS
 from driftspark.plans import backtest
 from driftspark.plans.views import duckdb, view
@@ -460,25 +460,25 @@ def family_b_prior(spark, v):
 @query()
 def flight_events(spark, v):
     """Events of the sequential rules over all frames."""
-    e = fold_frames(v("frames_v"), until=2e9).where("kind not in ('TRACK', 'ORIGIN')")
+    e = fold_frames(v("frames_v"), until=2e9, kinds=EVENTS)
     return rounded(e.select("serial", "launch_t", "kind", "t", "state", "alt", "burst_alt", "b", "detected_by"))
 
 
 @query(f"{SEGS}{BURSTS} select serial, burst_t, round(burst_alt, 6) as burst_alt from bursts", "frames_v")
 def fold_bursts(spark, v):
     """The fold's bursts agree with the windows' on flights without reverts."""
-    return rounded(fold_frames(v("frames_v")).where("kind = 'BURST'").select("serial", "burst_t", "burst_alt"))
+    return rounded(fold_frames(v("frames_v"), kinds=("BURST",)).select("serial", "burst_t", "burst_alt"))
 
 
 @query()
 def thinned_track(spark, v):
-    return rounded(fold_frames(v("frames_v")).where("kind = 'TRACK'").select("serial", "t", "lat", "lon", "alt"))
+    return rounded(fold_frames(v("frames_v"), kinds=("TRACK",)).select("serial", "t", "lat", "lon", "alt"))
 
 
 @query()
 def prediction_origins(spark, v):
     """What a prediction may know at each cadence point of a descent."""
-    return rounded(fold_frames(v("frames_v")).where("kind = 'ORIGIN'").select("serial", "t", "lat", "lon", "alt", "b", "residual", "n_points", "burst_alt", "ascent_rate", F.size("bins").alias("n_bins")))
+    return rounded(fold_frames(v("frames_v"), kinds=("ORIGIN",)).select("serial", "t", "lat", "lon", "alt", "b", "residual", "n_points", "burst_alt", "ascent_rate", F.size("bins").alias("n_bins")))
 
 
 # -- sources
@@ -709,14 +709,14 @@ told as (select s.id, l.serial from circles s, landings_v l where {hav('s.lat',
 @query()
 def landing_predictions(spark, v):
     """A landing for every minute of every descent, from what was known then."""
-    o = backtest.origins_of(fold_frames(v("frames_v")), 60)
+    o = backtest.origins(v("frames_v"), 60)
     return rounded(landing.predict(o).select("serial", "predicted_t", "land_lat", "land_lon", "land_t", "uncertainty_radius_km", "alt_at_pred"))
 
 
 @query()
 def member_predictions(spark, v):
     """The same with members: mean points and radii."""
-    o = backtest.origins_of(fold_frames(v("frames_v")), 300)
+    o = backtest.origins(v("frames_v"), 300)
     return rounded(landing.predict(o, members=40).select("serial", "predicted_t", "land_lat", "land_lon", "land_t", "uncertainty_radius_km"))
 
 

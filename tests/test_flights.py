@@ -162,7 +162,7 @@ def test_landing_of_known_flight_and_no_lookahead(spark):
 
 
 def test_members_spread_around_the_point(spark):
-    o = backtest.origins_of(flights.fold_frames(table(spark, flight(burst=12_000))), 300)
+    o = backtest.origins(table(spark, flight(burst=12_000)), 300)
     point = {r.origin_id: r for r in landing.predict(o).collect()}
     cloud = landing.predict(o, members=60).collect()
     assert cloud and all(geo(r, point[r.origin_id]) < 2 and r.uncertainty_radius_km >= 0.3 for r in cloud)
