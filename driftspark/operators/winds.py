@@ -58,16 +58,18 @@ def merge_columns(fine: DataFrame, coarse: DataFrame, ceiling: float) -> DataFra
 
 
 def model_wind(points: DataFrame, grid: DataFrame, axes: DataFrame) -> DataFrame:
-    """points (point_id, lat, lon, alt, lo_file, hi_file, w) with mu, mv: bilinear in space, linear in height, linear in time
-    between two files. Null where the grid has nothing."""
+    """points (point_id, lat, lon, alt, lo_file, hi_file, w) with mu, mv: linear in height at each of the four cells, bilinear
+    between them, linear in time between two files. Null where the grid has nothing."""
     both = points.select("point_id", "lat", "lon", "alt", F.explode(F.array_distinct(F.array(F.struct(F.col("lo_file").alias("file_id")), F.struct(F.col("hi_file").alias("file_id"))))).alias("f")).select("*", "f.file_id").drop("f")
-    cols = column_at(both, grid, axes).join(both.select("point_id", "file_id", F.col("alt").alias("at")), ["point_id", "file_id"])
+    corners = grid_corners(both, axes).join(both.select("point_id", "file_id", F.col("alt").alias("at")), ["point_id", "file_id"]).join(grid, ["file_id", "iy", "ix"])
     below = F.max(F.when(F.col("gh") <= F.col("at"), F.struct("gh", "u", "v")))
     above = F.min(F.when(F.col("gh") >= F.col("at"), F.struct("gh", "u", "v")))
-    e = cols.groupBy("point_id", "file_id", "at").agg(below.alias("b"), above.alias("a"))
+    e = corners.groupBy("point_id", "file_id", "at", "iy", "ix", "w").agg(below.alias("b"), above.alias("a"))
     share = F.when(F.col("a.gh") > F.col("b.gh"), (F.col("at") - F.col("b.gh")) / (F.col("a.gh") - F.col("b.gh"))).otherwise(F.lit(0.0))
     lerp = lambda c: F.coalesce(F.col(f"b.{c}") + share * (F.col(f"a.{c}") - F.col(f"b.{c}")), F.col(f"b.{c}"), F.col(f"a.{c}"))
-    e = e.select("point_id", "file_id", lerp("u").alias("u"), lerp("v").alias("v"))
+    e = e.select("point_id", "file_id", "w", lerp("u").alias("u"), lerp("v").alias("v"))
+    mean = lambda c: (F.sum(F.col("w") * F.col(c)) / F.sum(F.when(F.col(c).isNotNull(), F.col("w")))).alias(c)
+    e = e.groupBy("point_id", "file_id").agg(mean("u"), mean("v"))
     side = lambda n: e.select("point_id", F.col("file_id").alias(f"{n}_file"), F.struct("u", "v").alias(n))
     out = points.join(side("lo"), ["point_id", "lo_file"], "left").join(side("hi"), ["point_id", "hi_file"], "left")
     mix = lambda c: F.coalesce((1 - F.col("w")) * F.col(f"lo.{c}") + F.col("w") * F.col(f"hi.{c}"), F.col(f"lo.{c}"), F.col(f"hi.{c}"))

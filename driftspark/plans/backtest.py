@@ -7,7 +7,7 @@ import dataclasses
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.operators import landing, scoring
+from driftspark.operators import landing, scoring, winds
 from driftspark.operators.flights import fold_frames
 from driftspark.params import DEFAULTS, Params
 
@@ -23,17 +23,51 @@ def last_fix(frames: DataFrame) -> DataFrame:
     return frames.groupBy("serial").agg(F.max_by(F.struct("t", "lat", "lon", "alt"), "t").alias("f")).select("serial", F.col("f.lat").alias("truth_lat"), F.col("f.lon").alias("truth_lon"), F.col("f.alt").alias("truth_alt"))
 
 
-def backtest(frames: DataFrame, truth: DataFrame, every_s: float = 60.0, members: int = 0, p: Params = DEFAULTS) -> DataFrame:
-    """Scores of all predictions (see ``scoring``), each made with what was known at its time."""
-    predictions = landing.predict(origins(frames, every_s, p), members, p)
+def backtest(frames: DataFrame, truth: DataFrame, every_s: float = 60.0, members: int = 0, p: Params = DEFAULTS, model=None, use: str = "measured") -> DataFrame:
+    """Scores of all predictions (see ``scoring``), each made with what was known at its time. model and use: see ``wind_of``."""
+    o = origins(frames, every_s, p)
+    wind = wind_of(o, use, model, p)
+    predictions = landing.predict(o, members, p, wind=wind, source="measured" if wind is None else "gfs")
     lands = predictions.select("serial", "launch_t").distinct().join(truth, "serial").select("serial", "launch_t", F.col("truth_lat").alias("land_lat"), F.col("truth_lon").alias("land_lon"), F.lit(None).cast("double").alias("landed_t"))
     return scoring.score(lands, predictions)
 
 
-def ablate(frames: DataFrame, truth: DataFrame, modes: dict[str, Params], every_s: float = 60.0) -> DataFrame:
-    """Scores of the same frames under several parameter sets, with a mode column."""
+def wind_of(o: DataFrame, use: str, model, p: Params = DEFAULTS):
+    """The layers' wind for ``landing.land``. model adds mu, mv to rows with lat, lon, alt, at (time); use is measured (None), model,
+    blend (the origin's bins by distance and age) or bias (the model shifted by what was measured against it)."""
+    if model is None or use == "measured":
+        return None
+    if use == "model":
+        return lambda rows: model(rows).withColumn("u", F.coalesce("mu", "u")).withColumn("v", F.coalesce("mv", "v"))
+    bins = o.select("origin_id", F.explode("bins").alias("b")).select("origin_id", "b.*").withColumn("alt", (F.col("bin_idx") + 0.5) * p.bin_m)
+    bias = use == "bias"
+    if bias:
+        bins = model(bins.withColumn("at", F.col("t"))).withColumnsRenamed({"mu": "bmu", "mv": "bmv"})
+
+    def wind(rows: DataFrame) -> DataFrame:
+        out = winds.blended_wind(model(rows).withColumn("t", F.col("at")), bins, p, ("origin_id",), bias)
+        return out.withColumn("u", F.col("wu")).withColumn("v", F.col("wv"))
+
+    return wind
+
+
+def modes(fine, coarse, p: Params = DEFAULTS) -> dict[str, dict]:
+    """The six ways of the ablation: what ``backtest`` takes for each. fine: the composite model, coarse: the one without it."""
+    fixed = dataclasses.replace(p, refresh_cap=10**9)
+    return {
+        "measured-only": {"p": p},
+        "model-only": {"p": p, "model": fine, "use": "model"},
+        "blend": {"p": fixed, "model": fine, "use": "blend"},
+        "blend+refresh": {"p": p, "model": fine, "use": "blend"},
+        "bias+refresh": {"p": p, "model": fine, "use": "bias"},
+        "gfs-only": {"p": p, "model": coarse, "use": "blend"},
+    }
+
+
+def ablate(frames: DataFrame, truth: DataFrame, how: dict[str, dict], every_s: float = 60.0) -> DataFrame:
+    """Scores of the same frames under several modes (see ``modes``), with a mode column."""
     every = None
-    for mode, p in modes.items():
-        s = backtest(frames, truth, every_s, p=p).withColumn("mode", F.lit(mode))
+    for mode, given in how.items():
+        s = backtest(frames, truth, every_s, **given).withColumn("mode", F.lit(mode))
         every = s if every is None else every.unionByName(s)
     return every

@@ -643,11 +643,19 @@ def model_bins(spark, v):
     return rounded(winds.bins_from_levels(winds.column_at(points, cells_v(v), axes_v(spark))).select("point_id", "bin_idx", "n", "u"))
 
 
-@query()
+@query(f"""{CORNERS}{CELLS}, c0 as (select point_id, iy, ix, w, land_alt as h0, max(struct_pack(gh, u, v)) filter (gh <= land_alt) as lo, min(struct_pack(gh, u, v)) filter (gh >= land_alt) as hi
+  from corners join cells using (iy, ix) join landings_v on serial = point_id group by point_id, iy, ix, w, land_alt),
+c1 as (select point_id, w, case when lo is null then hi.u when hi is null or hi.gh = lo.gh then lo.u else lo.u + (h0 - lo.gh) / (hi.gh - lo.gh) * (hi.u - lo.u) end as u,
+  case when lo is null then hi.v when hi is null or hi.gh = lo.gh then lo.v else lo.v + (h0 - lo.gh) / (hi.gh - lo.gh) * (hi.v - lo.v) end as v from c0),
+c2 as (select point_id, sum(w * u) / sum(w) as u, sum(w * v) / sum(w) as v from c1 group by point_id)
+select serial as point_id, round(0.75::double * u + 0.25::double * (u + 2), 6) as mu, round(0.75::double * v + 0.25::double * (v - 1), 6) as mv from landings_v left join c2 on serial = point_id""", "landings_v", "frames_v")
 def model_wind_at_points(spark, v):
-    """Model wind at each landing's last altitude; one file serves as both hours."""
-    points = v("landings_v").select(F.col("serial").alias("point_id"), F.col("land_lat").alias("lat"), F.col("land_lon").alias("lon"), F.col("land_alt").alias("alt"), F.lit("g").alias("lo_file"), F.lit("g").alias("hi_file"), F.lit(0.25).alias("w"))
-    return rounded(winds.model_wind(points, cells_v(v), axes_v(spark)).select("point_id", "mu", "mv"))
+    """Model wind at each landing's last altitude, a quarter of the way from one hour's file to the next one's."""
+    points = v("landings_v").select(F.col("serial").alias("point_id"), F.col("land_lat").alias("lat"), F.col("land_lon").alias("lon"), F.col("land_alt").alias("alt"), F.lit("g").alias("lo_file"), F.lit("h").alias("hi_file"), F.lit(0.25).alias("w"))
+    later = lambda df: df.withColumn("file_id", F.lit("h"))
+    g, axes = cells_v(v), axes_v(spark)
+    hours = g.unionByName(later(g).withColumn("u", F.col("u") + 2).withColumn("v", F.col("v") - 1))
+    return rounded(winds.model_wind(points, hours, axes.unionByName(later(axes))).select("point_id", "mu", "mv"))
 
 
 @query(f"{CELLS} select iy, ix, level, round(gh, 6) as gh, round(u, 6) as u, round(v, 6) as v, null::double as t from cells where ix % 2 = 0", "frames_v")
@@ -742,9 +750,10 @@ def backtest_scores(spark, v):
 
 @query()
 def backtest_ablation(spark, v):
-    """With and without the refresh of bins on descent."""
-    s = backtest.ablate(v("frames_v"), truth_of(v), {"refresh": DEFAULTS, "no refresh": dataclasses.replace(DEFAULTS, refresh_cap=10**9)}, every_s=300)
-    return rounded(scoring.ablation(s)[0])
+    """The six modes, on model winds that grow with height; the fine model is 1 m/s stronger below its ceiling."""
+    coarse = lambda rows: rows.withColumn("mu", 5 + F.col("alt") / 2000).withColumn("mv", F.lit(2.0))
+    fine = lambda rows: coarse(rows).withColumn("mu", F.col("mu") + S.seam_weight(F.col("alt"), 10_000, 3000))
+    return rounded(scoring.ablation(backtest.ablate(v("frames_v"), truth_of(v), backtest.modes(fine, coarse), every_s=300))[0])
 
 
 def all_alerts(v) -> DataFrame:

@@ -251,3 +251,16 @@ def test_sinks(spark, tmp_path):
     sinks.insert_ignore(row(("a", 1), ("b", 1)), other, ["k"], 0)
     sinks.insert_ignore(row(("b", 7), ("c", 3)), other, ["k"], 1)
     assert sorted(map(tuple, sinks.read_table(spark, other).collect())) == [("a", 1), ("b", 1), ("c", 3)]
+
+
+def test_six_modes_and_wind_by_place(spark):
+    rows = flight(burst=12_000)
+    df = table(spark, rows)
+    truth = spark.createDataFrame([("A", rows[-1][3], rows[-1][4])], "serial string, truth_lat double, truth_lon double")
+    still = lambda r: r.withColumn("mu", r.alt * 0).withColumn("mv", r.alt * 0)
+    got = {r.mode: r.mean for r in backtest.ablate(df, truth, backtest.modes(still, still), every_s=300).groupBy("mode").agg({"error_km": "avg"}).toDF("mode", "mean").collect()}
+    assert len(got) == 6 and got["measured-only"] < got["model-only"] and got["gfs-only"] == got["blend+refresh"]
+    o = backtest.origins(df, 300)
+    by_place = lambda r: r.withColumn("u", (r.lat - 45) * 0 + 1).withColumn("v", (r.at - r.t) * 0)
+    east = landing.land(o, wind=by_place).collect()
+    assert east and all(abs(r.land_lat - r.lat) < 1e-9 and abs((r.land_lon - r.lon) - r.sim_s * landing.DEG / math.cos(math.radians(r.lat))) < 1e-9 for r in east)
