@@ -730,12 +730,13 @@ def member_predictions(spark, v):
 
 @query()
 def preburst_predictions(spark, v):
-    """Landings of flights still rising, from their column below and the default descent."""
-    f = v("frames_v").where("frame <= 400")
-    bins = profiles.wind_profile(f).withColumnRenamed("serial", "origin_id")
-    last = f.groupBy("serial").agg(F.max_by(F.struct("t", "lat", "lon", "alt"), "t").alias("x"), F.min("t").alias("launch_t"), F.first("type").alias("type")).select("serial", "launch_t", "type", "x.*")
-    o = last.withColumn("origin_id", F.col("serial")).withColumn("ascent_rate", F.lit(5.0)).withColumn("burst_timer", F.lit(None).cast("double")).withColumn("ground", F.lit(0.0))
-    return rounded(landing.preburst(o, bins, p=dataclasses.replace(DEFAULTS, preburst_min_cover=0.5)).select("serial", "predicted_t", "land_lat", "land_lon", "land_t"))
+    """Landings as seen from the highest fix before the burst, from the column below and the default descent."""
+    rates = rates_of(v)
+    f = rates.join(kinematics.burst_events(rates).select("serial", "burst_t"), "serial", "left").where("burst_t is null or t < burst_t")
+    bins = profiles.wind_profile(f.select(*v("frames_v").columns)).withColumnRenamed("serial", "origin_id")
+    top = f.groupBy("serial").agg(F.max_by(F.struct("t", "lat", "lon", "alt"), F.struct("alt", "t")).alias("x"), F.min("t").alias("launch_t"), F.first("type").alias("type")).select("serial", "launch_t", "type", "x.*")
+    o = top.withColumn("origin_id", F.col("serial")).withColumn("ascent_rate", F.lit(5.0)).withColumn("burst_timer", F.lit(None).cast("double")).withColumn("ground", F.lit(0.0))
+    return rounded(landing.preburst(o, bins).select("serial", "predicted_t", "land_lat", "land_lon", "land_t"))
 
 
 def truth_of(v):
