@@ -691,7 +691,18 @@ def ground_heights(spark, v):
     return rounded(terrain.ground_at(points, cells).select("point_id", "ground"))
 
 
-@query()
+BLEND = f"""{SEGS}{BINS}{PTS}, fx as (select serial, avg(lat) as flat, avg(lon) as flon, max(t) as ft from frames_v group by serial),
+e0 as (select q.serial, q.alt, b.alt as balt, b.u, b.v, b.lat, b.lon, b.t from pts q left join bins b on q.serial = b.serial),
+e1 as (select serial, alt, max(struct_pack(balt, u, v, lat, lon, t)) filter (balt <= alt) as lo, min(struct_pack(balt, u, v, lat, lon, t)) filter (balt > alt) as hi from e0 group by serial, alt),
+e2 as (select *, case when lo is not null and (hi is null or alt - lo.balt <= hi.balt - alt) then lo else hi end as near,
+  case when lo is null then hi.u when hi is null then lo.u else lo.u + (alt - lo.balt) / (hi.balt - lo.balt) * (hi.u - lo.u) end as u,
+  case when lo is null then hi.v when hi is null then lo.v else lo.v + (alt - lo.balt) / (hi.balt - lo.balt) * (hi.v - lo.v) end as v
+  from e1 join fx using (serial) join (select serial, min(bin_idx) * 150 as c0, (max(bin_idx) + 1) * 150 as c1 from bins group by serial) using (serial)),
+bl as (select *, alt >= c0 and alt < c1 and alt >= {DEFAULTS.blend_min_agl_m} and abs(near.balt - alt) <= {DEFAULTS.gap_m} as known,
+  exp(-({hav('flat', 'flon', 'near.lat', 'near.lon')} / {DEFAULTS.blend_km}::double + greatest(0.0::double, ft - near.t) / {DEFAULTS.blend_age_s}::double)) as w from e2)"""
+
+
+@query(f"{BLEND} select serial, alt, round(case when known then w * u + (1 - w) * 5 else 5 end, 6) as wu, round(case when known then w * v + (1 - w) * 2 else 2 end, 6) as wv from bl", "frames_v")
 def blended_winds(spark, v):
     """Measured winds blended with a model wind of (5, 2) m/s."""
     q = altitudes(v).join(v("frames_v").groupBy("serial").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.max("t").alias("t")), "serial")
@@ -699,7 +710,7 @@ def blended_winds(spark, v):
     return rounded(winds.blended_wind(q, profiles.wind_profile(v("frames_v"))).select("serial", "alt", "wu", "wv"))
 
 
-@query()
+@query(f"{BLEND} select serial, alt, round(case when known then 5 + w * (near.u - 4) else 5 end, 6) as wu, round(case when known then 2 + w * (near.v - 2) else 2 end, 6) as wv from bl", "frames_v")
 def bias_corrected_winds(spark, v):
     q = altitudes(v).join(v("frames_v").groupBy("serial").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.max("t").alias("t")), "serial")
     q = q.withColumn("ground", F.lit(0.0)).withColumn("mu", F.lit(5.0)).withColumn("mv", F.lit(2.0))
