@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftspark.operators import landing, scoring, winds
 from driftspark.operators.flights import fold_frames
 from driftspark.params import DEFAULTS, Params
+from driftspark.sources.scratch import saved
 
 
 def origins(frames: DataFrame, every_s: float = 0.0, p: Params = DEFAULTS) -> DataFrame:
@@ -25,9 +26,15 @@ def last_fix(frames: DataFrame) -> DataFrame:
 
 def backtest(frames: DataFrame, truth: DataFrame, every_s: float = 60.0, members: int = 0, p: Params = DEFAULTS, model=None, use: str = "measured") -> DataFrame:
     """Scores of all predictions (see ``scoring``), each made with what was known at its time. model and use: see ``wind_of``."""
-    o = origins(frames, every_s, p)
+    return scored(predicted(origins(frames, every_s, p), members, p, model, use), truth)
+
+
+def predicted(o: DataFrame, members: int = 0, p: Params = DEFAULTS, model=None, use: str = "measured") -> DataFrame:
     wind = wind_of(o, use, model, p)
-    predictions = landing.predict(o, members, p, wind=wind, source="measured" if wind is None else "gfs")
+    return landing.predict(o, members, p, wind=wind, source="measured" if wind is None else "gfs")
+
+
+def scored(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     lands = predictions.select("serial", "launch_t").distinct().join(truth, "serial").select("serial", "launch_t", F.col("truth_lat").alias("land_lat"), F.col("truth_lon").alias("land_lon"), F.lit(None).cast("double").alias("landed_t"))
     return scoring.score(lands, predictions)
 
@@ -65,9 +72,14 @@ def modes(fine, coarse, p: Params = DEFAULTS) -> dict[str, dict]:
 
 
 def ablate(frames: DataFrame, truth: DataFrame, how: dict[str, dict], every_s: float = 60.0) -> DataFrame:
-    """Scores of the same frames under several modes (see ``modes``), with a mode column."""
-    every = None
+    """Scores of the same frames under several modes (see ``modes``), with a mode column. Modes with the same parameters share
+    one fold of the frames, and each mode's predictions are made once; both are written to the shared folder."""
+    every, folded = None, {}
     for mode, given in how.items():
-        s = backtest(frames, truth, every_s, **given).withColumn("mode", F.lit(mode))
+        p = given.get("p", DEFAULTS)
+        if p not in folded:
+            folded[p] = saved(origins(frames, every_s, p), "origins")
+        made = saved(predicted(folded[p], **given), "predictions")
+        s = scored(made, truth).withColumn("mode", F.lit(mode))
         every = s if every is None else every.unionByName(s)
     return every
