@@ -1,179 +1,79 @@
-"""Stupid-backoff language-model scores by joins of n-grams with count tables that are partitioned by hash.
-
-1. The documents are packed into batches, rows of some hundred documents or more with a number, in the shared folder.
-2. One job for each order n: each batch explodes into its distinct n-grams with how often they occur (the map-side combine),
-   which are shuffled to hash buckets; a bucket adds them up to its part of the count table and joins that back to the n-grams.
-   The shuffle files of a job go when it ends, so the disk holds one order at a time.
-3. Each batch receives the counts of its n-grams, joins them to its positions and sums the scores of each document.
+"""Stupid-backoff language-model scores, relationally.
 
+Each document's n-grams are exploded, one row a word; count tables are grouped by the n-gram's hash; what a distinct longest
+n-gram scores follows from joins of the count tables; and the exploded n-grams are joined to these scores and summed per document.
 An n-gram counts as seen if it occurs ``min_count`` times in all documents together; else the next order is asked at ``backoff``
-of the score, down to single words. A frequent n-gram is one entry per batch, so no bucket grows with its occurrences.
+of the score, down to single words. A hot n-gram is counted in the tasks first and is one row of a table that is joined.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.llm.common import Saved, pieces, release_memory, tidy_session
+from driftspark.llm.common import Saved, tidy_session
 
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
-#: Characters of text in a batch, about; n-grams in a bucket of a count table, about, and most buckets.
-BATCH_CHARS, BUCKET_GRAMS, MOST_BUCKETS = 6_000_000, 1_500_000, 20_000
-
-_SEED = np.uint64(0x9E3779B97F4A7C15)
-
-
-def words_of(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").split()
-
-
-class Grams:
-    """The words of a batch's texts in a row, and the 64-bit hashes of the n-grams that end at each."""
-
-    def __init__(self, texts: list[str | None]):
-        words = [words_of(t or "") for t in texts]
-        self.lengths = np.array([len(w) for w in words], np.int64)
-        self.words = np.fromiter((xxhash.xxh3_64_intdigest(x) for w in words for x in w), np.uint64, int(self.lengths.sum()))
-        self.place = np.arange(len(self.words)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
-
-    def ending(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of the n-grams, and at which words one ends that lies in its text."""
-        g = self.words
-        for _ in range(n - 1):
-            g = np.concatenate([g[:1], g[:-1]])  # the n-gram of the word before
-            g = (g ^ (g >> np.uint64(31))) * _SEED + self.words
-            g ^= g >> np.uint64(29)
-        return g, self.place >= n - 1
-
-
-def _pack(docs: DataFrame, batch_chars: int) -> DataFrame:
-    """(batch, doc_ids, texts): batches in the order of the scan; a text is never split."""
-
-    def run(batches):
-        part, k, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
-
-        def row():
-            return pa.record_batch([pa.array([part << 32 | k]), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string()))], names=["batch", "doc_ids", "texts"])
-
-        for b in pieces(batches):
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids.append(i)
-                texts.append(t)
-                size += len(t or "")
-                if size >= batch_chars:
-                    yield row()
-                    k, ids, texts, size = k + 1, [], [], 0
-        if ids:
-            yield row()
-        release_memory()
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "batch long, doc_ids array<long>, texts array<string>")
-
-
-def exploded(packed: DataFrame, n: int, buckets: int) -> DataFrame:
-    """(bucket, batch, words, grams array<long>, times array<int>): the distinct n-grams of each batch, in order of their hash, one
-    row for each bucket of the hash's range that they fall into; words: how many n-grams these are with their repeats."""
-
-    def run(batches):
-        for b in pieces(batches, 1):
-            g, whole = Grams(b.column(1).flatten().to_pylist()).ending(n)
-            keys, times = np.unique(g[whole], return_counts=True)
-            cuts = np.searchsorted(keys, np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64))
-            ends = np.concatenate([[0], cuts, [len(keys)]]).astype(np.int32)
-            some = np.flatnonzero(np.diff(ends))
-            every = np.concatenate([ends[some], [len(keys)]]).astype(np.int32)  # buckets that have n-grams lie one after another
-            sums = np.add.reduceat(times, ends[some]) if len(some) else np.empty(0, np.int64)
-            yield pa.record_batch(
-                [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), b.column(0)[0].as_py(), np.int64)), pa.array(sums.astype(np.int64)), pa.ListArray.from_arrays(pa.array(every), pa.array(keys.view(np.int64))), pa.ListArray.from_arrays(pa.array(every), pa.array(times.astype(np.int32)))],
-                names=["bucket", "batch", "words", "grams", "times"],
-            )
-            del g, whole, keys, times
-            release_memory()
-
-    return packed.select("batch", "texts").mapInArrow(run, "bucket int, batch long, words long, grams array<long>, times array<int>")
-
-
-def counted(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's n-grams of all batches: the bucket's count table is made and joined back to each batch's n-grams."""
-    table, place = np.unique(np.concatenate(pdf["grams"].to_list()), return_inverse=True)
-    total = np.bincount(place, np.concatenate(pdf["times"].to_list()), len(table))  # doubles hold such sums exactly
-    back = np.minimum(total, 2**31 - 1).astype(np.int32)[place]
-    return pd.DataFrame({"batch": pdf["batch"], "bucket": pdf["bucket"], "words": pdf["words"], "counts": np.split(back, np.cumsum([len(g) for g in pdf["grams"]])[:-1])})
-
-
-def _scored(order: int, backoff: float, min_count: int, total: int):
-    """A batch's texts and the counts of its n-grams, by order and bucket, to a row for each document."""
-
-    def run(batches):
-        for b in pieces(batches, 1):
-            ids, texts = (b.column(i).flatten() for i in (0, 1))
-            got = b.column(2).flatten()  # by order and bucket; none where no text has words
-            grams, counts = Grams(texts.to_pylist()), []
-            for n in range(1, order + 1):
-                g, whole = grams.ending(n)
-                keys, place = np.unique(g[whole], return_inverse=True)
-                c = np.zeros(len(g), np.int64)
-                c[whole] = got.filter(pc.equal(got.field("n"), n)).field("counts").flatten().to_numpy()[place]
-                counts.append(c)
-                del g, whole, keys, place
-            score, used = np.full(len(grams.words), np.nan), np.zeros(len(grams.words), np.int8)
-            for n in range(order, 0, -1):
-                c = counts[n - 1]
-                before = np.concatenate([[0], counts[n - 2][:-1]]) if n > 1 else None
-                ok = (used == 0) & ((c >= min_count) if n > 1 else (c > 0))
-                score[ok] = np.log(c[ok] / before[ok] if n > 1 else c[ok] / total) + (order - n) * math.log(backoff)
-                used[ok] = n
-            lengths = grams.lengths
-            doc = np.repeat(np.arange(len(lengths)), lengths)
-            share = [np.bincount(doc[used == n], minlength=len(lengths)) for n in range(1, order + 1)]
-            some = lengths > 0
-            cols = [ids, pa.array(lengths), pa.array(np.bincount(doc, score, len(lengths)).astype(float))]
-            cols += [pa.array(np.divide(x, lengths, out=np.zeros(len(x)), where=some), mask=~some) for x in share]
-            yield pa.record_batch(cols, names=["doc_id", "n_words", "s", *(f"order_{n}" for n in range(1, order + 1))])
-            del grams, counts, score, used, doc, share
-            release_memory()
-
-    return run
-
-
-def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT, batch_chars: int = BATCH_CHARS, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
+
+
+def _longer(n: int):
+    return F.transform("a1", lambda h, i: F.when(i >= n - 1, F.xxhash64(F.lit(n), F.get(f"a{n - 1}", i - 1), h)))
+
+
+def exploded(docs: DataFrame, order: int) -> DataFrame:
+    """(row, g, n, g1 …, b1 …), one row a word: g the longest n-gram that ends there and n its length, g1 … all of them, null where
+    the text is too short, b1 … the same of the word before. The n-grams are hashes of 64 bits."""
+    words = F.filter(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    df = docs.select("row", F.transform(words, lambda w: F.xxhash64(w)).alias("a1"))
+    for n in range(2, order + 1):
+        df = df.withColumn(f"a{n}", _longer(n))
+    grams = [F.get(f"a{n}", F.col("i")).alias(f"g{n}") for n in range(1, order + 1)]
+    before = [F.get(f"a{n}", F.col("i") - 1).alias(f"b{n}") for n in range(1, order)]
+    rows = df.select("*", F.posexplode("a1").alias("i", "h")).select("row", *grams, *before)
+    longest = [F.struct(F.col(f"g{n}").alias("g"), F.lit(n).alias("n")) for n in range(order, 0, -1)]
+    top = F.coalesce(*(F.when(x["g"].isNotNull(), x) for x in longest))
+    return rows.select("row", top["g"].alias("g"), top["n"].alias("n"), *(f"g{n}" for n in range(1, order + 1)), *(f"b{n}" for n in range(1, order)))
+
+
+def gram_scores(words: DataFrame, tables: dict[int, DataFrame], total: int, order: int, backoff: float, min_count: int) -> DataFrame:
+    """(g, s, used): the score of each distinct longest n-gram and the order that gives it."""
+    kept = [*(f"g{n}" for n in range(1, order + 1)), *(f"b{n}" for n in range(1, order))]
+    t = words.groupBy("g").agg(*(F.first(c).alias(c) for c in kept))
+    for n in range(1, order + 1):
+        t = t.join(tables[n].select(F.col("gram").alias(f"g{n}"), F.col("k").alias(f"c{n}")), f"g{n}", "left")
+        if n < order:
+            t = t.join(tables[n].select(F.col("gram").alias(f"b{n}"), F.col("k").alias(f"d{n}")), f"b{n}", "left")
+    used = F.coalesce(*(F.when(F.col(f"c{n}") >= min_count, F.lit(n)) for n in range(order, 1, -1)), F.lit(1))
+    share = F.lit(None).cast("double")
+    for n in range(1, order + 1):
+        share = F.when(F.col("used") == n, F.ln(F.col(f"c{n}") / (F.col(f"d{n - 1}") if n > 1 else F.lit(total)))).otherwise(share)
+    return t.withColumn("used", used).select("g", (share + (order - F.col("used")) * math.log(backoff)).alias("s"), "used")
+
+
+def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
     """docs (doc_id, text, …) to one row per input row: doc_id, n_words, log_score (natural logarithm, 0 for no words),
     perplexity (null for no words), each order's share of the words (order_1 … order_n).
 
     Words are lower-cased and split at ASCII white space. Null and blank texts have no words. Repeated rows count as often as
     they occur and each comes back with its own score. At a text's start the orders that it is too short for are passed over
     like n-grams not seen. N-grams are told apart by 64-bit hashes: among 10^13 different ones, one in two million shares its own.
-    Very long texts are read whole, one batch each. Other columns are ignored; an empty table gives no rows.
+    Very long texts are read whole. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     tidy = tidy_session(spark)
-    packed = Saved(_pack(docs, batch_chars), "lm-batches", tidy).df
-    chars = packed.agg(F.coalesce(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda a, t: a + F.coalesce(F.length(t), F.lit(0)))), F.lit(0))).first()[0]
-    buckets = min(MOST_BUCKETS, max(12, math.ceil(chars / 6 / bucket_grams)))  # a word has six characters, about
-    tables = []
-    for n in range(1, order + 1):
-        grams = exploded(packed, n, buckets).repartition(buckets, "bucket")
-        back = grams.groupBy("bucket").applyInPandas(counted, "batch long, bucket int, words long, counts array<int>")
-        tables.append(Saved(back.withColumn("n", F.lit(n)), f"lm-counts-{n}").df)
-    total = tables[0].agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    got = tables[0]
-    for t in tables[1:]:
-        got = got.unionByName(t)
-    got = got.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("n", "bucket", "counts"))).alias("got"))  # as many as the batch has n-grams
-    shares = ", ".join(f"order_{n} double" for n in range(1, order + 1))
-    joined = packed.join(got, "batch", "left").select("doc_ids", "texts", "got")
-    out = Saved(joined.mapInArrow(_scored(order, backoff, min_count, total), f"doc_id long, n_words long, s double, {shares}"), "lm-scores").read(spark)
-    perplexity = F.when(F.col("n_words") > 0, F.round(F.exp(-F.col("s") / F.col("n_words")), 4))
-    return out.select("doc_id", "n_words", F.round("s", 6).alias("log_score"), perplexity.alias("perplexity"), *(F.round(f"order_{n}", 6).alias(f"order_{n}") for n in range(1, order + 1)))
+    rows = docs.withColumn("row", F.monotonically_increasing_id())  # the same whenever a task is run again
+    words = exploded(rows, order)
+    tables = {n: Saved(words.where(f"g{n} is not null").groupBy(F.col(f"g{n}").alias("gram")).agg(F.count("*").alias("k")), f"lm-counts-{n}", tidy).df for n in range(1, order + 1)}
+    total = tables[1].agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    scores = Saved(gram_scores(words, tables, max(total, 1), order, backoff, min_count), "lm-gram-scores", tidy).df
+    e = words.select("row", "g").join(scores, "g")
+    shares = [F.count_if(F.col("used") == n).alias(f"u{n}") for n in range(1, order + 1)]
+    by = e.groupBy("row").agg(F.count("*").alias("m"), F.sum("s").alias("s"), *shares)
+    out = rows.select("row", F.col("doc_id").cast("long").alias("doc_id")).join(by, "row", "left")
+    share = [F.round(F.col(f"u{n}") / F.col("m"), 6).alias(f"order_{n}") for n in range(1, order + 1)]
+    return out.select("doc_id", F.coalesce("m", F.lit(0)).cast("long").alias("n_words"), F.round(F.coalesce("s", F.lit(0.0)), 6).alias("log_score"), F.round(F.exp(-F.col("s") / F.col("m")), 4).alias("perplexity"), *share)
 
 
 #: The same scores in DuckDB, for order 3.
