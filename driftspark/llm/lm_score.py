@@ -29,9 +29,9 @@ def exploded(docs: DataFrame, order: int) -> DataFrame:
     df = docs.select("row", F.transform(words, lambda w: F.xxhash64(w)).alias("a1"))
     for n in range(2, order + 1):
         df = df.withColumn(f"a{n}", _longer(n))
-    grams = [F.get(f"a{n}", F.col("i")).alias(f"g{n}") for n in range(1, order + 1)]
-    before = [F.get(f"a{n}", F.col("i") - 1).alias(f"b{n}") for n in range(1, order)]
-    rows = df.select("*", F.posexplode("a1").alias("i", "h")).select("row", *grams, *before)
+    late = [F.concat(F.array(F.lit(None).cast("long")), f"a{n}").alias(f"b{n}") for n in range(1, order)]
+    df = df.select("row", *(F.col(f"a{n}").alias(f"g{n}") for n in range(1, order + 1)), *late)
+    rows = df.select("row", F.inline(F.arrays_zip(*df.columns[1:]))).where("g1 is not null")
     longest = [F.struct(F.col(f"g{n}").alias("g"), F.lit(n).alias("n")) for n in range(order, 0, -1)]
     top = F.coalesce(*(F.when(x["g"].isNotNull(), x) for x in longest))
     return rows.select("row", top["g"].alias("g"), top["n"].alias("n"), *(f"g{n}" for n in range(1, order + 1)), *(f"b{n}" for n in range(1, order)))
