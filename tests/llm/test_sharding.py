@@ -51,3 +51,28 @@ def test_matrix_adds_up(spark):
     m = {r.block: r.sends for r in rows}
     assert [sum(m[i]) for i in range(8)] == n
     assert sorted(sum(m[i][s] for i in range(8)) for s in range(5)) == [34, 35, 35, 35, 35] and min(map(min, m.values())) >= 0
+
+
+def test_whole_result_against_brute_force(spark):
+    d = docs(spark, 700)
+    raw = F.encode("text", "UTF-8")
+    size, crc = (F.coalesce(F.octet_length(raw), F.lit(0)) + 8).cast("long"), F.crc32(raw)
+    keys = [F.xxhash64("doc_id", crc, size, F.lit(sharding.SEED + k)).alias(f"k{k}") for k in range(3)]
+    rows = d.select("doc_id", size.alias("size"), crc.alias("crc"), *keys).collect()
+    blocks = {}
+    for r in rows:
+        blocks.setdefault(r.k0 % 64, []).append(r)
+    n = spark.createDataFrame([(b, len(x)) for b, x in blocks.items()], "block long, n long")
+    sends = {r.block: r.sends for r in sharding.communication_matrix(n, 64).collect()}
+    shards = [[] for _ in range(24)]
+    for b, x in blocks.items():  # the local permutation, dealt by the block's counts
+        x.sort(key=lambda r: (r.k1, r.doc_id is not None, r.doc_id))
+        for s, m in enumerate(sends[b]):
+            shards[s] += x[:m]
+            del x[:m]
+        assert not x
+    want = Counter()
+    for s, x in enumerate(shards):  # the second permutation
+        x.sort(key=lambda r: (r.k2, r.doc_id is not None, r.doc_id))
+        want.update((r.doc_id, r.size, r.crc, s, k) for k, r in enumerate(x))
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in sharding.shard(d).collect()) == want
