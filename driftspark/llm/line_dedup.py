@@ -141,7 +141,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     lost = shared_lines(docs, min_chars, min_docs, batches, fan_out, bucket)
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     known, without = rows.where("doc_id is not null"), rows.where("doc_id is null")
-    rows = known.join(lost, "doc_id", "left").select("doc", "text", "keys").union(without.select("doc", "text", F.lit(None).cast(lost.schema["keys"].dataType)))
+    rows = known.join(lost.hint("merge"), "doc_id", "left").select("doc", "text", "keys").union(without.select("doc", "text", F.lit(None).cast(lost.schema["keys"].dataType)))
 
     def run(parts):
         for b in pieces(parts):
@@ -168,6 +168,6 @@ l as (select doc_id, unnest(lines) as line from d),
 k as (select distinct doc_id, {_KEY.format(x="line")} as key from l where length({_KEY.format(x="line")}) >= 40),
 h as (select key, max(doc_id) as holder from k group by key having count(*) >= 5),
 p as (select doc_id, list(key) as keys from k join h using (key) where doc_id <> holder group by doc_id),
-r as (select d.doc_id, len(lines) as n_lines, list_filter(lines, x -> not list_contains(coalesce(keys, []), {_KEY.format(x="x")})) as kept from d left join p using (doc_id))
+r as (select d.doc_id, len(lines) as n_lines, list_filter(lines, lambda x: not list_contains(coalesce(keys, []), {_KEY.format(x="x")})) as kept from d left join p using (doc_id))
 select doc_id, n_lines, n_lines - len(kept) as n_dropped, sha256(array_to_string(kept, chr(10))) as kept_sha256 from r
 """
