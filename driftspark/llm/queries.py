@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftspark.llm import chat, decontam, embed_dedup, license_scan, line_dedup, lm_score, minhash, mixing, sharding, spelling, toxicity, url_filter
+from driftspark.llm import chat, decontam, embed_dedup, hard_negatives, license_scan, line_dedup, lm_score, minhash, mixing, sharding, spelling, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,5 +69,11 @@ def op12_line_dedup(spark, sf_dir):
     return rows.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_sharding, op3_benchmark_decontamination, op4_lm_scoring, op5_chat_formatting, op6_source_mixing, op7_license_scan, op8_url_filter, op9_embedding_near_dedup, op10_toxicity, op11_spelling_variants, op12_line_dedup)}
-ORACLES = {"op4_lm_scoring": lm_score.SQL, "op5_chat_formatting": chat.SQL, "op6_source_mixing": mixing.SQL, "op12_line_dedup": line_dedup.SQL}
+def op13_hard_negatives(spark, sf_dir):
+    rows = hard_negatives.scaled(table(spark, sf_dir, "embeddings"))
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_sharding, op3_benchmark_decontamination, op4_lm_scoring, op5_chat_formatting, op6_source_mixing, op7_license_scan, op8_url_filter, op9_embedding_near_dedup, op10_toxicity, op11_spelling_variants, op12_line_dedup, op13_hard_negatives)}
+ORACLES = {"op4_lm_scoring": lm_score.SQL, "op5_chat_formatting": chat.SQL, "op6_source_mixing": mixing.SQL, "op12_line_dedup": line_dedup.SQL, "op13_hard_negatives": hard_negatives.SQL}
