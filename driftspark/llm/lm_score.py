@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 from driftspark.llm.common import Saved, pieces, release_memory, tidy_session
 
 ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
-#: Characters of text in a batch, about; n-grams in a bucket of a count table, about, and most buckets.
-BATCH_CHARS, BUCKET_GRAMS, MOST_BUCKETS = 6_000_000, 1_500_000, 20_000
+#: Characters of text in a batch, about; n-grams in a bucket of a count table, about. Beyond so many buckets a task takes several,
+#: one after another.
+BATCH_CHARS, BUCKET_GRAMS, MOST_TASKS = 6_000_000, 1_500_000, 20_000
+#: Counts from here on travel as longs beside the ints of the rest.
+LARGE = 2**31 - 1
 
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -87,11 +90,10 @@ def exploded(packed: DataFrame, n: int, buckets: int) -> DataFrame:
         for b in pieces(batches, 1):
             g, whole = Grams(b.column(1).flatten().to_pylist()).ending(n)
             keys, times = np.unique(g[whole], return_counts=True)
-            cuts = np.searchsorted(keys, np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64))
-            ends = np.concatenate([[0], cuts, [len(keys)]]).astype(np.int32)
-            some = np.flatnonzero(np.diff(ends))
-            every = np.concatenate([ends[some], [len(keys)]]).astype(np.int32)  # buckets that have n-grams lie one after another
-            sums = np.add.reduceat(times, ends[some]) if len(some) else np.empty(0, np.int64)
+            of = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # equal ranges of the hash; buckets lie one after another
+            begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])[: len(of)])
+            some, every = of[begin], np.concatenate([begin, [len(keys)]]).astype(np.int32)
+            sums = np.add.reduceat(times, begin) if len(some) else np.empty(0, np.int64)
             yield pa.record_batch(
                 [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), b.column(0)[0].as_py(), np.int64)), pa.array(sums.astype(np.int64)), pa.ListArray.from_arrays(pa.array(every), pa.array(keys.view(np.int64))), pa.ListArray.from_arrays(pa.array(every), pa.array(times.astype(np.int32)))],
                 names=["bucket", "batch", "words", "grams", "times"],
@@ -105,9 +107,17 @@ def exploded(packed: DataFrame, n: int, buckets: int) -> DataFrame:
 def counted(pdf: pd.DataFrame) -> pd.DataFrame:
     """A bucket's n-grams of all batches: the bucket's count table is made and joined back to each batch's n-grams."""
     table, place = np.unique(np.concatenate(pdf["grams"].to_list()), return_inverse=True)
-    total = np.bincount(place, np.concatenate(pdf["times"].to_list()), len(table))  # doubles hold such sums exactly
-    back = np.minimum(total, 2**31 - 1).astype(np.int32)[place]
-    return pd.DataFrame({"batch": pdf["batch"], "bucket": pdf["bucket"], "words": pdf["words"], "counts": np.split(back, np.cumsum([len(g) for g in pdf["grams"]])[:-1])})
+    total = np.bincount(place, np.concatenate(pdf["times"].to_list()), len(table)).astype(np.int64)[place]  # doubles hold such sums exactly
+    ends = np.cumsum([len(g) for g in pdf["grams"]])[:-1]
+    small, large = np.split(np.minimum(total, LARGE).astype(np.int32), ends), [x[x >= LARGE] for x in np.split(total, ends)]
+    return pd.DataFrame({"batch": pdf["batch"], "bucket": pdf["bucket"], "words": pdf["words"], "counts": small, "large": large})
+
+
+def counts_of(got) -> np.ndarray:
+    """The counts of a batch's n-grams of one order, from their arrays of ints and of longs."""
+    out = got.field("counts").flatten().to_numpy().astype(np.int64)
+    out[out == LARGE] = got.field("large").flatten().to_numpy()
+    return out
 
 
 def _scored(order: int, backoff: float, min_count: int, total: int):
@@ -122,7 +132,7 @@ def _scored(order: int, backoff: float, min_count: int, total: int):
                 g, whole = grams.ending(n)
                 keys, place = np.unique(g[whole], return_inverse=True)
                 c = np.zeros(len(g), np.int64)
-                c[whole] = got.filter(pc.equal(got.field("n"), n)).field("counts").flatten().to_numpy()[place]
+                c[whole] = counts_of(got.filter(pc.equal(got.field("n"), n)))[place]
                 counts.append(c)
                 del g, whole, keys, place
             score, used = np.full(len(grams.words), np.nan), np.zeros(len(grams.words), np.int8)
@@ -158,17 +168,17 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min
     tidy = tidy_session(spark)
     packed = Saved(_pack(docs, batch_chars), "lm-batches", tidy).df
     chars = packed.agg(F.coalesce(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda a, t: a + F.coalesce(F.length(t), F.lit(0)))), F.lit(0))).first()[0]
-    buckets = min(MOST_BUCKETS, max(12, math.ceil(chars / 6 / bucket_grams)))  # a word has six characters, about
+    buckets = max(12, math.ceil(chars / 6 / bucket_grams))  # a word has six characters, about
     tables = []
     for n in range(1, order + 1):
-        grams = exploded(packed, n, buckets).repartition(buckets, "bucket")
-        back = grams.groupBy("bucket").applyInPandas(counted, "batch long, bucket int, words long, counts array<int>")
+        grams = exploded(packed, n, buckets).repartition(min(buckets, MOST_TASKS), "bucket")
+        back = grams.groupBy("bucket").applyInPandas(counted, "batch long, bucket int, words long, counts array<int>, large array<long>")
         tables.append(Saved(back.withColumn("n", F.lit(n)), f"lm-counts-{n}").df)
     total = tables[0].agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     got = tables[0]
     for t in tables[1:]:
         got = got.unionByName(t)
-    got = got.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("n", "bucket", "counts"))).alias("got"))  # as many as the batch has n-grams
+    got = got.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("n", "bucket", "counts", "large"))).alias("got"))  # as many as the batch has n-grams
     shares = ", ".join(f"order_{n} double" for n in range(1, order + 1))
     joined = packed.join(got, "batch", "left").select("doc_ids", "texts", "got")
     out = Saved(joined.mapInArrow(_scored(order, backoff, min_count, total), f"doc_id long, n_words long, s double, {shares}"), "lm-scores").read(spark)

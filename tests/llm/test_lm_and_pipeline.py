@@ -2,6 +2,9 @@ import math
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 
 from driftspark.llm import common, lm_score
 from driftspark.llm.minhash import shingle_set
@@ -122,3 +125,10 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
 
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     assert [df.count() for df in pipeline_on(spark, str(tmp_path), [])] == [0] * 5
+
+
+def test_counts_beyond_an_int_are_exact():
+    pdf = pd.DataFrame({"batch": [1, 2], "bucket": [0, 0], "words": [3, 2], "grams": [np.array([5, 6, 9]), np.array([5, 9])], "times": [np.array([2_000_000_000, 1, 7], np.int32), np.array([2_000_000_000, 2], np.int32)]})
+    got = lm_score.counted(pdf)
+    rows = pa.array(got[["counts", "large"]].to_dict("records"), pa.struct([("counts", pa.list_(pa.int32())), ("large", pa.list_(pa.int64()))]))
+    assert lm_score.counts_of(rows).tolist() == [4_000_000_000, 1, 9, 4_000_000_000, 9]
