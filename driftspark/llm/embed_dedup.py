@@ -8,7 +8,8 @@
    vector within the threshold (the distance to the cells' boundary decides) a query visits the nearest few, so its work doesn't
    grow with the number of shards.
 4. Every pair found is verified by its cosine in double precision. A found vector counts only in its own shard, so counts
-   add up. ``audit_recall`` compares with brute force.
+   add up. A link counts at both ends: where the found vector's own search doesn't visit the finder's shard, it is told. ``audit_recall``
+   compares with brute force.
 """
 
 from __future__ import annotations
@@ -175,16 +176,27 @@ def _search(threshold: float, beam: int, slack: float):
                 i = root[i]
             return i
 
-        counts = []
-        for v, vec, found in zip(asked["vec_id"], q, range_search(x, graph, q, threshold, beam, slack, place)):
-            found = found[own[found] & (ids[found] != v)]
-            found = found[(x[found] * vec).sum(axis=1) >= threshold]
-            counts.append(int(copies[found].sum()))
-            for j in ids[found]:
-                a, b = top(int(v)), top(int(j))
+        n = dict.fromkeys(asked["vec_id"].tolist(), 0)
+        here = {int(p): k for k, p in enumerate(place) if p >= 0 and own[p]}  # places that are asked for in their own shard and split
+        met = [set() for _ in q]
+        for k, found in enumerate(range_search(x, graph, q, threshold, beam, slack, place)):
+            met[k] = {int(j) for j in found[own[found] & (found != place[k])]}
+        for k, found in enumerate(met):  # of two that are both at home here, what one has found the other has too
+            if place[k] in here:
+                for j in found:
+                    if j in here:
+                        met[here[j]].add(int(place[k]))
+        visits, homes, weight = base["visits"].to_numpy(), asked["home"].to_numpy(), asked["copies"].to_numpy()
+        for k, (v, found) in enumerate(zip(asked["vec_id"], met)):
+            found = np.array(sorted(found), np.int64)
+            found = found[(x[found] * q[k]).sum(axis=1) >= threshold]
+            n[int(v)] += int(copies[found].sum())
+            for j in found:
+                if homes[k] not in visits[j]:
+                    n[int(ids[j])] = n.get(int(ids[j]), 0) + int(weight[k])
+                a, b = top(int(v)), top(int(ids[j]))
                 root[max(a, b)] = min(a, b)
         asked_ids = asked["vec_id"].to_numpy()
-        n = dict(zip(asked_ids.tolist(), counts))
         every = np.unique(np.concatenate([asked_ids, ids]))
         rows = [(int(i), n.get(int(i), 0), top(int(i))) for i in every if n.get(int(i), 0) or top(int(i)) != i]
         return pd.DataFrame(rows, columns=["vec_id", "n", "root"]).astype("int64")
@@ -227,17 +239,16 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int =
                 score = x @ c.T - half  # the largest is the nearest centre's
                 order = np.argsort(-score, axis=1)
                 own = order[:, 0]
-                apart = np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(axis=2), 1e-30)) if len(c) <= 2000 else None
                 for r in range(len(x)):
-                    gap = apart[own[r]] if apart is not None else np.sqrt(np.maximum(((c - c[own[r]]) ** 2).sum(axis=1), 1e-30))
+                    gap = np.sqrt(np.maximum(2 * (half + half[own[r]] - c @ c[own[r]]), 1e-30))
                     close = order[r, :probes]
                     visit = {int(s) for s in close if s == own[r] or (score[r, own[r]] - score[r, s]) / gap[s] <= reach}
                     near = set(order[r, :2].tolist())
                     for s in near | visit:
-                        out.append((g["vec_id"].iat[r], label, int(s), s == own[r], s in near, s in visit, g["copies"].iat[r], g["e"].iat[r]))
-            yield pd.DataFrame(out, columns=["vec_id", "label", "shard", "own", "indexed", "asked", "copies", "e"])
+                        out.append((g["vec_id"].iat[r], label, int(s), s == own[r], s in near, s in visit, int(own[r]), sorted(visit), g["copies"].iat[r], g["e"].iat[r]))
+            yield pd.DataFrame(out, columns=["vec_id", "label", "shard", "own", "indexed", "asked", "home", "visits", "copies", "e"])
 
-    spread = nodes.mapInPandas(assign, "vec_id long, label string, shard int, own boolean, indexed boolean, asked boolean, copies long, e array<double>")
+    spread = nodes.mapInPandas(assign, "vec_id long, label string, shard int, own boolean, indexed boolean, asked boolean, home int, visits array<int>, copies long, e array<double>")
     spread = save(spread, "vector-shards")
     crowd = spread.where("indexed").groupBy("label", "shard").agg(F.ceil(F.count("*") / shard_max).alias("splits"))
     placed = spread.join(crowd, ["label", "shard"], "left").withColumn("splits", F.coalesce("splits", F.lit(1)))

@@ -55,3 +55,18 @@ def test_prune_keeps_the_nearest_and_spreads():
     x = np.eye(4)[[0, 0, 1, 2]] + 0.01
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     assert ed.robust_prune(np.array([1, 2, 3]), x[[1, 2, 3]] @ x[0], x[[1, 2, 3]] @ x[[1, 2, 3]].T, 8, 1.2)[0] == 1
+
+
+def test_links_count_at_both_ends_whatever_the_number_of_shards(spark):
+    rnd = np.random.default_rng(8)
+    rows = [(i, rnd.normal(size=6).tolist(), 1) for i in range(2500)]
+    unit = np.array([e for _, e, _ in rows], np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    there = int((unit @ unit.T >= 0.93).sum()) - len(rows)
+    df = spark.createDataFrame([(v, e, lab, "x") for v, e, lab in rows], VECS).repartition(3)
+    got = ed.near_vectors(df, shard=12).collect()
+    assert sum(r.n_links for r in got) >= 0.93 * there
+    size = {}
+    for r in got:
+        size[r.component_id] = size.get(r.component_id, 0) + 1
+    assert all((r.n_links > 0) == (size[r.component_id] > 1) for r in got)
