@@ -17,7 +17,7 @@ def op1_minhash_near_dedup(spark, sf_dir):
 
 
 def op2_sharding(spark, sf_dir):
-    rows = sharding.shard(table(spark, sf_dir, "documents"))
+    rows = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.selectExpr("doc_id", "size", "text_crc32", "'rows' as law", "shard", "slot", "cast(null as int) as grown_shard")
 
 

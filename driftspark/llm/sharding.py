@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftspark.llm.common import save
+
 SHARDS = 24
 SEED = 20240601
 #: Rows of a block, about; blocks are at least 64 and a power of two.
@@ -94,33 +96,55 @@ def communication_matrix(counts: DataFrame, blocks: int, shards: int = SHARDS, s
     return node.select(F.col("lo").alias("block"), F.col("caps").alias("sends"))
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """rows (row, doc_id, text_crc32, size) with copy: equal rows numbered from 0. They are numbered within the part of the input that
+    they stand in, and the parts' counts tell where each begins, so no task meets all copies of a row."""
+    same = ["doc_id", "text_crc32", "size"]
+    rows = rows.withColumn("part", F.shiftright("row", 33))  # the high bits of an increasing id
+    rows = rows.withColumn("at", F.row_number().over(W.partitionBy(*same, "part").orderBy("row")))
+    ends = rows.groupBy(*same, "part").agg(F.max("at").alias("n"))
+    before = ends.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy(*same).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    before = before.where("before > 0").select(*(F.col(c).alias(f"_{c}") for c in (*same, "part")), "before")
+    on = rows["part"] == before["_part"]
+    for c in same:
+        on = on & rows[c].eqNullSafe(before[f"_{c}"])
+    return rows.join(before, on, "left").select("row", *same, (F.col("at") - 1 + F.coalesce("before", F.lit(0))).alias("copy"))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """docs (doc_id, text, …) to one row per input row: doc (the row as a struct), doc_id, size (UTF-8 bytes of the text plus
     8), text_crc32, shard (0 to shards - 1), slot (from 0, without gaps).
 
     Shards differ by one row at most. Null text: size 8, null text_crc32. Null and repeated doc_ids are rows like others; equal
-    rows are interchangeable. Fewer rows than shards leave some empty; an empty table gives no rows. Other columns stay in ``doc``.
+    rows are numbered and dealt independently of each other. Very long texts are rows like others. Fewer rows than shards leave some empty; an empty table gives no rows. Other columns stay in ``doc``.
     """
     raw = F.encode(F.col("text").cast("string"), "UTF-8")
-    base = docs.select(F.struct("*").alias("doc"), "doc_id", (F.coalesce(F.octet_length(raw), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    n = docs.count()
+    # written once with a number for each row: all that follows moves numbers, and the rows themselves move once, at the end
+    base = docs.select(F.struct("*").alias("doc"), "doc_id", (F.coalesce(F.octet_length(raw), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.monotonically_increasing_id().alias("row"))
+    base = save(base, "numbered-rows")
+    slim = save(_copies(base.select("row", "doc_id", "text_crc32", "size")), "numbered-copies")
+    n = slim.count()
     blocks = 64
     while blocks * block_rows < n:
         blocks *= 2
-    key = lambda salt: F.xxhash64("doc_id", "text_crc32", "size", F.lit(seed + salt))
-    slim = docs.select("doc_id", F.crc32(raw).alias("text_crc32"), (F.coalesce(F.octet_length(raw), F.lit(0)) + 8).cast("long").alias("size"))
+
+    def key(salt):
+        first = F.xxhash64("doc_id", "text_crc32", "size", F.lit(seed + salt))
+        return F.when(F.col("copy") == 0, first).otherwise(F.xxhash64(first, "copy"))
+
     counts = slim.select(F.pmod(key(0), F.lit(blocks)).alias("block")).groupBy("block").agg(F.count("*").alias("n"))
     matrix = communication_matrix(counts, blocks, shards, seed)
     # the first permutation, in each block; then its rows go to the shards by its counts
-    local = base.withColumn("block", F.pmod(key(0), F.lit(blocks))).withColumn("k", F.row_number().over(W.partitionBy("block").orderBy(key(1), "doc_id")))
+    local = slim.withColumn("block", F.pmod(key(0), F.lit(blocks))).withColumn("k", F.row_number().over(W.partitionBy("block").orderBy(key(1), "doc_id", "copy")))
     upto = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda s: F.aggregate(F.slice("sends", 1, s), F.lit(0).cast("long"), lambda a, x: a + x))
     dealt = local.join(matrix.select("block", upto.alias("upto")), "block")
-    dealt = dealt.select("doc", "doc_id", "size", "text_crc32", F.size(F.filter("upto", lambda x: x < F.col("k"))).alias("shard"), key(2).alias("r"))
+    dealt = dealt.select("row", "doc_id", "copy", F.size(F.filter("upto", lambda x: x < F.col("k"))).alias("shard"), key(2).alias("r"))
     # the second permutation: by r within the shard, in buckets of r's range
     bits = max(4, min(40, (max(n, 1) // (shards * 20_000)).bit_length()))
     dealt = dealt.withColumn("bucket", F.shiftright("r", 64 - bits))
     sizes = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     first = F.sum("n").over(W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
     starts = sizes.select("shard", "bucket", first.alias("first"))
-    place = dealt.withColumn("at", F.row_number().over(W.partitionBy("shard", "bucket").orderBy("r", "doc_id")))
-    return place.join(starts, ["shard", "bucket"]).select("doc", "doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("at") - 1).alias("slot"))
+    place = dealt.withColumn("at", F.row_number().over(W.partitionBy("shard", "bucket").orderBy("r", "doc_id", "copy")))
+    slots = place.join(starts, ["shard", "bucket"]).select("row", "shard", (F.col("first") + F.col("at") - 1).alias("slot"))
+    return base.join(slots, "row").select("doc", "doc_id", "size", "text_crc32", "shard", "slot")

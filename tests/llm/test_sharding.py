@@ -57,8 +57,14 @@ def test_whole_result_against_brute_force(spark):
     d = docs(spark, 700)
     raw = F.encode("text", "UTF-8")
     size, crc = (F.coalesce(F.octet_length(raw), F.lit(0)) + 8).cast("long"), F.crc32(raw)
-    keys = [F.xxhash64("doc_id", crc, size, F.lit(sharding.SEED + k)).alias(f"k{k}") for k in range(3)]
-    rows = d.select("doc_id", size.alias("size"), crc.alias("crc"), *keys).collect()
+    numbered, seen = [], Counter()
+    for r in d.select("doc_id", size.alias("size"), crc.alias("crc")).collect():
+        numbered.append((*r, seen[r]))
+        seen[r] += 1
+    assert max(seen.values()) > 1
+    rows = spark.createDataFrame(numbered, "doc_id int, size long, crc long, copy long").withColumn("doc_id", F.col("doc_id").cast("long"))
+    plain = [F.xxhash64("doc_id", "crc", "size", F.lit(sharding.SEED + k)) for k in range(3)]
+    rows = rows.select("*", *(F.when(F.col("copy") == 0, k).otherwise(F.xxhash64(k, "copy")).alias(f"k{i}") for i, k in enumerate(plain))).collect()
     blocks = {}
     for r in rows:
         blocks.setdefault(r.k0 % 64, []).append(r)
@@ -66,13 +72,29 @@ def test_whole_result_against_brute_force(spark):
     sends = {r.block: r.sends for r in sharding.communication_matrix(n, 64).collect()}
     shards = [[] for _ in range(24)]
     for b, x in blocks.items():  # the local permutation, dealt by the block's counts
-        x.sort(key=lambda r: (r.k1, r.doc_id is not None, r.doc_id))
+        x.sort(key=lambda r: r.k1)
         for s, m in enumerate(sends[b]):
             shards[s] += x[:m]
             del x[:m]
         assert not x
     want = Counter()
     for s, x in enumerate(shards):  # the second permutation
-        x.sort(key=lambda r: (r.k2, r.doc_id is not None, r.doc_id))
+        x.sort(key=lambda r: r.k2)
         want.update((r.doc_id, r.size, r.crc, s, k) for k, r in enumerate(x))
     assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in sharding.shard(d).collect()) == want
+
+
+def test_equal_rows_part(spark):
+    d = spark.range(2000).select((F.col("id") % 1000).alias("doc_id"), F.lit("text").alias("text")).unionByName(spark.range(20_000).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("hot").alias("text")))
+    by = {}
+    for r in sharding.shard(d).collect():
+        by.setdefault(r.doc_id, []).append((r.shard, r.slot))
+    hot = Counter(s for s, _ in by.pop(-1))
+    assert all(700 < hot[s] < 970 for s in range(24))
+    together = [x for x in by.values() if x[0][0] == x[1][0]]
+    assert 15 < len(together) < 80 and sum(abs(x[0][1] - x[1][1]) == 1 for x in together) < 4
+
+
+def test_long_text_is_a_row_like_others(spark):
+    got = sharding.shard(spark.createDataFrame([(1, "é" * 500_000, "s", 1), (2, "", "s", 2)], DOCS)).collect()
+    assert sorted(r.size for r in got) == [8, 1_000_008]
