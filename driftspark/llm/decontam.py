@@ -160,7 +160,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     offsets = met.where(F.col("n") >= F.col("need")).join(item.select("item_id", "item_key", "item_words"), ["item_id", "item_key"])
     # a document's offsets are no more than its words for each item
     offsets = save(offsets.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_id", "item_key", "item_words", "offset")).alias("offsets")), "offsets")
-    near = offsets.join(doc.distinct(), offsets["doc_id"].eqNullSafe(doc["doc_id"]) & (offsets["text_hash"] == doc["text_hash"])).drop(doc["doc_id"], doc["text_hash"])
+    near = offsets.join(doc, offsets["doc_id"].eqNullSafe(doc["doc_id"]) & (offsets["text_hash"] == doc["text_hash"])).drop(doc["doc_id"], doc["text_hash"])
+    near = near.dropDuplicates(["doc_id", "text_hash"])  # repeated rows; only of documents that have offsets
 
     def cut(t):  # the stretch of the document that lies on the item
         low = lambda o: F.greatest(o["offset"], F.lit(0))

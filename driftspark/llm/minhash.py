@@ -225,28 +225,25 @@ def near_duplicates(docs: DataFrame, similarity_pct: int = 75, bands: int = BAND
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """The documents, with all their columns, without those that have an earlier near copy; of repeated rows (equal doc_id and text)
     one stays, that of the least hash over all columns. Rows with a null doc_id stay. Different texts under one doc_id are documents
-    of their own: if there are any, hashes of doc_id and text take the place of the doc_ids, and the least of a group stays. An
-    empty table gives none; columns with any name are carried through. Reruns keep the same rows."""
-    text = F.xxhash64("text")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(text).alias("least"), F.max(text).alias("most")).where("n > 1")
-    repeated = save(repeated.select(F.col("doc_id").alias("_repeated"), (F.col("least") != F.col("most")).alias("differ")), "repeated-ids")
-    differ = repeated.agg(F.max("differ")).first()[0]
-    key = F.col("doc_id").cast("long") if not differ else F.when(F.col("doc_id").isNotNull(), _own_key(docs))
-    near = near_duplicates(docs.select(key.alias("doc_id"), "text"), **how)
-    away = near.where("doc_id <> component_id").select(F.col("doc_id").alias("_away")).distinct()
+    of their own. Of a group the least doc_id stays, and under it the text of the least hash. An empty table gives none; columns with
+    any name are carried through. Reruns keep the same rows."""
+    key = F.when(F.col("doc_id").isNotNull(), _own_key(docs))
+    known = docs.where("doc_id is not null").select(key.alias("_key"), F.col("doc_id").cast("long").alias("_id")).distinct()
+    near = near_duplicates(docs.select(key.alias("doc_id"), "text"), **how).where("doc_id is not null").select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    group = save(near.join(known, "_key"), "groups")
+    stays = group.groupBy("component_id").agg(F.min(F.struct("_id", "_key")).alias("stays")).select("component_id", F.col("stays._key").alias("_stays"))
+    away = group.join(stays, "component_id").where("_key <> _stays").select(F.col("_key").alias("_away"))
     rows = docs.join(away, key == away["_away"], "left_anti")
-    if differ is None:
-        return rows
+    repeated = save(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_repeated")).agg(F.count("*").alias("n")).where("n > 1").select("_repeated"), "repeated-ids")
     once = F.struct(*(rows[c] for c in rows.columns))
     many = rows.join(repeated, rows["doc_id"] == repeated["_repeated"], "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.min_by(once, F.xxhash64(*(rows[c] for c in rows.columns))).alias("row"))
     return rows.join(repeated, rows["doc_id"] == repeated["_repeated"], "left_anti").unionByName(many.select("row.*"))
 
 
 def _own_key(docs: DataFrame):
-    """A hash column that tells all (doc_id, text) apart; checked, and hashed anew should two share one."""
-    pairs = docs.where("doc_id is not null").select("doc_id", "text").distinct()
+    """A hash column that tells all (doc_id, text) apart; checked by a second hash, and made anew should two share one."""
     for seed in range(8):
-        key = F.xxhash64("doc_id", "text", F.lit(seed))
-        if pairs.groupBy(key.alias("key")).count().where("count > 1").isEmpty():
+        key, check = F.xxhash64("doc_id", "text", F.lit(seed)), F.xxhash64(F.lit(seed), "text", "doc_id")
+        if docs.where("doc_id is not null").groupBy(key.alias("key")).agg(F.min(check).alias("a"), F.max(check).alias("b")).where("a <> b").isEmpty():
             return key
     raise ValueError("no seed tells the documents apart")

@@ -90,3 +90,10 @@ def test_components_of_a_chain_and_a_star(spark):
     got = dict(connected_components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(50)}}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_an_unrelated_repeated_id_changes_no_other_group(spark):
+    text = lambda g: " ".join(f"w{g}x{j}" for j in range(20))
+    rows = [(3 * g + k, text(g) + f" end{k}") for g in range(10) for k in range(3)]
+    kept = lambda extra: {r.doc_id for r in minhash.deduplicated(spark.createDataFrame([(i, t, "", 0) for i, t in rows + extra], DOCS)).collect()}
+    assert kept([]) == {3 * g for g in range(10)} == kept([(900, "one of two"), (900, "another text")]) - {900}
