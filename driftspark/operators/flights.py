@@ -1,29 +1,40 @@
-"""The flight fold: the rules that depend on the last accepted or kept frame, one frame at a time per serial.
+"""The flight fold: what depends on the frames before, one frame at a time per serial, as tables of rules.
 
-``fold_frames`` runs it over tables (groupBy serial), ``driftspark.streaming`` over streams with the same class. A serial's state
-is small: sums per altitude bin, the rate window, and the descent samples of one fall.
+A rule is (states it holds in, guard, action), read in order: ``ARRIVALS`` say which flight a frame belongs to (the first that fits is
+taken), ``CHANGES`` what the frame does to it (each that fits is taken), ``SILENCES`` what no frame for so long means. Guards and actions
+are methods of ``Fold``. ``fold_frames`` runs it over tables (groupBy serial), ``driftspark.streaming`` over streams, with the same class.
+A serial's state is small: means per altitude bin, running sums of the rate window, the newest rates in order, and one descent's samples.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
+from bisect import bisect_left, insort
+from collections import deque
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from driftspark.params import DEFAULTS, Params
 
 ASCENT, FLOAT, DESCENT, LANDED = "ASCENT", "FLOAT", "DESCENT", "LANDED"
-#: A row per event; ORIGIN rows carry what a prediction at that time may know, TRACK rows the thinned track.
+AIRBORNE = (ASCENT, FLOAT, DESCENT)
+#: A row per event; ORIGIN rows carry what a prediction at that time may know, TRACK rows the thinned track. seen_t: time of the last frame.
 ROW = (
     "serial string, launch_t double, kind string, t double, state string, lat double, lon double, alt double, vrate double, max_alt double, burst_t double, burst_alt double, "
-    "b double, residual double, n_points long, launch_lat double, launch_lon double, ascent_rate double, detected_by string, bins array<struct<bin_idx:long,u:double,v:double,rho:double,n:long,lat:double,lon:double,t:double>>"
+    "b double, residual double, n_points long, launch_lat double, launch_lon double, ascent_rate double, detected_by string, seen_t double, bins array<struct<bin_idx:long,u:double,v:double,rho:double,n:long,lat:double,lon:double,t:double>>"
 )
 NAMES = [c.split()[0] for c in ROW.split(", bins")[0].split(", ")] + ["bins"]
 EVENTS = ("NEW_FLIGHT", "BURST", "FLOAT", "LANDED", "EXPIRED", "RESUMED", "REFINED")
+#: All kinds after which a flight may be in another state than before.
+STATES = (*EVENTS[:-1], "REVERTED")
 FRAME = ["t", "lat", "lon", "alt", "pressure", "temp"]
+#: Newest positive rates that an ascent's median is of.
+RATES = 600
 
 
 def km(lat1, lon1, lat2, lon2) -> float:
@@ -42,37 +53,118 @@ def std_rho(alt: float) -> float:
     return (p * math.exp(-G0 * (h - base) / (R_D * t)) if lapse == 0 else p * (temp / t) ** (-G0 / (R_D * lapse))) / (R_D * temp)
 
 
-def fit(samples: list, burst_t, burst_alt, p: Params = DEFAULTS):
+def air_density(pressure, temp) -> float | None:
+    """From hPa and degrees Celsius, where both are plausible."""
+    known = pressure is not None and temp is not None and pressure > 0 and temp > -273.15
+    return pressure * 100 / (287.05 * (temp + 273.15)) if known else None
+
+
+class Samples:
+    """Descent samples (t, alt, v, rho) by column, so that a fit reads them without copying."""
+
+    def __init__(self):
+        self.columns = [array("d") for _ in range(4)]
+
+    def append(self, *row: float) -> None:
+        for c, x in zip(self.columns, row):
+            c.append(x)
+
+    def __len__(self) -> int:
+        return len(self.columns[0])
+
+    def __iter__(self):
+        return zip(*self.columns)
+
+    def matrix(self) -> np.ndarray:
+        return np.array([np.frombuffer(c, float) for c in self.columns]).T
+
+
+def fit(samples, burst_t, burst_alt, p: Params = DEFAULTS):
     """(b, residual, n, clamped) of descent samples (t, alt, v, rho) as far as they are known; None if too few. The relational
     form for whole flights is ``descent.fit_descent``; tests hold them against each other."""
-    if not samples:
+    if not len(samples):
         return None
-    s = np.array(samples, float)
-    t0 = s[:, 0].min() if burst_t is None else burst_t
-    top = s[:, 1].max() if burst_alt is None else burst_alt
-    s = s[(s[:, 0] - t0 >= p.transient_s) & (top - s[:, 1] >= p.transient_m)]
-    if len(s) < p.min_fit_points:
+    t, alt, v, rho = (samples.matrix() if isinstance(samples, Samples) else np.array(samples, float)).T
+    begin, top = t.min() if burst_t is None else burst_t, alt.max() if burst_alt is None else burst_alt
+    settled = (t - begin >= p.transient_s) & (top - alt >= p.transient_m)
+    good = settled & (v > 0) & (rho > 0)
+    if min(settled.sum(), good.sum()) < p.min_fit_points:
         return None
-    s = s[(s[:, 2] > 0) & (s[:, 3] > 0)]
-    if len(s) < p.min_fit_points:
+    t, v, rho = t[good], v[good], rho[good]
+    b = v * np.sqrt(rho)
+    block = max(p.min_fit_points, p.regime_points)
+    if len(b) >= 2 * block:  # has the constant changed? then what came before the change goes
+        now, then = np.median(b[-block:]), np.median(b[:-block])
+        if then > 0 and abs(now - then) > p.regime_rel * then:
+            unlike = np.flatnonzero(np.abs(b[:-1] - now) > p.regime_rel / 2 * now)
+            start = min(unlike[-1] + 1 if len(unlike) else 0, len(b) - block)
+            t, v, rho, b = t[start:], v[start:], rho[start:], b[start:]
+    away = np.abs(b - np.median(b))
+    near = away <= 3.5 * 1.4826 * (np.median(away) or 1e-9)
+    if near.sum() < p.min_fit_points:
         return None
-    b = s[:, 2] * np.sqrt(s[:, 3])
-    k = max(p.min_fit_points, p.regime_points)
-    if len(b) >= 2 * k:
-        recent, older = np.median(b[-k:]), np.median(b[:-k])
-        if older > 0 and abs(recent - older) / older > p.regime_rel:
-            far = np.flatnonzero(np.abs(b[:-1] - recent) / recent > p.regime_rel / 2)
-            keep = min(far[-1] + 1 if len(far) else 0, len(b) - k)
-            s, b = s[keep:], b[keep:]
-    off = np.abs(b - np.median(b))
-    good = off <= 3.5 * 1.4826 * (np.median(off) or 1e-9)
-    s, b = s[good], b[good]
-    if len(b) < p.min_fit_points:
-        return None
-    w = 0.5 ** ((s[:, 0].max() - s[:, 0]) / p.half_life_s)
-    raw = float((w * b).sum() / w.sum())
+    t, v, rho, b = t[near], v[near], rho[near], b[near]
+    w = np.exp2((t - t.max()) / p.half_life_s)
+    raw = float(w @ b / w.sum())
     one = min(max(raw, p.b_min), p.b_max)
-    return one, float(np.sqrt((w * (s[:, 2] - one * s[:, 3] ** -0.5) ** 2).sum() / w.sum())), len(b), raw != one
+    return one, float(np.sqrt(w @ (v - one / np.sqrt(rho)) ** 2 / w.sum())), len(b), raw != one
+
+
+class Slope:
+    """Least-squares slope of altitude over a window of time, by sums about the newest frame's time."""
+
+    def __init__(self):
+        self.points: deque = deque()
+        self.restart()
+
+    def restart(self) -> None:
+        """Only the newest point stays."""
+        last = self.points[-1] if self.points else None
+        self.points.clear()
+        self.base, self.sums = last[0] if last else 0.0, [0.0] * 4  # of t, alt, t * t, t * alt
+        if last:
+            self._sum(last, 1)
+            self.points.append(last)
+
+    def _sum(self, point, sign: int) -> None:
+        t, a = point[0] - self.base, point[1]
+        for k, x in enumerate((t, a, t * t, t * a)):
+            self.sums[k] += sign * x
+
+    def add(self, t: float, alt: float, window: float) -> None:
+        while self.points and self.points[0][0] < t - window:
+            self._sum(self.points.popleft(), -1)
+        if not self.points:
+            self.sums = [0.0] * 4
+        n, d = len(self.points), t - self.base
+        st, sa, stt, sta = self.sums
+        self.base, self.sums = t, [st - n * d, sa, stt - 2 * d * st + n * d * d, sta - d * sa]
+        self.points.append((t, alt))
+        self._sum((t, alt), 1)
+
+    def value(self, least: int, span: float) -> float | None:
+        n = len(self.points)
+        if n < least or self.points[-1][0] - self.points[0][0] < span:
+            return None
+        st, sa, stt, sta = self.sums
+        spread = stt - st * st / n
+        return (sta - st * sa / n) / spread if spread > 0 else None
+
+
+class Newest:
+    """The newest ``keep`` numbers, also in order."""
+
+    def __init__(self, keep: int):
+        self.keep, self.queue, self.ordered = keep, deque(), []
+
+    def add(self, x: float) -> None:
+        if len(self.queue) == self.keep:
+            del self.ordered[bisect_left(self.ordered, self.queue.popleft())]
+        self.queue.append(x)
+        insort(self.ordered, x)
+
+    def median(self, least: int = 5) -> float | None:
+        return self.ordered[len(self.ordered) // 2] if len(self.ordered) >= least else None
 
 
 @dataclass
@@ -81,275 +173,390 @@ class Flight:
     first_alt: float
     launch: tuple | None = None
     state: str = ASCENT
-    was: str | None = None  # the state before silence closed the flight
+    silenced: str | None = None  # the state that silence ended
     last: tuple | None = None  # t, lat, lon, alt, pressure, temp
     vrate: float | None = None
     max_alt: float = -1e9
     burst: tuple | None = None
-    ascended: bool = False
-    window: list = field(default_factory=list)
-    rates: list = field(default_factory=list)
+    slope: Slope = field(default_factory=Slope)
+    rates: Newest = field(default_factory=lambda: Newest(RATES))
     bins: dict = field(default_factory=dict)
-    samples: list = field(default_factory=list)
-    falling: int = 0
+    samples: Samples = field(default_factory=Samples)
+    runs: dict = field(default_factory=dict)  # frames in a row for which something has held
     slow_since: float | None = None
-    glitches: int = 0
+    landing: tuple | None = None  # lat, lon, alt where the flight came down, as last refined
     landed_alt: float | None = None
-    by_timeout: bool = False
-    landed_at: tuple | None = None  # of a timeout landing: lat, lon, alt of record
-    again: int = 0
-    below: int = 0
+    presumed: bool = False  # landed by silence
     b: float | None = None
     kept: tuple | None = None  # last point of the thinned track
     origin_t: float | None = None
 
+    @property
+    def ascended(self) -> float:
+        return self.max_alt - self.first_alt
+
+
+@dataclass
+class Step:
+    """A frame, the ground under it, and the segment that leads to it."""
+
+    x: tuple
+    ground: float
+    seg: tuple | None = None
+    rate: float | None = None
+
+    @property
+    def t(self):
+        return self.x[0]
+
+    @property
+    def alt(self):
+        return self.x[3]
+
 
 class Fold:
-    """The flight of one serial. ``frame`` and ``silence`` return event rows. ground: height of the ground, a number here, as
-    terrain is joined to the frames beforehand as column ground. kinds: the rows that are wanted, None: all."""
+    """The flight of one serial. ``frame`` and ``quiet`` return event rows. Ground is the height of the terrain, joined to the frames
+    beforehand. kinds: the rows that are wanted, None: all."""
+
+    ARRIVALS = (
+        ((None,), "always", "open"),
+        ((LANDED,), "silenced", "resume"),
+        ((LANDED,), "climbs_again", "open"),
+        ((LANDED,), "sinks_on", "reopen"),
+        ((LANDED,), "lies_elsewhere", "refine"),
+    )
+    CHANGES = (
+        ((ASCENT, FLOAT), "bursts", "fall"),
+        ((ASCENT,), "hovers", "hover"),
+        ((DESCENT,), "climbs_past_burst", "revert"),
+        ((DESCENT,), "falls", "sample"),
+        ((DESCENT,), "touches_ground", "land"),
+    )
+    #: (states, parameter of the wait, guard, outcome)
+    SILENCES = (
+        ((LANDED,), "stale_s", "always", "forget"),
+        (AIRBORNE, "stale_s", "always", "expire"),
+        ((ASCENT,), "ascent_silence_s", "always", "expire"),
+        ((DESCENT,), "landed_silence_s", "was_low", "presume"),
+        ((DESCENT,), "descent_silence_s", "always", "expire"),
+    )
 
     def __init__(self, serial: str, p: Params = DEFAULTS, flight: Flight | None = None, kinds: frozenset | None = None):
         self.serial, self.p, self.f = serial, p, flight
         self.origins, self.track = kinds is None or "ORIGIN" in kinds, kinds is None or "TRACK" in kinds
 
+    # -- rows
+
     def row(self, kind: str, t: float, by: str | None = None, bins: bool = False, at=None):
         f = self.f
-        lat, lon, alt = at or (f.last[1:4] if f.last else (None, None, None))
-        b = residual = n = None
-        if kind == "ORIGIN" and f.state == DESCENT:
-            got = fit(f.samples, *(f.burst or (None, None)), self.p)
-            if got:
-                b, residual, n = got[:3]
-            elif f.samples:
-                b, residual, n = min(max(f.samples[-1][2] * math.sqrt(f.samples[-1][3]), self.p.b_min), self.p.b_max), 0.0, 1
-        elif f.b is not None:
-            b = f.b
-        rate = sorted(f.rates)[len(f.rates) // 2] if len(f.rates) >= 5 else None
+        b, residual, n = f.b, None, None
+        if kind == "ORIGIN" and f.state == DESCENT and (got := self.estimate()):
+            b, residual, n = got[:3]
         cells = [dict(zip(("bin_idx", "u", "v", "rho", "n", "lat", "lon", "t"), (i, *c))) for i, c in sorted(f.bins.items())] if bins else None
-        burst = f.burst or (None, None)
-        return (self.serial, f.launch_t, kind, t, f.state, lat, lon, alt, f.vrate, f.max_alt, burst[0], burst[1], b, residual, n, *(f.launch or (None, None)), rate, by, cells)
+        place = at or (f.last[1:4] if f.last else (None, None, None))
+        seen = f.last[0] if f.last else None
+        return (self.serial, f.launch_t, kind, t, f.state, *place, f.vrate, f.max_alt, *(f.burst or (None, None)), b, residual, n, *(f.launch or (None, None)), f.rates.median(), by, seen, cells)
 
-    def close_fit(self):
-        f = self.f
-        if f.b is None and f.samples:
-            got = fit(f.samples, *(f.burst or (None, None)), self.p)
-            if got is None:
-                raw = f.samples[-1][2] * math.sqrt(f.samples[-1][3])
-                got = (raw, 0.0, 1, not self.p.b_min <= raw <= self.p.b_max)
-            if not got[3]:
-                f.b = got[0]
-
-    def silence(self, now: float, ground: float = 0.0) -> tuple[list, bool]:
-        """What silence until now means; and whether the flight can be forgotten."""
+    def estimate(self):
+        """The fit, or what the last sample says alone; (b, residual, n, clamped)."""
         f, p = self.f, self.p
-        if f is None or f.last is None:
-            return [], f is not None
-        gap = now - f.last[0]
-        if f.state == LANDED:
-            return [], gap > p.stale_s
-        if gap > p.stale_s or (f.state == ASCENT and gap > p.ascent_silence_s):
-            f.was, f.state = f.state, LANDED
-            return [self.row("EXPIRED", now)], False
-        if f.state != DESCENT or gap <= p.landed_silence_s:
-            return [], False
-        if f.last[3] <= ground + max(p.landed_agl_m, p.timeout_low_agl_m):
-            f.state, f.landed_alt, f.by_timeout, f.landed_at = LANDED, f.last[3], True, f.last[1:4]
-            self.close_fit()
-            return [self.row("LANDED", now, "timeout")], False
-        if gap > p.descent_silence_s:
-            f.was, f.state = f.state, LANDED
-            self.close_fit()
-            return [self.row("EXPIRED", now)], False
-        return [], False
-
-    def next_silence(self) -> float | None:
-        """When silence would next change something."""
-        f, p = self.f, self.p
-        if f is None or f.last is None:
-            return None
-        wait = {DESCENT: p.landed_silence_s, ASCENT: p.ascent_silence_s}.get(f.state, p.stale_s)
-        return f.last[0] + wait + 1
-
-    def quiet(self, until: float, ground: float | None = 0.0) -> list:
-        """All that silence from the last frame until then means, judged step by step at the times when it changes something, so
-        that it does not matter how late it is judged. The flight is forgotten if it has been silent for too long."""
-        p, rows = self.p, []
-        if self.f is None or self.f.last is None:
-            return rows
-        last = self.f.last[0]
-        for wait in sorted({p.landed_silence_s, p.descent_silence_s, p.ascent_silence_s, p.stale_s}):
-            if self.f is None or last + wait + 1 >= until:
+        got = fit(f.samples, *(f.burst or (None, None)), p)
+        if got is None and len(f.samples):
+            raw = f.samples.columns[2][-1] * math.sqrt(f.samples.columns[3][-1])
+            one = min(max(raw, p.b_min), p.b_max)
+            got = one, 0.0, 1, raw != one
+        return got
+
+    # -- a frame
+
+    def frame(self, x: tuple, ground: float = 0.0, inside: bool = True) -> list:
+        """x: t, lat, lon, alt, pressure, temp. inside: of the capture box; outside it no flight begins, one that is known goes on."""
+        if self.f is None and not inside or self.teleports(x):
+            return []
+        rows, step = [], Step(x, ground or 0.0)
+        for states, guard, action in self.ARRIVALS:
+            if (self.f.state if self.f else None) in states and getattr(self, guard)(step):
+                getattr(self, action)(step, rows)
                 break
-            got, forget = self.silence(last + wait + 1, ground or 0.0)
-            rows += got
-            if forget:
-                self.f = None
+        self.absorb(step)
+        for states, guard, action in self.CHANGES:
+            if self.f.state in states and getattr(self, guard)(step):
+                getattr(self, action)(step, rows)
+        self.report(step, rows)
         return rows
 
-    def frame(self, x: tuple, ground: float = 0.0) -> list:
-        """x: t, lat, lon, alt, pressure, temp."""
-        p, out = self.p, []
-        f = self.f
-        if f is not None and f.last is not None and x[0] - f.last[0] > 0:
-            dt = x[0] - f.last[0]
-            fast = km(f.last[1], f.last[2], x[1], x[2]) * 1000 / dt > p.glitch_horizontal_mps or abs(x[3] - f.last[3]) / dt > p.glitch_vertical_mps
-            f.glitches = f.glitches + 1 if fast else 0
-            if f.glitches > p.glitch_accept_after:
-                f.glitches = 0
-            elif fast:
-                return out
-        if f is None or self._new_ascent(x):
-            low = x[3] <= ground + p.launch_agl_m
-            f = self.f = Flight(launch_t=x[0], first_alt=x[3], launch=(x[1], x[2]) if low else None)
-            f.max_alt = x[3]
-            out.append(self.row("NEW_FLIGHT", x[0], at=x[1:4]))
-        elif f.state == LANDED and f.was is not None:
-            f.state, f.was, f.again = f.was, None, 0
-            out.append(self.row("RESUMED", x[0], at=x[1:4]))
-        elif f.state == LANDED and f.by_timeout:
-            low = f.landed_alt is not None and x[3] < f.landed_alt - p.redescent_m
-            f.below = f.below + 1 if low else 0
-            if f.below >= p.sustained_frames:
-                f.state, f.by_timeout, f.landed_alt, f.landed_at, f.b, f.below, f.again = DESCENT, False, None, None, None, 0, 0
-                out.append(self.row("RESUMED", x[0], at=x[1:4]))
-            elif f.landed_at and not low:
-                moved = km(f.landed_at[0], f.landed_at[1], x[1], x[2]) * 1000 >= p.refine_move_m or f.landed_at[2] - x[3] >= p.refine_alt_m
-                if moved:
-                    f.landed_at = x[1:4]
-                    out.append(self.row("REFINED", x[0], "timeout", at=x[1:4]))
-        self._apply(x, ground, out)
-        return out
-
-    def _new_ascent(self, x) -> bool:
+    def held(self, what: str, now: bool, frames: int) -> bool:
+        """Whether it has been so for as many frames in a row."""
+        runs = self.f.runs
+        runs[what] = runs.get(what, 0) + 1 if now else 0
+        return runs[what] >= frames
+
+    def teleports(self, x) -> bool:
+        """Too fast from the last frame that counted; after some such frames in a row the next counts all the same."""
         f, p = self.f, self.p
-        if f.state != LANDED or f.was is not None:
+        dt = x[0] - f.last[0] if f and f.last else 0.0
+        if dt <= 0:
+            return False
+        fast = km(f.last[1], f.last[2], x[1], x[2]) * 1000 > p.glitch_horizontal_mps * dt or abs(x[3] - f.last[3]) > p.glitch_vertical_mps * dt
+        if self.held("teleport", fast, p.glitch_accept_after + 1):
+            f.runs["teleport"] = 0
             return False
-        anchor = f.landed_alt if f.landed_alt is not None else f.last[3] if f.last else None
-        f.again = f.again + 1 if anchor is not None and x[3] > anchor + p.reascent_m else 0
-        return f.again >= p.sustained_frames
+        return fast
+
+    def absorb(self, step: Step) -> None:
+        """Rate, top, rates of the ascent and the wind profile."""
+        f, p, x = self.f, self.p, step.x
+        step.seg = self.segment(x)
+        f.slope.add(x[0], x[3], p.rate_window_s)
+        slope = f.slope.value(p.rate_min_points, p.rate_min_span_s)
+        step.rate = slope if slope is not None else step.seg[2] if step.seg else None
+        f.max_alt = max(f.max_alt, x[3])
+        if f.state == ASCENT and step.rate is not None and step.rate > 0:
+            f.rates.add(step.rate)
+        if f.state != LANDED:
+            self.profile(step.seg, x)
+        f.last = x
+        if step.rate is not None:
+            f.vrate = step.rate
 
-    def _segment(self, x):
+    def segment(self, x):
+        """(dt, middle altitude, climb, u, v, middle lat, lon and time) from the last frame to this one."""
         a = self.f.last
         dt = x[0] - a[0] if a else 0.0
         if dt <= 0:
             return None
-        turn = (x[2] - a[2] + 180) % 360 - 180
-        v = 6_371_000.0 * math.radians(x[1] - a[1]) / dt
-        u = 6_371_000.0 * math.cos(math.radians((a[1] + x[1]) / 2)) * math.radians(turn) / dt
-        return dt, (a[3] + x[3]) / 2, (x[3] - a[3]) / dt, u, v, (a[1] + x[1]) / 2, (a[2] + turn / 2 + 180) % 360 - 180, (a[0] + x[0]) / 2
+        east, lat = (x[2] - a[2] + 180) % 360 - 180, (a[1] + x[1]) / 2
+        metres = math.radians(1) * 6_371_000.0 / dt
+        return dt, (a[3] + x[3]) / 2, (x[3] - a[3]) / dt, metres * math.cos(math.radians(lat)) * east, metres * (x[1] - a[1]), lat, (a[2] + east / 2 + 180) % 360 - 180, (a[0] + x[0]) / 2
 
-    def _rate(self, x, seg):
-        f, p = self.f, self.p
-        f.window = [w for w in f.window if w[0] >= x[0] - p.rate_window_s] + [(x[0], x[3])]
-        if len(f.window) >= p.rate_min_points and f.window[-1][0] - f.window[0][0] >= p.rate_min_span_s:
-            t, a = np.array(f.window).T
-            t = t - t.mean()
-            if (t * t).sum() > 0:
-                return float((t * (a - a.mean())).sum() / (t * t).sum())
-        return seg[2] if seg else None
-
-    def _bin(self, seg, x):
+    def profile(self, seg, x) -> None:
+        """The segment joins its bin's means; in a descent a bin's past weighs as a few samples only."""
         f, p = self.f, self.p
         if seg is None or seg[0] < p.min_dt_s or math.hypot(seg[3], seg[4]) > p.max_speed_mps or abs(seg[2]) > p.max_vrate_mps:
             return
-        i = int(seg[1] // p.bin_m)
-        rho = x[4] * 100 / (287.05 * (x[5] + 273.15)) if x[4] is not None and x[5] is not None and x[4] > 0 and x[5] > -273.15 else None
-        old = f.bins.get(i)
-        if old is None:
-            f.bins[i] = (seg[3], seg[4], rho, 1, seg[5], seg[6], seg[7])
+        i, rho = int(seg[1] // p.bin_m), air_density(x[4], x[5])
+        if i not in f.bins:
+            f.bins[i] = (seg[3], seg[4], rho, 1, *seg[5:])
             return
-        u, v, r, count, lat, lon, t = old
-        n = min(count, p.refresh_cap) if f.state == DESCENT else count
-        mean = lambda a, b: (a * n + b) / (n + 1)
-        lon = (lon + ((seg[6] - lon + 180) % 360 - 180) / (n + 1) + 180) % 360 - 180
-        f.bins[i] = (mean(u, seg[3]), mean(v, seg[4]), r if rho is None else rho if r is None else mean(r, rho), count + 1, mean(lat, seg[5]), lon, mean(t, seg[7]))
+        u, v, dense, n, lat, lon, t = f.bins[i]
+        share = 1 / ((min(n, p.refresh_cap) if f.state == DESCENT else n) + 1)
+        to = lambda old, new: old + (new - old) * share
+        dense = dense if rho is None else rho if dense is None else to(dense, rho)
+        lon = (lon + ((seg[6] - lon + 180) % 360 - 180) * share + 180) % 360 - 180
+        f.bins[i] = (to(u, seg[3]), to(v, seg[4]), dense, n + 1, to(lat, seg[5]), lon, to(t, seg[7]))
 
     def density(self, alt: float) -> float:
         known = sorted(((i + 0.5) * self.p.bin_m, c[2]) for i, c in self.f.bins.items() if c[2])
         if not known:
             return std_rho(alt)
-        if alt <= known[0][0] or alt >= known[-1][0]:
+        if not known[0][0] < alt < known[-1][0]:
             a, r = known[0] if alt <= known[0][0] else known[-1]
             return std_rho(alt) * r / std_rho(a)
         return float(np.exp(np.interp(alt, [k[0] for k in known], np.log([k[1] for k in known]))))
 
-    def _apply(self, x, ground, out):
+    # -- which flight: guards and actions
+
+    def always(self, step) -> bool:
+        return True
+
+    def silenced(self, step) -> bool:
+        return self.f.silenced is not None
+
+    def climbs_again(self, step) -> bool:
+        return self.held("again", self.f.landed_alt is not None and step.alt > self.f.landed_alt + self.p.reascent_m, self.p.sustained_frames)
+
+    def sinks_on(self, step) -> bool:
+        return self.f.presumed and self.held("below", step.alt < self.f.landed_alt - self.p.redescent_m, self.p.sustained_frames)
+
+    def lies_elsewhere(self, step) -> bool:
         f, p = self.f, self.p
-        seg = self._segment(x)
-        rate = self._rate(x, seg)
-        f.max_alt = max(f.max_alt, x[3])
-        f.ascended = f.ascended or f.max_alt - f.first_alt >= p.ascent_gain_m
-        if f.state == ASCENT and rate is not None and rate > 0:
-            f.rates.append(rate)
-            if len(f.rates) > 600:
-                del f.rates[:300]
-        if f.state != LANDED:
-            self._bin(seg, x)
-        before, f.last = f.last, x
-        if rate is not None:
-            f.vrate = rate
-        if f.state in (ASCENT, FLOAT):
-            f.falling = f.falling + 1 if x[3] < f.max_alt - p.burst_drop_m and rate is not None and rate < 0 else 0
-            if f.falling >= p.burst_frames and f.max_alt >= ground + p.airborne_agl_m:
-                f.state, f.slow_since = DESCENT, None
-                del f.window[:-1]
-                f.burst = (x[0], f.max_alt) if f.ascended else None
-                out.append(self.row("BURST", x[0]))
-        if f.state == ASCENT:
-            if x[3] < p.float_min_alt_m or rate is None or abs(rate) >= p.float_rate_mps:
-                f.slow_since = None
-            elif f.slow_since is None:
-                f.slow_since = x[0]
-            elif x[0] - f.slow_since >= p.float_window_s:
-                f.state = FLOAT
-                out.append(self.row("FLOAT", x[0]))
-        if f.state == DESCENT:
-            if f.burst and x[3] > f.burst[1] + p.revert_climb_m:
-                f.state, f.burst, f.falling, f.slow_since = ASCENT, None, 0, None
-                f.samples.clear()
-            elif rate is not None and rate < 0:
-                rho = x[4] * 100 / (287.05 * (x[5] + 273.15)) if x[4] is not None and x[5] is not None and x[4] > 0 and x[5] > -273.15 else self.density(x[3])
-                f.samples.append((x[0], x[3], -rate, rho))
-                if x[3] <= ground + p.landed_agl_m:
-                    f.state, f.landed_alt = LANDED, x[3]
-                    self.close_fit()
-                    out.append(self.row("LANDED", x[0], "telemetry"))
-        if self.origins and f.state == DESCENT and (f.origin_t is None or x[0] - f.origin_t >= p.cadence_s or out and out[-1][2] == "BURST"):
+        if not f.presumed or f.runs.get("below"):
+            return False
+        return km(*f.landing[:2], *step.x[1:3]) * 1000 >= p.refine_move_m or f.landing[2] - step.alt >= p.refine_alt_m
+
+    def open(self, step, rows) -> None:
+        low = step.alt <= step.ground + self.p.launch_agl_m
+        self.f = Flight(step.t, step.alt, step.x[1:3] if low else None, max_alt=step.alt)
+        rows.append(self.row("NEW_FLIGHT", step.t, at=step.x[1:4]))
+
+    def resume(self, step, rows) -> None:
+        self.f.state, self.f.silenced = self.f.silenced, None
+        self.f.runs.clear()
+        rows.append(self.row("RESUMED", step.t, at=step.x[1:4]))
+
+    def reopen(self, step, rows) -> None:
+        f = self.f
+        f.state, f.presumed, f.landing, f.landed_alt, f.b = DESCENT, False, None, None, None
+        f.runs.clear()
+        rows.append(self.row("RESUMED", step.t, at=step.x[1:4]))
+
+    def refine(self, step, rows) -> None:
+        self.f.landing = step.x[1:4]
+        rows.append(self.row("REFINED", step.t, "timeout", at=step.x[1:4]))
+
+    # -- what a frame does: guards and actions
+
+    def bursts(self, step) -> bool:
+        f, p = self.f, self.p
+        down = step.alt < f.max_alt - p.burst_drop_m and step.rate is not None and step.rate < 0
+        return self.held("falling", down, p.burst_frames) and f.max_alt >= step.ground + p.airborne_agl_m
+
+    def fall(self, step, rows) -> None:
+        f = self.f
+        f.state, f.slow_since = DESCENT, None
+        f.burst = (step.t, f.max_alt) if f.ascended >= self.p.ascent_gain_m else None
+        f.slope.restart()
+        rows.append(self.row("BURST", step.t))
+
+    def hovers(self, step) -> bool:
+        f, p = self.f, self.p
+        if step.alt < p.float_min_alt_m or step.rate is None or abs(step.rate) >= p.float_rate_mps:
+            f.slow_since = None
+        elif f.slow_since is None:
+            f.slow_since = step.t
+        return f.slow_since is not None and step.t > f.slow_since and step.t - f.slow_since >= p.float_window_s
+
+    def hover(self, step, rows) -> None:
+        self.f.state = FLOAT
+        rows.append(self.row("FLOAT", step.t))
+
+    def climbs_past_burst(self, step) -> bool:
+        return self.f.burst is not None and step.alt > self.f.burst[1] + self.p.revert_climb_m
+
+    def revert(self, step, rows) -> None:
+        f = self.f
+        f.state, f.burst, f.slow_since, f.samples = ASCENT, None, None, Samples()
+        f.runs.pop("falling", None)
+        rows.append(self.row("REVERTED", step.t))
+
+    def falls(self, step) -> bool:
+        return step.rate is not None and step.rate < 0
+
+    def sample(self, step, rows) -> None:
+        rho = air_density(*step.x[4:6])
+        self.f.samples.append(step.t, step.alt, -step.rate, self.density(step.alt) if rho is None else rho)
+
+    def touches_ground(self, step) -> bool:
+        return self.falls(step) and step.alt <= step.ground + self.p.landed_agl_m
+
+    def land(self, step, rows) -> None:
+        self.settle()
+        rows.append(self.row("LANDED", step.t, "telemetry"))
+
+    def settle(self) -> None:
+        """The flight is down where it was last heard; its constant is known if a fit or the last sample gives one in range."""
+        f = self.f
+        f.state, f.landing, f.landed_alt = LANDED, f.last[1:4], f.last[3]
+        self.conclude()
+
+    def conclude(self) -> None:
+        if self.f.b is None and (got := self.estimate()) and not got[3]:
+            self.f.b = got[0]
+
+    def report(self, step, rows) -> None:
+        """Origins of predictions at their pace, and the thinned track."""
+        f, p, x = self.f, self.p, step.x
+        if self.origins and f.state == DESCENT and (f.origin_t is None or x[0] - f.origin_t >= p.cadence_s or rows and rows[-1][2] == "BURST"):
             f.origin_t = x[0]
-            out.append(self.row("ORIGIN", x[0], bins=True))
+            rows.append(self.row("ORIGIN", x[0], bins=True))
         k = f.kept
-        if self.track and (k is None or km(k[1], k[2], x[1], x[2]) * 1000 >= p.track_move_m or abs(x[3] - k[3]) >= p.track_alt_m or x[0] - k[0] >= p.track_interval_s):
+        if self.track and (k is None or x[0] - k[0] >= p.track_interval_s or abs(x[3] - k[3]) >= p.track_alt_m or km(k[1], k[2], x[1], x[2]) * 1000 >= p.track_move_m):
             f.kept = x[:4]
-            out.append(self.row("TRACK", x[0]))
+            rows.append(self.row("TRACK", x[0]))
+
+    # -- silence: guards and outcomes
+
+    def was_low(self, step) -> bool:
+        return step.alt <= step.ground + max(self.p.landed_agl_m, self.p.timeout_low_agl_m)
+
+    def presume(self, now: float, rows) -> None:
+        self.f.presumed = True
+        self.settle()
+        rows.append(self.row("LANDED", now, "timeout"))
+
+    def expire(self, now: float, rows) -> None:
+        f = self.f
+        if f.state == DESCENT:
+            self.conclude()
+        f.silenced, f.state, f.landed_alt = f.state, LANDED, f.last[3]
+        rows.append(self.row("EXPIRED", now))
+
+    def forget(self, now: float, rows) -> None:
+        self.f = None
+
+    def silence(self, now: float, ground: float = 0.0) -> tuple[list, bool]:
+        """What silence until now means, the first rule that fits; and whether the flight was forgotten."""
+        rows: list = []
+        if self.f is None or self.f.last is None:
+            return rows, self.f is not None
+        step = Step(self.f.last, ground or 0.0)
+        for states, wait, guard, outcome in self.SILENCES:
+            if self.f.state in states and now - self.f.last[0] > getattr(self.p, wait) and getattr(self, guard)(step):
+                getattr(self, outcome)(now, rows)
+                return rows, self.f is None
+        return rows, False
+
+    def waits(self) -> list[float]:
+        """The times at which silence may mean something in the flight's state."""
+        f = self.f
+        return sorted({f.last[0] + getattr(self.p, wait) + 1 for states, wait, _, _ in self.SILENCES if f.state in states}) if f and f.last else []
+
+    def next_silence(self, after: float = -math.inf) -> float | None:
+        """When silence would next be judged, after that time."""
+        return next((t for t in self.waits() if t > after), None)
+
+    def quiet(self, until: float, ground: float | None = 0.0) -> list:
+        """All that silence from the last frame until then means, judged step by step at the times when it changes something, so
+        that it does not matter how late it is judged. The flight is forgotten if it has been silent for too long."""
+        rows, at = [], -math.inf
+        while (t := self.next_silence(at)) is not None and t < until:
+            rows += self.silence(t, ground or 0.0)[0]
+            at = t
+        return rows
 
 
 def as_rows(rows: list) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=NAMES)
-    return out.astype({"n_points": "Int64"} | {c: "float64" for c in ("launch_t", "t", "lat", "lon", "alt", "vrate", "max_alt", "burst_t", "burst_alt", "b", "residual", "launch_lat", "launch_lon", "ascent_rate")})
+    return out.astype({"n_points": "Int64"} | {c: "float64" for c in ("launch_t", "t", "lat", "lon", "alt", "vrate", "max_alt", "burst_t", "burst_alt", "b", "residual", "launch_lat", "launch_lon", "ascent_rate", "seen_t")})
 
 
 def frames_of(pdf: pd.DataFrame):
-    """(frame, ground) in order of time; missing pressure and temperature as None."""
+    """(frame, ground, inside) in order of time; missing pressure and temperature as None."""
     ground = pdf["ground"].fillna(0.0).tolist() if "ground" in pdf else [0.0] * len(pdf)
+    inside = pdf["inside"].fillna(False).astype(bool).tolist() if "inside" in pdf else [True] * len(pdf)
     cols = [pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in FRAME]
-    return zip(zip(*cols), ground)
+    return zip(zip(*cols), ground, inside)
+
+
+def play(fold: Fold, pdf: pd.DataFrame) -> tuple[list, float]:
+    """The rows of all frames in order of time, silence between them judged as a stream would; and the ground under the last."""
+    rows, now = [], 0.0
+    for x, ground, inside in frames_of(pdf.sort_values("t", kind="stable")):
+        rows += fold.quiet(x[0], now)
+        rows += fold.frame(x, ground, inside)
+        now = ground
+    return rows, now
+
+
+def _slim(frames: DataFrame) -> DataFrame:
+    return frames.select("serial", *FRAME, *(c for c in ("ground", "inside") if c in frames.columns))
 
 
-def fold_frames(frames: DataFrame, p: Params = DEFAULTS, until: float | None = None, kinds=None) -> DataFrame:
-    """frames (serial, t, lat, lon, alt, pressure, temp[, ground]) to event rows, of all kinds or those named: ORIGIN and TRACK rows
-    are then not even made. Silence is judged between frames as a stream would, and after the last one until ``until``, if given.
-    One group per serial: a serial has at most some ten thousand frames."""
+def fold_frames(frames: DataFrame, p: Params = DEFAULTS, until: float | None = None, kinds=None, held: DataFrame | None = None) -> DataFrame:
+    """frames (serial, t, lat, lon, alt, pressure, temp[, ground][, inside]) to event rows, of all kinds or those named: ORIGIN and TRACK
+    rows are then not even made. Silence is judged between frames as a stream would, and after the last one until ``until``, if
+    given; not after the last one of serials in ``held`` (serial), whose missing frames are being fetched. A serial's frames outside
+    the capture box (inside false) begin no flight. One group per serial: a serial has at most some ten thousand frames."""
     wanted = None if kinds is None else frozenset(kinds)
+    rows = _slim(frames)
+    if held is not None:
+        rows = rows.join(held.select("serial").distinct().withColumn("held", F.lit(True)), "serial", "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fold, rows, now = Fold(str(pdf["serial"].iloc[0]), p, kinds=wanted), [], None
-        for x, ground in frames_of(pdf.sort_values("t", kind="stable")):
-            rows += fold.quiet(x[0], ground)
-            rows += fold.frame(x, ground)
-            now = ground
-        if until is not None:
-            rows += fold.quiet(until, now)
+        fold = Fold(str(pdf["serial"].iloc[0]), p, kinds=wanted)
+        rows, ground = play(fold, pdf)
+        if until is not None and not ("held" in pdf and pdf["held"].iloc[0]):
+            rows += fold.quiet(until, ground)
         return as_rows(rows if wanted is None else [r for r in rows if r[2] in wanted])
 
-    columns = ["serial", *FRAME] + (["ground"] if "ground" in frames.columns else [])
-    return frames.select(*columns).groupBy("serial").applyInPandas(run, ROW)
+    return rows.groupBy("serial").applyInPandas(run, ROW)
