@@ -91,6 +91,9 @@ class Params:
     prior_newest: int = 60
     prior_least: int = 3
     site_half_deg: float = 0.5
+    # history
+    backfill_silent_s: float = 300.0
+    backfill_hold_s: float = 1800.0
     # streams
     dedup_s: float = 60.0
     reorder_hold_s: float = 3.0

@@ -47,6 +47,16 @@ VIEWS = {
         from (select concat('C', cast(o_custkey as varchar(20))) as serial, o_orderkey, o_totalprice, o_orderpriority,
                      cast(row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as double) as rn from {orders}) o
         join {flights_v} f on o.serial = f.serial"""),
+    # what a fold over the customers' flights would say: some landings are refined, some retracted, some of these land again
+    "changes_v": (("flights_v",), """
+        select serial, launch_t, kind, launch_t + after_s as t, state, last_lat + shift as lat, last_lon + shift as lon, last_alt - 20000 * shift as alt,
+               case when k % 10 = 3 then last_alt + 500 else max_alt end as max_alt, detected_by, launch_t + after_s - case when detected_by = 'timeout' then 180 else 0 end as seen_t
+        from (select f.serial, f.launch_t, f.last_lat, f.last_lon, f.last_alt, f.max_alt, f.k, c.kind, c.state, cast(c.after_s as double) as after_s, cast(c.shift as double) as shift,
+                     case when f.last_alt < 500 or c.shift > cast(0.002 as double) then 'telemetry' else 'timeout' end as detected_by
+              from (select *, state as final, cast(substr(serial, 2) as bigint) as k from {flights_v}) f
+              join (values ('NEW_FLIGHT', 'ASCENT', 0, 1, 0), ('BURST', 'DESCENT', 4050, 1, 0), ('REVERTED', 'ASCENT', 4650, 9, 0), ('BURST', 'DESCENT', 4950, 9, 0), ('LANDED', 'LANDED', 6000, 1, 0),
+                           ('REFINED', 'LANDED', 6300, 3, 0.001), ('RESUMED', 'DESCENT', 6600, 4, 0), ('LANDED', 'LANDED', 7500, 8, 0.004)) c (kind, state, after_s, every, shift)
+                on f.k % c.every = 0 and (c.after_s < 6000 or f.final = 'LANDED' and (c.after_s = 6000 or f.last_alt >= 500))) d"""),
     "subscribers_v": (("supplier",), """
         select s_suppkey as id, cast(40.5 as double) + s_suppkey % 20 as lat, cast(-99.5 as double) + (s_suppkey * 7) % 60 as lon, 20 + abs(s_acctbal) / 100 as radius_km,
                case when s_suppkey % 7 = 0 then '' else concat('topic-', cast(s_suppkey as varchar(20))) end as topic,
@@ -77,4 +87,4 @@ def duckdb(select: str, *names: str) -> str:
 
     for n in names:
         add(n)
-    return "with " + ", ".join(f"{k} as ({v})" for k, v in out.items()) + " " + select
+    return "with recursive " + ", ".join(f"{k} as ({v})" for k, v in out.items()) + " " + select

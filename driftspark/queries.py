@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspark.functions import scalars as S
-from driftspark.operators import alerts, descent, geofence, kinematics, landing, planning, priors, profiles, scoring, tables, terrain, winds
+from driftspark.operators import alerts, descent, geofence, kinematics, landing, ledger, planning, priors, profiles, rebuild, scoring, tables, terrain, winds
 from driftspark.operators.flights import EVENTS, fold_frames
 from driftspark.params import DEFAULTS
 from driftspark.plans import backtest
@@ -773,10 +773,87 @@ def all_alerts(v) -> DataFrame:
     return alerts.alert_lifecycle(alerts.with_landings(found, alerts.landing_matches(v("landings_v"), found, v("subscribers_v"))))
 
 
-@query()
+FALLING = """, falling as (select p.* from predictions_v p join (select p.serial, p.predicted_t, arg_max(c.state, c.t) as state from predictions_v p join changes_v c on p.serial = c.serial and c.t <= p.predicted_t group by all) s
+  on p.serial = s.serial and p.predicted_t = s.predicted_t where s.state = 'DESCENT')"""
+
+
+@query(f"{FALLING} select serial, predicted_t, round(land_lat, 11) as land_lat, round(land_lon, 11) as land_lon from falling", "predictions_v", "changes_v")
+def falling_predictions(spark, v):
+    """Predictions made while their flight was falling."""
+    return rounded(alerts.falling(v("predictions_v"), v("changes_v")).select("serial", "predicted_t", "land_lat", "land_lon"), 11)  # places are fractions of cents: no halves at eleven digits
+
+
+LEDGER = f""", o as (select serial, launch_t, kind, t, lat, lon, alt, max_alt, detected_by, seen_t from changes_v where kind in ('LANDED', 'RESUMED') qualify row_number() over (partition by serial order by t desc) = 1),
+f as (select serial, t, lat, lon, alt from changes_v where kind = 'REFINED' qualify row_number() over (partition by serial order by t desc) = 1),
+l as (select o.serial, o.launch_t, case when kind = 'RESUMED' then 'retracted' when max_alt - o.alt < {DEFAULTS.truth_min_fall_m} then 'refused' else 'landed' end as status,
+  case when f.t >= o.t then f.lat else o.lat end as lat, case when f.t >= o.t then f.lon else o.lon end as lon, case when f.t >= o.t then f.alt else o.alt end as alt,
+  case when detected_by = 'timeout' then seen_t else o.t end as down_t, detected_by from o left join f on o.serial = f.serial),
+ledger as (select serial, launch_t, status, case when status = 'landed' then round(lat, 11) end as land_lat, case when status = 'landed' then round(lon, 11) end as land_lon, case when status = 'landed' then round(alt, 11) end as land_alt,
+  case when status = 'landed' then down_t end as landed_t, case when status = 'landed' then detected_by end as detected_by from l)"""
+
+
+@query(f"{LEDGER} select * from ledger", "changes_v")
+def landing_ledger(spark, v):
+    """The landing record after all changes: landings, refined places, tombstones of retracted ones, and what was no fall."""
+    return rounded(ledger.ledger(ledger.changes(v("changes_v"))).drop("opened", "refined"), 11)
+
+
+@query(f"{LEDGER} select * from ledger", "changes_v")
+def landing_ledger_batches(spark, v):
+    """The same record, kept by three batches through the keyed sink, the second one twice."""
+    path, rows = scratch.new_folder(spark, "ledger"), ledger.changes(v("changes_v")).withColumn("age", F.col("t") - F.col("launch_t"))
+    for k, part in enumerate(("age < 6300", "age between 6300 and 7000", "age between 6300 and 7000", "age > 7000")):
+        sinks.merge_landings(rows.where(part).drop("age"), path, k)
+    return rounded(sinks.read_table(spark, path).drop("opened", "refined"), 11)
+
+
+# the lifecycle is a fold: a recursive query goes from one occasion of a subscriber and flight to the next
+LIFE = f"""{FALLING}, circles as (select * from subscribers_v where active and trim(topic) <> ''),
+p as (select s.id, f.serial, f.launch_t, f.predicted_t as t, 1 as turn, f.land_lat as y, f.land_lon as x, {hav('s.lat', 's.lon', 'f.land_lat', 'f.land_lon')} as d, true as near from falling f, circles s where {hav('s.lat', 's.lon', 'f.land_lat', 'f.land_lon')} <= s.radius_km),
+e as (select s.id, c.serial, c.launch_t, c.t, case when c.kind = 'LANDED' then 2 else 0 end as turn, c.lat as y, c.lon as x, {hav('s.lat', 's.lon', 'c.lat', 'c.lon')} as d, {hav('s.lat', 's.lon', 'c.lat', 'c.lon')} <= s.radius_km as near from changes_v c, circles s where c.kind in ('LANDED', 'RESUMED')),
+m as (select *, row_number() over (partition by id, serial order by t, turn) as i from (select * from p union all select e.* from e join (select id, serial from p union select id, serial from e where near and turn = 2) w on e.id = w.id and e.serial = w.serial)),
+g as (select id, serial, launch_t, 0::bigint as i, null::double as t, null::double as y, null::double as x, null::double as d, null::double as ry, null::double as rx, null::double as up, false as down, null::varchar as said from m where i = 1
+  union all select id, serial, launch_t, i, t, y, x, d, case when said in ('INBOUND', 'UPDATE') then y else ry end, case when said in ('INBOUND', 'UPDATE') then x else rx end, case when said = 'UPDATE' then t else up end,
+    case when turn = 2 then down or said is not null when turn = 0 then false else down end, said
+  from (select m.id, m.serial, m.launch_t, m.i, m.t, m.y, m.x, m.d, m.turn, g.ry, g.rx, g.up, g.down,
+          case when m.turn = 0 then case when g.down then 'WITHDRAWN' end when g.down then null when m.turn = 2 then case when m.near or g.ry is not null then 'LANDED' end
+               when g.ry is null then 'INBOUND' when {hav('m.y', 'm.x', 'g.ry', 'g.rx')} >= {DEFAULTS.update_move_km} and (g.up is null or m.t - g.up >= {DEFAULTS.update_throttle_s}) then 'UPDATE' end as said
+        from g join m on g.id = m.id and g.serial = m.serial and m.i = g.i + 1)),
+told as (select id as subscriber_id, serial, launch_t, said as alert_type, t as sent_t, round(d, 6) as distance_km, round(y, 11) as land_lat, round(x, 11) as land_lon from g where said is not null)"""
+
+
+def lifecycle(v) -> DataFrame:
+    told = alerts.alert_lifecycle(alerts.occasions(v("predictions_v"), v("changes_v"), v("subscribers_v")))
+    return rounded(told, 11).withColumn("distance_km", F.round("distance_km", 6))
+
+
+@query(f"{LIFE} select * from told", "predictions_v", "changes_v", "subscribers_v")
 def alert_lifecycle(spark, v):
-    """All alerts of all predictions and landings."""
-    return rounded(all_alerts(v))
+    """All alerts of predictions made in the fall, of landings, and of landings withdrawn."""
+    return lifecycle(v)
+
+
+@query(f"""{LIFE} select a.* from told a left join (select subscriber_id, serial, max(sent_t) as gone from told where alert_type = 'WITHDRAWN' group by all) w on a.subscriber_id = w.subscriber_id and a.serial = w.serial
+where alert_type <> 'WITHDRAWN' and (alert_type <> 'LANDED' or gone is null or sent_t > gone)""", "predictions_v", "changes_v", "subscribers_v")
+def standing_alerts(spark, v):
+    return alerts.standing(lifecycle(v))
+
+
+@query("""select serial, launch_t, case when launch_lat is null then 'mid-air' else 'silent' end as why from flights_v where state <> 'LANDED' and (launch_lat is null or 1704067200 + 200 * 86400 - last_seen_t >= 300)""", "flights_v")
+def rebuild_candidates(spark, v):
+    return rebuild.candidates(v("flights_v"), 1704067200.0 + 200 * 86400)
+
+
+@query(f"""{SEGS}{BURSTS}, k as (select serial, substr(serial, 2)::bigint % 3 = 0 as fetched, min(t) as t0, arg_min(lat, t) as lat, arg_min(lon, t) as lon, arg_min(alt, t) as alt from frames_v group by serial)
+select k.serial, case when fetched and alt <= 1500 then round(lat, 6) end as launch_lat, case when fetched and alt <= 1500 then round(lon, 6) end as launch_lon, burst_t, round(burst_alt, 6) as burst_alt from k join bursts b on k.serial = b.serial""", "frames_v")
+def rebuilt_flights(spark, v):
+    """Flights heard from mid-air on; of a third of the serials history is fetched, which begins at the launch and ends before the burst. Their bursts and
+    launch sites are those of a fold over all frames; of the others the site stays unknown."""
+    f = v("frames_v").withColumn("dt", F.timestamp_seconds("t"))
+    live, fetched = f.where("frame >= 100"), f.where("frame < 300 and cast(substr(serial, 2) as bigint) % 3 = 0")
+    kinds = ("NEW_FLIGHT", "BURST")
+    e = rebuild.rebuild(fold_frames(live, kinds=kinds), fetched, live).where(F.col("kind").isin(*kinds))
+    return rounded(e.where("kind = 'BURST'").select("serial", "launch_lat", "launch_lon", "burst_t", "burst_alt"))
 
 
 @query(f"""{TOLD} select w.id as subscriber_id, w.serial, landed_t as sent_t, round({hav('s.lat', 's.lon', 'l.land_lat', 'l.land_lon')}, 6) as distance_km from told w join circles s on w.id = s.id join landings_v l on w.serial = l.serial""", "predictions_v", "landings_v", "subscribers_v")

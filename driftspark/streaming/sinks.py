@@ -1,5 +1,9 @@
-"""Sinks for micro-batches: keyed upsert, insert if absent, append. Tables are Parquet, in versions, so that a reader never
-sees half a write and a batch that runs again changes nothing."""
+"""Sinks for micro-batches: keyed upsert, insert if absent, append, and several of them from one batch.
+
+A keyed table is Parquet, parted by a hash of its keys. A batch reads and rewrites only the parts that its keys fall into (Spark's dynamic
+partition overwrite), so its cost goes with the batch and not with the table. The outcome for a key depends on the rows
+alone, so a batch that runs again, also after it was stopped between two parts or two sinks, changes nothing.
+"""
 
 from __future__ import annotations
 
@@ -9,43 +13,91 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftspark.operators import ledger
+from driftspark.params import DEFAULTS, Params
+from driftspark.sources.scratch import saved
+
+#: Parts of a keyed table.
+PARTS = 64
+PART = "key_part"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root)
+
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete versions, from the file system that the path is on."""
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    """None also where a batch was stopped before it had written anything."""
+    if not _exists(spark, path):
+        return None
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    names = [s.getPath() for s in fs.listStatus(root)]
-    done = [n for n in names if n.getName().startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS"))]
-    return sorted(int(n.getName()[2:]) for n in done)
+    names = [s.getPath().getName() for s in root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)]
+    return spark.read.parquet(path) if any(n.startswith(f"{PART}=") for n in names) else None
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest version, or None."""
-    got = _versions(spark, path)
-    return spark.read.parquet(f"{path}/v={got[-1]}") if got else None
+    """A keyed table, or None."""
+    got = _read(spark, path)
+    return None if got is None else got.drop(PART)
 
 
-def upsert(df: DataFrame, path: str, keys: list[str], order: str, batch_id: int) -> None:
-    """The last row by ``order`` wins for each key."""
-    spark = df.sparkSession
-    if batch_id in _versions(spark, path):
-        return
-    old = read_table(spark, path)
-    both = df if old is None else old.unionByName(df, allowMissingColumns=True)
-    w = W.partitionBy(*keys).orderBy(F.desc(order))
-    both.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn").write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+def _parted(df: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    return df.withColumn(PART, F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
 
 
-def insert_ignore(df: DataFrame, path: str, keys: list[str], batch_id: int) -> None:
-    """Rows whose key isn't there yet; of several in the batch one."""
+def rewrite(df: DataFrame, path: str, keys: list[str], merge: Callable[[DataFrame | None, DataFrame], DataFrame], batch_id: int | None = None, parts: int = PARTS) -> None:
+    """merge(old rows or None, new rows) takes the place of the parts that the new rows' keys fall into. A batch that has been written whole
+    leaves a mark and is not written again."""
     spark = df.sparkSession
-    if batch_id in _versions(spark, path):
+    mark = f"{path}/_applied/{batch_id}"  # readers pass over names that begin with an underscore
+    if batch_id is not None and _exists(spark, mark):
         return
-    old, new = read_table(spark, path), df.dropDuplicates(keys)
-    both = new if old is None else old.unionByName(new.join(old.select(*keys), keys, "left_anti"))
-    both.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+    new = saved(_parted(df, keys, parts), "batch")  # it is read twice, and a batch may not be computed alike twice
+    hit = [r[0] for r in new.select(PART).distinct().collect()]  # parts at most
+    if not hit:
+        return  # nothing to write, nothing to mark
+    old = _read(spark, path)
+    old = None if old is None else old.where(F.col(PART).isin(hit)).drop(PART)
+    out = saved(_parted(merge(old, new.drop(PART)), keys, parts), "parts")  # the parts are read before they are overwritten
+    out.repartition(len(hit), PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
+    if batch_id is not None:
+        root = spark._jvm.org.apache.hadoop.fs.Path(mark)
+        root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(root).close()
+
+
+def _first(df: DataFrame, keys: list[str], *order) -> DataFrame:
+    """One row for each key; of equal ones by order that of the least hash over all columns."""
+    w = W.partitionBy(*keys).orderBy(*order, F.xxhash64(*df.columns))
+    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def upsert(df: DataFrame, path: str, keys: list[str], order: str, batch_id: int | None = None, parts: int = PARTS) -> None:
+    """The last row by ``order`` wins for each key; of several such rows that of the least hash over all columns."""
+    rewrite(df, path, keys, lambda old, new: _first(new if old is None else old.unionByName(new, allowMissingColumns=True), keys, F.desc(order)), batch_id, parts)
+
+
+def insert_ignore(df: DataFrame, path: str, keys: list[str], batch_id: int | None = None, parts: int = PARTS) -> None:
+    """Rows whose key isn't there yet; of several in the batch that of the least hash over all columns."""
+
+    def merge(old, new):
+        new = _first(new, keys)
+        return new if old is None else old.unionByName(new.join(old.select(*keys), keys, "left_anti"))
+
+    rewrite(df, path, keys, merge, batch_id, parts)
+
+
+def merge_landings(changed: DataFrame, path: str, batch_id: int | None = None, p: Params = DEFAULTS) -> None:
+    """The landing record after these changes (see ``operators.ledger``); of other events nothing."""
+    rewrite(ledger.changes(changed), path, ledger.KEY, lambda old, new: ledger.merged(old, new, p), batch_id)
+
+
+def append_predictions(df: DataFrame, path: str, batch_id: int) -> None:
+    """Predictions (serial, launch_t, predicted_t, path, …) by launch day, a folder per batch in it that is overwritten if the batch runs again, and
+    each flight's latest path: ``predictions`` and ``paths`` under path. Stopped between the two, the batch runs again and both hold it once."""
+    rows = saved(df.withColumn("launch_day", F.to_date(F.timestamp_seconds("launch_t"))).withColumn("batch", F.lit(batch_id)), "predictions")
+    rows.drop("path").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("launch_day", "batch").parquet(f"{path}/predictions")
+    upsert(rows.where("path is not null").select("serial", "launch_t", "predicted_t", "path"), f"{path}/paths", ["serial", "launch_t"], "predicted_t", batch_id)
 
 
 def append(df: DataFrame, path: str, batch_id: int) -> None:
