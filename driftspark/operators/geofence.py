@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftspark.functions import scalars as S
 from driftspark.params import DEFAULTS, Params
 
-#: Circles are broadcast up to this number (a few MB); more are joined by cells.
-BROADCAST_CIRCLES = 20_000
+#: Height in degrees of the cells of level 0 (some 2 km); each level's are twice as high as those of the one before.
+FINEST_DEG = 0.02
 
 
 def capture_roi(subscribers: DataFrame, p: Params = DEFAULTS) -> DataFrame:
@@ -51,30 +53,56 @@ def _circles(subscribers: DataFrame) -> DataFrame:
     return subscribers.where("active").select("id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), "radius_km")
 
 
-def geofence_cells(points: DataFrame, subscribers: DataFrame, deg: float = 1.0) -> DataFrame:
-    """Radius join by cells: a circle lies in all cells of its box, a point in one, and the join is on the cell. Longitudes wrap;
-    circles that reach a pole take the whole ring of cells."""
-    angle = F.col("radius_km") / S.EARTH_KM
-    top, low = F.col("s_lat") + F.degrees(angle), F.col("s_lat") - F.degrees(angle)
-    # how far east a circle reaches: at its widest, which is not at its centre's latitude
-    wide = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(angle) / F.greatest(F.lit(1e-9), F.cos(F.radians("s_lat"))))))
-    n = int(round(360 / deg))
-    polar = (top >= 90) | (low <= -90) | (wide >= 180)
-    cy = F.sequence(F.floor(low / deg), F.floor(top / deg))
-    ring = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-    cx = F.when(polar, ring).otherwise(F.transform(F.sequence(F.floor((F.col("s_lon") - wide + 180) / deg), F.floor((F.col("s_lon") + wide + 180) / deg)), lambda x: F.pmod(x, F.lit(n))))
-    c = _circles(subscribers)
-    c = c.withColumn("cy", F.explode(cy)).withColumn("cx", F.explode(F.array_distinct(cx)))
-    q = points.withColumn("cy", F.floor(F.col("land_lat") / deg)).withColumn("cx", F.pmod(F.floor((F.col("land_lon") + 180) / deg), F.lit(n)))
-    return _match(q.join(c, ["cy", "cx"]).drop("cy", "cx"))
+def _level(radius_km):
+    """The level whose cells are at least as high as a circle is wide."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(2 * F.degrees(radius_km / S.EARTH_KM) / FINEST_DEG))).cast("int")
+
+
+def _columns(row, deg):
+    """Number of cells in a row: as wide as high where the row is nearest to the equator, so rows near the poles have few."""
+    low, high = row * deg - 90, (row + 1) * deg - 90
+    nearest = F.when((low <= 0) & (high >= 0), F.lit(0.0)).otherwise(F.least(F.abs(low), F.abs(high), F.lit(90.0)))
+    return F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(nearest)) / deg)).cast("long")
+
+
+def circle_cells(circles: DataFrame) -> DataFrame:
+    """circles (s_lat, s_lon, radius_km, …) to a row for each cell (level, cy, cx) of the circle's level that it may reach into: some ten at
+    most, whatever its radius and place."""
+    angle = F.least(F.col("radius_km") / S.EARTH_KM * (1 + 1e-9) + 1e-9, F.lit(math.pi))
+    c = circles.withColumn("level", _level(F.col("radius_km"))).withColumn("_deg", FINEST_DEG * F.pow(F.lit(2.0), F.col("level"))).withColumn("_angle", angle)
+    top, low = F.col("s_lat") + F.degrees("_angle"), F.col("s_lat") - F.degrees("_angle")
+    # how far east a circle reaches: at its widest, which is not at its centre's latitude; over a pole, all round
+    wide = F.degrees(F.asin(F.least(F.lit(1.0), F.sin("_angle") / F.greatest(F.lit(1e-12), F.cos(F.radians("s_lat")))))) + 1e-9
+    c = c.withColumn("_wide", F.when((top >= 90) | (low <= -90), F.lit(None)).otherwise(wide))
+    row = lambda lat: F.floor((F.greatest(F.lit(-90.0), F.least(F.lit(90.0), lat)) + 90) / F.col("_deg"))
+    c = c.withColumn("cy", F.explode(F.sequence(row(low), row(top)))).withColumn("_n", _columns(F.col("cy"), F.col("_deg")))
+    at = lambda lon: F.floor((lon + 180) / 360 * F.col("_n"))
+    some = F.array_distinct(F.transform(F.sequence(at(F.col("s_lon") - F.col("_wide")), at(F.col("s_lon") + F.col("_wide"))), lambda x: F.pmod(x, F.col("_n"))))
+    every = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)
+    return c.withColumn("cx", F.explode(F.when(F.col("_wide").isNull() | (F.col("_wide") >= 180), every).otherwise(some))).drop("_deg", "_angle", "_wide", "_n")
+
+
+def point_cells(points: DataFrame, levels: list[int]) -> DataFrame:
+    """points (land_lat, land_lon, …) to a row for each level, with the cell that holds the point there."""
+    q = points.where("land_lat is not null and land_lon is not null").withColumn("level", F.explode(F.array(*(F.lit(k) for k in levels)).cast("array<int>"))).withColumn("_deg", FINEST_DEG * F.pow(F.lit(2.0), F.col("level")))
+    q = q.withColumn("cy", F.floor((F.col("land_lat") + 90) / F.col("_deg"))).withColumn("_n", _columns(F.col("cy"), F.col("_deg")))
+    return q.withColumn("cx", F.pmod(F.floor((F.col("land_lon") + 180) / 360 * F.col("_n")), F.col("_n"))).drop("_deg", "_n")
 
 
 def geofence(points: DataFrame, subscribers: DataFrame) -> DataFrame:
-    """points (land_lat, land_lon, …) by active circles that hold them: id, distance, bearing from the centre, compass."""
-    circles = _circles(subscribers)
-    if circles.limit(BROADCAST_CIRCLES + 1).count() > BROADCAST_CIRCLES:
-        return geofence_cells(points, subscribers)
-    return _match(points.join(F.broadcast(circles)))
+    """points (land_lat, land_lon, …) by active circles that hold them: id, distance, bearing from the centre, compass.
+
+    A join on cells, each circle at the level that fits its radius, and points at every level that is in use; then the exact distance.
+    Nothing depends on the number of circles. Longitudes wrap; circles over a pole take whole rows of cells. Points without a place
+    match nothing; a radius of 0 holds its centre, a negative one nothing.
+    """
+    circles = _circles(subscribers).where("radius_km >= 0 and s_lat is not null and s_lon is not null")
+    levels = [r[0] for r in circles.select(_level(F.col("radius_km")).alias("level")).distinct().orderBy("level").collect()]  # some fifteen at most
+    return _match(point_cells(points, levels).join(circle_cells(circles), ["level", "cy", "cx"]).drop("level", "cy", "cx"))
+
+
+#: The former name of the join by cells, which is the only one now.
+geofence_cells = geofence
 
 
 def landed_audience(landings: DataFrame, subscribers: DataFrame, inbound: DataFrame) -> DataFrame:

@@ -139,3 +139,16 @@ def merge_history(history: DataFrame, live: DataFrame) -> DataFrame:
     last = h.groupBy("serial").agg(F.max("t").alias("last_t"))
     newer = live.join(last, "serial", "left").where("last_t is null or t > last_t").select(*history.columns)
     return h.unionByName(newer)
+
+
+def to_json_rows(rows: DataFrame, keys: list[str], order: str, name: str = "json") -> DataFrame:
+    """(keys, <name>): a flight's rows (profile bins, descent samples, a path) as one JSON array in their order; nulls are written. A flight has
+    some thousand at most."""
+    rest = [order, *(c for c in rows.columns if c not in (*keys, order))]
+    many = F.sort_array(F.collect_list(F.struct(*rest)))
+    return rows.groupBy(*keys).agg(F.to_json(many, {"ignoreNullFields": "false"}).alias(name))
+
+
+def from_json_rows(texts: DataFrame, schema: str, keys: list[str], name: str = "json") -> DataFrame:
+    """The rows again; schema: those of an array's element (``bin_idx long, u double, …``). Texts that are no such array give none."""
+    return texts.select(*keys, F.inline(F.from_json(name, f"array<struct<{', '.join(':'.join(c.split()) for c in schema.split(','))}>>")))

@@ -57,6 +57,14 @@ VIEWS = {
               join (values ('NEW_FLIGHT', 'ASCENT', 0, 1, 0), ('BURST', 'DESCENT', 4050, 1, 0), ('REVERTED', 'ASCENT', 4650, 9, 0), ('BURST', 'DESCENT', 4950, 9, 0), ('LANDED', 'LANDED', 6000, 1, 0),
                            ('REFINED', 'LANDED', 6300, 3, 0.001), ('RESUMED', 'DESCENT', 6600, 4, 0), ('LANDED', 'LANDED', 7500, 8, 0.004)) c (kind, state, after_s, every, shift)
                 on f.k % c.every = 0 and (c.after_s < 6000 or f.final = 'LANDED' and (c.after_s = 6000 or f.last_alt >= 500))) d"""),
+    # every twentieth frame as the stored track of the customers' flights of the same number
+    "track_v": (("frames_v",), """
+        select concat('C', substr(serial, 2)) as serial, cast(t as double) as t, floor(lat * 10000) / 10000 as lat, floor(lon * 10000) / 10000 as lon, cast(floor(alt) as double) as alt from {frames_v} where frame % 20 = 0"""),
+    # six points of each prediction's path, from the last fix to the landing
+    "path_points_v": (("predictions_v", "flights_v"), """
+        select p.serial, p.launch_t, p.predicted_t, i, floor((last_lat + (land_lat - last_lat) * i / 5) * 10000) / 10000 as lat, floor((last_lon + (land_lon - last_lon) * i / 5) * 10000) / 10000 as lon,
+               cast(floor(last_alt * (5 - i) / 5) as double) as alt
+        from {predictions_v} p join {flights_v} f on p.serial = f.serial cross join (values (0), (1), (2), (3), (4), (5)) c (i)"""),
     "subscribers_v": (("supplier",), """
         select s_suppkey as id, cast(40.5 as double) + s_suppkey % 20 as lat, cast(-99.5 as double) + (s_suppkey * 7) % 60 as lon, 20 + abs(s_acctbal) / 100 as radius_km,
                case when s_suppkey % 7 = 0 then '' else concat('topic-', cast(s_suppkey as varchar(20))) end as topic,

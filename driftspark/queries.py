@@ -325,6 +325,60 @@ def map_feature_counts(spark, v):
     return tables.map_features(v("flights_v"), none, v("predictions_v"), v("landings_v"), v("subscribers_v")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def flight_paths(v) -> DataFrame:
+    """The latest path of each flight, points in order."""
+    points = v("path_points_v")
+    point = F.struct("i", F.struct("lat", "lon", "alt").alias("p"))
+    whole = points.groupBy("serial", "launch_t", "predicted_t").agg(F.transform(F.sort_array(F.collect_list(point)), lambda x: x["p"]).alias("path"))
+    return tables.latest_predictions(whole)
+
+
+LATEST_PATH = """select q.serial, q.i, q.lat, q.lon, q.alt from path_points_v q join (select serial, max(predicted_t) as predicted_t from path_points_v group by serial) m on q.serial = m.serial and q.predicted_t = m.predicted_t
+join flights_v f on f.serial = q.serial where f.state <> 'LANDED'"""
+
+
+@query(LATEST_PATH, "path_points_v")
+def active_paths(spark, v):
+    """Latest paths of flights in the air, point by point and in order."""
+    p = tables.latest_paths_active(v("flights_v"), flight_paths(v))
+    return p.select("serial", F.posexplode("path").alias("i", "point")).select("serial", "i", "point.*")
+
+
+@query("""select t.serial, row_number() over (partition by t.serial order by t.t)::integer - 1 as i, t.lat, t.lon, t.alt from track_v t join flights_v f on f.serial = t.serial where f.state <> 'LANDED'""", "track_v", "flights_v")
+def active_tracks(spark, v):
+    """Flown tracks of flights in the air, point by point and in order."""
+    t = tables.tracks_active(v("flights_v"), v("track_v"))
+    return t.select("serial", F.posexplode("points").alias("i", "point")).select("serial", "i", "point.*")
+
+
+SNAP = lambda c: f"floor({c} * 10000) / 10000"
+
+
+@query(f"""{', snapped as (select * replace (' + SNAP('last_lat') + ' as last_lat, ' + SNAP('last_lon') + ' as last_lon, floor(last_alt) as last_alt) from flights_v)'},
+a as (select * from snapped where state <> 'LANDED'),
+lines as (select 'track' as kind, serial, i, lon, lat from (select t.serial, row_number() over (partition by t.serial order by t.t) - 1 as i, t.lon, t.lat from track_v t join a on a.serial = t.serial)
+  union all select 'track', a.serial, n, last_lon, last_lat from a join (select serial, count(*) as n from track_v group by serial) k on k.serial = a.serial
+  union all select 'path', q.serial, q.i, case when q.i = 0 then a.last_lon else q.lon end, case when q.i = 0 then a.last_lat else q.lat end from ({LATEST_PATH}) q join a on a.serial = q.serial)
+select kind, serial, i::integer as i, lon, lat from lines union all select 'flight', serial, 0, last_lon, last_lat from a""", "track_v", "path_points_v")
+def map_geometries(spark, v):
+    """The map's features read back from their JSON: live fixes, tracks that end at them, paths that begin at them, point by point."""
+    snap = lambda c: (F.floor(F.col(c) * 10_000) / 10_000).alias(c)
+    f = v("flights_v")
+    f = f.select(*(snap(c) if c in ("last_lat", "last_lon") else F.floor(c).cast("double").alias(c) if c == "last_alt" else c for c in f.columns))
+    m = tables.map_features(f, v("track_v"), v("predictions_v"), v("landings_v"), v("subscribers_v"), flight_paths(v)).where("kind in ('flight', 'track', 'path')")
+    flat, line = F.from_json("geometry", "type string, coordinates array<double>"), F.from_json("geometry", "type string, coordinates array<array<double>>")
+    points = F.when(F.col("kind") == "flight", F.array(flat["coordinates"])).otherwise(line["coordinates"])
+    return m.select("kind", "serial", F.posexplode(points).alias("i", "c")).select("kind", "serial", "i", F.col("c")[0].alias("lon"), F.col("c")[1].alias("lat"))
+
+
+@query(ORACLES["wind_profile"])
+def profile_json(spark, v):
+    """The wind profile as one JSON text a flight, and back."""
+    bins = profiles.wind_profile(v("frames_v")).select("serial", "bin_idx", "alt", "n", "u", "v", "rho", "t", "lat", "lon")
+    back = tables.from_json_rows(tables.to_json_rows(bins, ["serial"], "bin_idx"), "bin_idx long, alt double, n long, u double, v double, rho double, t double, lat double, lon double", ["serial"])
+    return back.select("serial", "bin_idx", "alt", "n", *(F.round(c, 6).alias(c) for c in ("u", "v", "rho")), F.round("t", 3).alias("t"), F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
+
+
 # -- geofence
 
 
@@ -870,9 +924,29 @@ def inbound_alerts(spark, v):
     return m.groupBy("subscriber_id", "serial").agg(F.count("*").alias("n")).join(first, ["subscriber_id", "serial"])
 
 
-@query()
+SHIFT = 1.3e-7  # places are fractions of cents; shifted, none lies on a half of the last digit that is printed
+
+
+@query(f"""{LIFE}, n as (select t.*, lag(land_lat) over w as py, lag(land_lon) over w as px from told t where alert_type in ('INBOUND', 'UPDATE') window w as (partition by subscriber_id, serial order by sent_t)
+  union all select *, null, null from told where alert_type not in ('INBOUND', 'UPDATE')),
+j as (select n.*, n.land_lat + {SHIFT}::double as y, n.land_lon + {SHIFT}::double as x, f.type, s.units, s.lat as sy, s.lon as sx, p.land_t, p.uncertainty_radius_km as r, p.source, c.alt
+  from n join flights_v f on n.serial = f.serial join subscribers_v s on s.id = n.subscriber_id left join predictions_v p on p.serial = n.serial and p.predicted_t = n.sent_t
+  left join (select serial, t, floor(alt) as alt from changes_v where kind = 'LANDED') c on c.serial = n.serial and c.t = n.sent_t),
+d as (select *, {hav('sy', 'sx', 'y', 'x')} as km, {hav(f'(py + {SHIFT}::double)', f'(px + {SHIFT}::double)', 'y', 'x')} as moved, radians(sy) as p1, radians(y) as p2, radians(x - sx) as d from j),
+k as (select *, case units when 'imperial' then printf('%.1f mi', km * 0.621371::double) else printf('%.1f km', km) end as away, case units when 'imperial' then printf('%.1f mi', r * 0.621371::double) else printf('%.1f km', r) end as within,
+  case units when 'imperial' then printf('%.1f mi', moved * 0.621371::double) else printf('%.1f km', moved) end as far, case units when 'imperial' then printf('%.0f ft', alt * 3.28084::double) else printf('%.0f m', alt) end as high,
+  ['{"', '".join(S.COMPASS)}'][(floor((degrees(atan2(sin(d) * cos(p2), cos(p1) * sin(p2) - sin(p1) * cos(p2) * cos(d))) + 360) / 22.5 + 0.5)::int % 16) + 1] as way, printf('%.5f, %.5f', y, x) as place from d),
+b as (select *, '**' || serial || '** (' || type || ')' as who, ' predicted landing' || chr(10) || place || chr(10) || 'ETA ' || strftime(to_timestamp(land_t), '%H:%M:%S') || ' UTC, ' || away || ' ' || way || ' of you' || chr(10) || 'within ' || within || ', source ' || source as body from k)
+select subscriber_id, serial, launch_t, alert_type, sent_t, type || case alert_type when 'INBOUND' then ' inbound ' || away || ' ' || way when 'UPDATE' then ' update ' || away || ' ' || way when 'LANDED' then ' LANDED ' || away || ' away' else ' still flying' end as title,
+  who || case alert_type when 'INBOUND' then body when 'UPDATE' then body || chr(10) || 'Moved ' || far || ' since the last alert.' when 'LANDED' then ' last heard at ' || place || ', height ' || high || chr(10) || away || ' from you.' else ' has not landed yet.' end as text,
+  case alert_type when 'INBOUND' then 4 when 'LANDED' then 5 else 3 end as priority from b""", "predictions_v", "changes_v", "subscribers_v")
 def alert_texts(spark, v):
-    return alerts.alert_text(all_alerts(v), v("subscribers_v")).select("subscriber_id", "serial", "alert_type", "title", "text", "url")
+    """What each alert says; distances and heights in the subscriber's units."""
+    a, s = lifecycle(v), v("subscribers_v")
+    a = a.withColumns({c: F.col(c) + SHIFT for c in ("land_lat", "land_lon")}).join(s.select(F.col("id").alias("subscriber_id"), "lat", "lon"), "subscriber_id")
+    a = a.withColumn("distance_km", S.haversine_km(F.col("lat"), F.col("lon"), F.col("land_lat"), F.col("land_lon"))).drop("lat", "lon")
+    told = alerts.alert_messages(a, s, v("flights_v"), v("predictions_v"), v("changes_v").withColumn("alt", F.floor("alt").cast("double")))
+    return told.drop("url")
 
 
 @query("""select user_id::varchar as serial, count(*) as n, count(*) filter (gap > 21600 or gap is null) as n_flights from (select user_id, epoch(ts) - lag(epoch(ts)) over (partition by user_id order by ts) as gap from events) group by user_id""")

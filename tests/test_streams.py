@@ -204,3 +204,35 @@ def test_fan_out_stopped_between_its_sinks(spark, tmp_path, monkeypatch):
     p = spark.read.parquet(f"{path}/predictions")
     assert sorted((r.serial, r.predicted_t, str(r.launch_day)) for r in p.collect()) == [("A", 1.0, "1970-01-01"), ("A", 3.0, "1970-01-01"), ("A", 5.0, "1970-01-01"), ("B", 2.0, "1970-01-02"), ("C", 4.0, "1970-01-02")]
     assert sorted((r.serial, r.path[1]) for r in sinks.read_table(spark, f"{path}/paths").collect()) == [("A", 5.0), ("B", 2.0), ("C", 4.0)]
+
+
+def test_circles_of_all_sizes_by_cells(spark):
+    import math
+    import random
+
+    from driftspark.operators import geofence
+
+    rnd = random.Random(6)
+    pts = [(i, math.degrees(math.asin(rnd.uniform(-1, 1))), rnd.uniform(-180, 180)) for i in range(1500)] + [(2000, 90.0, 0.0), (2001, -90.0, 10.0), (2002, 0.0, 180.0), (2003, 0.0, -180.0), (2004, None, 1.0)]
+    near = [(p[1] + rnd.uniform(-0.01, 0.01), p[2] + rnd.uniform(-0.01, 0.01), rnd.uniform(0.5, 5)) for p in pts[:40]]
+    subs = near + [(rnd.uniform(-90, 90), rnd.choice([179.95, -179.95, rnd.uniform(-180, 180)]), math.exp(rnd.uniform(0, 8))) for _ in range(60)] + [(89.9, 5.0, 30.0), (-89.0, 5.0, 200.0), (10.0, 10.0, 15_000.0), (0.0, 0.0, 25_000.0), (pts[0][1], pts[0][2], 0.0), (5.0, 5.0, -1.0)]
+    circles = spark.createDataFrame([(i, *s, "t", "metric", True) for i, s in enumerate(subs)], "id long, lat double, lon double, radius_km double, topic string, units string, active boolean")
+    df = geofence.geofence(spark.createDataFrame(pts, "p long, land_lat double, land_lon double"), circles)
+    want = {(p[0], i) for p in pts if p[1] is not None for i, s in enumerate(subs) if flights.km(s[0], s[1], p[1], p[2]) <= s[2]}
+    got = [(r.p, r.id) for r in df.collect()]
+    assert set(got) == want and len(got) == len(want) and len({i for _, i in want}) > 60
+    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+    cells = geofence.circle_cells(geofence._circles(circles).where("radius_km >= 0")).groupBy("id").count().agg(F.max("count")).first()[0]
+    assert cells <= 24
+
+
+def test_json_round_trip(spark):
+    from driftspark.operators import tables
+
+    rows = [("A", 2, 1.5, None), ("A", 1, -0.1, 2.25e-9), ("B", 7, None, 1e300)]
+    df = spark.createDataFrame(rows, "serial string, i long, u double, rho double")
+    texts = tables.to_json_rows(df, ["serial"], "i")
+    assert {r.serial: r.json for r in texts.collect()}["A"] == '[{"i":1,"u":-0.1,"rho":2.25E-9},{"i":2,"u":1.5,"rho":null}]'
+    assert sorted(map(tuple, tables.from_json_rows(texts, "i long, u double, rho double", ["serial"]).collect())) == sorted(rows)
+    bad = spark.createDataFrame([("C", "nonsense"), ("D", None), ("E", "[]")], "serial string, json string")
+    assert tables.from_json_rows(bad, "i long, u double", ["serial"]).count() == 0
