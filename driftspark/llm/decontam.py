@@ -25,9 +25,10 @@ BROADCAST_WINDOWS = 400_000
 
 # Units that may follow a number.
 UNITS = "kilograms|kilogram|grams|gram|kg|mg|g|kilometers|kilometres|kilometer|km|meters|metres|meter|cm|mm|m|miles|mile|feet|foot|ft|inches|inch|liters|litres|liter|ml|l|hours|hour|h|minutes|minute|min|seconds|second|s|days|day|weeks|week|months|month|years|year|dollars|dollar|euros|euro|cents|cent|percent|degrees|degree"
-NUMBER = r"(?<![\p{L}\p{N}§])\p{N}+(?:[.,:/]\p{N}+)*(?![\p{L}\p{N}])"
-UNIT = rf"(?<=\p{{N}}§ )(?:{UNITS})(?![\p{{L}}\p{{N}}])"
-NAME = r"(?<=[\p{Ll},;] )\p{Lu}\p{L}*(?![\p{L}\p{N}])"
+# What stands before is looked at after the first letter or digit has matched, as few places have one.
+NUMBER = r"\p{N}(?<![\p{L}\p{N}§]\p{N})\p{N}*(?:[.,:/]\p{N}+)*(?![\p{L}\p{N}])"
+UNIT = rf"(\p{{N}}§ )({UNITS})(?![\p{{L}}\p{{N}}])"
+NAME = r"\p{Lu}(?<=[\p{Ll},;] \p{Lu})\p{L}*(?![\p{L}\p{N}])"
 #: A token of a tagged text: §n45§ for a number, §ukm for a unit after it, §pDerby for a name, or a word.
 TOKEN = r"§n[^§]+|§[up]\p{L}+|[\p{L}\p{N}]+"
 
@@ -35,8 +36,8 @@ TOKEN = r"§n[^§]+|§[up]\p{L}+|[\p{L}\p{N}]+"
 def tokens(text):
     """The lower-cased words of a text column, the slots marked by their kind, each with its own value: §n45, §ukm, §pderby. The
     source's own § are taken out first, so that every § is ours."""
-    out = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "§", " "), NAME, "§p$0")
-    out = F.regexp_replace(F.regexp_replace(out, NUMBER, "§n$0§"), UNIT, "§u$0")
+    out = F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("§"), F.lit(" ")), NAME, "§p$0")
+    out = F.regexp_replace(F.regexp_replace(out, NUMBER, "§n$0§"), UNIT, "$1§u$2")
     return F.transform(F.regexp_extract_all(out, F.lit(TOKEN), F.lit(0)), F.lower)
 
 
