@@ -253,3 +253,13 @@ def preburst(flights: DataFrame, bins: DataFrame | None = None, site: DataFrame
     cover = (F.least(F.col("alt"), hi) - F.greatest(F.col("ground"), lo)) / (F.col("alt") - F.col("ground"))
     known = top if wind is not None else top.where((F.size("bins") > 0) & (cover >= p.preburst_min_cover))
     return predict(known, p=p, wind=wind, source=source)
+
+
+def predict_by_state(flights: DataFrame, bins: DataFrame | None = None, site: DataFrame | None = None, prior_b: DataFrame | None = None, members: int = 0, p: Params = DEFAULTS, wind=None, source: str = "measured") -> DataFrame:
+    """flights (origin_id, serial, launch_t, state, type, t, lat, lon, alt, b, residual, n_points, ascent_rate, burst_timer, ground[, bins]), as the fold
+    knows them, to prediction rows with state: falling ones by their fitted constant, rising and floating ones by ``preburst``; landed ones, and
+    falling ones without a constant yet, have none. Rows of unknown state are left out."""
+    down = predict(flights.where("state = 'DESCENT' and b is not null"), members, p, bins, wind, source)
+    up = preburst(flights.where("state in ('ASCENT', 'FLOAT')").drop("b", "residual", "n_points", "burst_alt"), bins, site, prior_b, p, wind, source)
+    rows = down.unionByName(up.select(*down.columns))
+    return rows.join(flights.select("origin_id", "state"), "origin_id")

@@ -524,8 +524,14 @@ def fold_bursts(spark, v):
     return rounded(fold_frames(v("frames_v"), kinds=("BURST",)).select("serial", "burst_t", "burst_alt"))
 
 
-@query()
+@query(f""", o as (select serial, t::double as t, lat, lon, alt, row_number() over (partition by serial order by t) as n from frames_v),
+g as (select serial, n, t, lat, lon, alt, t as kt, lat as klat, lon as klon, alt as kalt, true as kept from o where n = 1
+  union all select serial, n, t, lat, lon, alt, case when kept then t else kt end, case when kept then lat else klat end, case when kept then lon else klon end, case when kept then alt else kalt end, kept
+  from (select o.*, g.kt, g.klat, g.klon, g.kalt, o.t - g.kt >= {DEFAULTS.track_interval_s} or abs(o.alt - g.kalt) >= {DEFAULTS.track_alt_m} or {hav('g.klat', 'g.klon', 'o.lat', 'o.lon')} * 1000 >= {DEFAULTS.track_move_m} as kept
+        from g join o on o.serial = g.serial and o.n = g.n + 1))
+select serial, t, {r6('lat', 'lon', 'alt')} from g where kept""", "frames_v")
 def thinned_track(spark, v):
+    """A recursive query goes from frame to frame with the last one kept."""
     return rounded(fold_frames(v("frames_v"), kinds=("TRACK",)).select("serial", "t", "lat", "lon", "alt"))
 
 
@@ -1043,6 +1049,32 @@ def merged_columns(spark, v):
     return rounded(winds.merge_columns(b, b.withColumn("u", F.col("u") + 1), 6000.0).select("serial", "bin_idx", "u"))
 
 
+@query(f"""{SEGS}{BURSTS}, s as (select serial, floor(alt_mid / 150)::bigint as bin_idx, t_mid as t, u, v, row_number() over (partition by serial, floor(alt_mid / 150) order by t_mid) as n, s.t > coalesce(b.burst_t, 1e18) as down
+  from segs s left join bursts b using (serial) where dt >= 0.5 and speed <= 200 and abs(srate) <= 90),
+g as (select serial, bin_idx, n, u, v from s where n = 1 union all select s.serial, s.bin_idx, s.n, (g.u * w + s.u) / (w + 1), (g.v * w + s.v) / (w + 1)
+  from (select s.*, case when down then least(s.n - 1, {DEFAULTS.refresh_cap}) else s.n - 1 end as w from s) s join g on g.serial = s.serial and g.bin_idx = s.bin_idx and s.n = g.n + 1)
+select serial, bin_idx, max(n) as n, round(arg_max(u, n), 6) as u, round(arg_max(v, n), 6) as v from g group by serial, bin_idx""", "frames_v")
+def refreshed_profile(spark, v):
+    """The profile as a running flight has it: once it falls, a bin's past counts as a few samples only."""
+    rates = rates_of(v)
+    rows = rates.join(kinematics.burst_events(rates).select("serial", "burst_t"), "serial", "left")
+    rows = rows.where((F.col("seg.dt") >= 0.5) & (F.col("seg.speed") <= 200) & (F.abs("seg.vrate") <= 90))
+    samples = rows.select("serial", F.floor(F.col("seg.alt_mid") / 150).alias("bin_idx"), F.col("seg.t_mid").alias("t"), "seg.u", "seg.v", F.lit(None).cast("double").alias("rho"), (F.col("t") > F.coalesce("burst_t", F.lit(1e18))).alias("descending"))
+    return rounded(profiles.refreshed_profile(samples).select("serial", "bin_idx", "n", "u", "v"))
+
+
+@query("""select serial, predicted_t, round(case when k % 5 = 0 then c when k % 7 = 0 then f when alt_at_pred <= 7000 then f when alt_at_pred >= 10000 then c else (10000 - alt_at_pred) / 3000 * f + (1 - (10000 - alt_at_pred) / 3000) * c end, 6) as mu
+from (select *, round(uncertainty_radius_km, 3) as f, round(uncertainty_radius_km, 3) + 2 as c, substr(serial, 2)::bigint as k from predictions_v) where alt_at_pred is not null""", "predictions_v")
+def composite_winds(spark, v):
+    """A fine model below the ramp, a coarse one above; some points have only one of them."""
+    k = F.substring("serial", 2, 20).cast("long")
+    q = v("predictions_v").where("alt_at_pred is not null").withColumn("point_id", F.struct("serial", "predicted_t"))
+    f = F.round("uncertainty_radius_km", 3)
+    fine, coarse = (q.where(keep).select("point_id", u.alias("mu"), F.lit(0.0).alias("mv")) for keep, u in ((k % 5 != 0, f), ((k % 7 != 0) | (k % 5 == 0), f + 2)))
+    out = winds.composite_wind(q.select("point_id", F.col("alt_at_pred").alias("alt")), fine, coarse, 10_000.0, 3000.0)
+    return rounded(out.select("point_id.*", "mu"))
+
+
 @query("select 1800000000.0::double - max(t) as age_s, 1800000000.0::double - max(t) <= 120 as fresh from frames_v", "frames_v")
 def frame_freshness(spark, v):
     return sinks.freshness(v("frames_v"), 1_800_000_000.0)

@@ -236,3 +236,75 @@ def test_json_round_trip(spark):
     assert sorted(map(tuple, tables.from_json_rows(texts, "i long, u double, rho double", ["serial"]).collect())) == sorted(rows)
     bad = spark.createDataFrame([("C", "nonsense"), ("D", None), ("E", "[]")], "serial string, json string")
     assert tables.from_json_rows(bad, "i long, u double", ["serial"]).count() == 0
+
+
+def test_a_log_is_read_once_across_restarts(spark, tmp_path):
+    from driftspark.sources import live
+
+    src, out, cp = tmp_path / "log", str(tmp_path / "out"), str(tmp_path / "cp")
+    src.mkdir()
+    lines = lambda a, b: "".join(f'{{"n": {i}, "é": "{"x" * (i % 50)}"}}\n' for i in range(a, b))
+
+    def go():
+        q = live.log_frames(spark, str(src), piece="512").writeStream.foreachBatch(sinks.into(sinks.append, out)).option("checkpointLocation", cp).start()
+        q.processAllAvailable()
+        q.stop()
+        return spark.read.parquet(out)
+
+    (src / "a.log").write_text(lines(0, 100))
+    (src / "b.log").write_text(lines(100, 150) + '{"n": 150, "half')
+    assert go().count() == 150
+    with (src / "b.log").open("a") as f:
+        f.write('": "line"}\n' + lines(151, 160))
+    (src / "c.log").write_text(lines(160, 200))
+    got = go()
+    assert sorted(json.loads(r.value)["n"] for r in got.collect()) == list(range(200))
+    assert got.select("file", "at").distinct().count() == 200 == go().count()
+
+
+def test_a_stalled_stream_is_stale(spark, tmp_path):
+    import time
+
+    from driftspark.streaming import health
+
+    now = [T0]
+    watch = health.Freshness(limit_s=120, clock=lambda: now[0])
+    spark.streams.addListener(watch)
+    try:
+        rows = flight()[:50]
+        q = health.watched(frames_of(spark, files(tmp_path / "in", rows, 2))).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.processAllAvailable()
+        for _ in range(100):  # the listener is told a little later
+            if watch.frames == 50:
+                break
+            time.sleep(0.1)
+        end = rows[-1][2]
+        assert watch.status(end + 60) == {"frames": 50, "age_s": 60.0, "silent_s": end + 60 - T0, "fresh": end + 60 - T0 <= 120, "failed": None}
+        now[0] = end
+        watch.heard = end
+        assert watch.status(end + 100)["fresh"] and not watch.status(end + 121)["fresh"]
+        q.stop()
+    finally:
+        spark.streams.removeListener(watch)
+    assert not health.Freshness().status(5.0)["fresh"]
+
+
+def test_prediction_by_state(spark):
+    from driftspark.operators import landing
+
+    rows = [r for s in ("UP", "DOWN", "OVER") for r in flight(s, burst=15_000)]
+    top = max(range(len(rows) // 3), key=lambda i: rows[i][5])
+    n = len(rows) // 3
+    known = rows[: top - 100] + rows[n : n + top + 60] + rows[2 * n :]
+    folds = {s: flights.Fold(s) for s in ("UP", "DOWN", "OVER")}
+    for r in known:
+        folds[r[0]].frame(tuple(r[2:]))
+    out = []
+    for s, f in folds.items():
+        row = dict(zip(flights.NAMES, f.row("ORIGIN", f.f.last[0], bins=True)))
+        out.append((s, s, row["launch_t"], row["state"], "RS41", row["t"], row["lat"], row["lon"], row["alt"], row["b"], row["residual"], row["n_points"], row["ascent_rate"], None, 0.0, row["bins"]))
+    kind = "origin_id string, serial string, launch_t double, state string, type string, t double, lat double, lon double, alt double, b double, residual double, n_points long, ascent_rate double, burst_timer double, ground double, "
+    df = spark.createDataFrame(out, kind + flights.ROW[flights.ROW.index("bins array") :])
+    got = {r.serial: r for r in landing.predict_by_state(df).collect()}
+    assert set(got) == {"DOWN"} or set(got) == {"DOWN", "UP"}
+    assert got["DOWN"].state == "DESCENT" and flights.km(got["DOWN"].land_lat, got["DOWN"].land_lon, *rows[2 * n - 1][3:5]) < 3
