@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from driftspark.functions import scalars as S
 from driftspark.operators import alerts, descent, geofence, kinematics, landing, ledger, planning, priors, profiles, rebuild, scoring, tables, terrain, winds
-from driftspark.operators.flights import EVENTS, fold_frames
+from driftspark.operators.flights import EVENTS, ROW, fold_frames
 from driftspark.params import DEFAULTS
 from driftspark.plans import backtest
 from driftspark.plans.views import duckdb, view
@@ -837,10 +837,10 @@ FALLING = """, falling as (select p.* from predictions_v p join (select p.serial
   on p.serial = s.serial and p.predicted_t = s.predicted_t where s.state = 'DESCENT')"""
 
 
-@query(f"{FALLING} select serial, predicted_t, round(land_lat, 11) as land_lat, round(land_lon, 11) as land_lon from falling", "predictions_v", "changes_v")
+@query(f"{FALLING} select serial, predicted_t, source from falling", "predictions_v", "changes_v")
 def falling_predictions(spark, v):
     """Predictions made while their flight was falling."""
-    return rounded(alerts.falling(v("predictions_v"), v("changes_v")).select("serial", "predicted_t", "land_lat", "land_lon"), 11)  # places are fractions of cents: no halves at eleven digits
+    return alerts.falling(v("predictions_v"), v("changes_v")).select("serial", "predicted_t", "source")
 
 
 LEDGER = f""", o as (select serial, launch_t, kind, t, lat, lon, alt, max_alt, detected_by, seen_t from changes_v where kind in ('LANDED', 'RESUMED') qualify row_number() over (partition by serial order by t desc) = 1),
@@ -1093,9 +1093,19 @@ def keyed_insert_ignore(spark, v):
 # -- streams
 
 
-def run_stream(spark, stream: DataFrame, name: str) -> DataFrame:
+def session_with(spark: SparkSession, key: str, value: str) -> SparkSession:
+    """A session with the settings of this one and one more; this one's stay as they are."""
+    own = spark.newSession()
+    for k, x in spark.conf.getAll.items():
+        if own.conf.isModifiable(k) and own.conf.get(k, None) != x:
+            own.conf.set(k, x)
+    own.conf.set(key, value)
+    return own
+
+
+def run_stream(spark, stream: DataFrame, name: str, out: str | None = None) -> DataFrame:
     """Runs a stream over all there is, a folder per micro-batch, and reads what it wrote."""
-    out = scratch.new_folder(spark, name)
+    out = out or scratch.new_folder(spark, name)
     writer = stream.writeStream.foreachBatch(sinks.into(sinks.append, f"{out}/table")).option("checkpointLocation", f"{out}/checkpoint")
     writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/table")
@@ -1121,8 +1131,9 @@ def stream_deduplicated(spark, v):
 @query()
 def stream_flight_events(spark, v):
     """The fold over the event stream, with state per serial."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    e = run_stream(spark, streams.track_stream(event_stream(spark, v)), "tracked")
+    own = session_with(spark, "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    run_stream(own, streams.track_stream(event_stream(own, v)), "tracked", out := scratch.new_folder(spark, "tracked"))
+    e = spark.read.schema(ROW).parquet(f"{out}/table")
     return rounded(e.where("kind not in ('TRACK', 'ORIGIN')").select("serial", "launch_t", "kind", "t", "state", "alt"))
 
 

@@ -11,6 +11,7 @@ def one(spark, *columns):
     return spark.range(1).select(*columns).first()
 
 
+# How these texts must be read.
 @pytest.mark.parametrize("text,want", [
     ("44.2", 44.2), ("22010", 22010.0), (" 1.5 ", 1.5), (None, None), ("", None), ("not-a-number", None), ("-9999", None), ("-9999.0", None), ("-10000", None), ("true", None), ("NaN", None), ("inf", None), ("1.5d", None),
 ])
