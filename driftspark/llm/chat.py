@@ -76,7 +76,7 @@ def format_chats(conversations: DataFrame, train_on: str = "assistant") -> DataF
 
     Turns are ordered by turn, null first, then role and text. Null role or text: empty. Rows repeated stay repeated. A null
     conv_id is one conversation. Other columns are ignored; an empty table gives no rows. A conversation is one output
-    string, so its turns are gathered in one row.
+    string, so its turns are gathered in one row; texts may be of any length as long as a conversation fits in a task.
     """
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     whole = conversations.groupBy(F.col("conv_id").cast("long")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))

@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, similarity_pct: int = 75, bands: int = BAND
     Texts are linked if 100 * |A and B| >= similarity_pct * |A or B| on their full shingle sets. component_id is the
     smallest doc_id that can be reached. Null, empty and blank texts: n_shingles 0, linked with nothing. Rows with a null
     doc_id come back with null component_id and kept false. Rows that share a doc_id count as one document with several
-    texts; each comes back. Other columns are ignored. No rows in, no rows out.
+    texts; each comes back. Texts of any length are read whole, one at a time. Other columns are ignored. No rows in, no rows out.
     """
     sig = save(signatures(docs, bands, rows, k), "signatures")
     copies = sig.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))

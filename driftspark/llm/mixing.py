@@ -58,7 +58,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most: int = MO
 
     Null or blank text: size 0, still drawn at its source's rate. A null source is a source of its own. Sources without
     words take nothing. Repeated rows are separate documents; which of two equal rows gets a copy is not defined, and the
-    rows returned are the same. An empty table gives none. Other columns stay inside ``doc``, so no name clashes.
+    rows returned are the same. Very long texts are
+    documents like others, of their number of words. An empty table gives none. Other columns stay inside ``doc``, so no name clashes.
     """
     sized = docs.select(F.struct("*").alias("doc"), "doc_id", F.col("source").cast("string"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("x"))
     sized = sized.withColumn("h", _hash(F.col("doc_id").cast("string"), 8)).withColumn("class", size_class(F.col("size"))).withColumn("bucket", F.pmod("h", F.lit(buckets)))
