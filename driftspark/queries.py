@@ -583,6 +583,40 @@ def merged_history(spark, v):
     return tables.merge_history(f.where("frame < 100").unionByName(f.where("frame < 50")), f.where("frame >= 80")).groupBy("serial").agg(F.count("*").alias("n"), F.countDistinct("t").alias("n_times"))
 
 
+def corpus_v(spark, v):
+    """The flights as a corpus on disk: some documents without a serial, a place or frames, or broken off, or found at (0, 0)."""
+    f, k = v("frames_v").where("frame % 10 = 0"), F.substring("flight", 2, 20).cast("long")
+    raw = f.select("serial", "type", "frame", F.date_format(F.timestamp_seconds("t"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("datetime"),
+                   F.when(F.col("frame") % 70 == 0, F.lit("95")).otherwise(F.col("lat").cast("string")).alias("lat"), "lon", "alt", "temp")
+    raw = raw.withColumn("frame", F.explode(F.when(F.col("frame") % 40 == 0, F.array(F.col("frame"), F.col("frame") + 1)).otherwise(F.array("frame"))))
+    n = F.substring("serial", 2, 20).cast("long")
+    found = v("frames_v").select("serial").distinct().where(n % 3 != 0).select("serial", F.when(n % 5 == 0, 0.0).otherwise(n + 0.5).alias("lat"), F.when(n % 5 == 0, 0.0).otherwise(-n - 0.25).alias("lon"))
+    docs = telemetry.corpus_documents(found, raw)
+    docs = docs.withColumn("value", F.when(k % 2 == 0, F.regexp_replace("value", '"recovery":\\{"serial":"[^"]*",', '"recovery":{')).otherwise(F.col("value")))
+    docs = docs.withColumn("value", F.when(k % 17 == 0, F.lit('{"frames":[]}')).when(k % 19 == 0, F.expr("left(value, length(value) div 2)")).otherwise(F.col("value")))
+    path = scratch.new_folder(spark, "corpus")
+    telemetry.write_corpus(docs, path)
+    return telemetry.read_corpus(spark, path)
+
+
+CORPUS = """, kept as (select *, cast(substr(serial, 2) as bigint) as k from frames_v where frame % 10 = 0), docs as (select * from kept where k % 17 <> 0 and k % 19 <> 0)"""
+
+
+@query(f"""{CORPUS} select serial as corpus_serial, case when k % 3 <> 0 and k % 5 <> 0 then k + 0.5::double end as truth_lat, case when k % 3 <> 0 and k % 5 <> 0 then -k - 0.25::double end as truth_lon,
+count(*) + count(*) filter (frame % 40 = 0) as n, max(type) as type from docs group by serial, k""", "frames_v")
+def corpus_scan(spark, v):
+    """Documents on disk to flights with their true landing place; broken and empty documents are left out."""
+    return corpus_v(spark, v).groupBy("corpus_serial", "truth_lat", "truth_lon").agg(F.count("*").alias("n"), F.max("type").alias("type"))
+
+
+@query(f"""{CORPUS} select serial, row_number() over (partition by serial order by t)::integer - 1 as i, frame, t::double as t, round(lat, 6) as lat, round(temp, 6) as temp from docs where frame % 70 <> 0""", "frames_v")
+def corpus_flights(spark, v):
+    """The corpus made slim and read again: each flight's good frames in order, one for each time."""
+    path = scratch.new_folder(spark, "slim")
+    telemetry.write_slim(corpus_v(spark, v), path)
+    return rounded(telemetry.corpus_frames(spark.read.parquet(path)).select("serial", "i", "frame", "t", "lat", "temp"))
+
+
 # -- grids and planning
 
 

@@ -44,13 +44,29 @@ def typed_reason():
     return reason.when(~F.col("lat").between(-90, 90), F.lit("latitude")).when(F.col("dt").isNull(), F.lit("datetime"))
 
 
+def corpus_documents(recoveries: DataFrame, raw: DataFrame) -> DataFrame:
+    """recoveries (serial, lat, lon) and raw frames (serial, other wire fields, as strings) to (flight, value): a document of JSON for
+    each serial that has frames, which are in the order of their datetime; without a recovery only the frames."""
+    fields = [F.col(c).cast("string").alias(c) for c in FIELDS if c in raw.columns]
+    frames = raw.groupBy("serial").agg(F.sort_array(F.collect_list(F.struct(F.col("datetime").alias("at"), F.struct(*fields).alias("f")))).alias("frames"))
+    truth = recoveries.dropDuplicates(["serial"]).select("serial", F.struct("serial", *(F.col(c).cast("string").alias(c) for c in ("lat", "lon"))).alias("recovery"))
+    out = frames.join(truth, "serial", "left")
+    return out.select(F.col("serial").alias("flight"), F.to_json(F.struct("recovery", F.transform("frames", lambda x: x["f"]).alias("frames"))).alias("value"))
+
+
+def write_corpus(documents: DataFrame, path: str) -> None:
+    """(flight, value) to a folder and file for each flight, all by the tasks that hold the documents."""
+    documents.repartition("flight").write.partitionBy("flight").text(path)
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """A directory of one-flight documents {recovery, frames} to (serial, truth_lat, truth_lon, raw frame fields …), a row per frame.
-    Unreadable and empty documents are left out; the file's name stands in for a missing serial; (0, 0) is no truth."""
-    doc = T.StructType([T.StructField("recovery", RAW), T.StructField("frames", T.ArrayType(RAW))])
+    """A directory of one-flight documents {recovery, frames} to (corpus_serial, truth_lat, truth_lon, raw frame fields …), a row per
+    frame. Unreadable and empty documents are left out; the folder's flight, where ``write_corpus`` made it, else the file's name
+    stands in for a missing serial; (0, 0) is no truth."""
+    doc = T.StructType([T.StructField("recovery", RAW), T.StructField("frames", T.ArrayType(RAW)), T.StructField("flight", T.StringType())])
     raw = spark.read.schema(doc).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     raw = raw.withColumn("stem", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.json)?$", 1)).where(F.size("frames") > 0)
-    serial = F.coalesce(S.clean_str(F.col("recovery.serial")), F.col("stem"))
+    serial = F.coalesce(S.clean_str(F.col("recovery.serial")), "flight", "stem")
     lat, lon = S.to_double(F.col("recovery.lat")), S.to_double(F.col("recovery.lon"))
     true = lat.isNotNull() & lon.isNotNull() & ~((lat == 0) & (lon == 0))
     rows = raw.select(serial.alias("corpus_serial"), F.when(true, lat).alias("truth_lat"), F.when(true, lon).alias("truth_lon"), F.explode("frames").alias("f"))
@@ -58,9 +74,10 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def corpus_frames(corpus: DataFrame) -> DataFrame:
-    """Typed frames of a corpus, bad ones dropped, one per flight and time."""
+    """Typed frames of a corpus with ``i``, their place in the flight by time; bad ones dropped, one per flight and time."""
     t = typed(corpus.withColumn("serial", F.col("corpus_serial"))).where("reject_reason is null").drop("reject_reason")
-    return t.withColumn("rn", F.row_number().over(W.partitionBy("serial", "t").orderBy(F.col("frame").asc_nulls_last()))).where("rn = 1").drop("rn")
+    w = W.partitionBy("serial").orderBy("t", F.col("frame").asc_nulls_last())
+    return t.withColumn("before", F.lag("t").over(w)).where("before is null or before <> t").drop("before").withColumn("i", F.row_number().over(w) - 1)
 
 
 def build_corpus(reports: DataFrame, frames: DataFrame, existing: DataFrame, recovered_only: bool = False, limit: int | None = None) -> DataFrame:
@@ -78,6 +95,16 @@ def slim(corpus: DataFrame) -> DataFrame:
     return corpus.select("corpus_serial", "truth_lat", "truth_lon", *(c for c in FIELDS if c in corpus.columns))
 
 
+def write_slim(corpus: DataFrame, path: str) -> None:
+    """The slim corpus as Parquet. A flight's rows lie together in one file, so a reader of one flight skips the other row groups."""
+    slim(corpus).repartition("corpus_serial").sortWithinPartitions("corpus_serial", "datetime").write.parquet(path)
+
+
+def read_flight(spark: SparkSession, path: str, serial: str) -> DataFrame:
+    """One flight's typed frames, by time, from a corpus that ``write_slim`` wrote. The filter reaches the Parquet scan."""
+    return corpus_frames(spark.read.parquet(path).where(F.col("corpus_serial") == serial)).orderBy("i")
+
+
 def stream_frames(spark: SparkSession, path: str, max_files: int = 100, format: str = "text", **options) -> DataFrame:
     """A stream of raw frames: one JSON text a line in files that arrive in ``path``, or any other format with a value column
     (``format="kafka"`` with its options)."""

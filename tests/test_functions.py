@@ -72,3 +72,22 @@ def test_frames_and_rejects(spark, tmp_path):
     c = telemetry.read_corpus(spark, str(tmp_path))
     assert {(r.corpus_serial, r.truth_lat) for r in c.collect()} == {("S9", None)}
     assert telemetry.corpus_frames(telemetry.slim(c)).count() == 1
+
+
+def test_corpus_round_trip(spark, tmp_path):
+    """Documents written by tasks and read back; one flight from the slim table, in order, with the filter in the scan."""
+    raw = spark.createDataFrame(
+        [("007", f"2026-06-07T00:0{m}:00Z", str(m), "45", "9", "100", "RS41") for m in (3, 1, 2, 1)] + [("B", "soon", "1", "45", "9", "100", None), ("B", "2026-06-07T00:00:00Z", "2", "95", "9", "1", None)],
+        "serial string, datetime string, frame string, lat string, lon string, alt string, type string",
+    )
+    found = spark.createDataFrame([("007", 45.5, 9.5), ("C", 1.0, 1.0)], "serial string, lat double, lon double")
+    docs = telemetry.corpus_documents(found, raw)
+    assert {r.flight for r in docs.collect()} == {"007", "B"}
+    telemetry.write_corpus(docs, str(tmp_path / "docs"))
+    c = telemetry.read_corpus(spark, str(tmp_path / "docs"))
+    assert {(r.corpus_serial, r.truth_lat, r.truth_lon) for r in c.collect()} == {("007", 45.5, 9.5), ("B", None, None)}
+    telemetry.write_slim(c, str(tmp_path / "slim"))
+    one = telemetry.read_flight(spark, str(tmp_path / "slim"), "007")
+    assert [(r.i, r.frame) for r in one.collect()] == [(0, 1), (1, 2), (2, 3)]
+    assert "EqualTo(corpus_serial,007)" in one._jdf.queryExecution().toString()
+    assert telemetry.read_flight(spark, str(tmp_path / "slim"), "B").count() == 0
