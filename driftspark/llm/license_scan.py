@@ -5,7 +5,8 @@ kept, and the gaps between are aligned in the same way. What part of the templat
 
 A telling word at place j of the template that stands at place i of the text says that a copy may begin at i - j. Around each
 such beginning a stretch is cut that has a third of the template's length to spare on both sides, so that of copies one after
-another each has a stretch in which at least its middle occurs only once. A text is read once, whole, and costs what its hits cost.
+another each has a stretch in which at least its middle occurs only once; a copy whose words are at their very places is also cut
+alone. A text is read once, whole, and costs what its hits cost.
 """
 
 from __future__ import annotations
@@ -94,6 +95,7 @@ class Template:
         self.coverage = coverage
         self.missing = len(self.words) - math.ceil(coverage * len(self.words) - 1e-9)
         self.step, self.spare = max(1, len(self.words) // 6), len(self.words) // 3
+        self.span = len(self.words) + 2 * self.spare
         self.places: dict[str, list[int]] = {}
         telling = set(self.words) - COMMON or set(self.words)
         for j, w in enumerate(self.words):
@@ -105,20 +107,35 @@ class Template:
         out: each that is absent is a missing word at least, so it can't reach the coverage."""
         own = [i for i in hits if words[i] in self.places]
         out, least = [], max(1, len(self.places) - self.missing)
-        for begin in sorted({(i - j) // self.step * self.step for i in own for j in self.places[words[i]]}):
+        begins = Counter(i - j for i in own for j in self.places[words[i]])
+        # where so many words stand at their very places the copy is also cut without its neighbours
+        sure = sum(map(len, self.places.values())) - self.missing
+        out += [(max(0, b), min(len(words), b + len(self.words))) for b, n in begins.items() if n >= sure]
+        for begin in sorted({b // self.step * self.step for b in begins}):
             lo, hi = max(0, begin - self.spare), min(len(words), begin + self.step + len(self.words) + self.spare)
             if len({words[i] for i in own[bisect_left(own, lo) : bisect_left(own, hi)]}) >= least:
                 out.append((lo, hi))
         return out
 
+    def within(self, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The most pairs, the first of such, that lie within ``span`` words of the text: no copy takes its head from one place and its tail from the next copy."""
+        lo, cut = 0, (0, 0)
+        for hi in range(len(pairs)):
+            while pairs[hi][0] - pairs[lo][0] >= self.span:
+                lo += 1
+            if hi + 1 - lo > cut[1] - cut[0]:
+                cut = lo, hi + 1
+        return pairs[slice(*cut)]
+
     def find(self, words: list[str], hits: list[int]) -> list[tuple[float, int, int]]:
-        """(coverage, first, last place) of the copies. Of finds that share more than half of the shorter one, the best is kept."""
+        """(coverage, first, last place) of the copies, each within ``span`` words. Of finds that share more than half of the shorter
+        one, the best is kept: the one with the largest part of its own and the template's words aligned."""
         best, kept = set(), []
         for lo, hi in self.stretches(words, hits):
-            pairs = patience(words[lo:hi], self.words)
+            pairs = self.within(patience(words[lo:hi], self.words))
             if len(pairs) >= len(self.words) - self.missing:
                 best.add((len(pairs) / len(self.words), lo + pairs[0][0], lo + pairs[-1][0]))
-        for c, i, j in sorted(best, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+        for c, i, j in sorted(best, key=lambda x: (-x[0] / (x[2] - x[1] + 1 + len(self.words)), -x[0], x[1])):
             if all(2 * (min(j, j2) - max(i, i2) + 1) <= min(j - i, j2 - i2) + 1 for _, i2, j2 in kept):
                 kept.append((c, i, j))
         return kept
@@ -142,7 +159,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
     the text, from 0).
 
     Null and empty texts have none. A repeated row gives its rows again. A license that occurs several times is found each
-    time, also in copies one after another; different licenses may overlap. Very long texts are read whole. Other columns are ignored; an empty table gives no rows. No shuffle.
+    time, also in copies one after another; a copy's words lie within five thirds of the template's length. Different licenses may overlap. Very long texts are read whole. Other columns are ignored; an empty table gives no rows. No shuffle.
     """
     scanner = Scanner(templates or TEMPLATES, coverage)
 
