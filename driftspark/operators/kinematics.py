@@ -86,10 +86,23 @@ def ascent_rate(rates: DataFrame, bursts: DataFrame, key=KEY) -> DataFrame:
     return rising.groupBy(*key).agg(F.when(F.count("*") >= 5, S.upper_median(F.col("vrate"))).alias("ascent_rate"))
 
 
-def assign_flights(frames: DataFrame, gap_s: float = 21_600.0) -> DataFrame:
-    """Adds launch_day: flights of one serial are parted by long silence; the day is that of a flight's first frame."""
+def assign_flights(frames: DataFrame, gap_s: float = 21_600.0, landings: DataFrame | None = None, p: Params = DEFAULTS) -> DataFrame:
+    """Adds flight (from 1) and launch_day, the day of the flight's first frame. Flights of one serial are parted by long silence; with
+    landings (serial, landed_t, land_alt) also where the serial, once landed, stays well above where it landed for some frames in a
+    row: the last of these begins the new flight. All by windows over one shuffle by serial."""
     w = W.partitionBy("serial").orderBy("t")
-    new = F.coalesce(F.col("t") - F.lag("t").over(w) > gap_s, F.lit(True)).cast("int")
-    out = frames.withColumn("flight", F.sum(new).over(w)) if "new" not in frames.columns else frames
+    out = frames.withColumn("new", F.coalesce(F.col("t") - F.lag("t").over(w) > gap_s, F.lit(True)))
+    if landings is not None:
+        marks = landings.where("landed_t is not null").select("serial", F.col("landed_t").cast("double").alias("t"), F.col("land_alt").alias("anchor"), F.lit(1).alias("mark"))
+        both = out.withColumn("t", F.col("t").cast("double")).unionByName(marks, allowMissingColumns=True).withColumn("mark", F.coalesce("mark", F.lit(0)))
+        # a phase begins with a landing or a new flight; only one that begins with a landing has an anchor
+        both = both.withColumn("phase", F.sum(((F.col("mark") == 1) | F.col("new")).cast("int")).over(W.partitionBy("serial").orderBy("t", "mark").rowsBetween(W.unboundedPreceding, 0)))
+        phase = W.partitionBy("serial", "phase").orderBy("t", F.desc("mark"))
+        both = both.withColumn("anchor", F.first("anchor").over(phase.rowsBetween(W.unboundedPreceding, 0))).where("mark = 0")
+        high = F.coalesce(F.col("alt") > F.col("anchor") + p.reascent_m, F.lit(False)).cast("int")
+        both = both.withColumn("run", F.sum(high).over(phase.rowsBetween(1 - p.sustained_frames, 0)) == p.sustained_frames)
+        first = F.col("run") & (F.sum(F.col("run").cast("int")).over(phase.rowsBetween(W.unboundedPreceding, 0)) == 1)
+        out = both.withColumn("new", F.col("new") | first).select(*frames.columns, "new")
+    out = out.withColumn("flight", F.sum(F.col("new").cast("int")).over(w)).drop("new")
     first = F.min("t").over(W.partitionBy("serial", "flight"))
     return out.withColumn("launch_day", F.date_from_unix_date(F.floor(first / 86_400).cast("int")))

@@ -90,6 +90,7 @@ def retract_landing(landings: DataFrame, alerts: DataFrame, retracted: DataFrame
 
 
 def delete_flights(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[str, DataFrame]:
+    """Every table without the rows of the doomed serials; rows without a serial stay."""
     return {name: df.join(doomed.select("serial"), "serial", "left_anti") for name, df in tables.items()}
 
 

@@ -307,6 +307,27 @@ def landings_after_retraction(spark, v):
     return tables.retract_landing(land, none, land.where("detected_by = 'timeout'"))[0].select("serial", "detected_by")
 
 
+@query(f"""{INBOUND}, gone as (select serial from landings_v where detected_by = 'timeout'), told as (select serial, sent_t, 'INBOUND' as alert_type from inbound union all select serial, landed_t, 'LANDED' from landings_v)
+select serial, alert_type, count(*) as n from told where alert_type <> 'LANDED' or serial not in (select serial from gone) group by all""", "predictions_v", "subscribers_v", "landings_v")
+def alerts_after_retraction(spark, v):
+    """LANDED alerts of the landings that are retracted go with them; INBOUND ones stay."""
+    land = v("landings_v")
+    told = inbound_of(v).select("serial", "sent_t", F.lit("INBOUND").alias("alert_type")).unionByName(land.select("serial", F.col("landed_t").alias("sent_t"), F.lit("LANDED").alias("alert_type")))
+    return tables.retract_landing(land, told, land.where("detected_by = 'timeout'"))[1].groupBy("serial", "alert_type").agg(F.count("*").alias("n"))
+
+
+KEPT = " union all ".join(f"select '{t}' as name, serial, count(*) as n from {t}_v where serial not in (select serial from flights_v where type = 'M20') group by serial" for t in ("flights", "predictions", "landings", "track"))
+
+
+@query(f"{KEPT}", "flights_v", "predictions_v", "landings_v", "track_v")
+def flights_deleted(spark, v):
+    """What four tables still hold after one type's flights are deleted."""
+    names = ("flights", "predictions", "landings", "track")
+    left = tables.delete_flights({n: v(f"{n}_v") for n in names}, v("flights_v").where("type = 'M20'"))
+    each = [left[n].groupBy("serial").agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "serial", "n") for n in names]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+
+
 @query(f"{INBOUND} select (select count(*) from flights_v where state <> 'LANDED') as active_flights, 1800000000.0::double - (select max(last_seen_t) from flights_v) as last_frame_age_s, (select count(*) from subscribers_v where active) as subscribers, (select count(*) from inbound) as alerts", "predictions_v", "subscribers_v")
 def service_stats(spark, v):
     return tables.stats(v("flights_v"), v("subscribers_v"), inbound_of(v), 1_800_000_000.0)
@@ -996,6 +1017,23 @@ def flights_by_gap(spark, v):
     return kinematics.assign_flights(e).groupBy("serial").agg(F.count("*").alias("n"), F.countDistinct("flight").alias("n_flights"))
 
 
+PAIRS = """, two as (select 'P' || (k // 2) as serial, k % 2 as leg, 1704067200.0::double + k % 2 * 20000 + frame * 10 as t, alt from (select *, cast(substr(serial, 2) as bigint) as k from frames_v)),
+down as (select serial, max(t) as landed_t, arg_max(alt, t) as land_alt from two where leg = 0 group by serial)"""
+
+
+@query(f"""{PAIRS}, h as (select two.*, coalesce(t > landed_t and alt > land_alt + {DEFAULTS.reascent_m}, false) as high from two left join down using (serial)),
+r as (select *, sum(high::int) over (partition by serial order by t rows between {DEFAULTS.sustained_frames - 1} preceding and current row) = {DEFAULTS.sustained_frames} as run from h),
+g as (select serial, t, coalesce(t >= min(t) filter (run) over (partition by serial), false)::int + 1 as flight from r)
+select serial, flight::bigint as flight, count(*) as n, min(t) as first_t, max(t) as last_t, cast(make_timestamp((min(t) * 1000000)::bigint) as date) as launch_day from g group by serial, flight""", "frames_v")
+def flights_by_reascent(spark, v):
+    """Two flights of one serial an hour or more apart: the second begins once it has stayed well above where the first landed."""
+    k = F.substring("serial", 2, 20).cast("long")
+    two = v("frames_v").select(F.concat(F.lit("P"), F.floor(k / 2)).alias("serial"), (k % 2).alias("leg"), (F.lit(1704067200.0) + k % 2 * 20000 + F.col("frame") * 10).alias("t"), "alt")
+    down = two.where("leg = 0").groupBy("serial").agg(F.max("t").alias("landed_t"), F.max_by("alt", "t").alias("land_alt"))
+    parted = kinematics.assign_flights(two, landings=down)
+    return parted.groupBy("serial", "flight", "launch_day").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+
+
 # -- scalar functions over whole tables
 
 BEARING = "degrees(atan2(sin(d) * cos(p2), cos(p1) * sin(p2) - sin(p1) * cos(p2) * cos(d)))"

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftspark.functions import scalars as S
+from driftspark.operators import kinematics
 from driftspark.sources import grids, telemetry
 
 
@@ -91,3 +92,15 @@ def test_corpus_round_trip(spark, tmp_path):
     assert [(r.i, r.frame) for r in one.collect()] == [(0, 1), (1, 2), (2, 3)]
     assert "EqualTo(corpus_serial,007)" in one._jdf.queryExecution().toString()
     assert telemetry.read_flight(spark, str(tmp_path / "slim"), "B").count() == 0
+
+
+def test_flights_of_one_serial_by_silence_and_reascent(spark):
+    up = lambda t0, alts: [("A", float(t0 + 10 * i), float(a)) for i, a in enumerate(alts)]
+    rows = up(0, [200, 900, 500, 100]) + up(1000, [700, 100, 700, 700, 700, 900]) + up(5000, [100, 50]) + up(40_000, [900, 900, 900, 900]) + [("B", 1.0, 5000.0), ("B", 2.0, 5000.0), ("B", 3.0, 5000.0)]
+    frames = spark.createDataFrame(rows, "serial string, t double, alt double")
+    down = spark.createDataFrame([("A", 30.0, 100.0), ("A", 5010.0, 50.0), ("C", 1.0, 1.0), ("A", None, 0.0)], "serial string, landed_t double, land_alt double")
+    got = {(r.serial, r.t): r.flight for r in kinematics.assign_flights(frames, landings=down).collect()}
+    # the second flight begins with the third frame in a row above; silence ends what is landed, so what follows isn't a re-ascent of it
+    assert [got["A", t] for t in (30.0, 1000.0, 1030.0, 1040.0, 1050.0, 5010.0, 40_000.0, 40_030.0)] == [1, 1, 1, 2, 2, 2, 3, 3]
+    assert {got["B", t] for t in (1.0, 2.0, 3.0)} == {1} and len(got) == len(rows)
+    assert {r.flight for r in kinematics.assign_flights(frames).where("serial = 'A'").collect()} == {1, 2}
