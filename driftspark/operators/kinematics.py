@@ -91,12 +91,16 @@ def assign_flights(frames: DataFrame, gap_s: float = 21_600.0, landings: DataFra
     landings (serial, landed_t, land_alt) also where the serial, once landed, stays well above where it landed for some frames in a
     row: the last of these begins the new flight. All by windows over one shuffle by serial."""
     w = W.partitionBy("serial").orderBy("t")
-    out = frames.withColumn("new", F.coalesce(F.col("t") - F.lag("t").over(w) > gap_s, F.lit(True)))
-    if landings is not None:
+    if landings is None:
+        out = frames.withColumn("new", F.coalesce(F.col("t") - F.lag("t").over(w) > gap_s, F.lit(True)))
+    else:
         marks = landings.where("landed_t is not null").select("serial", F.col("landed_t").cast("double").alias("t"), F.col("land_alt").alias("anchor"), F.lit(1).alias("mark"))
-        both = out.withColumn("t", F.col("t").cast("double")).unionByName(marks, allowMissingColumns=True).withColumn("mark", F.coalesce("mark", F.lit(0)))
+        both = frames.withColumn("t", F.col("t").cast("double")).unionByName(marks, allowMissingColumns=True).withColumn("mark", F.coalesce("mark", F.lit(0)))
+        order = W.partitionBy("serial").orderBy("t", "mark")
+        before = F.last(F.when(F.col("mark") == 0, F.col("t")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+        both = both.withColumn("new", (F.col("mark") == 0) & F.coalesce(F.col("t") - before > gap_s, F.lit(True)))
         # a phase begins with a landing or a new flight; only one that begins with a landing has an anchor
-        both = both.withColumn("phase", F.sum(((F.col("mark") == 1) | F.col("new")).cast("int")).over(W.partitionBy("serial").orderBy("t", "mark").rowsBetween(W.unboundedPreceding, 0)))
+        both = both.withColumn("phase", F.sum(((F.col("mark") == 1) | F.col("new")).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
         phase = W.partitionBy("serial", "phase").orderBy("t", F.desc("mark"))
         both = both.withColumn("anchor", F.first("anchor").over(phase.rowsBetween(W.unboundedPreceding, 0))).where("mark = 0")
         high = F.coalesce(F.col("alt") > F.col("anchor") + p.reascent_m, F.lit(False)).cast("int")
