@@ -61,7 +61,10 @@ def as_items(urls: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> tuple[DataFrame, DataFrame]:
-    """(url, blocked boolean) to the items and the rules (rarest item, antecedent array<string>, confidence, support). No rows, no rules."""
+    """(url, blocked boolean) to the items and the rules (rarest item, antecedent array<string>, confidence, support). No rows, no rules.
+
+    What FP-growth lists is every frequent set of the items left, so k items that most URLs have, but not always together, and that
+    say nothing alone give up to 2 ** k sets. No set is dropped to escape that; a larger ``min_support`` is the way to fewer."""
     labelled = labelled.where("url is not null")
     items, n = items_of(labelled, min_support)
     items = save(items, "url-items")
