@@ -5,6 +5,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,3 +265,24 @@ def test_six_modes_and_wind_by_place(spark):
     by_place = lambda r: r.withColumn("u", (r.lat - 45) * 0 + 1).withColumn("v", (r.at - r.t) * 0)
     east = landing.land(o, wind=by_place).collect()
     assert east and all(abs(r.land_lat - r.lat) < 1e-9 and abs((r.land_lon - r.lon) - r.sim_s * landing.DEG / math.cos(math.radians(r.lat))) < 1e-9 for r in east)
+
+
+def test_fold_by_column():
+    """Rows as Arrow equal those as pandas, also none at all; density is looked up from the altitude on, as interpolation over all bins gave it."""
+    f = flights.Fold("S")
+    frames = [(1000.0 + 10 * i, 45 + i / 900, 7.0, 50.0 * i if i <= 300 else 15_000 - 60.0 * (i - 300), *((1013.25 * math.exp(-50 * i / 7600), 5.0) if i < 200 and i % 7 else (None, None))) for i in range(420)]
+    rows, _ = flights.run_through(f, ((x, 0.0, True) for x in frames))
+    a, b = flights.as_table(rows).to_pylist(), flights.as_rows(rows)
+    assert [r["kind"] for r in a] == list(b["kind"]) and [r["bins"] for r in a] == list(b["bins"]) and {"BURST", "ORIGIN", "TRACK"} <= set(b["kind"])
+    assert flights.as_table([]).num_rows == 0 and len(flights.as_rows([])) == 0 and flights.as_rows([])["bins"].dtype == object
+    known = sorted(((i + 0.5) * 150, c[2]) for i, c in f.f.bins.items() if c[2])
+    for alt in range(-500, 20_000, 37):
+        if known[0][0] < alt < known[-1][0]:
+            want = math.exp(np.interp(alt, [k[0] for k in known], np.log([k[1] for k in known])))
+        else:
+            at, r = known[0] if alt <= known[0][0] else known[-1]
+            want = flights.std_rho(alt) * r / flights.std_rho(at)
+        assert abs(f.density(alt) / want - 1) < 1e-12
+    for n in (1, 2, 5, 8):
+        x = np.array([3.0, 1.0, 9.0, 4.0, 4.0, 0.5, 7.0, 2.0])[:n]
+        assert flights.median(x) == np.median(x)
