@@ -50,11 +50,11 @@ def rebuilt_frames(history: DataFrame, live: DataFrame) -> DataFrame:
     return tables.merge_history(history.join(useful, "serial", "left_semi"), live.join(useful, "serial", "left_semi"))
 
 
-def rebuild(events: DataFrame, history: DataFrame, live: DataFrame, p: Params = DEFAULTS, until: float | None = None, held: DataFrame | None = None) -> DataFrame:
+def rebuild(events: DataFrame, history: DataFrame, live: DataFrame, p: Params = DEFAULTS, until: float | None = None, held: DataFrame | None = None, kinds=None) -> DataFrame:
     """The events with those of rebuilt serials replaced: their flights are forgotten and the fold runs anew over history and live frames. All
-    others stay as they are. Serials in ``held`` are not closed for silence after their last frame."""
+    others stay as they are. Serials in ``held`` are not closed for silence after their last frame. kinds: the kinds of events, if not all."""
     frames = rebuilt_frames(history, live)
-    new = fold_frames(frames, p, until, held=held)
+    new = fold_frames(frames, p, until, kinds, held)
     return events.join(frames.select("serial").distinct(), "serial", "left_anti").unionByName(new.select(*events.columns))
 
 
