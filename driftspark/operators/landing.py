@@ -1,7 +1,8 @@
 """Landing estimates as layered drift sums: altitude layers, wind and dwell time in each, running sums down (or up) the column.
 
-An origin's measured column is one array in its row (some hundred bins at most), its layers another. Values at altitudes and
-the sums over layers are array functions, so an estimate moves no rows between tasks.
+An origin's measured column is one array in its row (some hundred bins at most). Values at altitudes and the sums over layers are
+worked out for the rows of an Arrow batch together (see ``drift``), so an estimate moves no rows between tasks. Where a model's wind or
+terrain is joined to the layers, layers and legs are arrays in the row too, as array functions.
 """
 
 from __future__ import annotations
@@ -9,13 +10,17 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftspark.functions import scalars as S
+from driftspark.operators import drift
+from driftspark.operators.drift import DEG
 from driftspark.params import DEFAULTS, Params
 
-DEG = 180.0 / math.pi / (S.EARTH_KM * 1000)  # degrees of latitude a metre
 BIN = "struct<bin_idx:bigint,u:double,v:double,rho:double>"
 LEG = "array<struct<k:bigint,lo:double,hi:double,lat:double,off:double,s:double,to_lat:double,to_off:double,to_s:double>>"
 
@@ -37,6 +42,38 @@ def with_column(origins: DataFrame, bins: DataFrame | None, keep: list) -> DataF
     return own.withColumn("bins", F.coalesce("bins", F.array().cast(f"array<{BIN}>")))
 
 
+LISTS = ("bin_idx", "u", "v", "rho")
+
+
+def with_lists(origins: DataFrame, bins: DataFrame | None, keep: list) -> DataFrame:
+    """origin_id, the kept columns, and the origin's column (see ``with_column``) as a list for each of its values, in any order."""
+    if bins is not None:
+        each = bins.groupBy("origin_id").agg(F.collect_list(F.struct(*LISTS)).alias("bins"))
+        origins = origins.drop("bins").join(each, "origin_id", "left")
+    kinds = {"bin_idx": "array<bigint>"}
+    return origins.select("origin_id", *keep, *(F.col("bins")[c].cast(kinds.get(c, "array<double>")).alias(f"_{c}") for c in LISTS))
+
+
+def in_batches(df: DataFrame, adds: str, work: Callable[[dict, drift.Bins], dict], lists: bool = False) -> DataFrame:
+    """df from ``with_lists`` with the columns that ``adds`` declares (they take the place of those of the same names), as ``work`` makes
+    them of the numbers of some rows (by name) and their bins. The lists go, if they are not to be kept."""
+    new = T._parse_datatype_string(adds)
+    old = [f for f in df.schema if f.name not in new.names and (lists or f.name not in [f"_{c}" for c in LISTS])]
+    needs = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.LongType, T.IntegerType))]
+
+    def run(batches):
+        for whole in batches:
+            for i in range(0, whole.num_rows, drift.CHUNK):
+                b = whole.slice(i, drift.CHUNK)
+                cells = drift.bins_of({c: b.column(f"_{c}") for c in LISTS})
+                with np.errstate(all="ignore"):
+                    made = work({n: b.column(n).to_numpy(zero_copy_only=False) if n == "drawn" else drift.numbers(b.column(n)) for n in needs}, cells)
+                arrays = [x if isinstance(x, pa.Array) else pa.array(x, from_pandas=True) for x in (made[n] for n in new.names)]
+                yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in old), *arrays], [*(f.name for f in old), *new.names])
+
+    return df.mapInArrow(run, T.StructType([*old, *new]))
+
+
 def _places(cells: Column) -> Column:
     """For each index from the first bin on, where the last bin at or below it is."""
     width = lambda x, i: F.coalesce(F.get(cells, i + 1)["bin_idx"] - x["bin_idx"], F.lit(1)).cast("int")
@@ -112,11 +149,11 @@ def with_legs(df: DataFrame, secs: Callable[[Column], Column]) -> DataFrame:
 
 
 #: What a landing carries along of its origin, if it is there.
-CARRIED = ("serial", "launch_t", "residual", "n_points")
+CARRIED = ("serial", "launch_t", "residual", "n_points", "mean_lat", "mean_lon", "radius_km", "eta_s")
 
 
-def land(origins: DataFrame, bins: DataFrame | None = None, terrain: DataFrame | None = None, layer_m: float = 150.0, p: Params = DEFAULTS, wind: Callable[[DataFrame], DataFrame] | None = None, passes: int = 2) -> DataFrame:
-    """origins (origin_id, t, lat, lon, alt, b, ground, bins …) to one row each: land_lat, land_lon, land_t, sim_s, measured, path.
+def land(origins: DataFrame, bins: DataFrame | None = None, terrain: DataFrame | None = None, layer_m: float = 150.0, p: Params = DEFAULTS, wind: Callable[[DataFrame], DataFrame] | None = None, passes: int = 2, path: bool = True) -> DataFrame:
+    """origins (origin_id, t, lat, lon, alt, b, ground, bins …) to one row each: land_lat, land_lon, land_t, sim_s, measured, and path if asked for.
 
     The descent ends at the ground, interpolated in the layer that crosses it; an origin at or below ground lands where it is.
     ground is a column of the origins, or comes from terrain cells for layers under 9 km (it must lie above the column ground).
@@ -124,6 +161,9 @@ def land(origins: DataFrame, bins: DataFrame | None = None, terrain: DataFrame |
     pass before.
     """
     keep = ["t", "lat", "lon", "alt", "b", F.coalesce("ground", F.lit(0.0)).alias("ground"), *(c for c in CARRIED if c in origins.columns)]
+    if wind is None and terrain is None:
+        number = [F.col(c).cast("double").alias(c) for c in ("t", "lat", "lon", "alt", "b")]
+        return _landed(with_lists(origins, bins, [*number, keep[5].cast("double").alias("ground"), *keep[6:]]), layer_m, path, p)
     df = with_layers(with_column(origins, bins, keep), F.col("ground"), F.col("alt"), layer_m, True, p)
     secs = lambda x: x["h"] / S.terminal_speed(F.col("b"), x["rho"])
     if wind is None:
@@ -142,15 +182,42 @@ def land(origins: DataFrame, bins: DataFrame | None = None, terrain: DataFrame |
     first_bin, last_bin = F.get("bins", F.lit(0))["bin_idx"], F.get("bins", F.size("bins") - 1)["bin_idx"]
     measured = (F.least(F.col("alt"), (last_bin + 1) * p.bin_m) - F.greatest(F.col("ground"), first_bin * p.bin_m)) / (F.col("alt") - F.col("ground"))
     here = F.array(F.struct("lat", "lon", "alt"))
-    path = F.transform(F.filter("legs", lambda g: g["k"] % 3 == 0), lambda g: F.struct(g["to_lat"].alias("lat"), S.wrap_lon(F.col("lon") + g["to_off"]).alias("lon"), g["lo"].alias("alt")))
+    points = F.transform(F.filter("legs", lambda g: g["k"] % 3 == 0), lambda g: F.struct(g["to_lat"].alias("lat"), S.wrap_lon(F.col("lon") + g["to_off"]).alias("lon"), g["lo"].alias("alt")))
     known = F.when((F.col("alt") > F.col("ground")) & (F.size("bins") > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), measured)))
     return df.select(
         "origin_id", *(c for c in CARRIED if c in origins.columns), "t", "lat", "lon", "alt", "b", F.coalesce(between("lat"), "lat").alias("land_lat"),
         S.wrap_lon(F.col("lon") + F.coalesce(between("off"), F.lit(0.0))).alias("land_lon"), (F.col("t") + F.coalesce(between("s"), F.lit(0.0))).alias("land_t"),
-        F.coalesce(between("s"), F.lit(0.0)).alias("sim_s"), F.coalesce(known, F.lit(0.0)).alias("measured"), F.concat(here, path).alias("path"),
+        F.coalesce(between("s"), F.lit(0.0)).alias("sim_s"), F.coalesce(known, F.lit(0.0)).alias("measured"), *([F.concat(here, points).alias("path")] if path else []),
     )
 
 
+def _landed(df: DataFrame, layer_m: float, path: bool, p: Params) -> DataFrame:
+    """``land`` on level ground in the origins' own columns."""
+    made = "land_lat double, land_lon double, land_t double, sim_s double, measured double" + (", path array<struct<lat:double,lon:double,alt:double>>" if path else "")
+
+    def work(o: dict, bins: drift.Bins) -> dict:
+        lat, lon, alt, ground = o["lat"], o["lon"], o["alt"], o["ground"]
+        layers = drift.Layers(ground, alt, layer_m, True, bins, p)
+        d = drift.Drift(layers, lat, layers.h / drift.terminal_speed(o["b"][:, None], layers.rho))
+        sim_s, filled = drift.known(d.end("s"), 0.0), bins.end > bins.begin
+        first, last = (bins.take("idx", np.clip(x, 0, max(len(bins.idx) - 1, 0)), filled) for x in (bins.begin, bins.end - 1))
+        part = (np.minimum(alt, (last + 1) * p.bin_m) - np.maximum(ground, first * p.bin_m)) / (alt - ground)
+        out = {
+            "land_lat": drift.known(d.end("lat"), lat), "land_lon": drift.wrap_lon(lon + drift.known(d.end("off"), 0.0)), "land_t": o["t"] + sim_s, "sim_s": sim_s,
+            "measured": np.where((alt > ground) & filled, np.clip(part, 0.0, 1.0), 0.0),
+        }
+        if path:
+            thirds = layers.there & (layers.k % 3 == 0)
+            here = lambda start, points: np.concatenate([start[:, None], points], axis=1)
+            on = here(np.ones(len(lat), bool), thirds)
+            points = (here(lat, d.lat[:, 1:]), here(lon, drift.wrap_lon(lon[:, None] + d.off[:, 1:])), here(alt, layers.lo))
+            cells = pa.StructArray.from_arrays([pa.array(x[on], from_pandas=True) for x in points], ["lat", "lon", "alt"])
+            out["path"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(on.sum(axis=1))]), pa.int32()), cells)
+        return out
+
+    return in_batches(df, made, work).drop("ground")
+
+
 def _first_below(df: DataFrame, terrain: DataFrame) -> DataFrame:
     """(origin_id, hit, under): the first leg that ends below the terrain under it, or below the origin's ground."""
     from driftspark.operators.terrain import ground_at
@@ -166,14 +233,19 @@ def _first_below(df: DataFrame, terrain: DataFrame) -> DataFrame:
 def rise(origins: DataFrame, bins: DataFrame | None = None, layer_m: float = 150.0, p: Params = DEFAULTS, keep: tuple = ()) -> DataFrame:
     """origins (origin_id, t, lat, lon, alt, ascent_rate, burst …) to the point and time of the burst at constant rate, with bins
     and the kept columns."""
-    rate = F.greatest("ascent_rate", F.lit(0.1)).alias("rate")
-    df = with_layers(with_column(origins, bins, ["t", "lat", "lon", "alt", rate, "burst", *keep]), F.col("alt"), F.col("burst"), layer_m, False, p)
-    top = F.get("legs", F.size("legs") - 1)
-    df = with_legs(df, lambda x: x["h"] / F.col("rate")).withColumn("top", top)
-    return df.select(
-        "origin_id", *keep, "bins", (F.col("t") + F.coalesce("top.to_s", F.lit(0.0))).alias("t"), F.coalesce("top.to_lat", "lat").alias("lat"),
-        S.wrap_lon(F.col("lon") + F.coalesce("top.to_off", F.lit(0.0))).alias("lon"), F.greatest("alt", "burst").alias("alt"),
-    )
+    df = origins.select("origin_id", *("t", "lat", "lon", "alt"), F.greatest("ascent_rate", F.lit(0.1)).alias("_rate"), "burst", *keep, *(["bins"] if bins is None else []))
+
+    def work(o: dict, cells: drift.Bins) -> dict:
+        layers = drift.Layers(o["alt"], o["burst"], layer_m, False, cells, p)
+        d = drift.Drift(layers, o["lat"], layers.h / o["_rate"][:, None])
+        off, s = drift.known(d.end("off"), 0.0), drift.known(d.end("s"), 0.0)
+        return {"t": o["t"] + s, "lat": drift.known(d.end("lat"), o["lat"]), "lon": drift.wrap_lon(o["lon"] + off), "alt": np.fmax(o["alt"], o["burst"])}
+
+    lists = with_lists(df, bins, ["t", "lat", "lon", "alt", "_rate", "burst", *keep])
+    up = in_batches(lists.withColumns({c: F.col(c).cast("double") for c in ("t", "lat", "lon", "alt", "_rate", "burst")}), "t double, lat double, lon double, alt double", work, lists=True)
+    cell = lambda x: F.struct(*(x[f"_{c}"].alias(c) for c in LISTS))
+    zipped = F.array_sort(F.transform(F.arrays_zip(*(f"_{c}" for c in LISTS)), cell))
+    return up.select("origin_id", *keep, F.coalesce(zipped, F.array().cast(f"array<{BIN}>")).alias("bins"), "t", "lat", "lon", "alt")
 
 
 def _uniform(*what) -> Column:
@@ -187,48 +259,55 @@ def normal(*what) -> Column:
 
 def member_landings(origins: DataFrame, bins: DataFrame | None = None, members: int = DEFAULTS.members, layer_m: float = 300.0, seed: int = 7, b_sigma: Column | None = None, p: Params = DEFAULTS) -> DataFrame:
     """(origin_id, member, lat, lon, s): landings under perturbed ballistic constant, wind bias and noise that is correlated over
-    layers. Members are made and folded beside the origin's layers, without a shuffle."""
-    sigma = F.coalesce(b_sigma if b_sigma is not None else F.lit(None), F.lit(p.b_sigma_fit)).alias("b_sigma")
-    slim = with_column(origins, bins, ["lat", "lon", "alt", "b", F.coalesce("ground", F.lit(0.0)).alias("ground"), sigma])
-    m = with_layers(slim, F.col("ground"), F.col("alt"), layer_m, True, p).withColumn("member", F.explode(F.sequence(F.lit(1), F.lit(members))))
-    draw = lambda what: normal(F.lit(seed), F.col("origin_id"), F.col("member"), F.lit(what))
-    m = m.withColumn("mb", F.col("b") * F.exp(F.col("b_sigma") * draw("b"))).withColumn("bu", p.bias_sigma_mps * draw("u")).withColumn("bv", p.bias_sigma_mps * draw("v"))
-    keep = math.exp(-layer_m / p.corr_len_m)
-    fresh = math.sqrt(1 - keep * keep) * p.sigma_measured_mps
-    start = F.struct(F.col("lat").alias("lat"), F.col("lon").alias("lon"), F.lit(0.0).alias("s"), F.lit(0.0).alias("eu"), F.lit(0.0).alias("ev"))
-
-    def fall(a, x):
-        n = lambda what: normal(F.lit(seed), F.col("origin_id"), F.col("member"), x["k"], F.lit(what))
-        noise = F.struct((keep * a["eu"] + fresh * n("eu")).alias("eu"), (keep * a["ev"] + fresh * n("ev")).alias("ev"), (x["h"] / S.terminal_speed(F.col("mb"), x["rho"])).alias("secs"))
-        return F.transform(F.array(noise), lambda e: F.struct(
-            (a["lat"] + (x["v"] + F.col("bv") + e["ev"]) * e["secs"] * DEG).alias("lat"), (a["lon"] + (x["u"] + F.col("bu") + e["eu"]) * e["secs"] * DEG / F.cos(F.radians(a["lat"]))).alias("lon"),
-            (a["s"] + e["secs"]).alias("s"), e["eu"].alias("eu"), e["ev"].alias("ev"),
-        ))[0]
-
-    return m.select("origin_id", "member", F.aggregate("layers", start, fall).alias("e")).select("origin_id", "member", "e.lat", "e.lon", "e.s")
-
-
-def summarise_members(landings: DataFrame, members: int = DEFAULTS.members, p: Params = DEFAULTS) -> DataFrame:
-    """(origin_id, mean_lat, mean_lon, radius_km, eta_s, n): mean point, quantile of the members' distance to it, upper median
-    of their times; origins with too few members are left out. Two grouped steps, each aggregated in the tasks first."""
-    ref = landings.groupBy("origin_id").agg(F.min("lon").alias("ref"))
-    off = landings.join(ref, "origin_id").withColumn("dlon", S.lon_delta(F.col("lon"), F.col("ref")))
-    mean = off.groupBy("origin_id").agg(F.avg("lat").alias("mean_lat"), S.wrap_lon(F.first("ref") + F.avg("dlon")).alias("mean_lon"), S.upper_median(F.col("s")).alias("eta_s"), F.count("*").alias("n"))
-    d = landings.join(mean, "origin_id").groupBy("origin_id", "mean_lat", "mean_lon", "eta_s", "n")
-    out = d.agg(F.percentile(S.haversine_km(F.col("lat"), F.col("lon"), F.col("mean_lat"), F.col("mean_lon")), p.quantile).alias("radius_km"))
-    return out.where(F.col("n") >= max(3, members // 4))
+    layers. Members are made and folded beside the origin's layers, without a shuffle; their numbers are those of ``normal``."""
+
+    def work(o: dict, cells: drift.Bins) -> dict:
+        y, x, s = _fallen(o, cells, members, layer_m, p)
+        shape = pa.array(np.arange(len(y) + 1) * members, pa.int32())
+        flat = [pa.array(np.tile(np.arange(1, members + 1, dtype=np.int32), len(y))), *(pa.array(v.ravel(), from_pandas=True) for v in (y, x, s))]
+        return {"e": pa.ListArray.from_arrays(shape, pa.StructArray.from_arrays(flat, ["member", "lat", "lon", "s"]))}
+
+    df = in_batches(_before_members(origins, bins, seed, b_sigma, p), "e array<struct<member:int,lat:double,lon:double,s:double>>", work)
+    return df.select("origin_id", F.inline("e"))
+
+
+def with_members(origins: DataFrame, bins: DataFrame | None = None, members: int = DEFAULTS.members, layer_m: float = 300.0, seed: int = 7, b_sigma: Column | None = None, p: Params = DEFAULTS) -> DataFrame:
+    """Origins with mean_lat, mean_lon, radius_km and eta_s: the mean point of their ``member_landings``, the quantile of the members'
+    distance to it, the upper median of their times; null for too few members. Members are summarised where they are made, so no row
+    is made for each."""
+    if members < max(3, members // 4):
+        return origins.withColumns({c: F.lit(None).cast("double") for c in ("mean_lat", "mean_lon", "radius_km", "eta_s")})
+
+    def work(o: dict, cells: drift.Bins) -> dict:
+        return dict(zip(("mean_lat", "mean_lon", "radius_km", "eta_s"), drift.cloud(*_fallen(o, cells, members, layer_m, p), p)))
+
+    made = "mean_lat double, mean_lon double, radius_km double, eta_s double"
+    with_bins = ["bins"] if "bins" in origins.columns else []
+    slim = _before_members(origins, bins, seed, b_sigma, p, [F.struct(*(c for c in origins.columns if c != "origin_id")).alias("_origin")])
+    return in_batches(slim, made, work).select("origin_id", "_origin.*", "mean_lat", "mean_lon", "radius_km", "eta_s")
+
+
+def _before_members(origins: DataFrame, bins: DataFrame | None, seed: int, b_sigma: Column | None, p: Params, keep=()) -> DataFrame:
+    sigma = F.coalesce(b_sigma if b_sigma is not None else F.lit(None), F.lit(p.b_sigma_fit)).cast("double").alias("b_sigma")
+    drawn = F.xxhash64(F.lit(seed), F.col("origin_id")).alias("drawn")
+    return with_lists(origins, bins, [*(F.col(c).cast("double").alias(c) for c in ("lat", "lon", "alt", "b")), F.coalesce("ground", F.lit(0.0)).cast("double").alias("ground"), sigma, drawn, *keep])
+
+
+def _fallen(o: dict, cells: drift.Bins, members: int, layer_m: float, p: Params) -> tuple:
+    layers = drift.Layers(o["ground"], o["alt"], layer_m, True, cells, p)
+    return drift.members_of(layers, o["lat"], o["lon"], o["b"], o["b_sigma"], o["drawn"].astype(np.int64).view(np.uint64), members, layer_m, p)
 
 
 def predict(origins: DataFrame, members: int = 0, p: Params = DEFAULTS, bins: DataFrame | None = None, wind=None, source: str = "measured") -> DataFrame:
     """Final prediction rows: the members' mean and quantile where there are members, else the point and the heuristic radius.
     wind and its name as source, if the layers' winds are not the measured column's (see ``land``); members take the column's."""
     filled = origins.withColumns({"residual": F.coalesce("residual", F.lit(0.0)), "n_points": F.coalesce("n_points", F.lit(1))})
-    point = land(filled, bins, p=p, wind=wind)
-    radius = S.heuristic_radius_km(F.col("sim_s"), F.col("measured"), F.col("residual"), p)
     if members:
         sigma = F.when(F.coalesce("n_points", F.lit(1)) > 1, F.lit(p.b_sigma_fit)).otherwise(F.lit(p.b_sigma_shortcut))
-        cloud = summarise_members(member_landings(origins, bins, members, b_sigma=sigma, p=p), members, p)
-        point = point.join(cloud, "origin_id", "left")
+        filled = with_members(filled, bins, members, b_sigma=sigma, p=p)
+    point = land(filled, bins, p=p, wind=wind, path=False)
+    radius = S.heuristic_radius_km(F.col("sim_s"), F.col("measured"), F.col("residual"), p)
+    if members:
         radius = F.coalesce(F.greatest(F.lit(p.base_radius_km), "radius_km"), radius)
         lat, lon, eta = F.coalesce("mean_lat", "land_lat"), F.coalesce("mean_lon", "land_lon"), F.coalesce(F.col("t") + F.col("eta_s"), "land_t")
     else:

@@ -35,8 +35,9 @@ def predicted(o: DataFrame, members: int = 0, p: Params = DEFAULTS, model=None,
 
 
 def scored(predictions: DataFrame, truth: DataFrame) -> DataFrame:
-    lands = predictions.select("serial", "launch_t").distinct().join(truth, "serial").select("serial", "launch_t", F.col("truth_lat").alias("land_lat"), F.col("truth_lon").alias("land_lon"), F.lit(None).cast("double").alias("landed_t"))
-    return scoring.score(lands, predictions)
+    """truth has a row for each serial, so predictions are joined to it as they are and made once."""
+    lands = truth.select("serial", F.col("truth_lat").alias("land_lat"), F.col("truth_lon").alias("land_lon"), F.lit(None).cast("double").alias("landed_t"))
+    return scoring.score(lands, predictions, ("serial",))
 
 
 def wind_of(o: DataFrame, use: str, model, p: Params = DEFAULTS):
