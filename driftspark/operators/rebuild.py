@@ -27,6 +27,7 @@ class Serial:
     judged: float = -math.inf  # silence is judged up to then
     hold_until: float = -math.inf
     fold: Fold | None = None
+    timers: tuple = ()  # milliseconds at which the stream is to look at the serial
 
 
 def candidates(flights: DataFrame, now_t: float, p: Params = DEFAULTS) -> DataFrame:

@@ -44,17 +44,19 @@ class Tracker(StatefulProcessor):
 
     def keep(self, serial: Serial) -> None:
         serial.flight, fold, serial.fold = serial.fold.f, serial.fold, None
+        due = [serial.waiting[0][0] + self.p.reorder_hold_s] if serial.waiting else []
+        if (s := fold.next_silence(serial.judged)) is not None:
+            due.append(max(s, serial.hold_until))
+        before, serial.timers = serial.timers, tuple(sorted({int(t * 1000) for t in due}))
         if not serial.waiting and serial.flight is None:
             self.state.clear()
         else:
             self.state.update((pickle.dumps(serial),))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        due = [serial.waiting[0][0] + self.p.reorder_hold_s] if serial.waiting else []
-        if (s := fold.next_silence(serial.judged)) is not None:
-            due.append(max(s, serial.hold_until))
-        for t in due:
-            self.handle.registerTimer(int(t * 1000))
+        for t in before:  # each call asks the JVM, so timers are not listed
+            if t not in serial.timers:
+                self.handle.deleteTimer(t)
+        for t in serial.timers:
+            self.handle.registerTimer(t)
 
     def release(self, serial: Serial, upto: float) -> list:
         """Folds what has waited long enough."""
@@ -73,7 +75,7 @@ class Tracker(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         serial = self.load(key)
         for pdf in rows:
-            cols = [pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in ("frame", *FRAME, "ground", "inside")]
+            cols = [[None if y is None or y is pd.NA or y != y else y for y in pdf[c].tolist()] for c in ("frame", *FRAME, "ground", "inside")]
             for n, *x in zip(*cols):
                 name = n if n is not None else x[0]
                 if name in serial.seen:
