@@ -7,6 +7,8 @@ result does not depend on what else is in its batch. NaN stands for null.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,17 @@ def known(first: np.ndarray, *others) -> np.ndarray:
     return first
 
 
+def haversine_km(lat1, lon1, lat2, lon2):
+    dlat, dlon = np.radians(lat2 - lat1) / 2, np.radians(lon2 - lon1) / 2
+    a = np.sin(dlat) ** 2 + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * np.sin(dlon) ** 2
+    return 2 * S.EARTH_KM * np.arcsin(np.minimum(1.0, np.sqrt(a)))
+
+
+def seam_weight(alt, ceiling: float, ramp: float):
+    """``scalars.seam_weight``."""
+    return np.clip((ceiling - alt) / max(ramp, 1.0), 0.0, 1.0)
+
+
 def std_density(alt: np.ndarray) -> np.ndarray:
     h, out, upper = np.clip(alt, 0.0, S.TOP_M), None, S.TOP_M
     for base, t, lapse, p in reversed(S._bases()):
@@ -62,13 +75,20 @@ class Bins:
         last = max(len(self.idx) - 1, 0)
         return np.clip(a, 0, last), np.clip(a + 1, 0, last), a >= self.begin[:, None], a + 1 < self.end[:, None]
 
+    def of(self, rows: np.ndarray) -> Bins:
+        """The columns of some origins (sorted places), numbered anew."""
+        sizes, to = self.end[rows] - self.begin[rows], np.full(len(self.begin), -1)
+        to[rows] = np.arange(len(rows))
+        own = to[self.row] >= 0
+        return Bins(np.repeat(np.arange(len(rows)), sizes), self.idx[own], {c: x[own] for c, x in self.values.items()}, len(rows))
+
     def take(self, what: str, place: np.ndarray, there: np.ndarray) -> np.ndarray:
         x = self.values[what] if what != "idx" else self.idx
         return np.where(there, x[place], np.nan) if len(x) else np.full(place.shape, np.nan)
 
 
 def bins_of(lists: dict[str, pa.Array]) -> Bins:
-    """lists: bin_idx, u, v, rho as arrays of lists, one list an origin."""
+    """lists: bin_idx, u, v, rho (and more) as arrays of lists, one list an origin."""
     sizes = np.nan_to_num(lists["bin_idx"].value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
     flat = {c: numbers(x.flatten()) for c, x in lists.items()}
     row, idx = np.repeat(np.arange(len(sizes)), sizes), flat.pop("bin_idx").astype(np.int64)
@@ -95,6 +115,7 @@ class Layers:
         middle = lambda idx: (idx + 0.5) * p.bin_m
         a, b, is_a, is_b = bins.near(j)
         m0, m1 = middle(bins.take("idx", a, is_a)), middle(bins.take("idx", b, is_b))
+        self.around = a, b, is_a, is_b, m0, m1
         share = (self.mid - m0) / (m1 - m0)
 
         def wind(c):
@@ -118,11 +139,12 @@ def summed(start: np.ndarray, steps: np.ndarray) -> np.ndarray:
 
 class Drift:
     """Where (lat, off: degrees east of the origin) and when (s) layers are entered and left, at these seconds in each; latitudes add up
-    first, then longitudes with the cosine."""
+    first, then longitudes with the cosine. wind: u and v, if not those of the layers."""
 
-    def __init__(self, layers: Layers, lat: np.ndarray, secs: np.ndarray):
+    def __init__(self, layers: Layers, lat: np.ndarray, secs: np.ndarray, wind: tuple | None = None):
         secs = np.where(layers.there, secs, 0.0)
-        north, east, nil = layers.v * secs * DEG, layers.u * secs * DEG, np.zeros(len(lat))
+        u, v = wind or (layers.u, layers.v)
+        north, east, nil = v * secs * DEG, u * secs * DEG, np.zeros(len(lat))
         self.n, self.lat, self.s = layers.n, summed(lat, north), summed(nil, secs)
         self.off = summed(nil, east / np.cos(np.radians(self.lat[:, :-1] + north / 2)))
 
@@ -135,6 +157,77 @@ def terminal_speed(b, rho):
     return b * np.power(rho, -0.5)
 
 
+@dataclass(frozen=True)
+class Formula:
+    """A model's wind as a function of lat, lon, alt and time (arrays of one shape) to u and v (NaN: the model has none there)."""
+
+    at: Callable
+
+    def __call__(self, lat, lon, alt, t) -> tuple:
+        return tuple(np.broadcast_to(np.asarray(x, float), alt.shape) for x in self.at(lat, lon, alt, t))
+
+
+@dataclass(frozen=True)
+class Wind:
+    """How a model's wind and the measured column make the layers' wind; use: as in ``backtest.wind_of``."""
+
+    model: Formula
+    use: str
+
+
+class Nearest:
+    """The bin nearest in altitude to each layer (the lower of two), and the layers that take the model's wind ``only``: outside the
+    column, near the ground and in holes. The numbers are those of ``winds.blended_wind``."""
+
+    def __init__(self, layers: Layers, bins: Bins, ground: np.ndarray, p: Params):
+        a, b, is_a, is_b, m0, m1 = layers.around
+        lower = is_a & (~is_b | (layers.mid - m0 <= m1 - layers.mid))
+        self.bins, self.mid, self.p = bins, layers.mid, p
+        self.place, self.there = np.where(lower, a, b), np.where(lower, is_a, is_b)
+        self.lat, self.lon, self.t, self.u, self.v = (bins.take(c, self.place, self.there) for c in ("lat", "lon", "t", "u", "v"))
+        filled, most = bins.end > bins.begin, max(len(bins.idx) - 1, 0)
+        first, last = (bins.take("idx", np.clip(x, 0, most), filled)[:, None] for x in (bins.begin, bins.end - 1))
+        inside = (self.mid >= first * p.bin_m) & (self.mid < (last + 1) * p.bin_m)
+        near = np.abs(np.where(lower, m0, m1) - self.mid) <= p.gap_m
+        self.only = ~inside | (self.mid - ground[:, None] < p.blend_min_agl_m) | ~near
+
+    def blended(self, layers: Layers, model: Formula, bias: bool, lat, lon, at) -> tuple:
+        """u and v of layers met at these places and times; bias: the model, shifted by what was measured against it."""
+        far = known(haversine_km(lat, lon, self.lat, self.lon), 0.0)
+        w = np.exp(-(far / self.p.blend_km + np.maximum(0.0, known(at - self.t, 0.0)) / self.p.blend_age_s))
+        told, own = model(lat, lon, self.mid, at), (None, None)
+        if bias:
+            cells = self.bins.values
+            own = (np.where(self.there, x[self.place], np.nan) if len(x) else np.full(self.mid.shape, np.nan) for x in model(cells["lat"], cells["lon"], (self.bins.idx + 0.5) * self.p.bin_m, cells["t"]))
+
+        def choose(measured, near, m, b):
+            mixed = known(m + w * (near - b), m) if bias else w * measured + (1 - w) * m
+            return np.where(np.isnan(told[0]), measured, np.where(self.only, m, mixed))
+
+        return tuple(choose(*x) for x in zip((layers.u, layers.v), (self.u, self.v), told, own))
+
+
+def fallen(layers: Layers, bins: Bins, o: dict, p: Params, wind: Wind | None = None, nearest: Nearest | None = None, passes: int = 2) -> Drift:
+    """Descents of origins (t, lat, lon, b, ground) through their layers. A model's wind is taken at the origin's place and time first, then,
+    in later passes, where and when the pass before met the layer."""
+    secs = layers.h / terminal_speed(o["b"][:, None], layers.rho)
+    if wind is None:
+        return Drift(layers, o["lat"], secs)
+    start = tuple(np.broadcast_to(o[c][:, None], layers.mid.shape) for c in ("lat", "lon", "t"))
+    met = start
+    if wind.use != "model" and nearest is None:
+        nearest = Nearest(layers, bins, o["ground"], p)
+    for _ in range(passes):
+        if wind.use == "model":
+            u, v = wind.model(met[0], met[1], layers.mid, met[2])
+            by = known(u, layers.u), known(v, layers.v)
+        else:
+            by = nearest.blended(layers, wind.model, wind.use == "bias", *met)
+        d = Drift(layers, o["lat"], secs, by)
+        met = known(d.lat[:, :-1], start[0]), wrap_lon(start[1] + known(d.off[:, :-1], 0.0)), start[2] + known(d.s[:, :-1], 0.0)
+    return d
+
+
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
@@ -199,7 +292,5 @@ def cloud(y: np.ndarray, x: np.ndarray, s: np.ndarray, p: Params) -> tuple:
     """Of each origin's members the mean point, the quantile of their distances to it, and the upper median of their times."""
     ref = x.min(axis=1)
     lat, lon = y.mean(axis=1), wrap_lon(ref + wrap_lon(x - ref[:, None]).mean(axis=1))
-    dlat, dlon = np.radians(lat[:, None] - y) / 2, np.radians(lon[:, None] - x) / 2
-    a = np.sin(dlat) ** 2 + np.cos(np.radians(y)) * np.cos(np.radians(lat))[:, None] * np.sin(dlon) ** 2
-    away = 2 * S.EARTH_KM * np.arcsin(np.minimum(1.0, np.sqrt(a)))
+    away = haversine_km(y, x, lat[:, None], lon[:, None])
     return lat, lon, np.quantile(away, p.quantile, axis=1), np.sort(s, axis=1)[:, s.shape[1] // 2]

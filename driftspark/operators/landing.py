@@ -43,29 +43,32 @@ def with_column(origins: DataFrame, bins: DataFrame | None, keep: list) -> DataF
 
 
 LISTS = ("bin_idx", "u", "v", "rho")
+#: The same with the bins' own places and times, which blends with a model's wind need.
+PLACED = (*LISTS, "lat", "lon", "t")
 
 
-def with_lists(origins: DataFrame, bins: DataFrame | None, keep: list) -> DataFrame:
+def with_lists(origins: DataFrame, bins: DataFrame | None, keep: list, names: tuple = LISTS) -> DataFrame:
     """origin_id, the kept columns, and the origin's column (see ``with_column``) as a list for each of its values, in any order."""
     if bins is not None:
-        each = bins.groupBy("origin_id").agg(F.collect_list(F.struct(*LISTS)).alias("bins"))
+        each = bins.groupBy("origin_id").agg(F.collect_list(F.struct(*names)).alias("bins"))
         origins = origins.drop("bins").join(each, "origin_id", "left")
     kinds = {"bin_idx": "array<bigint>"}
-    return origins.select("origin_id", *keep, *(F.col("bins")[c].cast(kinds.get(c, "array<double>")).alias(f"_{c}") for c in LISTS))
+    return origins.select("origin_id", *keep, *(F.col("bins")[c].cast(kinds.get(c, "array<double>")).alias(f"_{c}") for c in names))
 
 
 def in_batches(df: DataFrame, adds: str, work: Callable[[dict, drift.Bins], dict], lists: bool = False) -> DataFrame:
     """df from ``with_lists`` with the columns that ``adds`` declares (they take the place of those of the same names), as ``work`` makes
     them of the numbers of some rows (by name) and their bins. The lists go, if they are not to be kept."""
     new = T._parse_datatype_string(adds)
-    old = [f for f in df.schema if f.name not in new.names and (lists or f.name not in [f"_{c}" for c in LISTS])]
+    listed = [c for c in PLACED if f"_{c}" in df.columns]
+    old = [f for f in df.schema if f.name not in new.names and (lists or f.name not in [f"_{c}" for c in listed])]
     needs = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.LongType, T.IntegerType))]
 
     def run(batches):
         for whole in batches:
             for i in range(0, whole.num_rows, drift.CHUNK):
                 b = whole.slice(i, drift.CHUNK)
-                cells = drift.bins_of({c: b.column(f"_{c}") for c in LISTS})
+                cells = drift.bins_of({c: b.column(f"_{c}") for c in listed})
                 with np.errstate(all="ignore"):
                     made = work({n: b.column(n).to_numpy(zero_copy_only=False) if n == "drawn" else drift.numbers(b.column(n)) for n in needs}, cells)
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, from_pandas=True) for x in (made[n] for n in new.names)]
@@ -152,18 +155,21 @@ def with_legs(df: DataFrame, secs: Callable[[Column], Column]) -> DataFrame:
 CARRIED = ("serial", "launch_t", "residual", "n_points", "mean_lat", "mean_lon", "radius_km", "eta_s")
 
 
-def land(origins: DataFrame, bins: DataFrame | None = None, terrain: DataFrame | None = None, layer_m: float = 150.0, p: Params = DEFAULTS, wind: Callable[[DataFrame], DataFrame] | None = None, passes: int = 2, path: bool = True) -> DataFrame:
+def land(origins: DataFrame, bins: DataFrame | None = None, terrain: DataFrame | None = None, layer_m: float = 150.0, p: Params = DEFAULTS, wind: Callable[[DataFrame], DataFrame] | drift.Wind | None = None, passes: int = 2, path: bool = True) -> DataFrame:
     """origins (origin_id, t, lat, lon, alt, b, ground, bins …) to one row each: land_lat, land_lon, land_t, sim_s, measured, and path if asked for.
 
     The descent ends at the ground, interpolated in the layer that crosses it; an origin at or below ground lands where it is.
     ground is a column of the origins, or comes from terrain cells for layers under 9 km (it must lie above the column ground).
     wind replaces u and v of the layers (see ``with_wind``): by the origin's place, then, in later passes, by the places of the
-    pass before.
+    pass before. A ``drift.Wind``, whose model is a formula, is worked out in the batches (without terrain), so no rows are made.
     """
     keep = ["t", "lat", "lon", "alt", "b", F.coalesce("ground", F.lit(0.0)).alias("ground"), *(c for c in CARRIED if c in origins.columns)]
-    if wind is None and terrain is None:
+    if isinstance(wind, drift.Wind) and terrain is not None:
+        raise ValueError("a formula's wind over terrain cells: give the wind as a function of rows")
+    if terrain is None and (wind is None or isinstance(wind, drift.Wind)):
         number = [F.col(c).cast("double").alias(c) for c in ("t", "lat", "lon", "alt", "b")]
-        return _landed(with_lists(origins, bins, [*number, keep[5].cast("double").alias("ground"), *keep[6:]]), layer_m, path, p)
+        names = LISTS if wind is None else PLACED
+        return _landed(with_lists(origins, bins, [*number, keep[5].cast("double").alias("ground"), *keep[6:]], names), layer_m, path, p, wind, passes)
     df = with_layers(with_column(origins, bins, keep), F.col("ground"), F.col("alt"), layer_m, True, p)
     secs = lambda x: x["h"] / S.terminal_speed(F.col("b"), x["rho"])
     if wind is None:
@@ -191,21 +197,26 @@ def land(origins: DataFrame, bins: DataFrame | None = None, terrain: DataFrame |
     )
 
 
-def _landed(df: DataFrame, layer_m: float, path: bool, p: Params) -> DataFrame:
+def _ends(o: dict, bins: drift.Bins, d: drift.Drift, p: Params) -> dict:
+    lat, lon, alt, ground = o["lat"], o["lon"], o["alt"], o["ground"]
+    sim_s, filled = drift.known(d.end("s"), 0.0), bins.end > bins.begin
+    first, last = (bins.take("idx", np.clip(x, 0, max(len(bins.idx) - 1, 0)), filled) for x in (bins.begin, bins.end - 1))
+    part = (np.minimum(alt, (last + 1) * p.bin_m) - np.maximum(ground, first * p.bin_m)) / (alt - ground)
+    return {
+        "land_lat": drift.known(d.end("lat"), lat), "land_lon": drift.wrap_lon(lon + drift.known(d.end("off"), 0.0)), "land_t": o["t"] + sim_s, "sim_s": sim_s,
+        "measured": np.where((alt > ground) & filled, np.clip(part, 0.0, 1.0), 0.0),
+    }
+
+
+def _landed(df: DataFrame, layer_m: float, path: bool, p: Params, wind: drift.Wind | None, passes: int) -> DataFrame:
     """``land`` on level ground in the origins' own columns."""
     made = "land_lat double, land_lon double, land_t double, sim_s double, measured double" + (", path array<struct<lat:double,lon:double,alt:double>>" if path else "")
 
     def work(o: dict, bins: drift.Bins) -> dict:
         lat, lon, alt, ground = o["lat"], o["lon"], o["alt"], o["ground"]
         layers = drift.Layers(ground, alt, layer_m, True, bins, p)
-        d = drift.Drift(layers, lat, layers.h / drift.terminal_speed(o["b"][:, None], layers.rho))
-        sim_s, filled = drift.known(d.end("s"), 0.0), bins.end > bins.begin
-        first, last = (bins.take("idx", np.clip(x, 0, max(len(bins.idx) - 1, 0)), filled) for x in (bins.begin, bins.end - 1))
-        part = (np.minimum(alt, (last + 1) * p.bin_m) - np.maximum(ground, first * p.bin_m)) / (alt - ground)
-        out = {
-            "land_lat": drift.known(d.end("lat"), lat), "land_lon": drift.wrap_lon(lon + drift.known(d.end("off"), 0.0)), "land_t": o["t"] + sim_s, "sim_s": sim_s,
-            "measured": np.where((alt > ground) & filled, np.clip(part, 0.0, 1.0), 0.0),
-        }
+        d = drift.fallen(layers, bins, o, p, wind, passes=passes)
+        out = _ends(o, bins, d, p)
         if path:
             thirds = layers.there & (layers.k % 3 == 0)
             here = lambda start, points: np.concatenate([start[:, None], points], axis=1)
@@ -218,6 +229,40 @@ def _landed(df: DataFrame, layer_m: float, path: bool, p: Params) -> DataFrame:
     return in_batches(df, made, work).drop("ground")
 
 
+def land_by(origins: DataFrame, ways: dict[str, tuple[int, drift.Wind | None]], layer_m: float = 150.0, p: Params = DEFAULTS, passes: int = 2) -> DataFrame:
+    """``land`` by several ways at once, with a column way: each goes over the origins of its refresh_cap (a column), by its wind. An origin's
+    layers and nearest bins are found once for all its ways."""
+    made = "ways array<struct<way:string,land_lat:double,land_lon:double,land_t:double,sim_s:double,measured:double>>"
+    by_cap: dict[int, list[str]] = {}
+    for name, (cap, _) in ways.items():
+        by_cap.setdefault(cap, []).append(name)
+
+    def work(o: dict, bins: drift.Bins) -> dict:
+        sizes = np.zeros(len(o["lat"]), np.int64)
+        for cap, names in by_cap.items():
+            sizes[o["refresh_cap"] == cap] = len(names)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        flat: dict[str, np.ndarray] = {"way": np.empty(starts[-1], object)}
+        for cap, names in by_cap.items():
+            rows = np.flatnonzero(o["refresh_cap"] == cap)
+            own, cells = {c: x[rows] for c, x in o.items()}, bins.of(rows)
+            layers = drift.Layers(own["ground"], own["alt"], layer_m, True, cells, p)
+            nearest = drift.Nearest(layers, cells, own["ground"], p) if any(ways[n][1] is not None and ways[n][1].use != "model" for n in names) else None
+            for i, name in enumerate(names):
+                ends = _ends(own, cells, drift.fallen(layers, cells, own, p, ways[name][1], nearest, passes), p)
+                for c, x in ends.items():
+                    flat.setdefault(c, np.full(starts[-1], np.nan))[starts[rows] + i] = x
+                flat["way"][starts[rows] + i] = name
+        kinds = {"way": pa.string()}
+        cells = pa.StructArray.from_arrays([pa.array(x, kinds.get(c, pa.float64()), from_pandas=True) for c, x in flat.items()], list(flat))
+        return {"ways": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), cells)}
+
+    numbers = [F.col(c).cast("double").alias(c) for c in ("t", "lat", "lon", "alt", "b")]
+    carried = [c for c in CARRIED if c in origins.columns]
+    lists = with_lists(origins, None, [*numbers, F.coalesce("ground", F.lit(0.0)).cast("double").alias("ground"), F.col("refresh_cap").cast("long").alias("refresh_cap"), *carried], PLACED)
+    return in_batches(lists, made, work).select("origin_id", *carried, "t", "lat", "lon", "alt", "b", F.inline("ways"))
+
+
 def _first_below(df: DataFrame, terrain: DataFrame) -> DataFrame:
     """(origin_id, hit, under): the first leg that ends below the terrain under it, or below the origin's ground."""
     from driftspark.operators.terrain import ground_at
@@ -318,6 +363,16 @@ def predict(origins: DataFrame, members: int = 0, p: Params = DEFAULTS, bins: Da
     )
 
 
+def predict_by(origins: DataFrame, ways: dict[str, tuple[int, drift.Wind | None]], p: Params = DEFAULTS) -> DataFrame:
+    """``predict`` without members by several ways at once (see ``land_by``), with a column way."""
+    filled = origins.withColumns({"residual": F.coalesce("residual", F.lit(0.0)), "n_points": F.coalesce("n_points", F.lit(1))})
+    source = F.when(F.col("way").isin([n for n, (_, wind) in ways.items() if wind is None]), F.lit("measured")).otherwise(F.lit("gfs"))
+    return land_by(filled, ways, p=p).select(
+        "origin_id", "serial", "launch_t", F.col("t").alias("predicted_t"), "land_lat", "land_lon", "land_t", source.alias("source"),
+        S.heuristic_radius_km(F.col("sim_s"), F.col("measured"), F.col("residual"), p).alias("uncertainty_radius_km"), F.col("alt").alias("alt_at_pred"), "sim_s", "way",
+    )
+
+
 def preburst(flights: DataFrame, bins: DataFrame | None = None, site: DataFrame | None = None, prior_b: DataFrame | None = None, p: Params = DEFAULTS, wind=None, source: str = "measured") -> DataFrame:
     """flights in ASCENT or FLOAT (origin_id, serial, launch_t, type, t, lat, lon, alt, ascent_rate, burst_timer, ground[, bins]) and
     their bins: up to the estimated burst, down with the family's prior or the default; only where the column ahead is known,

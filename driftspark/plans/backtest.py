@@ -7,16 +7,17 @@ import dataclasses
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftspark.operators import landing, scoring, winds
+from driftspark.operators import drift, landing, scoring, winds
 from driftspark.operators.flights import fold_frames
 from driftspark.params import DEFAULTS, Params
 from driftspark.sources.scratch import saved
 
 
-def origins(frames: DataFrame, every_s: float = 0.0, p: Params = DEFAULTS) -> DataFrame:
-    """What a prediction may know, for each ``every_s`` seconds of each descent (0: each cadence of the parameters), with an id."""
+def origins(frames: DataFrame, every_s: float = 0.0, p: Params = DEFAULTS, refresh_caps: tuple = ()) -> DataFrame:
+    """What a prediction may know, for each ``every_s`` seconds of each descent (0: each cadence of the parameters), with an id.
+    refresh_caps: see ``fold_frames``."""
     paced = dataclasses.replace(p, cadence_s=max(p.cadence_s, every_s))
-    o = fold_frames(frames, paced, kinds=("ORIGIN",)).where("b is not null")
+    o = fold_frames(frames, paced, kinds=("ORIGIN",), refresh_caps=refresh_caps).where("b is not null")
     return o.withColumn("origin_id", F.concat_ws("|", "serial", F.col("launch_t").cast("long"), F.col("t").cast("long"))).withColumn("ground", F.lit(0.0))
 
 
@@ -41,10 +42,12 @@ def scored(predictions: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def wind_of(o: DataFrame, use: str, model, p: Params = DEFAULTS):
-    """The layers' wind for ``landing.land``. model adds mu, mv to rows with lat, lon, alt, at (time); use is measured (None), model,
-    blend (the origin's bins by distance and age) or bias (the model shifted by what was measured against it)."""
+    """The layers' wind for ``landing.land``. model is a ``drift.Formula``, or adds mu, mv to rows with lat, lon, alt, at (time); use is
+    measured (None), model, blend (the origin's bins by distance and age) or bias (the model shifted by what was measured against it)."""
     if model is None or use == "measured":
         return None
+    if isinstance(model, drift.Formula):
+        return drift.Wind(model, use)
     if use == "model":
         return lambda rows: model(rows).withColumn("u", F.coalesce("mu", "u")).withColumn("v", F.coalesce("mv", "v"))
     bins = o.select("origin_id", F.explode("bins").alias("b")).select("origin_id", "b.*").withColumn("alt", (F.col("bin_idx") + 0.5) * p.bin_m)
@@ -73,14 +76,23 @@ def modes(fine, coarse, p: Params = DEFAULTS) -> dict[str, dict]:
 
 
 def ablate(frames: DataFrame, truth: DataFrame, how: dict[str, dict], every_s: float = 60.0) -> DataFrame:
-    """Scores of the same frames under several modes (see ``modes``), with a mode column. Modes with the same parameters share
-    one fold of the frames, and each mode's predictions are made once; both are written to the shared folder."""
-    every, folded = None, {}
+    """Scores of the same frames under several modes (see ``modes``), with a mode column, made once and written to the shared folder. Modes
+    whose model is none or a formula go over the frames together, in one fold for those that differ in the refresh cap alone. Any
+    other has its predictions made and written by itself, from origins that modes of the same parameters share."""
+    together, made, folded = {}, [], {}
     for mode, given in how.items():
-        p = given.get("p", DEFAULTS)
+        p, wind = given.get("p", DEFAULTS), given.get("model")
+        if set(given) <= {"p", "model", "use"} and (wind is None or isinstance(wind, drift.Formula)):
+            together.setdefault(dataclasses.replace(p, refresh_cap=0), {})[mode] = p.refresh_cap, wind_of(None, given.get("use", "measured"), wind, p)
+            continue
         if p not in folded:
             folded[p] = saved(origins(frames, every_s, p), "origins")
-        made = saved(predicted(folded[p], **given), "predictions")
-        s = scored(made, truth).withColumn("mode", F.lit(mode))
-        every = s if every is None else every.unionByName(s)
-    return every
+        made.append(saved(predicted(folded[p], **given), "predictions").withColumn("mode", F.lit(mode)))
+    for p, ways in together.items():
+        caps = tuple(dict.fromkeys(cap for cap, _ in ways.values()))
+        made.append(landing.predict_by(origins(frames, every_s, p, caps), ways, p).withColumnRenamed("way", "mode"))
+    every = made[0]
+    for more in made[1:]:
+        every = every.unionByName(more)
+    every = scored(every, truth)
+    return saved(every.select(*(c for c in every.columns if c != "mode"), "mode"), "scores")
