@@ -111,3 +111,12 @@ def test_recovered_place_is_taken_as_reported(spark, tmp_path):
     (tmp_path / "S1.json").write_text('{"recovery": {"serial": "S1", "lat": "9990.5", "lon": "-9990.25"}, "frames": [{"serial": "S1", "lat": "-9999"}]}')
     r = telemetry.read_corpus(spark, str(tmp_path)).first()
     assert (r.truth_lat, r.truth_lon) == (9990.5, -9990.25)
+
+
+# Doubles that lie just below, on and above a half of the last digit printed.
+def test_numbers_are_printed_as_printf_does(spark):
+    """Before, halves of the shortest decimal went up: 56.780765 is a little less than the half, and came out as 56.78077."""
+    values = [(56.780765, 5), (-67.204495, 5), (44.123455, 5), (0.15, 1), (0.25, 1), (0.35, 1), (999.95, 1), (12345.65, 1), (0.5, 0), (62.5, 0), (-86.5, 0), (123456.0, 0), (-0.00000001, 5)]
+    assert list(one(spark, *(S.printed(F.lit(x), n) for x, n in values))) == [f"{x:.{n}f}" for x, n in values]
+    km = lambda x, units: S.fmt_dist(F.lit(x), F.lit(units))
+    assert list(one(spark, km(0.25, "metric"), km(0.35, "metric"), km(100.0, "imperial"), S.fmt_alt(F.lit(62.5), F.lit("metric")), S.fmt_alt(F.lit(1000.0), F.lit("imperial")), S.printed(F.lit(None).cast("double"), 1))) == ["0.2 km", "0.3 km", "62.1 mi", "62 m", "3281 ft", None]
