@@ -50,12 +50,12 @@ def tidy_session(spark: SparkSession) -> SparkSession:
 
 
 class Saved:
-    """A table written once to the shared folder; ``df`` reads it back, in ``reader`` if that is given, so a lost executor loses nothing."""
+    """A table written once to the shared folder; ``df`` reads it back, in ``reader`` if that is given, so a lost executor loses nothing. options: the writer's."""
 
-    def __init__(self, df: DataFrame, name: str, reader: SparkSession | None = None, by: list[str] | None = None):
+    def __init__(self, df: DataFrame, name: str, reader: SparkSession | None = None, by: list[str] | None = None, options: dict[str, str] | None = None):
         self.spark = reader or df.sparkSession
         self.path, self.schema = new_folder(self.spark, name), df.schema
-        (df.write.partitionBy(*by) if by else df.write).parquet(self.path)
+        (df.write.partitionBy(*by) if by else df.write).options(**options or {}).parquet(self.path)
         self.df = self.read(self.spark)
 
     def read(self, spark: SparkSession) -> DataFrame:

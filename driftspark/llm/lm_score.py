@@ -29,6 +29,12 @@ ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 2
 #: Characters of text in a batch, about; n-grams in a bucket of a count table, about. Beyond so many buckets a task takes several,
 #: one after another.
 BATCH_CHARS, BUCKET_GRAMS, MOST_TASKS = 6_000_000, 1_500_000, 20_000
+#: Batches whose counts a task gathers, about; it holds them all at once.
+GATHERED = 4
+#: Each row of packed batches is a row group: Parquet's writer looks at its size only every 100 rows, and both it and the reader hold a whole group.
+ROW_GROUPS = {"parquet.block.row.count.limit": "1", "parquet.page.size.row.check.min": "1"}
+#: Bytes of rows that go to a Python worker at once, about; a batch's row alone may be more.
+ARROW_BYTES = 4_000_000
 #: Counts from here on travel as longs beside the ints of the rest.
 LARGE = 2**31 - 1
 
@@ -155,6 +161,13 @@ def _scored(order: int, backoff: float, min_count: int, total: int):
     return run
 
 
+def gathered(packed: DataFrame, got: DataFrame, batches: int) -> DataFrame:
+    """(doc_ids, texts, got): each batch with the counts of its n-grams, by order and bucket; in parts by the number of batches, as a task's rows are large."""
+    parts = min(max(12, math.ceil(batches / GATHERED)), MOST_TASKS)
+    got = got.repartition(parts, "batch").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("n", "bucket", "counts", "large"))).alias("got"))  # as many as the batch has n-grams
+    return packed.repartition(parts, "batch").join(got, "batch", "left").select("doc_ids", "texts", "got")
+
+
 def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT, batch_chars: int = BATCH_CHARS, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
     """docs (doc_id, text, …) to one row per input row: doc_id, n_words, log_score (natural logarithm, 0 for no words),
     perplexity (null for no words), each order's share of the words (order_1 … order_n).
@@ -166,8 +179,9 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min
     """
     spark = docs.sparkSession
     tidy = tidy_session(spark)
-    packed = Saved(_pack(docs, batch_chars), "lm-batches", tidy).df
-    chars = packed.agg(F.coalesce(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda a, t: a + F.coalesce(F.length(t), F.lit(0)))), F.lit(0))).first()[0]
+    tidy.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    packed = Saved(_pack(docs, batch_chars), "lm-batches", tidy, options=ROW_GROUPS).df
+    chars, batches = packed.agg(F.coalesce(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda a, t: a + F.coalesce(F.length(t), F.lit(0)))), F.lit(0)), F.count("*")).first()
     buckets = max(12, math.ceil(chars / 6 / bucket_grams))  # a word has six characters, about
     tables = []
     for n in range(1, order + 1):
@@ -178,9 +192,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min
     got = tables[0]
     for t in tables[1:]:
         got = got.unionByName(t)
-    got = got.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("n", "bucket", "counts", "large"))).alias("got"))  # as many as the batch has n-grams
     shares = ", ".join(f"order_{n} double" for n in range(1, order + 1))
-    joined = packed.join(got, "batch", "left").select("doc_ids", "texts", "got")
+    joined = gathered(packed, got, batches)
     out = Saved(joined.mapInArrow(_scored(order, backoff, min_count, total), f"doc_id long, n_words long, s double, {shares}"), "lm-scores").read(spark)
     perplexity = F.when(F.col("n_words") > 0, F.round(F.exp(-F.col("s") / F.col("n_words")), 4))
     return out.select("doc_id", "n_words", F.round("s", 6).alias("log_score"), perplexity.alias("perplexity"), *(F.round(f"order_{n}", 6).alias(f"order_{n}") for n in range(1, order + 1)))

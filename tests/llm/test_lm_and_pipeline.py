@@ -1,3 +1,4 @@
+import glob
 import math
 from collections import Counter
 
@@ -5,6 +6,8 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from driftspark.llm import common, lm_score
 from driftspark.llm.minhash import shingle_set
@@ -132,3 +135,15 @@ def test_counts_beyond_an_int_are_exact():
     got = lm_score.counted(pdf)
     rows = pa.array(got[["counts", "large"]].to_dict("records"), pa.struct([("counts", pa.list_(pa.int32())), ("large", pa.list_(pa.int64()))]))
     assert lm_score.counts_of(rows).tolist() == [4_000_000_000, 1, 9, 4_000_000_000, 9]
+
+def test_memory_does_not_follow_the_number_of_batches(spark):
+    """Before, Parquet put up to 100 batches of 6 million characters in a row group, which its writer and reader hold whole, and a task gathered the counts of
+    as many batches as the session's number of shuffle partitions left to it."""
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.sequence(F.col("id"), F.col("id") + 20)).alias("text")).coalesce(1)
+    packed = common.Saved(lm_score._pack(docs, 1000), "packed", options=lm_score.ROW_GROUPS)
+    groups = [pq.read_metadata(f) for f in glob.glob(f"{packed.path.removeprefix('file:')}/*.parquet")]
+    rows = [m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)]
+    assert len(rows) > 40 and set(rows) == {1}
+    counts = packed.df.selectExpr("batch", "1 as n", "0 as bucket", "array(1) as counts", "array(2L) as large")
+    held = [len(x) for x in lm_score.gathered(packed.df, counts, len(rows)).rdd.glom().collect()]
+    assert sum(held) == len(rows) and len(held) >= len(rows) // lm_score.GATHERED and max(held) < 4 * lm_score.GATHERED
